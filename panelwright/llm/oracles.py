@@ -26,9 +26,9 @@ FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)
 def spans_sql(kind_no: int, pattern: str, value: str, keep: str) -> str:
     """Spans of one kind by cutting each text at its matches."""
     return f"""
-  SELECT doc_id, source, {kind_no} AS kind_no, at + 0 AS start, at + length(found) AS stop, {value} AS value
+  SELECT doc_id, source, {kind_no} AS kind_no, begins AS start, begins + length(found) AS stop, {value} AS value
   FROM (
-    SELECT doc_id, source, found, (sum(length(piece)) OVER w + coalesce(sum(length(found)) OVER p, 0))::BIGINT AS at
+    SELECT doc_id, source, found, (sum(length(piece)) OVER w + coalesce(sum(length(found)) OVER p, 0))::BIGINT AS begins
     FROM (
       SELECT doc_id, source, unnest(range(len(found))) AS i,
              unnest(found) AS found, unnest(pieces[:len(found)]) AS piece
