@@ -1,5 +1,12 @@
 """All registered queries and their SQL."""
 
-FLAGSHIP = ""
+from __future__ import annotations
+
+from . import joins, models, panels, quality, ranked, reports, shares, tables
+
+FLAGSHIP = "d2_lagged_panel"
 QUERIES: dict = {}
 ORACLES: dict = {}
+for module in (tables, panels, joins, ranked, shares, reports, quality, models):
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES
