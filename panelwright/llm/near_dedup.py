@@ -12,11 +12,12 @@ well as with independent hashes.
    a star, so a bucket of any size costs its size.
 3. Star links are confirmed on the full sets of both texts, and connected.
 4. Buckets that still hold two or more components are looked at again, so that no link
-   is lost. In small ones all pairs of different components are confirmed. In large
-   ones a member is first compared with everything outside its own component at once:
-   only shingles that another component of these buckets has can be common with any
-   partner. A pair needs threshold * union of them, so most members drop out without
-   being paired, and the rest meets only partners of a size that can still fit.
+   is lost. In small ones all pairs of different components are confirmed. Documents
+   that large ones connect form an arena, each document once. One drops out if too few
+   of its shingles are in any other component of the arena to be similar to anything
+   there. The rest is compared in blocks of bounded size, one task a pair of blocks;
+   only confirmed links leave a task. This costs the square of the number of documents
+   that are left, over the square of the block.
 
 What is left to chance is only whether a pair falls into any common bucket: at the
 threshold of 0.8, with 32 bands of 5, it does not once in 340,000 pairs.
@@ -42,13 +43,14 @@ WORDS = re.compile(WORD)
 
 @dataclass(frozen=True)
 class Settings:
-    """similar is in percent; buckets of up to `small` members are paired directly."""
+    """similar is in percent; buckets of up to `small` members are paired directly, others in blocks of `block`."""
 
     words: int = 5
     similar: int = 80
     bands: int = 32
     rows: int = 5
     small: int = 24
+    block: int = 256
 
     @property
     def size(self) -> int:
@@ -216,7 +218,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = written(confirmed(star, texts, s), "links")
     nodes = classes.select("node")
     grouped = written(connected(nodes, links), "components")
-    more = written(confirmed(open_pairs(together, grouped, star, texts, s), texts, s), "more")
+    held = written(open_buckets(together, grouped), "open")
+    arenas = written(arena_nodes(held, texts, s), "arenas")
+    more = written(confirmed(open_pairs(held, arenas, star, s), texts, s).union(arena_links(arenas, s)), "more")
     if not more.isEmpty():
         grouped = connected(nodes, links.union(more))
     named = classes.join(grouped, "node")
@@ -229,42 +233,82 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def open_pairs(together: DataFrame, grouped: DataFrame, star: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """Pairs of different components in one bucket that may be similar enough and haven't been looked at."""
+def open_buckets(together: DataFrame, grouped: DataFrame) -> DataFrame:
+    """bucket, size, node, n, head and component of the buckets of three or more that hold several components."""
     held = together.join(grouped, "node")
     mixed = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("bucket")
-    held = written(held.filter("size > 2").select("bucket", "size", "node", "n", "component").join(mixed, "bucket", "left_semi"), "open")
-    large = held.filter(F.col("size") > s.small)
-    shared = written(outside(large.select("node", "component").distinct(), texts, s), "outside")
-    able = large.join(shared, "node").filter(F.col("shared") * 100 >= F.col("n") * s.similar)
-    direct = held.filter(F.col("size") <= s.small).withColumn("shared", F.col("n"))
-    both = written(able.select("bucket", "node", "n", "component", "shared").union(direct.select("bucket", "node", "n", "component", "shared")), "able")
-    x, y = both.alias("x"), both.alias("y")
-    least = F.least("x.shared", "y.shared")
+    return held.filter("size > 2").select("bucket", "size", "node", "n", "head", "component").join(mixed, "bucket", "left_semi")
+
+
+def open_pairs(held: DataFrame, arenas: DataFrame, star: DataFrame, s: Settings) -> DataFrame:
+    """Pairs of different components in one small bucket that haven't been looked at and aren't of one arena."""
+    small = held.filter(F.col("size") <= s.small).join(arenas.select("node", "arena"), "node", "left")
+    x, y = small.alias("x"), small.alias("y")
     pairs = x.join(
         y,
         (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-        & fits(F.col("x.n"), F.col("y.n"), s.similar) & (least * (100 + s.similar) >= (F.col("x.n") + F.col("y.n")) * s.similar),
+        & fits(F.col("x.n"), F.col("y.n"), s.similar) & (F.coalesce("x.arena", F.lit(-1)) != F.coalesce("y.arena", F.lit(-2))),
     ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     return pairs.join(star, ["a", "b"], "left_anti")
 
 
-def outside(nodes: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """node -> shared: how many of its shingles any other component among these nodes has."""
+def arena_nodes(held: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """node, component, arena, items (its shingles) and shared (how many any other component of the arena has) of all in large open buckets."""
+    large = held.filter(F.col("size") > s.small)
+    nodes = written(large.select("node", "component").distinct(), "large")
+    arena = connected(nodes, large.select(F.col("head").alias("a"), F.col("node").alias("b")).filter("a != b")).select("node", F.col("component").alias("arena"))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingles(words_of(t), s.words).view(np.int64) for t in batch["text"]]
-            sizes = [len(x) for x in sets]
-            yield pd.DataFrame({
-                "node": np.repeat(batch["node"].to_numpy(), sizes),
-                "component": np.repeat(batch["component"].to_numpy(), sizes),
-                "item": np.concatenate(sets) if sets else np.empty(0, np.int64),
-            })
-
-    rows = nodes.join(texts.withColumnRenamed("row", "node"), "node").select("node", "component", "text")
-    items = written(rows.mapInPandas(run, "node long, component long, item long"), "items")
-    crossing = items.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("item")
-    return items.select("item", "node").join(crossing, "item", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
+            yield pd.DataFrame({"node": batch["node"], "component": batch["component"], "arena": batch["arena"], "items": [shingles(words_of(t), s.words).view(np.int64) for t in batch["text"]]})
+
+    rows = nodes.join(arena, "node").join(texts.withColumnRenamed("row", "node"), "node").select("node", "component", "arena", "text")
+    known = written(rows.mapInPandas(run, "node long, component long, arena long, items array<long>"), "items")
+    items = known.select("node", "component", "arena", F.explode("items").alias("item"))
+    crossing = items.groupBy("arena", "item").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("arena", "item")
+    shared = items.join(crossing, ["arena", "item"], "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
+    return known.join(shared, "node", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+
+
+def arena_links(arenas: DataFrame, s: Settings) -> DataFrame:
+    """Confirmed links (a, b) between different components of one arena, compared block by block."""
+    able = arenas.filter(F.col("shared") * 100 >= F.size("items") * s.similar)
+    blocks = able.groupBy("arena").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = able.join(blocks, "arena").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("arena", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), "node", "component", "items", (F.col("mine") == F.col("other")).alias("own"))
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        first, second = rows[rows["left"]], rows[rows["own"] | ~rows["left"]]
+        both = overlaps(first["items"].tolist(), second["items"].tolist())
+        na, nb = (np.array([len(x) for x in side["items"]]) for side in (first, second))
+        similar = 100 * both >= s.similar * (na[:, None] + nb[None, :] - both)
+        apart = first["component"].to_numpy()[:, None] != second["component"].to_numpy()[None, :]
+        i, j = np.nonzero(similar & apart)
+        a, b = first["node"].to_numpy()[i], second["node"].to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return dealt.groupBy("arena", "i", "j").applyInPandas(links, "a long, b long").distinct()
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every set of a with every set of b, by products of 0/1 matrices of bounded width."""
+    out = np.zeros((len(a), len(b)))
+    if not len(a) or not len(b):
+        return out
+    flat = [np.concatenate(x) for x in (a, b)]
+    row = [np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (a, b)]
+    common = np.intersect1d(*flat)
+    for at in range(0, len(common), width):
+        part, sides = common[at : at + width], []
+        for values, place, n in zip(flat, row, (len(a), len(b)), strict=True):
+            i = np.searchsorted(part, values)
+            hit = (i < len(part)) & (part[np.minimum(i, len(part) - 1)] == values)
+            side = np.zeros((n, len(part)), dtype=np.float32)
+            side[place[hit], i[hit]] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
