@@ -2,7 +2,8 @@
 
 A rolling hash over seven bytes marks the ends of chunks: at block size b = 3 * 2**k where
 it is -1 modulo b. Every chunk becomes one of 64 letters, so an edit changes the letters
-near it only. b is the smallest size with at most LETTERS ends; a fingerprint is
+near it only. b follows from the length alone (some LETTERS / 2 to LETTERS chunks; in
+degenerate texts with more than MOST ends the last chunk takes the rest); a fingerprint is
 "b:letters at b:letters at 2b", and two fingerprints are compared by edit distance at the
 block sizes that both have (Spark's levenshtein; nothing is compared in Python).
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_width, text_of
 
-WINDOW, LEAST_BLOCK, LETTERS = 7, 3, 64
+WINDOW, LEAST_BLOCK, LETTERS, MOST = 7, 3, 64, 256
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", dtype=np.uint8)
 #: Bytes that the rolling hash handles at a time.
 BLOCK = 1 << 20
@@ -61,12 +62,11 @@ def fingerprint(text: str) -> str:
     level = hashes.astype(np.uint64) + np.uint64(1)
     at = np.flatnonzero(level % np.uint64(LEAST_BLOCK) == 0)
     level = (level[at] // np.uint64(LEAST_BLOCK)).astype(np.int64)
-    block = LEAST_BLOCK
-    while len(at) > LETTERS:
-        even = level % 2 == 0
-        at, level, block = at[even], level[even] // 2, block * 2
+    k = max(0, -(-len(data) // (LETTERS * LEAST_BLOCK)) - 1).bit_length()
+    block, chosen = LEAST_BLOCK << k, level % (1 << k) == 0
+    at, level = at[chosen], level[chosen] >> k
     mixed = (hashes ^ (hashes >> np.uint32(15))).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return f"{block}:{letters(mixed, at)}:{letters(mixed, at[level % 2 == 0])}"
+    return f"{block}:{letters(mixed, at[:MOST])}:{letters(mixed, at[level % 2 == 0][:MOST])}"
 
 
 def likeness(a: Column, b: Column) -> Column:
