@@ -63,13 +63,13 @@ def grid_errors(rows: DataFrame, grid: DataFrame, keys: Sequence[str], name: str
 
 
 def blended(rows: DataFrame, keys: Sequence[str], period: str, a: str, b: str, target: str, weights: Sequence[float]) -> DataFrame:
-    """For each period the weight of a (against b) with the least error over all earlier periods; the smallest on ties."""
+    """For each period the weight of a (against b) with the least error over all earlier periods; the smallest on ties (to 6 places)."""
     tried = rows.withColumn("weight", F.explode(F.array(*map(F.lit, weights))))
     error = F.abs(F.col(target) - F.col("weight") * F.col(a) - (1 - F.col("weight")) * F.col(b))
     per = tried.groupBy(*keys, period, "weight").agg(F.sum(error).alias("e"), F.count("*").alias("n"))
     before = Window.partitionBy(*keys, "weight").orderBy(period).rangeBetween(Window.unboundedPreceding, -1)
     past = per.withColumn("past", F.try_divide(F.sum("e").over(before), F.sum("n").over(before))).filter("past is not null")
-    return past.groupBy(*keys, period).agg(F.min(F.struct("past", "weight")).alias("x")).select(*keys, period, F.col("x.weight").alias("weight"), F.col("x.past").alias("past_mae"))
+    return past.groupBy(*keys, period).agg(F.min(F.struct(F.round("past", 6).alias("past"), "weight")).alias("x")).select(*keys, period, F.col("x.weight").alias("weight"), F.col("x.past").alias("past_mae"))
 
 
 def locked(discovery: DataFrame, sealed: DataFrame, keys: Sequence[str], parameters: Sequence[str], gain: float = 0.005) -> DataFrame:
