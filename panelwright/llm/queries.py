@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprint, language_id, mixing, near_dedup, secret_scan, toxicity, warc_segments
+from . import bpe, exact_dedup, fingerprint, language_id, license_scan, mixing, near_dedup, secret_scan, toxicity, warc_segments
 from .common import held_out, table
 
 #: Vocabulary of the tokenizer; any byte-level BPE file of the tokenizers library will do.
@@ -51,6 +51,15 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.find_licenses(table(spark, sf_dir, "documents"))
+    line = lambda m: F.concat_ws(":", m.license, m.start, m.end, F.format_number(m.coverage, 4))
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("matches").cast("long").alias("n_matches"), F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m.license))), ",").alias("licenses"),
+        F.array_join(F.transform("matches", line), ",").alias("spans"), F.array_max(F.transform("matches", lambda m: m.coverage)).alias("best_coverage"),
+    )
+
+
 def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc_segments.write_archives(table(spark, sf_dir, "pages"))
     return warc_segments.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -83,5 +92,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_secret_scan, op3_fingerprint, op4_language_id, op6_warc_segments, op7_near_dedup, op8_bpe, op9_toxicity, op10_mixing)
+    for f in (op1_exact_dedup, op2_secret_scan, op3_fingerprint, op4_language_id, op5_license_scan, op6_warc_segments, op7_near_dedup, op8_bpe, op9_toxicity, op10_mixing)
 }
