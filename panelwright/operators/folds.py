@@ -30,12 +30,12 @@ def evaluation_start(folds: DataFrame, segment: str, preferred: int) -> DataFram
 
 
 def inner_periods(folds: DataFrame, segment: str, last: int = 5, least: int = 3) -> DataFrame:
-    """(segment, fold, inner): the last inner folds strictly before each fold, where there are at least so many."""
-    inner = folds.select(F.col(segment).alias("__segment"), F.col("fold").alias("inner"))
-    both = folds.join(inner, (F.col(segment) == F.col("__segment")) & (F.col("inner") < F.col("fold"))).drop("__segment")
+    """(segment, fold, inner_fold): the last inner folds strictly before each fold, where there are at least so many."""
+    inner = folds.select(F.col(segment).alias("__segment"), F.col("fold").alias("inner_fold"))
+    both = folds.join(inner, (F.col(segment) == F.col("__segment")) & (F.col("inner_fold") < F.col("fold"))).drop("__segment")
     w = Window.partitionBy(segment, "fold")
-    placed = both.withColumn("__place", F.row_number().over(w.orderBy(F.desc("inner")))).filter(F.col("__place") <= last)
-    return placed.withColumn("__n", F.count("*").over(w)).filter(F.col("__n") >= least).select(segment, "fold", "inner")
+    placed = both.withColumn("__place", F.row_number().over(w.orderBy(F.desc("inner_fold")))).filter(F.col("__place") <= last)
+    return placed.withColumn("__n", F.count("*").over(w)).filter(F.col("__n") >= least).select(segment, "fold", "inner_fold")
 
 
 def mean_baseline(data: DataFrame, period: str, segment: str, target: str) -> DataFrame:

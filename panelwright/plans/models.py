@@ -43,7 +43,7 @@ def m1_evaluation_start(spark, d):
     return folds.evaluation_start(fold_table(spark, d), "segment", 1996)
 
 
-@query(f"WITH {FOLDS}, i AS (SELECT a.segment, a.fold, b.fold AS inner_fold, row_number() OVER (PARTITION BY a.segment, a.fold ORDER BY b.fold DESC) AS rn FROM folds a JOIN folds b ON a.segment = b.segment AND b.fold < a.fold), k AS (SELECT *, count(*) OVER (PARTITION BY segment, fold) AS n FROM i WHERE rn <= 5) SELECT segment, fold, inner_fold AS inner FROM k WHERE n >= 2")
+@query(f"WITH {FOLDS}, i AS (SELECT a.segment, a.fold, b.fold AS inner_fold, row_number() OVER (PARTITION BY a.segment, a.fold ORDER BY b.fold DESC) AS rn FROM folds a JOIN folds b ON a.segment = b.segment AND b.fold < a.fold), k AS (SELECT *, count(*) OVER (PARTITION BY segment, fold) AS n FROM i WHERE rn <= 5) SELECT segment, fold, inner_fold FROM k WHERE n >= 2")
 def w20_inner_periods(spark, d):
     """W20, M8."""
     return folds.inner_periods(fold_table(spark, d), "segment", 5, 2)
@@ -88,7 +88,7 @@ def m9_adaptive_choice(spark, d):
 
     scores = m6_linear_grids(spark, d)
     inner = folds.inner_periods(fold_table(spark, d), "segment", 5, 1)
-    past = inner.join(scores.withColumnRenamed("fold", "inner"), ["segment", "inner"]).groupBy(*KEYS, "method", "alpha", "l1").agg(F.avg("mae").alias("mae")).withColumn("spearman", F.lit(0.0))
+    past = inner.join(scores.withColumnRenamed("fold", "inner_fold"), ["segment", "inner_fold"]).groupBy(*KEYS, "method", "alpha", "l1").agg(F.avg("mae").alias("mae")).withColumn("spearman", F.lit(0.0))
     chosen = tuned(past, KEYS, [F.desc("alpha"), F.desc("l1"), F.col("method")]).select(*KEYS, "method", "alpha", "l1", F.col("mae").alias("inner_mae"))
     return chosen.join(scores, [*KEYS, "method", "alpha", "l1"])
 

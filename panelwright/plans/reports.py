@@ -38,7 +38,7 @@ def e2_metrics(spark, d):
     return m.select("segment", "period", "n", *(F.round(x, 6).alias(x) for x in NAMES))
 
 
-@query(f"""WITH {RANKED}, f AS (SELECT segment, period, {METRICS} FROM ranked GROUP BY segment, period), p AS (SELECT segment, count(*) AS n, round(avg(abs(e)), 6) AS mae FROM ranked GROUP BY segment)
+@query(f"""WITH {RANKED}, f AS (SELECT segment, period, avg(abs(e)) AS mae, CASE WHEN stddev_pop(ar) > 1e-12 AND stddev_pop(pr) > 1e-12 THEN covar_pop(ar, pr) / (stddev_pop(ar) * stddev_pop(pr)) END AS spearman FROM ranked GROUP BY segment, period), p AS (SELECT segment, count(*) AS n, round(avg(abs(e)), 6) AS mae FROM ranked GROUP BY segment)
 SELECT segment, p.n, p.mae, round(avg(f.mae), 5) AS mean_mae, round(avg(f.spearman), 5) AS mean_spearman, count(*) AS n_folds FROM p JOIN f USING (segment) GROUP BY segment, p.n, p.mae""")
 def e3_pooled_and_mean(spark, d):
     """Over all rows, and the mean of the periods' metrics."""

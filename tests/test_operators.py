@@ -72,7 +72,7 @@ def test_folds_train_strictly_before(spark):
     assert rows(f.select("fold", "n_train"), "fold") == [(t, 10 * (t - 2000)) for t in range(2002, 2006)]
     roles = folds.with_roles(df, f, "t", "seg")
     assert roles.filter("role = 'train' and t >= fold").count() == 0
-    assert rows(folds.inner_periods(f, "seg", 2, 2).select("fold", "inner"), "fold", "inner") == [(2004, 2002), (2004, 2003), (2005, 2003), (2005, 2004)]
+    assert rows(folds.inner_periods(f, "seg", 2, 2).select("fold", "inner_fold"), "fold", "inner_fold") == [(2004, 2002), (2004, 2003), (2005, 2003), (2005, 2004)]
 
 
 def test_linear_equals_numpy(spark):
