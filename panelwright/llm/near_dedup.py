@@ -37,7 +37,6 @@ from pyspark.sql import functions as F
 
 from .common import WORD, text_of, written
 
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORDS = re.compile(WORD)
 
 
@@ -66,14 +65,15 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 def words_of(text: str) -> list[str]:
-    return WORDS.findall(text.translate(LOWER))
+    """Words, with A to Z (the letters that bytes.lower knows) in lower case."""
+    return WORDS.findall(text.encode().lower().decode())
 
 
 def shingles(words: list[str], k: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct runs of k words; of the whole sequence if shorter; none without words."""
     if not words:
         return np.empty(0, np.uint64)
-    one = np.fromiter(map(hash_word, words), dtype=np.uint64, count=len(words))
+    one = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
     k = min(k, len(words))
     n = len(one) - k + 1
     out = np.full(n, k, dtype=np.uint64)
@@ -82,59 +82,81 @@ def shingles(words: list[str], k: int) -> np.ndarray:
     return np.unique(out)
 
 
-_hashes: dict[str, int] = {}
+class WordHashes(dict):
+    """64-bit hashes of the words seen by this worker, as many as MOST_WORDS."""
 
+    MOST_WORDS = 250_000
 
-def hash_word(word: str) -> int:
-    got = _hashes.get(word)
-    if got is None:
-        if len(_hashes) > 300_000:
-            _hashes.clear()
-        got = _hashes[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-    return got
+    def __missing__(self, word: str) -> int:
+        if len(self) > self.MOST_WORDS:
+            self.clear()
+        got = self[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        return got
 
 
-def sketch(items: np.ndarray, size: int) -> np.ndarray:
-    """Fast similarity sketch of a set of hashes: uint64 of round and fraction by coordinate."""
-    never = np.uint64(2**64 - 1)
-    out = np.full(size, never)
-    if not len(items):
-        return out
+_hashes = WordHashes()
+NEVER = np.uint64(2**64 - 1)
+
+
+def sketches(sets: list[np.ndarray], size: int) -> np.ndarray:
+    """Fast similarity sketches of several sets of hashes: uint64 of round and fraction by set and coordinate.
+
+    The rounds run over all sets at once; a set leaves when all its coordinates are full.
+    """
+    out = np.full((len(sets), size), NEVER)
+    flat = out.reshape(-1)
+    which = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    items = np.concatenate(sets) if sets else np.empty(0, np.uint64)
     for i in range(2 * size):
+        if not len(items):
+            break
         h = mix(items, i + 1)
         value = np.uint64(i << 48) | (h >> np.uint64(16))
         if i < size:
             bins = ((h & np.uint64(0xFFFF)) * np.uint64(size)) >> np.uint64(16)
-            np.minimum.at(out, bins.astype(np.intp), value)
-        elif out[i - size] == never:
-            out[i - size] = value.min()
-        if i >= size - 1 or i * len(items) > size:
-            if out.max() != never:
-                break
+            np.minimum.at(flat, which * size + bins.astype(np.int64), value)
+        else:  # from here on round size + j places every item in bin j
+            empty = out[which, i - size] == NEVER
+            np.minimum.at(flat, which[empty] * size + (i - size), value[empty])
+        open_ = (out == NEVER).any(1)[which]
+        items, which = items[open_], which[open_]
     return out
 
 
 def band_keys(coordinates: np.ndarray, s: Settings) -> np.ndarray:
-    table = coordinates.reshape(s.bands, s.rows)
-    key = np.arange(s.bands, dtype=np.uint64)
+    """Key of every band, by set."""
+    table = coordinates.reshape(-1, s.bands, s.rows)
+    key = np.tile(np.arange(s.bands, dtype=np.uint64), (len(table), 1))
     for j in range(s.rows):
-        key = mix(key + table[:, j], j + 1)
+        key = mix(key + table[:, :, j], j + 1)
     return key.view(np.int64)
 
 
+def slices(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Places of runs of texts of about so many code points in all."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= chars):
+            size += len(texts[end])
+            end += 1
+        yield at, end
+        at = end
+
+
 def sketched(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
     """row, id, n_shingles, sequence (digest of the word sequence; null without words) and bands of every document."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes, digests, bands = [], [], []
-            for text in batch["text"]:
-                words = words_of(text)
-                items = shingles(words, s.words)
-                sizes.append(len(items))
-                digests.append(hashlib.sha256(" ".join(words).encode()).digest()[:16] if words else None)
-                bands.append(band_keys(sketch(items, s.size), s) if words else None)
+            texts, sizes, digests, bands = batch["text"].tolist(), [], [], []
+            for first, last in slices(texts):
+                words = [words_of(t) for t in texts[first:last]]
+                sets = [shingles(w, s.words) for w in words]
+                sizes += [len(x) for x in sets]
+                digests += [hashlib.sha256(" ".join(w).encode()).digest()[:16] if w else None for w in words]
+                bands += [keys if len(x) else None for x, keys in zip(sets, band_keys(sketches(sets, s.size), s), strict=True)]
             yield pd.DataFrame({"row": batch["row"], "id": batch["id"], "n_shingles": sizes, "sequence": digests, "bands": bands})
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_of(text_col).alias("text"))

@@ -64,11 +64,12 @@ def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(0)
     for n in (1, 3, 50, 2000):
         items = np.unique(rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64))
-        got = N.sketch(items, 160)
-        assert (got != np.uint64(2**64 - 1)).all()
+        got = N.sketches([items, items[:0], items[:1]], 160)
+        assert (got[1] == N.NEVER).all()
+        assert (got[[0, 2]] != np.uint64(2**64 - 1)).all()
     a = rng.integers(0, 2**63, 1000, dtype=np.int64).astype(np.uint64)
     b = np.concatenate([a[:800], rng.integers(0, 2**63, 200, dtype=np.int64).astype(np.uint64)])
-    same = (N.sketch(np.unique(a), 2000) == N.sketch(np.unique(b), 2000)).mean()
+    same = np.equal(*N.sketches([np.unique(a), np.unique(b)], 2000)).mean()
     assert abs(same - 800 / 1200) < 0.05
 
 
