@@ -41,7 +41,7 @@ def d11_leader_environment(spark, d):
 
 
 @query(f"""WITH {PANEL}, m AS (SELECT segment, period, entity, rank() OVER (PARTITION BY segment, period ORDER BY price DESC) AS market FROM panel WHERE n_occ >= 2)
-SELECT p.entity, p.period, p.segment, market, (market IS NOT NULL)::INT AS matched, least(market, 20) AS before_apex, greatest(market - 20, 0) AS after_apex FROM panel p LEFT JOIN m ON p.segment = m.segment AND p.entity = m.entity AND m.period = p.period - 1""")
+SELECT p.entity, p.period, p.segment, market, (market IS NOT NULL)::INT AS matched, CASE WHEN market IS NOT NULL THEN least(market, 20) END AS before_apex, CASE WHEN market IS NOT NULL THEN greatest(market - 20, 0) END AS after_apex FROM panel p LEFT JOIN m ON p.segment = m.segment AND p.entity = m.entity AND m.period = p.period - 1""")
 def d15_market_features(spark, d):
     """Market rank of the period before, match flag, knots."""
     p = panel(spark, d)
