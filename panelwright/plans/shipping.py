@@ -1,9 +1,8 @@
-"""Sends this package to executors that cannot import it."""
+"""Sends this package to the executors."""
 
 from __future__ import annotations
 
 import functools
-import os
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -15,10 +14,9 @@ _sent: set[str] = set()
 
 
 def ship(spark: SparkSession, root: str) -> None:
-    """Once an application, unless the executors' search path already has the repository."""
+    """Once an application: the session may run on machines, or since a time, without the repository's path."""
     context = spark.sparkContext
-    path = context.environment.get("PYTHONPATH", "") + os.pathsep + os.environ.get("PYTHONPATH_AT_START", "")
-    if context.applicationId in _sent or root in path.split(os.pathsep):
+    if context.applicationId in _sent:
         return
     _sent.add(context.applicationId)
     name = Path(tempfile.mkdtemp()) / "panelwright.zip"
