@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calibrate, folds, linear, trees
 from ..operators import panel as P
-from .base import PANEL, PREDICTIONS, Query, panel, predictions, registered
+from .base import PANEL, PREDICTIONS, Query, held, panel, predictions, registered
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -22,7 +22,9 @@ def fold_table(spark, d):
 
 
 def expanded(spark, d):
-    return folds.with_roles(predictions(spark, d), fold_table(spark, d), "period", "segment")
+    """Predictions once a fold. Statistics, Gram matrix and scoring all read them, so they are written once."""
+    rows = held(predictions(spark, d), "predictions")
+    return folds.with_roles(rows, folds.expanding_folds(rows, "period", "segment", 50), "period", "segment")
 
 
 @query(f"WITH {FOLDS} SELECT * FROM folds")

@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators.contracts import TableContract
 from ..sources import tables as S
-from .base import PANEL, Query, panel, registered, scan
+from .base import PANEL, Query, panel, registered, scan, scratch
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 query = registered(QUERIES, ORACLES)
 
 
-def scratch(spark, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal BETWEEN 0 AND 5000")
 def s2_projected_scan(spark, d):
     """Two columns and a range reach the Parquet reader."""
