@@ -12,12 +12,13 @@ well as with independent hashes.
    a star, so a bucket of any size costs its size.
 3. Star links are confirmed on the full sets of both texts, and connected.
 4. Buckets that still hold two or more components are looked at again, so that no link
-   is lost. In small ones all pairs of different components are confirmed. Documents
-   that large ones connect form an arena, each document once. One drops out if too few
-   of its shingles are in any other component of the arena to be similar to anything
-   there. The rest is compared in blocks of bounded size, one task a pair of blocks;
-   only confirmed links leave a task. This costs the square of the number of documents
-   that are left, over the square of the block.
+   is lost. In small ones pairs of different components are confirmed, as long as a
+   document has few such partners. Large buckets, and the crowded documents of small
+   ones, form arenas, each document once. One drops out if too few of its shingles are in
+   any other component of the arena to be similar to anything there. The rest is compared
+   in blocks of bounded size, one task a pair of blocks; only confirmed links leave a
+   task. This costs the square of the number of documents that are left, over the square
+   of the block.
 
 What is left to chance is only whether a pair falls into any common bucket: at the
 threshold of 0.8, with 32 bands of 5, it does not once in 340,000 pairs.
@@ -42,13 +43,14 @@ WORDS = re.compile(WORD)
 
 @dataclass(frozen=True)
 class Settings:
-    """similar is in percent; buckets of up to `small` members are paired directly, others in blocks of `block`."""
+    """similar is in percent; buckets of up to `small` members are paired directly but for documents of more than `crowd` partners; the rest in blocks of `block`."""
 
     words: int = 5
     similar: int = 80
     bands: int = 32
     rows: int = 5
     small: int = 24
+    crowd: int = 64
     block: int = 256
 
     @property
@@ -275,10 +277,13 @@ def open_pairs(held: DataFrame, arenas: DataFrame, star: DataFrame, s: Settings)
 
 
 def arena_nodes(held: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """node, component, arena, items (its shingles) and shared (how many any other component of the arena has) of all in large open buckets."""
-    large = held.filter(F.col("size") > s.small)
-    nodes = written(large.select("node", "component").distinct(), "large")
-    arena = connected(nodes, large.select(F.col("head").alias("a"), F.col("node").alias("b")).filter("a != b")).select("node", F.col("component").alias("arena"))
+    """node, component, arena, items (its shingles) and shared (how many any other component of the arena has) of all in large open buckets or crowded in small ones."""
+    crowded = held.filter(F.col("size") <= s.small).groupBy("node").agg(F.sum(F.col("size") - 1).alias("partners")).filter(F.col("partners") > s.crowd)
+    within = held.filter(F.col("size") <= s.small).join(crowded.select("node"), "node", "left_semi")
+    members = written(held.filter(F.col("size") > s.small).unionByName(within).select("bucket", "node", "component"), "members")
+    nodes = written(members.select("node", "component").distinct(), "crowd")
+    edges = members.join(members.groupBy("bucket").agg(F.min("node").alias("a")), "bucket").select("a", F.col("node").alias("b")).filter("a != b")
+    arena = connected(nodes, edges).select("node", F.col("component").alias("arena"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -298,6 +303,7 @@ def arena_links(arenas: DataFrame, s: Settings) -> DataFrame:
     blocks = able.groupBy("arena").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = able.join(blocks, "arena").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # dealt anew by block, as an arena may be hot
     dealt = dealt.select("arena", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), "node", "component", "items", (F.col("mine") == F.col("other")).alias("own"))
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
@@ -310,7 +316,7 @@ def arena_links(arenas: DataFrame, s: Settings) -> DataFrame:
         a, b = first["node"].to_numpy()[i], second["node"].to_numpy()[j]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return dealt.groupBy("arena", "i", "j").applyInPandas(links, "a long, b long").distinct()
+    return dealt.repartition("arena", "i", "j").groupBy("arena", "i", "j").applyInPandas(links, "a long, b long").distinct()
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:

@@ -43,8 +43,8 @@ def family(rng, n, words, edits, vocabulary):
     return out
 
 
-@pytest.mark.parametrize("small", [24, 2])
-def test_components_equal_brute_force(spark, small):
+@pytest.mark.parametrize(("small", "crowd"), [(24, 64), (24, 3), (2, 64)])
+def test_components_equal_brute_force(spark, small, crowd):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(400)]
     texts = family(rng, 60, 120, 12, vocabulary) + family(rng, 25, 80, 3, vocabulary) + [" ".join(rng.choices(vocabulary, k=rng.randint(1, 90))) for _ in range(40)]
@@ -54,7 +54,7 @@ def test_components_equal_brute_force(spark, small):
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, row string, node string").repartition(3)
     path = f"/tmp/checkpoints/test-near-{random.random()}"
     docs.write.parquet(path)
-    got = N.near_groups(spark.read.parquet(path), settings=N.Settings(words=4, small=small, block=16)).collect()
+    got = N.near_groups(spark.read.parquet(path), settings=N.Settings(words=4, small=small, crowd=crowd, block=16)).collect()
     assert sorted((r["id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute(rows, 4))
     firsts = [r["id"] for r in got if r["first"]]
     assert sorted(firsts) == sorted(i for i, _, c in brute(rows, 4) if i == c)
