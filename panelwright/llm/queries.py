@@ -53,7 +53,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.find_licenses(table(spark, sf_dir, "documents"))
-    line = lambda m: F.concat_ws(":", m.license, m.start, m.end, F.format_number(m.coverage, 4))
+    spans = lambda m: F.array_join(F.transform(m.spans, lambda x: F.concat_ws(":", x.start, x.end)), "+")
+    line = lambda m: F.concat_ws(":", m.license, spans(m), F.format_number(m.coverage, 4))
     return found.select(
         F.col("id").alias("doc_id"), F.size("matches").cast("long").alias("n_matches"), F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m.license))), ",").alias("licenses"),
         F.array_join(F.transform("matches", line), ",").alias("spans"), F.array_max(F.transform("matches", lambda m: m.coverage)).alias("best_coverage"),

@@ -54,3 +54,26 @@ def test_winnowing_guarantee():
                 continue
             i = rng.integers(0, len(ids) - span + 1)
             assert t in index.hits(np.concatenate([[0, 0], ids[i : i + span], [0]]))[1]
+
+
+def test_inserted_clause_makes_several_spans_of_one_match():
+    index = L.Index(L.TEMPLATES, L.Settings())
+    clause = " ".join(f"holder{i}" for i in range(30))
+    for name, part in (("MIT", 1), ("BSD-3-Clause", 0), ("GPL-3.0", 2)):
+        words = L.TEMPLATES[name][part].split()
+        i = len(words) // 2
+        got = L.found_in(" ".join([*words[:i], clause, *words[i:]]), index)
+        assert [(m[0], m[4], len(m[5])) for m in got] == [(name, 1.0, 2)]
+
+
+def test_full_texts_and_neighbours():
+    index = L.Index(L.TEMPLATES, L.Settings())
+    for name, texts in L.TEMPLATES.items():
+        for text in texts:
+            got = L.found_in(text, index)
+            assert [(m[0], m[1], m[2], m[4]) for m in got] == [(name, 0, len(text.rstrip("/.")), 1.0)], text
+    mit = f"{L.MIT_GRANT} {L.MIT_REST}"
+    assert L.found_in(mit, index)[0][2] == len(mit) - 1
+    assert [m[0] for m in L.found_in("# SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0)\n", index)] == ["MIT", "GPL-2.0-only"]
+    assert L.found_in("Released under the Zebra License.", index) == []
+    assert [m[0] for m in L.found_in("Released under the ISC License.", index)] == ["ISC"]
