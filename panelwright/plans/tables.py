@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from ..operators.contracts import TableContract
 from ..sources import tables as S
-from .base import PANEL, Query, panel, registered, scan, scratch
+from .base import PANEL, Query, held, panel, registered, scan, scratch
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 query = registered(QUERIES, ORACLES)
 
+#: Rows of a part file at most, as a file is hashed as one value.
+FILE_ROWS = 500_000
+
 
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal BETWEEN 0 AND 5000")
 def s2_projected_scan(spark, d):
@@ -73,16 +76,25 @@ def s11_dataset_manifest(spark, d):
 
 @query("""SELECT s_nationkey::VARCHAR AS file, CASE WHEN s_nationkey % 7 = 0 THEN 'changed' ELSE 'removed' END AS status FROM (SELECT DISTINCT s_nationkey FROM supplier) WHERE s_nationkey % 7 = 0 OR s_nationkey % 5 = 0""")
 def s12_preservation(spark, d):
-    """Two manifests compared."""
-    m = scan(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("file")).distinct().withColumn("sha256", F.sha2("file", 256))
-    now = m.filter("file % 7 = 0 or file % 5 != 0").withColumn("sha256", F.when(F.expr("file % 7 = 0"), F.lit("x")).otherwise(F.col("sha256")))
-    return S.changed_files(m, now)
+    """Part files hashed before and after some partitions of a table are rewritten and others deleted."""
+    path = scratch(spark, "lines")
+    lines = scan(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
+    rows = scan(spark, d, "supplier").select("s_suppkey", "s_nationkey").join(lines, F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    rows.write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("s_nationkey").parquet(path)
+    before = held(S.folder_manifest(spark, path, "s_nationkey"), "manifest")
+    corrected = spark.read.parquet(path).filter("s_nationkey % 7 = 0").withColumn("l_quantity", F.col("l_quantity") + 1).withColumn("corrected", F.lit(True))
+    corrected.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", FILE_ROWS).partitionBy("s_nationkey").parquet(path)
+    gone = before.select("file").filter("file % 5 = 0 and file % 7 != 0").collect()  # at most one a nation
+    S.drop_partitions(spark, path, [f"s_nationkey={r['file']}" for r in gone])
+    return S.changed_files(before, held(S.folder_manifest(spark, path, "s_nationkey"), "manifest"))
 
 
 @query()
 def s11_file_manifest(spark, d):
-    """Bytes and checksums of the landed files."""
-    return S.manifest(spark, f"{d}/nation.parquet").union(S.manifest(spark, f"{d}/region.parquet"))
+    """Bytes and checksums of the part files that orders are landed in."""
+    path = scratch(spark, "orders")
+    scan(spark, d, "orders").write.option("maxRecordsPerFile", FILE_ROWS).parquet(path)
+    return S.manifest(spark, path, "*.parquet").withColumn("file", F.regexp_replace("file", r"^(part-\d+)-.*(\.c|-c)(\d+)\..*$", "$1-$3"))
 
 
 @query("""SELECT column_name, data_type, n_rows, n_null, null_pct FROM (SELECT 'p_partkey' AS column_name, 'bigint' AS data_type, count(*) AS n_rows, count(*) FILTER (p_partkey IS NULL) AS n_null, 100.0::DOUBLE * count(*) FILTER (p_partkey IS NULL) / count(*) AS null_pct FROM part
@@ -92,11 +104,24 @@ def s16_profile(spark, d):
     return S.profile(scan(spark, d, "part").select("p_partkey", F.expr("nullif(p_size % 2, 0)").cast("int").alias("half"))).select("column_name", "data_type", "n_rows", "n_null", "null_pct")
 
 
-@query("SELECT segment, spec, ord, feature FROM (VALUES ('A', 'base', 0, 'x'), ('A', 'base', 1, 'y'), ('B', 'base', 0, 'x')) t(segment, spec, ord, feature), (SELECT count(*) AS n FROM customer) WHERE n > 0")
-def s15_feature_manifest(spark, d):
-    """Ordered feature lists as rows (kept for segments that the data has)."""
-    rows = S.exploded_manifest(spark, {"A": {"base": ["x", "y"]}, "B": {"base": ["x"]}})
-    return rows.join(F.broadcast(scan(spark, d, "customer").agg(F.count("*").alias("n"))), F.col("n") > 0).drop("n")
+@query(f"""WITH {PANEL}, l AS (
+  SELECT segment, qty, price, disc, max(target) OVER (PARTITION BY entity ORDER BY period RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS lag_1,
+         max(target) OVER (PARTITION BY entity ORDER BY period RANGE BETWEEN 6 PRECEDING AND 6 PRECEDING) AS lag_6 FROM panel
+), c AS (
+  SELECT segment, count(*) AS n, count(qty) AS qty, count(price) AS price, count(disc) AS disc, count(lag_1) AS lag_1, count(lag_6) AS lag_6 FROM l GROUP BY segment
+), f AS (
+  SELECT segment, n, unnest(['qty', 'price', 'disc', 'lag_1', 'lag_6']) AS feature, unnest([qty, price, disc, lag_1, lag_6]) AS k, unnest([0, 1, 2, 3, 4]) AS place FROM c
+), s AS (
+  SELECT segment, 'any' AS spec, place, feature FROM f WHERE k > 0 UNION ALL SELECT segment, 'complete', place, feature FROM f WHERE k = n
+)
+SELECT segment, spec, row_number() OVER (PARTITION BY segment, spec ORDER BY place) - 1 AS ord, feature FROM s""")
+def s15_segment_features(spark, d):
+    """Ordered feature lists as rows, from the columns and segments of the written panel."""
+    from ..operators import panel as P
+
+    lags = (P.exact_lag("target", "entity", "period", k).alias(f"lag_{k}") for k in (1, 6))
+    written = held(panel(spark, d).select("segment", "qty", "price", "disc", *lags), "features")
+    return S.segment_manifest(written, "segment", [x for x in written.columns if x != "segment"])
 
 
 @query(f"WITH {PANEL}, l AS (SELECT period, max(target) OVER (PARTITION BY entity ORDER BY period RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS lag_1, max(target) OVER (PARTITION BY entity ORDER BY period RANGE BETWEEN 3 PRECEDING AND 3 PRECEDING) AS lag_3 FROM panel) SELECT 'lag_1' AS feature, min(period) FILTER (lag_1 IS NOT NULL) AS first_period FROM l UNION ALL SELECT 'lag_3', min(period) FILTER (lag_3 IS NOT NULL) FROM l")

@@ -78,12 +78,26 @@ def csv_sink(df: DataFrame, path: str, order: Sequence[str | Column] = ()) -> No
     (df.orderBy(*order) if order else df).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """file, bytes and sha256 of every file under a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+def manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """file, bytes and sha256 of every file under a path whose name fits the pattern."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def folder_manifest(spark: SparkSession, path: str, by: str) -> DataFrame:
+    """file (the value of the partition column by), bytes and sha256 over the sorted hashes of a partition's part files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    each = files.select(F.regexp_extract("path", f"/{by}=([^/]+)/", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return each.groupBy("file").agg(F.sum("bytes").alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), ","), 256).alias("sha256"))
+
+
+def drop_partitions(spark: SparkSession, path: str, names: Sequence[str]) -> None:
+    """Deletes partition folders, by Hadoop's file system, wherever the path is."""
+    for name in names:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def dataset_manifest(df: DataFrame, name: str, period: Column) -> DataFrame:
     """One row: dataset, rows, columns, column names and the periods covered."""
     return df.agg(F.count("*").alias("n_rows"), F.array_sort(F.collect_set(period)).alias("periods")).select(
@@ -116,6 +130,14 @@ def exploded_manifest(spark: SparkSession, specs: Mapping[str, Mapping[str, Sequ
     return spark.createDataFrame(rows, "segment string, spec string, features array<string>").select("segment", "spec", F.posexplode("features").alias("ord", "feature"))
 
 
+def segment_manifest(df: DataFrame, segment: str, features: Sequence[str]) -> DataFrame:
+    """segment, spec, ord, feature: in column order, those with `any` value in the segment and those `complete` there."""
+    counts = df.groupBy(F.col(segment).alias("segment")).agg(F.count("*").alias("n"), *(F.count(x).alias(f"k{i}") for i, x in enumerate(features)))
+    kept = lambda test: F.filter(F.array(*(F.when(test(F.col(f"k{i}")), F.lit(x)) for i, x in enumerate(features))), lambda x: x.isNotNull())
+    specs = F.create_map(F.lit("any"), kept(lambda k: k > 0), F.lit("complete"), kept(lambda k: k == F.col("n")))
+    return counts.select("segment", F.explode(specs).alias("spec", "features")).select("segment", "spec", F.posexplode("features").alias("ord", "feature"))
+
+
 def profile(df: DataFrame) -> DataFrame:
     """column_name, data_type, n_rows, n_null, null_pct and n_distinct of every column, in one pass."""
     cols = df.columns
