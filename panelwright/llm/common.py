@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def as_scan(docs: DataFrame) -> DataFrame:
+    """docs if its rows have places in Parquet files, else docs as written to the shared folder."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return written(docs, "rows")
+    return docs
+
+
+def row_number(docs: DataFrame) -> Column:
+    """A row's number by its file and its place there, which no packing of files into tasks changes. docs must be from as_scan.
+
+    31 bits of a hash of the file's path, seeded so that no two files share them, then
+    32 bits of the place: the same for every scan of the same files.
+    """
+    mine = lambda seed: F.pmod(F.xxhash64(F.lit(seed), F.col("_metadata.file_path")), F.lit(1 << 31))
+    seed = 0
+    while True:
+        files = docs.groupBy(F.col("_metadata.file_path").alias("path"), mine(seed).alias("file")).agg(F.lit(1))
+        n = files.agg(F.count("*").alias("paths"), F.count_distinct("file").alias("files")).first()
+        if n["paths"] == n["files"]:
+            return F.shiftleft(mine(seed), 32) + F.col("_metadata.row_index")
+        seed += 1
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

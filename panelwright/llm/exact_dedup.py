@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, text_of, written
+from .common import SPACE, as_scan, row_number, text_of, written
 
 #: Runs that one node merges in a round; 2 is the plain binomial tree.
 FAN_IN = 16
@@ -26,10 +26,11 @@ DIGEST = ["digest", "witness", "n_bytes"]
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, id, n_chars, digest, witness, n_bytes and leaf of every row, without its text."""
+    docs = as_scan(docs)
     bare = F.regexp_replace(text_of(text_col), f"{SPACE}+", "")
     return (
         docs.select(
-            F.monotonically_increasing_id().alias("row"),
+            row_number(docs).alias("row"),
             F.col(id_col).alias("id"),
             F.char_length(text_of(text_col)).cast("long").alias("n_chars"),
             F.spark_partition_id().alias("leaf"),
@@ -72,7 +73,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal when identical after white space is deleted; null is the empty
     text, and empty texts are one group. The longest original stays, then the smallest
     id (null last). Of repeated rows with one id exactly one stays. `row` is
-    monotonically_increasing_id() over docs. An empty table gives an empty result;
+    row_number() of docs. An empty table gives an empty result;
     other columns of docs are ignored.
     """
     rows = written(digest_rows(docs, id_col, text_col), "digests")
@@ -86,6 +87,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without its exact copies, all columns kept. docs must be a scan (stable row order)."""
+    """docs without its exact copies, all columns kept."""
+    docs = as_scan(docs)
     gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
+    return docs.withColumn("__row", row_number(docs)).join(gone, "__row", "left_anti").drop("__row")

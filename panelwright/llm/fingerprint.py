@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, text_of
+from .common import as_scan, row_number, shuffle_width, text_of
 
 WINDOW, LEAST_BLOCK, LETTERS, MOST = 7, 3, 64, 256
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", dtype=np.uint8)
@@ -103,7 +103,8 @@ def in_ranges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """range, extra, id, row, text: dealt and sorted by descending id, each range ending with the next one's first row."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), text_of(text_col).alias("text"))
+    docs = as_scan(docs)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_number(docs).alias("row"), text_of(text_col).alias("text"))
     shares = [i / width for i in range(1, width)]
     cuts = rows.agg(F.percentile_approx("id", shares, 100 * width)).first()[0] if shares else None
     cuts = sorted(set(cuts or []), reverse=True)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, text_of, written
+from .common import as_scan, held_out, row_number, text_of, written
 
 MOST_LANGUAGES = 64
 SLICE_CHARS = 1_000_000
@@ -194,7 +194,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the rows of no known language: undetermined, or hitting no learned n-gram. docs must be a scan."""
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), text_col)
+    """docs without the rows of no known language: undetermined, or hitting no learned n-gram."""
+    docs = as_scan(docs)
+    rows = docs.select(row_number(docs).alias("__row"), text_col)
     gone = predict(rows, learn(docs, id_col, text_col, lang_col), "__row", text_col).filter((F.col("lang_pred") == "und") | (F.col("score") == 0))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone.select(F.col("id").alias("__row")), "__row", "left_anti").drop("__row")
+    return docs.withColumn("__row", row_number(docs)).join(gone.select(F.col("id").alias("__row")), "__row", "left_anti").drop("__row")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, text_of, written
+from .common import WORD, as_scan, row_number, text_of, written
 
 #: Bits of the key, and of them how many choose the range.
 KEY_BITS, RANGE_BITS = 60, 10
@@ -69,9 +69,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     last; a source without words has target 0. Rows of one id share a key and are taken
     by size, so a rerun agrees. An empty table gives an empty result.
     """
+    docs = as_scan(docs)
     rows = written(
         docs.select(
-            F.monotonically_increasing_id().alias("row"),
+            row_number(docs).alias("row"),
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
             words_in(text_of(text_col)).alias("size"),
@@ -107,10 +108,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A document at a cut stays whole if at least half of it fits; one of size 0 goes.
     """
+    docs = as_scan(docs)
     copies = F.expr("cast((2 * taken + size) div (2 * size) as int)")
     chosen = (
         mix(docs, id_col, text_col, source_col).filter("size > 0")
         .select(F.col("row").alias("__row"), copies.alias("__copies")).filter("__copies > 0")
     )
-    kept = docs.withColumn("__row", F.monotonically_increasing_id()).join(chosen, "__row")
+    kept = docs.withColumn("__row", row_number(docs)).join(chosen, "__row")
     return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

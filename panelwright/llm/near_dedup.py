@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, text_of, written
+from .common import WORD, as_scan, row_number, text_of, written
 
 WORDS = re.compile(WORD)
 
@@ -161,7 +161,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFr
                 bands += [keys if len(x) else None for x, keys in zip(sets, band_keys(sketches(sets, s.size), s), strict=True)]
             yield pd.DataFrame({"row": batch["row"], "id": batch["id"], "n_shingles": sizes, "sequence": digests, "bands": bands})
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    rows = docs.select(row_number(docs).alias("row"), F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     return rows.mapInPandas(run, f"row long, id {kind}, n_shingles long, sequence binary, bands array<long>")
 
 
@@ -220,9 +220,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents without words have an empty set and link with nothing, not even each
     other. Repeated rows and equal word sequences are linked. A null id stands after all
     others and never names a component that has another id. Empty tables give empty
-    results; other columns are ignored. docs must be a scan (stable row order).
+    results; other columns are ignored. row is row_number() of docs.
     """
     s = settings
+    docs = as_scan(docs)
     rows = written(sketched(docs, id_col, text_col, s), "sketches")
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
     classes = written(rows.filter("sequence is not null").groupBy("sequence").agg(F.min(first).alias("first"), F.min("row").alias("node")), "classes")
@@ -237,7 +238,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "star",
     )
     wanted = together.select(F.col("node").alias("row")).distinct()
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), text_of(text_col).alias("text"))
+    texts = docs.select(row_number(docs).alias("row"), text_of(text_col).alias("text"))
     texts = written(texts.join(wanted, "row", "left_semi"), "texts")
     links = written(confirmed(star, texts, s), "links")
     nodes = classes.select("node")
@@ -340,6 +341,7 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """docs with one document of each group, that of the smallest id; documents without words all stay. docs must be a scan."""
+    """docs with one document of each group, that of the smallest id; documents without words all stay."""
+    docs = as_scan(docs)
     gone = near_groups(docs, id_col, text_col, settings).filter("not first").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
+    return docs.withColumn("__row", row_number(docs)).join(gone, "__row", "left_anti").drop("__row")

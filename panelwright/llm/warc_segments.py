@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, text_of, written
+from .common import as_scan, row_number, shared_folder, text_of, written
 
 CHUNK_BYTES, SEGMENT_BYTES, RECORDS_PER_FILE = 4096, 16_384, 4096
 #: Payloads below this are always stored, never revisited.
@@ -84,15 +84,16 @@ def records_of(row, segment_bytes: int) -> Iterator[bytes]:
 
 
 def plan_revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """row -> refers_row of the pages whose payload, of LEAST_REVISIT bytes or more, a smaller id has."""
+    """row -> refers_row (as text, since pandas makes floats of numbers with nulls) of the pages whose payload, of LEAST_REVISIT bytes or more, a smaller id has."""
     html = text_of(html_col)
+    pages = as_scan(pages)
     rows = written(
-        pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("n"))
+        pages.select(row_number(pages).alias("row"), F.col(id_col).alias("id"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("n"))
         .filter(F.col("n") >= LEAST_REVISIT).drop("n"),
         "payloads",
     )
     first = rows.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return rows.join(first, "digest").filter(F.col("first.row") != F.col("row")).select("row", F.col("first.row").alias("refers_row"))
+    return rows.join(first, "digest").filter(F.col("first.row") != F.col("row")).select("row", F.col("first.row").cast("string").alias("refers_row"))
 
 
 def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", segment_bytes: int = SEGMENT_BYTES, records_per_file: int = RECORDS_PER_FILE) -> str:
@@ -103,14 +104,14 @@ def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "pag
     """
     path = path or f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     html = text_of(html_col)
+    pages = as_scan(pages)
     rows = pages.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest")
+        row_number(pages).alias("row"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest")
     ).join(plan_revisits(pages, id_col, html_col), "row", "left")
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch["page_id"] = batch["page_id"].astype("Int64")
-            batch["refers_row"] = batch["refers_row"].astype("Int64")
             yield pd.DataFrame({"record": [x for row in batch.itertuples(index=False) for x in records_of(row, segment_bytes)]})
 
     records = rows.mapInPandas(build, "record binary").select(F.col("record").cast("string").alias("value"))
