@@ -1,4 +1,4 @@
-"""Tree ensembles of Spark ML by segment and fold, and permutation importance.
+"""Tree ensembles of Spark ML, and permutation importance.
 
 Each fit is one Spark job over all executors, so a grid is a list of jobs, not of tasks.
 Cost-complexity pruning and leaf-wise growth have no counterpart here; depth and leaf

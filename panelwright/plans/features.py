@@ -151,7 +151,7 @@ def m10_ablation(spark, d):
 
 @query()
 def m19_residual_ridge(spark, d):
-    """A ridge on the residual of a frozen base, shrunk by a grid of factors."""
+    """A ridge on the residual of a frozen base, shrunk by a grid of factors."""
     from .models import KEYS, expanded, linear
 
     features = ["a", "n_prior"]

@@ -125,7 +125,7 @@ def m12_power_calibration(spark, d):
 @query(f"""WITH {PREDICTIONS}, w AS (SELECT unnest([0.0::DOUBLE, 0.25, 0.5, 0.75, 1.0]) AS weight), per AS (SELECT segment, period, weight, sum(abs(actual - weight * a - (1 - weight) * b)) AS e, count(*) AS n FROM predictions, w GROUP BY ALL), past AS (SELECT *, sum(e) OVER q / sum(n) OVER q AS past FROM per WINDOW q AS (PARTITION BY segment, weight ORDER BY period RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT segment, period, weight, round(past, 6) AS past_mae FROM (SELECT *, row_number() OVER (PARTITION BY segment, period ORDER BY round(past, 6), weight) AS rn FROM past WHERE past IS NOT NULL) WHERE rn = 1""")
 def m18_blend_weight(spark, d):
-    """The weight that did best over earlier periods."""
+    """The weight that did best over earlier periods."""
     got = calibrate.blended(predictions(spark, d), ["segment"], "period", "a", "b", "actual", [0.0, 0.25, 0.5, 0.75, 1.0])
     return got.withColumn("past_mae", F.round("past_mae", 6))
 
@@ -165,7 +165,7 @@ def m29_batch_scoring(spark, d):
 
 @query()
 def m13_role_classifier(spark, d):
-    """Balanced logistic probabilities, fitted on earlier periods only."""
+    """Balanced logistic probabilities, fitted on earlier periods only."""
     p = predictions(spark, d).withColumn("label", (F.col("actual") > 60).cast("double"))
     rows = trees.assembled(p, FEATURES)
     model = trees.balanced_classifier(rows.filter("period < 1999"), "label")
@@ -184,7 +184,7 @@ def tree_errors(spark, d, kind: str, grid):
 
 @query()
 def m24_tree(spark, d):
-    """A small grid of regression trees, E25."""
+    """A small grid of regression trees."""
     return tree_errors(spark, d, "tree", [{"maxDepth": k, "minInstancesPerNode": n} for k in (2, 4) for n in (10,)])
 
 
