@@ -10,15 +10,21 @@ well as with independent hashes.
 1. Documents of equal word sequences are one class; its smallest id goes on.
 2. Sketches are banded. Each bucket links its smallest member (by hash) to the others:
    a star, so a bucket of any size costs its size.
-3. Star links are confirmed on the full sets of both texts, and connected.
-4. Buckets that still hold two or more components are looked at again, so that no link
-   is lost. In small ones pairs of different components are confirmed, as long as a
-   document has few such partners. Large buckets, and the crowded documents of small
-   ones, form arenas, each document once. One drops out if too few of its shingles are in
-   any other component of the arena to be similar to anything there. The rest is compared
-   in blocks of bounded size, one task a pair of blocks; only confirmed links leave a
-   task. This costs the square of the number of documents that are left, over the square
-   of the block.
+3. Star links are confirmed on the full sets of shingles, which are made once a document,
+   and connected.
+4. Buckets that still hold two or more components are open. In rounds, each draws another
+   member, whose links with the other components are confirmed, for as long as a quarter
+   of them hold. In a family of near copies most members are linked after a few rounds.
+5. What is still open is compared in full, so that no link is lost. In small buckets
+   pairs of different components are confirmed, as long as a document has few such
+   partners. Large buckets, and the crowded documents of small ones, form arenas, each
+   document once. One drops out if too few of its shingles are in any other component of
+   the arena to be similar to anything there. The rest is compared in blocks of bounded
+   size, but for blocks of the arena's largest component with each other; only confirmed
+   links leave a task.
+
+Costs: a small bucket of k members k * k / 2 pairs at most (k = 24: 276), an arena of m
+documents of which r are not in its largest component r * (2m - r) / 256 copies of sets.
 
 What is left to chance is only whether a pair falls into any common bucket: at the
 threshold of 0.8, with 32 bands of 5, it does not once in 340,000 pairs.
@@ -39,6 +45,10 @@ from pyspark.sql import functions as F
 from .common import WORD, as_scan, row_number, text_of, written
 
 WORDS = re.compile(WORD)
+#: Buckets that may be broadcast at once, and the least size of such a bucket.
+MOST_HOT, LEAST_HOT = 10_000, 128
+#: Partners of one document that one task confirms, shingles of a block of documents, rounds of pivots.
+PART, BLOCK_ITEMS, MOST_ROUNDS = 1024, 1 << 20, 8
 
 
 @dataclass(frozen=True)
@@ -165,33 +175,49 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFr
     return rows.mapInPandas(run, f"row long, id {kind}, n_shingles long, sequence binary, bands array<long>")
 
 
-def common_shingles(a: list[str], b: list[str], k: int) -> Iterator[tuple[int, int]]:
-    """Sizes of intersection and union of the full shingle sets of each pair of texts."""
-    held: dict[str, np.ndarray] = {}
-    for pair in zip(a, b, strict=True):
-        sets = []
-        for text in pair:
-            if text not in held:
-                if len(held) > 64:
-                    held.clear()
-                held[text] = shingles(words_of(text), k)
-            sets.append(held[text])
-        both = len(np.intersect1d(*sets, assume_unique=True))
-        yield both, len(sets[0]) + len(sets[1]) - both
+def shingle_sets(docs: DataFrame, wanted: DataFrame, text_col: str, s: Settings) -> DataFrame:
+    """row and items, the sorted hashes of its shingles, of the wanted rows of docs."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"row": batch["row"], "items": [np.sort(shingles(words_of(t), s.words).view(np.int64)) for t in batch["text"]]})
+
+    texts = docs.select(row_number(docs).alias("row"), text_of(text_col).alias("text"))
+    return texts.join(wanted, "row", "left_semi").mapInPandas(run, "row long, items array<long>")
+
 
+def in_common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets that are not empty."""
+    if len(a) < len(b):
+        a, b = b, a
+    i = np.searchsorted(a, b)
+    i[i == len(a)] = 0
+    return int((a[i] == b).sum())
 
-def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    side = lambda name: texts.select(F.col("row").alias(name), F.col("text").alias(f"text_{name}"))
-    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
+
+def confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (a, b) of pairs (a, b, part) whose sets are similar enough.
+
+    The set of b travels once a pair, that of a once for each part of its partners. Rows
+    reach a task in order of a and part, the set of a first, so a task holds one set.
+    """
+    of = lambda name: sets.select(F.col("row").alias(name), "items")
+    heads = pairs.select("a", "part").distinct().join(of("a"), "a").select("a", "part", F.col("a").alias("b"), F.lit(True).alias("own"), "items")
+    others = pairs.select("a", "b", "part").join(of("b"), "b").select("a", "part", "b", F.lit(False).alias("own"), "items")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for batch in batches:
-            sizes = common_shingles(batch["text_a"].tolist(), batch["text_b"].tolist(), s.words)
-            keep = np.array([100 * both >= s.similar * union for both, union in sizes], dtype=bool)
+            keep = np.zeros(len(batch), dtype=bool)
+            for i, (own, items) in enumerate(zip(batch["own"], batch["items"], strict=True)):
+                if own:
+                    held = items
+                    continue
+                both = in_common(held, items)
+                keep[i] = 100 * both >= s.similar * (len(held) + len(items) - both)
             yield batch.loc[keep, ["a", "b"]]
 
-    return both.mapInPandas(run, "a long, b long")
+    dealt = heads.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.desc("own"))
+    return dealt.mapInPandas(run, "a long, b long")
 
 
 def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -209,18 +235,55 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def merged(grouped: DataFrame, links: DataFrame) -> DataFrame:
+    """grouped (node, component) after more links (a, b): only the components that these touch are connected anew."""
+    of = lambda name: grouped.select(F.col("node").alias(name), F.col("component").alias(f"component_{name}"))
+    between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("component_a").alias("a"), F.col("component_b").alias("b")).filter("a != b").distinct()
+    between = written(between, "between")
+    touched = between.select(F.col("a").alias("node")).union(between.select("b")).distinct()
+    now = connected(touched, between).select(F.col("node").alias("component"), F.col("component").alias("now"))
+    return grouped.join(now, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+
+
 def fits(a: Column, b: Column, similar: int) -> Column:
     """Sets of these sizes can be similar enough at all."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * similar
 
 
+def by_bucket(rows: DataFrame, facts: DataFrame, hot: int, how: str = "inner") -> DataFrame:
+    """rows (bucket, size, ...) with the one row of facts (bucket, size, ...) that their bucket has.
+
+    Buckets above `hot` members meet their facts by broadcast: hot_size() sees to it that
+    there are MOST_HOT of them at most. So no task gets a whole hot bucket.
+    """
+    large = F.col("size") > hot
+    small = rows.filter(~large).join(facts.filter(~large).drop("size"), "bucket", how)
+    return small.unionByName(rows.filter(large).join(F.broadcast(facts.filter(large).drop("size")), "bucket", how))
+
+
+def hot_size(entries: DataFrame) -> int:
+    """A size that at most MOST_HOT buckets of these entries exceed."""
+    return max(LEAST_HOT, entries.count() // MOST_HOT)
+
+
+def parts_of(facts: DataFrame, head: str, members: str) -> DataFrame:
+    """facts with parts: over how many tasks the partners of the row's head are spread."""
+    each = facts.groupBy(head).agg(F.ceil(F.sum(members) / PART).cast("int").alias("parts"))
+    return facts.join(each, head)
+
+
+def part_of(node: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.col("parts")).cast("int").alias("part")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """One row a document: row, id, n_shingles and component_id, the smallest id that links reach.
 
     Documents without words have an empty set and link with nothing, not even each
     other. Repeated rows and equal word sequences are linked. A null id stands after all
     others and never names a component that has another id. Empty tables give empty
-    results; other columns are ignored. row is row_number() of docs.
+    results; a very long text is one set like any other; other columns are ignored.
+    row is row_number() of docs; first is true for the row that names its component.
     """
     s = settings
     docs = as_scan(docs)
@@ -229,25 +292,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = written(rows.filter("sequence is not null").groupBy("sequence").agg(F.min(first).alias("first"), F.min("row").alias("node")), "classes")
     members = rows.select("row", "n_shingles", "bands").join(classes.select(F.col("node").alias("row")), "row", "left_semi")
     entries = written(members.select(F.explode("bands").alias("bucket"), F.col("row").alias("node"), F.col("n_shingles").alias("n")), "entries")
-    rank = F.struct(F.xxhash64("node").alias("h"), "node", "n")
-    buckets = written(entries.groupBy("bucket").agg(F.min(rank).alias("head"), F.count("*").alias("size")).filter("size > 1"), "buckets")
-    together = written(entries.join(buckets.select("bucket", "head", "size"), "bucket").select("bucket", "size", "node", "n", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")), "together")
-    star = written(
+    together, hot = headed(entries)
+    star = (
         together.filter((F.col("node") != F.col("head")) & fits(F.col("n"), F.col("head_n"), s.similar))
-        .select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(),
-        "star",
+        .select(F.col("head").alias("a"), F.col("node").alias("b"), part_of("node")).distinct()
     )
-    wanted = together.select(F.col("node").alias("row")).distinct()
-    texts = docs.select(row_number(docs).alias("row"), text_of(text_col).alias("text"))
-    texts = written(texts.join(wanted, "row", "left_semi"), "texts")
-    links = written(confirmed(star, texts, s), "links")
+    sets = written(shingle_sets(docs, together.select(F.col("node").alias("row")).distinct(), text_col, s), "sets")
     nodes = classes.select("node")
-    grouped = written(connected(nodes, links), "components")
-    held = written(open_buckets(together, grouped), "open")
-    arenas = written(arena_nodes(held, texts, s), "arenas")
-    more = written(confirmed(open_pairs(held, arenas, star, s), texts, s).union(arena_links(arenas, s)), "more")
-    if not more.isEmpty():
-        grouped = connected(nodes, links.union(more))
+    grouped = written(connected(nodes, written(confirmed(star, sets, s), "links")), "components")
+    held = written(open_buckets(together.select("bucket", "size", "node", "n"), grouped, hot), "open")
+    for seed in range(1, 1 + MOST_ROUNDS):
+        tried = written(pivots(held, hot, seed, s), "tried")
+        links = written(confirmed(tried, sets, s), "links")
+        if links.isEmpty():
+            break
+        grouped = written(merged(grouped, links), "components")
+        held = written(open_buckets(held.drop("component"), grouped, hot), "open")
+        if links.count() * 4 < tried.count():
+            break
+    arenas = written(arena_nodes(held, sets, s), "arenas")
+    rest = written(confirmed(open_pairs(held, arenas, s), sets, s).union(arena_links(arenas, s)), "rest")
+    if not rest.isEmpty():
+        grouped = merged(grouped, rest)
     named = classes.join(grouped, "node")
     best = named.groupBy("component").agg(F.min("first").alias("best"))
     by_sequence = named.join(best, "component").select("sequence", F.col("best.id").alias("component_id"), F.col("best.row").alias("best_row"))
@@ -258,40 +324,55 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def open_buckets(together: DataFrame, grouped: DataFrame) -> DataFrame:
-    """bucket, size, node, n, head and component of the buckets of three or more that hold several components."""
-    held = together.join(grouped, "node")
-    mixed = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("bucket")
-    return held.filter("size > 2").select("bucket", "size", "node", "n", "head", "component").join(mixed, "bucket", "left_semi")
+def headed(entries: DataFrame) -> tuple[DataFrame, int]:
+    """bucket, size, node, n, head, head_n and parts of the entries of buckets with two members or more, and the size above which a bucket is hot."""
+    hot = hot_size(entries)
+    rank = F.struct(F.xxhash64("node").alias("h"), "node", "n")
+    buckets = entries.groupBy("bucket").agg(F.min(rank).alias("first"), F.count("*").alias("size")).filter("size > 1")
+    buckets = written(parts_of(buckets.select("bucket", "size", F.col("first.node").alias("head"), F.col("first.n").alias("head_n")), "head", "size"), "buckets")
+    large = F.broadcast(buckets.filter(F.col("size") > hot))  # MOST_HOT at most
+    small = entries.join(large.select("bucket"), "bucket", "left_anti").join(buckets.filter(F.col("size") <= hot), "bucket")
+    return written(small.unionByName(entries.join(large, "bucket")), "together"), hot
+
+
+def open_buckets(members: DataFrame, grouped: DataFrame, hot: int) -> DataFrame:
+    """members (bucket, size, node, n) with component, of the buckets of three or more that hold several components."""
+    held = members.filter("size > 2").join(grouped, "node")
+    mixed = held.groupBy("bucket", "size").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("bucket", "size")
+    return by_bucket(held, mixed, hot, "left_semi")
 
 
-def open_pairs(held: DataFrame, arenas: DataFrame, star: DataFrame, s: Settings) -> DataFrame:
-    """Pairs of different components in one small bucket that haven't been looked at and aren't of one arena."""
+def pivots(held: DataFrame, hot: int, seed: int, s: Settings) -> DataFrame:
+    """Pairs (a, b, part) of a node drawn from each open bucket and those of the bucket's other components."""
+    rank = F.struct(F.xxhash64(F.lit(seed), "node").alias("h"), "node", "n", "component")
+    drawn = held.groupBy("bucket", "size").agg(F.min(rank).alias("p")).select("bucket", "size", F.col("p.node").alias("a"), F.col("p.n").alias("a_n"), F.col("p.component").alias("a_component"))
+    both = by_bucket(held, parts_of(drawn, "a", "size"), hot)
+    apart = (F.col("component") != F.col("a_component")) & fits(F.col("n"), F.col("a_n"), s.similar)
+    return both.filter(apart).select("a", F.col("node").alias("b"), part_of("node")).distinct()
+
+
+def open_pairs(held: DataFrame, arenas: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b, part) of different components in one small bucket that aren't of one arena."""
     small = held.filter(F.col("size") <= s.small).join(arenas.select("node", "arena"), "node", "left")
     x, y = small.alias("x"), small.alias("y")
-    pairs = x.join(
+    return x.join(
         y,
         (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
         & fits(F.col("x.n"), F.col("y.n"), s.similar) & (F.coalesce("x.arena", F.lit(-1)) != F.coalesce("y.arena", F.lit(-2))),
-    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return pairs.join(star, ["a", "b"], "left_anti")
+    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.lit(0).alias("part")).distinct()
 
 
-def arena_nodes(held: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """node, component, arena, items (its shingles) and shared (how many any other component of the arena has) of all in large open buckets or crowded in small ones."""
+def arena_nodes(held: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """node, component, arena, items and shared (how many of these any other component of the arena has) of all in large open buckets or crowded in small ones."""
     crowded = held.filter(F.col("size") <= s.small).groupBy("node").agg(F.sum(F.col("size") - 1).alias("partners")).filter(F.col("partners") > s.crowd)
     within = held.filter(F.col("size") <= s.small).join(crowded.select("node"), "node", "left_semi")
     members = written(held.filter(F.col("size") > s.small).unionByName(within).select("bucket", "node", "component"), "members")
-    nodes = written(members.select("node", "component").distinct(), "crowd")
-    edges = members.join(members.groupBy("bucket").agg(F.min("node").alias("a")), "bucket").select("a", F.col("node").alias("b")).filter("a != b")
-    arena = connected(nodes, edges).select("node", F.col("component").alias("arena"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "component": batch["component"], "arena": batch["arena"], "items": [shingles(words_of(t), s.words).view(np.int64) for t in batch["text"]]})
-
-    rows = nodes.join(arena, "node").join(texts.withColumnRenamed("row", "node"), "node").select("node", "component", "arena", "text")
-    known = written(rows.mapInPandas(run, "node long, component long, arena long, items array<long>"), "items")
+    # components, not nodes, make the edges: a bucket gives as many as it has other components
+    parties = members.select("bucket", "component").distinct()
+    edges = parties.join(parties.groupBy("bucket").agg(F.min("component").alias("a")), "bucket").select("a", F.col("component").alias("b")).filter("a != b").distinct()
+    arena = connected(parties.select(F.col("component").alias("node")).distinct(), edges).select(F.col("node").alias("component"), F.col("component").alias("arena"))
+    nodes = members.select("node", "component").distinct().join(arena, "component")
+    known = written(nodes.join(sets.withColumnRenamed("row", "node"), "node").select("node", "component", "arena", "items"), "items")
     items = known.select("node", "component", "arena", F.explode("items").alias("item"))
     crossing = items.groupBy("arena", "item").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("arena", "item")
     shared = items.join(crossing, ["arena", "item"], "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
@@ -299,11 +380,24 @@ def arena_nodes(held: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 
 
 def arena_links(arenas: DataFrame, s: Settings) -> DataFrame:
-    """Confirmed links (a, b) between different components of one arena, compared block by block."""
-    able = arenas.filter(F.col("shared") * 100 >= F.size("items") * s.similar)
-    blocks = able.groupBy("arena").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = able.join(blocks, "arena").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    """Confirmed links (a, b) between different components of one arena, compared block by block.
+
+    Nodes of an arena's largest component need no look at each other: their blocks only
+    meet those of the rest, so an arena of m nodes of which r are not in it costs r * (2m - r) / block copies of sets.
+    """
+    able = written(arenas.filter(F.col("shared") * 100 >= F.size("items") * s.similar), "able")
+    sizes = able.groupBy("arena", "component").agg(F.count("*").alias("n"), F.sum(F.size("items")).alias("held"))
+    largest = F.max_by("component", F.struct("n", "component"))
+    blocks = lambda n, held: F.ceil(F.greatest(n / s.block, held / BLOCK_ITEMS)).cast("int")
+    top = lambda x: F.max(F.struct("n", "component", "held")).getField(x)
+    plan = sizes.groupBy("arena").agg(
+        largest.alias("largest"), blocks(F.sum("n") - top("n"), F.sum("held") - top("held")).alias("rest"), blocks(top("n"), top("held")).alias("most")
+    ).filter("rest > 0")
+    in_largest = F.col("component") == F.col("largest")
+    place = F.xxhash64("node")
+    mine = F.when(in_largest, F.col("rest") + F.pmod(place, F.col("most"))).otherwise(F.pmod(place, F.col("rest"))).cast("int")
+    others = F.when(in_largest, F.col("rest")).otherwise(F.col("rest") + F.col("most"))
+    dealt = able.join(plan, "arena").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
     # dealt anew by block, as an arena may be hot
     dealt = dealt.select("arena", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), "node", "component", "items", (F.col("mine") == F.col("other")).alias("own"))
 
