@@ -1,84 +1,129 @@
 """Exact dedup by a tree merge of sorted digest runs.
 
-Every scan partition is a leaf run. In round r the runs of `fan_in` neighbouring
-nodes meet: run p goes to node p // fan_in**(r+1), split by the next digit of the
-digest, so that a round always has about as many (node, slice) runs as there were
-leaves and no task ever holds the whole table. Each run reaches a round sorted and
-collapsed to one entry a digest (Spark's sort aggregate does both before and after the
-exchange), so a text that a third of all rows share crosses a round once a run.
-After the last round one node is left and its slices hold each digest once.
-
-An entry is a SHA-256 with two witnesses, an independent 64-bit hash and the
-normalised length in bytes; texts count as equal only if all three agree.
+Every batch of a scan's task is a leaf run: sorted by digest and collapsed to one entry a
+digest, the entry naming the row that stays and how many it stands for. In round r the
+runs of `fan_in` neighbouring nodes meet: they are exchanged by (node, slice) alone, a
+slice being the next digit of the digest, so a round has about as many (node, slice) runs
+as there were leaves and no task ever holds the whole table. In a task the runs are merged
+in order of digest (Spark's sort, which spills) and equal digests fold into the smallest
+identifier, without another exchange. A text that a third of all rows share crosses a
+round once a run. After the last round one node is left, and its slices hold each digest once.
+
+Groups are then verified on the texts: each copy's text is compared with that of the row
+that stays. Rows that differ, which takes a collision of digests, go through the tree
+again among themselves, so that equal digests never make texts equal.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, as_scan, row_number, text_of, written
 
 #: Runs that one node merges in a round; 2 is the plain binomial tree.
 FAN_IN = 16
-DIGEST = ["digest", "witness", "n_bytes"]
+#: Ways over which the copies of one text are spread when they are compared with it.
+PARTS = 64
+#: Hex digits of the digest that the tree merges by: all of them.
+DIGITS = 64
 
 
-def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, id, n_chars, digest, witness, n_bytes and leaf of every row, without its text."""
-    docs = as_scan(docs)
-    bare = F.regexp_replace(text_of(text_col), f"{SPACE}+", "")
-    return (
-        docs.select(
-            row_number(docs).alias("row"),
-            F.col(id_col).alias("id"),
-            F.char_length(text_of(text_col)).cast("long").alias("n_chars"),
-            F.spark_partition_id().alias("leaf"),
-            bare.alias("bare"),
-        )
-        .select(
-            "row", "id", "n_chars", "leaf",
-            F.sha2(F.col("bare"), 256).alias("digest"),
-            F.xxhash64("bare").alias("witness"),
-            F.octet_length("bare").cast("long").alias("n_bytes"),
-        )
-    )
+def bare_text(text_col: str) -> Column:
+    return F.regexp_replace(text_of(text_col), f"{SPACE}+", "")
+
+
+def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digits: int = DIGITS) -> DataFrame:
+    """row, id, n_chars, digest, key (its first digits) and leaf of every row, without its text. docs must be from as_scan."""
+    rows = docs.select(
+        row_number(docs).alias("row"),
+        F.col(id_col).alias("id"),
+        F.char_length(text_of(text_col)).cast("long").alias("n_chars"),
+        F.spark_partition_id().cast("long").alias("leaf"),
+        F.sha2(bare_text(text_col), 256).alias("digest"),
+    )
+    return rows.withColumn("key", F.substring("digest", 1, digits))
+
+
+def leaf_runs(rows: DataFrame) -> DataFrame:
+    """node, key, group_size and the n_chars, id and row that stay: sorted and collapsed a batch at a time."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]).sort_by([("key", "ascending"), ("n_chars", "descending"), ("id", "ascending"), ("row", "ascending")])
+            keys = table["key"].combine_chunks().to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            sizes = np.diff(np.append(first, len(keys)))
+            yield from table.take(pa.array(first)).append_column("group_size", pa.array(sizes, pa.int64())).to_batches()
+
+    return rows.select(F.col("leaf").alias("node"), "key", "n_chars", "id", "row").mapInArrow(run, f"node long, key string, n_chars long, id {kind}, row long, group_size long")
 
 
 def tree_merge(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """One row a digest: group_size and best, the struct of the row that stays."""
+    """One row a key: group_size and best, the struct of the row that stays."""
     leaves = (rows.agg(F.max("leaf")).first()[0] or 0) + 1
     digits, span = 0, 1
     while span < leaves:
         digits, span = digits + 1, span * fan_in
-    runs = rows.select(
-        F.col("leaf").cast("long").alias("node"),
-        *DIGEST,
-        F.lit(1).cast("long").alias("group_size"),
-        F.struct((-F.col("n_chars")).alias("rank"), F.col("id").isNull().alias("no_id"), "id", "row").alias("best"),
-    )
+    best = F.struct((-F.col("n_chars")).alias("rank"), F.col("id").isNull().alias("no_id"), "id", "row").alias("best")
+    runs = leaf_runs(rows).select("node", "key", "group_size", best)
     for depth in range(1, max(1, digits) + 1):
         runs = (
             runs.withColumn("node", F.floor(F.col("node") / fan_in))
-            .withColumn("slice", F.substring("digest", 1, depth))
-            .groupBy("node", "slice", *DIGEST)
+            .withColumn("slice", F.substring("key", 1, depth))
+            .repartition("node", "slice")
+            .groupBy("node", "slice", "key")
             .agg(F.sum("group_size").alias("group_size"), F.min("best").alias("best"))
         )
-    return runs.select(*DIGEST, "group_size", "best")
+    return runs.select("key", "group_size", "best")
+
 
+def differing(docs: DataFrame, rows: DataFrame, groups: DataFrame, text_col: str) -> DataFrame:
+    """The rows whose text is not that of the row that stays in their group. Only groups of several rows are looked at.
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
+    The text that stays goes to each of PARTS places once at most, every copy's to one.
+    """
+    several = groups.filter("group_size > 1").select("key", F.col("best.row").alias("keeper"))
+    copies = rows.join(several, "key").filter("row != keeper").select("row", "keeper", F.pmod(F.xxhash64("row"), F.lit(PARTS)).cast("int").alias("part"))
+    copies = written(copies, "copies")
+    wanted = copies.withColumn("own", F.lit(False)).unionByName(copies.select(F.col("keeper").alias("row"), "keeper", "part").distinct().withColumn("own", F.lit(True)))
+    texts = docs.select(row_number(docs).alias("row"), bare_text(text_col).alias("bare"))
+    both = texts.join(wanted, "row")
+    mine = both.filter("not own").select("row", "keeper", "part", "bare")
+    theirs = both.filter("own").select("keeper", "part", F.col("bare").alias("kept"))
+    return mine.join(theirs, ["keeper", "part"]).filter("bare != kept").select("row")
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN, digits: int = DIGITS) -> DataFrame:
     """One row a document: row, id, n_chars, digest, keep_id, group_size and kept.
 
     Texts are equal when identical after white space is deleted; null is the empty
     text, and empty texts are one group. The longest original stays, then the smallest
     id (null last). Of repeated rows with one id exactly one stays. `row` is
-    row_number() of docs. An empty table gives an empty result;
-    other columns of docs are ignored.
+    row_number() of docs. An empty table gives an empty result; a very long text is one
+    value like any other; other columns of docs are ignored.
     """
-    rows = written(digest_rows(docs, id_col, text_col), "digests")
-    groups = tree_merge(rows, fan_in)
-    return rows.join(groups, DIGEST).select(
+    docs = as_scan(docs)
+    left = written(digest_rows(docs, id_col, text_col, digits), "digests")
+    done = None
+    while True:
+        groups = written(tree_merge(left, fan_in), "groups")
+        bad = written(differing(docs, left, groups, text_col), "differing")
+        clash = not bad.isEmpty()
+        good = left.join(bad, "row", "left_anti") if clash else left
+        out = good.join(tree_merge(good, fan_in) if clash else groups, "key")
+        done = out if done is None else done.unionByName(out)
+        if not clash:
+            break
+        left = written(left.join(bad, "row", "left_semi"), "digests")
+    return done.select(
         "row", "id", "n_chars", "digest",
         F.col("best.id").alias("keep_id"),
         "group_size",
