@@ -2,19 +2,21 @@
 
 A rolling hash over seven bytes marks the ends of chunks: at block size b = 3 * 2**k where
 it is -1 modulo b. Every chunk becomes one of 64 letters, so an edit changes the letters
-near it only. b follows from the length alone (some LETTERS / 2 to LETTERS chunks; in
-degenerate texts with more than MOST ends the last chunk takes the rest); a fingerprint is
-"b:letters at b:letters at 2b", and two fingerprints are compared by edit distance at the
-block sizes that both have (Spark's levenshtein; nothing is compared in Python).
-
-To pair each document with the next one in descending order, rows are dealt by id into
-even ranges, and the first row of each range goes to the range before as well, so that
+near it only. b starts from the length (some LETTERS / 2 to LETTERS chunks); it rises while
+a text has more than MOST chunks and falls while it has fewer than LEAST, so that every
+chunk of a text is in its fingerprint. A fingerprint is "b:letters at b:letters at 2b", and
+two fingerprints are compared by edit distance at the block sizes that both have (Spark's
+levenshtein; nothing is compared in Python).
+
+To pair each document with the next one in descending order, rows are dealt by (id, row)
+into ranges, even up to the error of a sample, and the first row of each range goes to the range before as well, so that
 whole texts cross the network once and no task sees more than its range.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import as_scan, row_number, shuffle_width, text_of
 
-WINDOW, LEAST_BLOCK, LETTERS, MOST = 7, 3, 64, 256
+WINDOW, LEAST_BLOCK, LETTERS, LEAST, MOST = 7, 3, 64, 16, 256
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", dtype=np.uint8)
+#: Rows sampled for each range; they only set where ranges begin.
+SAMPLED = 100
 #: Bytes that the rolling hash handles at a time.
 BLOCK = 1 << 20
 
@@ -62,11 +66,14 @@ def fingerprint(text: str) -> str:
     level = hashes.astype(np.uint64) + np.uint64(1)
     at = np.flatnonzero(level % np.uint64(LEAST_BLOCK) == 0)
     level = (level[at] // np.uint64(LEAST_BLOCK)).astype(np.int64)
+    ends = np.array([np.count_nonzero(level % (1 << i) == 0) for i in range(33)])  # by i: chunk ends at block size 3 * 2**i
     k = max(0, -(-len(data) // (LETTERS * LEAST_BLOCK)) - 1).bit_length()
-    block, chosen = LEAST_BLOCK << k, level % (1 << k) == 0
-    at, level = at[chosen], level[chosen] >> k
+    while ends[k] > MOST:
+        k += 1
+    while k and ends[k] < LEAST and ends[k - 1] <= MOST:
+        k -= 1
     mixed = (hashes ^ (hashes >> np.uint32(15))).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return f"{block}:{letters(mixed, at[:MOST])}:{letters(mixed, at[level % 2 == 0][:MOST])}"
+    return f"{LEAST_BLOCK << k}:{letters(mixed, at[level % (1 << k) == 0])}:{letters(mixed, at[level % (2 << k) == 0])}"
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -104,15 +111,23 @@ def in_ranges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     width = shuffle_width(spark)
     docs = as_scan(docs)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_number(docs).alias("row"), text_of(text_col).alias("text"))
-    shares = [i / width for i in range(1, width)]
-    cuts = rows.agg(F.percentile_approx("id", shares, 100 * width)).first()[0] if shares else None
-    cuts = sorted(set(cuts or []), reverse=True)
-    above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x > F.col("id"))) if cuts else F.lit(0)
-    rows = rows.withColumn("range", F.when(F.col("id").isNull(), F.lit(len(cuts) + 1)).otherwise(above))
+    rows = docs.select(F.col(id_col).alias("id"), row_number(docs).alias("row"), text_of(text_col).alias("text"))
+    keys = rows.select("id", "row")
+    every = max(1, keys.count() // (SAMPLED * width))
+    drawn = keys.filter(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).orderBy(F.desc_nulls_last("id"), "row").collect()  # some SAMPLED a range
+    cuts = [(r["id"], r["row"]) for r in drawn[SAMPLED::SAMPLED]]
+    kind = docs.schema[id_col].dataType.simpleString()
+    edges = F.from_json(F.lit(json.dumps([{"id": None if i is None else str(i), "row": r} for i, r in cuts])), "array<struct<id:string,row:bigint>>")
+    edges = F.transform(edges, lambda x: F.struct(x.id.cast(kind).alias("id"), x.row.alias("row")))
+    # a row lies behind a cut if its id comes later, null last of all, or is the same and its row is not smaller
+    behind = lambda x: F.coalesce(F.col("id") < x.id, F.col("id").isNull() & x.id.isNotNull(), F.lit(False)) | (F.col("id").eqNullSafe(x.id) & (F.col("row") >= x.row))
+    place = F.size(F.filter(edges, behind))
+    rows, keys = rows.withColumn("range", place), keys.withColumn("range", place)
+    first = lambda x: F.min(F.when(x, F.col("row")))
+    largest = keys.groupBy("range").agg(F.max("id").alias("top"))
     heads = {
-        r["range"]: r["first"]["row"]
-        for r in rows.groupBy("range").agg(F.min(F.struct((-F.col("id")).alias("down"), "row")).alias("first")).collect()  # as many rows as ranges
+        r["range"]: r["first"]  # as many rows as ranges
+        for r in keys.join(F.broadcast(largest), "range").groupBy("range").agg(F.coalesce(first(F.col("id") == F.col("top")), first(F.col("top").isNull())).alias("first")).collect()
     }
     order = sorted(heads)
     sent = [(heads[r], order[i - 1]) for i, r in enumerate(order)] or [(-1, 0)]  # the first one's head follows the last
@@ -123,7 +138,7 @@ def in_ranges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     extra = F.col("go") < 0
     return (
         dealt.select(F.when(extra, F.col("to")).otherwise(F.col("range")).alias("range"), extra.alias("extra"), "id", "row", "text")
-        .repartitionById(len(cuts) + 2, "range")
+        .repartitionById(len(cuts) + 1, "range")
         .sortWithinPartitions("range", "extra", F.col("id").desc_nulls_last(), "row")
     )
 
@@ -132,15 +147,16 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row a document: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint.
 
     The edited text has its last third (whole code points) replaced by as many from the
-    start of the next document, in descending order of id; the last is followed by the
-    first, a document alone by itself. Null ids come last, repeated ids stand in row
-    order. Null counts as empty; other columns are ignored.
+    start of the next document, in descending order of id (of any type that sorts); the
+    last is followed by the first, a document alone by itself. Null ids come last,
+    repeated ids stand in row order. Null counts as empty; other columns are ignored. An
+    empty table gives an empty result; a task holds two texts and their batch.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
             out = []
-            for range_, extra, id_, text in zip(batch["range"], batch["extra"], batch["id"].astype("Int64"), batch["text"], strict=True):
+            for range_, extra, id_, text in zip(batch["range"], batch["extra"], batch["id"], batch["text"], strict=True):
                 own = fingerprint(text)
                 if held and held[0] == range_:
                     _, was_id, was, was_print = held
@@ -148,9 +164,10 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     edited = was[: n - n // 3] + text[: n // 3]
                     out.append((was_id, n, hashlib.sha256(edited.encode()).hexdigest(), was_print, fingerprint(edited), own))
                 held = None if extra else (range_, id_, text, own)
-            frame = pd.DataFrame(out, columns=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint"])
-            yield frame.astype({"id": "Int64"})
+            yield pd.DataFrame(out, columns=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint"])
 
-    return in_ranges(docs, id_col, text_col).select("range", "extra", "id", "text").mapInPandas(
-        run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string"
-    )
+    # ids pass through Python as text: pandas would make floats of numbers with nulls
+    kind = docs.schema[id_col].dataType.simpleString()
+    return in_ranges(docs, id_col, text_col).select("range", "extra", F.col("id").cast("string").alias("id"), "text").mapInPandas(
+        run, "id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string"
+    ).withColumn("id", F.col("id").cast(kind))
