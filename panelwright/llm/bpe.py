@@ -21,7 +21,8 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_of
@@ -59,9 +60,10 @@ def byte_chars() -> list[str]:
 
 
 class Tokenizer:
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    """From the bytes of a vocabulary file of the tokenizers library."""
+
+    def __init__(self, vocabulary: bytes):
+        spec = json.loads(vocabulary)
         vocab, chars = spec["model"]["vocab"], byte_chars()
         to_byte = {c: b for b, c in enumerate(chars)}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
@@ -80,11 +82,10 @@ class Tokenizer:
             self.bytes_of[i] = bytes(to_byte[c] for c in token)
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
-        self.text_of = [str(i) for i in range(size)]
         self.fast, self.full = fast_pattern(), regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        #: word -> its ids, these in decimals, and the bytes that they decode to
-        self.cache: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+        #: word -> its ids
+        self.cache: dict[str, tuple[int, ...]] = {}
 
     def words(self, text: str) -> list[str]:
         if self.split and any(s in text for s in self.special):
@@ -97,22 +98,19 @@ class Tokenizer:
         by_size: dict[int, list[tuple[str, bytes]]] = {}
         for w in words:
             if w in self.special:
-                self.keep(w, (self.special[w],))
+                self.cache[w] = (self.special[w],)
                 continue
             b = w.encode()
             by_size.setdefault(1 << max(1, (len(b) - 1).bit_length()), []).append((w, b))
         for leaves, group in by_size.items():
             if leaves > SIDE_BY_SIDE:
                 for w, b in group:
-                    self.keep(w, self.merge_one(b))
+                    self.cache[w] = self.merge_one(b)
                 continue
             for at in range(0, len(group), ROWS):
                 part = group[at : at + ROWS]
                 for (w, _), ids in zip(part, self.merge_many([b for _, b in part], leaves), strict=True):
-                    self.keep(w, ids)
-
-    def keep(self, word: str, ids: tuple[int, ...]) -> None:
-        self.cache[word] = ids, ",".join(map(self.text_of.__getitem__, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
+                    self.cache[w] = ids
 
     def leaf(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, leaves: int) -> np.ndarray:
         key = np.where((left >= 0) & (right >= 0), left * self.width + right, NEVER - 1)
@@ -194,8 +192,8 @@ class Tokenizer:
                     tree[node] = value
         return tuple(s for s in sym if s >= 0)
 
-    def known(self, texts: list[str]) -> Iterator[list[tuple[tuple[int, ...], str, bytes]]]:
-        """Each text's words as the cache has them."""
+    def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
+        """Each text's ids."""
         at = 0
         while at < len(texts):
             end, chars = at, 0
@@ -210,43 +208,50 @@ class Tokenizer:
                 self.cache = {w: self.cache[w] for w in used}
             self.learn(new)
             for w in words:
-                yield list(map(self.cache.__getitem__, w))
+                yield list(chain.from_iterable(map(self.cache.__getitem__, w)))
             at = end
 
-    def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
-        for known in self.known(texts):
-            yield list(chain.from_iterable(x[0] for x in known))
-
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def tokenizer(path: str) -> Tokenizer:
-    """The worker's tokenizer of this file, loaded once a process."""
-    held = sys.modules[__name__].__dict__.setdefault("_loaded", {})
-    if path not in held:
-        held[path] = Tokenizer(path)
-    return held[path]
+def vocabulary(spark: SparkSession, path: str) -> Broadcast[bytes]:
+    """The bytes of a vocabulary file (some MB), read by the driver from its disk or from any store that Spark reads."""
+    if "://" in path:
+        return spark.sparkContext.broadcast(bytes(spark.read.format("binaryFile").load(path).first()["content"]))
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
+def tokenizer(held: Broadcast[bytes]) -> Tokenizer:
+    """The worker's tokenizer of this vocabulary, made once a process."""
+    made = sys.modules[__name__].__dict__.setdefault("_made", {})
+    key = hashlib.sha256(held.value).digest()
+    if key not in made:
+        made[key] = Tokenizer(held.value)
+    return made[key]
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and ids (array<int>) of every document; null and empty texts have no ids."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """id and ids (array<int>) of every document; null and empty texts have no ids. Repeated rows are rows of their own."""
+    kind, held = docs.schema[id_col].dataType.simpleString(), vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = tokenizer(held)
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "ids": list(tokenizer(path).encode_batch(batch["text"].tolist()))})
+            yield pd.DataFrame({"id": batch["id"], "ids": list(t.encode_batch(batch["text"].tolist()))})
 
     return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInPandas(run, f"id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
-    """id and text of every row of ids."""
-    kind = encoded.schema[id_col].dataType.simpleString()
+    """id and text of every row of ids; null ids are none."""
+    kind, held = encoded.schema[id_col].dataType.simpleString(), vocabulary(encoded.sparkSession, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = tokenizer(held)
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "text": [tokenizer(path).decode(x if x is not None else ()) for x in batch["ids"]]})
+            yield pd.DataFrame({"id": batch["id"], "text": [t.decode(x if x is not None else ()) for x in batch["ids"]]})
 
     return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInPandas(run, f"id {kind}, text string")
 
@@ -257,16 +262,14 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     Each text is encoded and its ids are decoded again. Null counts as empty; repeated
     rows are rows of their own; other columns are ignored.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, held = docs.schema[id_col].dataType.simpleString(), vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = tokenizer(path)
+        t = tokenizer(held)
         for batch in batches:
             out = []
-            for known in t.known(batch["text"].tolist()):
-                ids, decimals, raw = zip(*known, strict=True) if known else ((), (), ())
-                text = b"".join(raw).decode("utf-8", "replace")
-                out.append((sum(map(len, ids)), hashlib.sha256(",".join(decimals).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+            for ids in t.encode_batch(batch["text"].tolist()):
+                out.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids).encode()).hexdigest()))
             frame = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"], index=batch.index)
             yield frame.assign(id=batch["id"])[["id", "n_tokens", "ids_sha256", "decoded_sha256"]]
 

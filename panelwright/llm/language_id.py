@@ -21,20 +21,24 @@ from pyspark.sql import functions as F
 
 from .common import as_scan, held_out, row_number, text_of, written
 
-MOST_LANGUAGES = 64
+#: Languages of one mask word; a slot has as many words as the languages need.
+WORD_BITS = 64
+#: Ways over which the choice of a language's n-grams is spread.
+SPREAD = 64
 SLICE_CHARS = 1_000_000
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of learning: expected labelled rows, n-grams a language, slots of the filter (a power of two).
+    """Bounds of learning: labelled rows of a language (expected; all of a language that has fewer), n-grams of a language, slots of the filter (a power of two).
 
     An n-gram belongs to a language if it was seen `least_count` times there and its
-    rate is at least `share` of its highest rate in any language.
+    rate is at least `share` of its highest rate in any language; of more than `grams`
+    the most frequent stay. The filter takes 8 bytes a slot for every 64 languages.
     """
 
-    training_rows: int = 20_000
+    training_rows: int = 5_000
     grams: int = 30_000
     slot_bits: int = 20
     least_count: int = 3
@@ -43,16 +47,22 @@ class Settings:
 
 @dataclass(frozen=True)
 class Model:
+    """slots is (words, slots): language i is bit i % 64 of word i // 64."""
+
     languages: list[str]
     slots: np.ndarray
     fallback: int
 
     @property
     def false_rates(self) -> np.ndarray:
-        fill = [((self.slots >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(self.languages))]
+        fill = [bit_of(self.slots, i).mean() for i in range(len(self.languages))]
         return np.array(fill) ** len(MULTIPLIERS)
 
 
+def bit_of(words: np.ndarray, i: int) -> np.ndarray:
+    return (words[i // WORD_BITS] >> np.uint64(i % WORD_BITS)) & np.uint64(1)
+
+
 _letters: list[np.ndarray] = []
 
 
@@ -105,20 +115,20 @@ def slots_of(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> Model:
     """The filter of the languages in lang_col, from labelled rows that aren't held out.
 
-    Above settings.training_rows labelled rows, those whose hashed id is small enough are
-    taken, that many in expectation, whole texts of them.
+    Of a language with more than settings.training_rows labelled rows those whose hashed
+    id is small enough are taken, that many in expectation, whole texts of them. The
+    driver gets one row a language and settings.grams n-grams of each.
     """
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    counts = labelled.groupBy(F.col(lang_col).alias("lang")).count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"a mask has room for {MOST_LANGUAGES} languages")
+    by_lang = written(labelled.groupBy(F.col(lang_col).alias("lang")).count(), "languages")
+    counts = by_lang.orderBy("lang").collect()
     languages = [r["lang"] for r in counts]
-    total = sum(r["count"] for r in counts)
-    slots = np.zeros(1 << settings.slot_bits, dtype=np.uint64)
+    slots = np.zeros((-(-len(languages) // WORD_BITS), 1 << settings.slot_bits), dtype=np.uint64)
     if not languages:
         return Model([], slots, 0)
-    share = settings.training_rows / max(total, settings.training_rows)
-    sample = labelled.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(share * (1 << 20)))
+    share = by_lang.select(F.col("lang").alias(lang_col), F.least(F.lit(1.0), settings.training_rows / F.col("count")).alias("__share"))
+    drawn = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < F.col("__share") * (1 << 30)
+    sample = labelled.select(id_col, text_col, lang_col).join(F.broadcast(share), lang_col).filter(drawn)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -131,33 +141,34 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     grams = written(grams, "grams")
     rated = grams.join(F.broadcast(grams.groupBy("lang").agg(F.sum("n").alias("all"))), "lang").withColumn("rate", F.col("n") / F.col("all"))
     best = F.max("rate").over(Window.partitionBy("gram"))
-    top = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    top = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.desc("n"), "gram")) <= settings.grams
     chosen = (
         rated.withColumn("best", best).filter((F.col("n") >= settings.least_count) & (F.col("rate") >= settings.share * F.col("best")))
-        .withColumn("top", top).filter(F.col("top") <= settings.grams).select("lang", "gram")
+        .select("lang", "gram", "n", F.pmod(F.xxhash64("gram"), F.lit(SPREAD)).alias("part"))
+        .withColumn("near", top("part")).filter("near").withColumn("in", top()).filter("in").select("lang", "gram")
     )
     bounded = chosen.toPandas()  # at most languages * settings.grams rows
     for i, lang in enumerate(languages):
         keys = bounded.loc[bounded["lang"] == lang, "gram"].to_numpy(dtype=np.int64)
         for slot in slots_of(keys, settings.slot_bits):
-            slots[slot] |= np.uint64(1 << i)
+            slots[i // WORD_BITS, slot] |= np.uint64(1 << i % WORD_BITS)
     return Model(languages, slots, max(range(len(counts)), key=lambda i: (counts[i]["count"], -i)))
 
 
 def popcounts(model: Model, texts: list[str]) -> np.ndarray:
     """Corrected hits by text and language, and in the last column the number of trigrams."""
     out = np.zeros((len(texts), len(model.languages) + 1))
-    bits = int(len(model.slots)).bit_length() - 1
+    bits = model.slots.shape[1].bit_length() - 1
     false = model.false_rates
     for at, part in slices(texts):
         keys, doc = trigrams(part)
         mask = None
         for slot in slots_of(keys, bits):
-            mask = model.slots[slot] if mask is None else mask & model.slots[slot]
+            mask = model.slots[:, slot] if mask is None else mask & model.slots[:, slot]
         n = np.bincount(doc, minlength=len(part))
         out[at : at + len(part), -1] = n
         for i in range(len(model.languages)):
-            hits = np.bincount(doc, weights=((mask >> np.uint64(i)) & np.uint64(1)).astype(float), minlength=len(part))
+            hits = np.bincount(doc, weights=bit_of(mask, i).astype(float), minlength=len(part))
             out[at : at + len(part), i] = np.clip((hits - n * false[i]) / max(1e-9, 1 - false[i]), 0, n)
     return out
 
@@ -168,6 +179,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     `und` (score 0) for a null text, one without a letter, and if nothing was learned.
     score is the language's share of all corrected hits, coverage its hits among all
     n-grams; a text that hits nothing gets the most frequent learned language, score 0.
+    Repeated rows are rows of their own; a very long text is counted whole.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
