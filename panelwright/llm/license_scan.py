@@ -16,6 +16,7 @@ are, so a line that a third of all documents share costs each of them its own al
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -33,6 +34,10 @@ SPDX_ID = re.compile(r"[A-Za-z0-9.+-]+")
 
 MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
 MIT_REST = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+ZERO_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."
+ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+BOOST = "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."
 ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
 ISC_REST = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 BSD_TWO = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
@@ -61,6 +66,7 @@ def gnu(kind: str, version: str) -> tuple[str, ...]:
 
 # License lines, notices and full texts by SPDX identifier, short forms first.
 TEMPLATES: Mapping[str, tuple[str, ...]] = {
+    "0BSD": (*lines("0BSD"), f"{ZERO_GRANT} {ISC_REST}"),
     "AGPL-3.0": gnu("Affero ", "3"),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -68,6 +74,9 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
         "Released under the Apache License, Version 2.0.",
     ),
     "BSD-2-Clause": (*lines("BSD 2-Clause"), BSD_TWO, f"{BSD_TWO} {BSD_REST}"),
+    "BSL-1.0": (*lines("Boost Software"), BOOST),
+    "Unlicense": (UNLICENSE,),
+    "Zlib": (*lines("zlib"), ZLIB),
     "BSD-3-Clause": (BSD_THREE, *lines("BSD 3-Clause"), f"{BSD_THREE} {BSD_REST}"),
     "GPL-2.0": gnu("", "2"),
     "GPL-3.0": gnu("", "3"),
@@ -84,7 +93,7 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
 
 #: Words that name a license: a one-liner without its name's words is another license's.
 NAMING = frozenset(
-    w.lower() for w in ("Affero", "Apache", "BSD", "2-Clause", "3-Clause", "GNU", "ISC", "Lesser", "MIT", "Mozilla", *CC_NAMES, *CC_NAMES.values())
+    w.lower() for w in ("0BSD", "Affero", "Apache", "Boost", "BSD", "2-Clause", "3-Clause", "GNU", "ISC", "Lesser", "MIT", "Mozilla", "zlib", *CC_NAMES, *CC_NAMES.values())
 )
 
 
@@ -288,9 +297,12 @@ def template_matches(text: str, index: Index) -> list[tuple[str, int, int, int,
         return []
     _, begins, ends = words_at(text)
     kept: list[tuple[int, list[Piece], int, float]] = []
+    taken: list[tuple[int, int]] = []  # pieces of kept matches, in order; none overlaps another match's
     for m in sorted(out, key=lambda x: (-x[0], -x[3], x[1][0][0], x[2])):
-        if all(p[1] <= q[0] or p[0] >= q[1] for k in kept for p in m[1] for q in k[1]):
+        if all(free(taken, p[0], p[1]) for p in m[1]):
             kept.append(m)
+            for p in m[1]:
+                insort(taken, (p[0], p[1]))
     matches = []
     for n, chain, t, c in kept:
         spans: list[tuple[int, int]] = []
@@ -302,6 +314,12 @@ def template_matches(text: str, index: Index) -> list[tuple[str, int, int, int,
     return matches
 
 
+def free(taken: list[tuple[int, int]], first: int, end: int) -> bool:
+    """Whether nothing taken, of which nothing holds another, overlaps first:end."""
+    i = bisect_left(taken, (first, first))
+    return (i == len(taken) or taken[i][0] >= end) and (i == 0 or taken[i - 1][1] <= first)
+
+
 def regions(shifts: np.ndarray, band: int) -> list[int]:
     """Diagonals, none further than the band from one of these, so that every hit lies in a region."""
     out: list[int] = []
@@ -313,11 +331,27 @@ def regions(shifts: np.ndarray, band: int) -> list[int]:
     return out
 
 
+def templates_of(rows: DataFrame, license_col: str = "license", text_col: str = "text", most_chars: int = 100_000_000) -> dict[str, tuple[str, ...]]:
+    """Templates from a table of license texts, for find_licenses; ValueError if they have more than most_chars code points, as every executor holds them.
+
+    Rows without a license or a text are left out; several texts of a license stand in order.
+    """
+    known = rows.filter(F.col(license_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(license_col).cast("string").alias("license"), F.col(text_col).alias("text")).distinct()
+    if (known.agg(F.sum(F.char_length("text"))).first()[0] or 0) > most_chars:
+        raise ValueError(f"the license texts have more than {most_chars} code points")
+    out: dict[str, tuple[str, ...]] = {}
+    for r in known.orderBy("license", "text").collect():
+        out[r["license"]] = (*out.get(r["license"], ()), r["text"])
+    return out
+
+
 def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, tuple[str, ...]] = TEMPLATES, settings: Settings = Settings()) -> DataFrame:
     """id and matches, an array of (license, start, end, matched, coverage, spans), of every document.
 
-    Spans are in code points, end exclusive; a match has several where other text is put in. Null and empty texts and texts without a
-    match have an empty array. Repeated rows are rows of their own.
+    Spans are in code points, end exclusive; a match has several where other text is put
+    in. Null and empty texts and texts without a match have an empty array. Repeated rows
+    and null ids are rows of their own; an empty table gives an empty result; very long
+    texts are scanned whole. templates_of() takes templates from a table.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     index = docs.sparkSession.sparkContext.broadcast(Index(templates, settings))

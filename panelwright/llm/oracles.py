@@ -57,12 +57,13 @@ WITH spans AS (
 ), by_doc AS (
   SELECT doc_id, count(*) FILTER (kind_no = 0) AS n_assign, count(*) FILTER (kind_no = 1) AS n_access, count(*) FILTER (kind_no = 2) AS n_hex,
          string_agg(line, ',' ORDER BY start, kind_no) FILTER (kind_no < 3) AS base, string_agg(line, ',' ORDER BY start, kind_no) AS spans,
+         string_agg(CASE WHEN example THEN 'example' WHEN n_owners = 1 THEN 'live' ELSE 'shared' END, ',' ORDER BY start, kind_no) AS verdicts,
          count(*) FILTER (example) AS n_example, count(*) FILTER (n_owners = 1) AS n_single_owner
   FROM judged GROUP BY doc_id
 )
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-       coalesce(n_example, 0) AS n_example, coalesce(n_single_owner, 0) AS n_single_owner
+       coalesce(n_example, 0) AS n_example, coalesce(n_single_owner, 0) AS n_single_owner, coalesce(verdicts, '') AS verdicts
 FROM documents LEFT JOIN by_doc USING (doc_id)
 """
 

@@ -40,29 +40,48 @@ class Ownership:
     example_owners: int = 2
 
 
-def matches_of(text: Column, pattern: str) -> Column:
-    """array<struct<start, found>> of all matches, leftmost and non-overlapping.
+#: Matches whose places are added up in one go.
+RUN = 256
+
+
+def placed(pairs: Column) -> Column:
+    """array<struct<start, found>> from the text before each match and the match itself.
 
-    A text of m matches costs m * m element copies at worst, as arrays are values.
+    Arrays are values, so appending copies them: runs of RUN matches are placed each for
+    itself and put together as references, m * RUN / 2 copies for m matches.
     """
     empty = F.expr("cast(array() as array<struct<start:int,found:string>>)")
+    runs = F.transform(F.sequence(F.lit(1), F.size(pairs), F.lit(RUN)), lambda i: F.slice(pairs, i, F.lit(RUN)))
+
+    def one(at: Column, run: Column) -> Column:
+        return F.aggregate(
+            run,
+            F.struct(at.alias("at"), empty.alias("out")),
+            lambda acc, x: F.struct(
+                (acc.at + x.skip + F.char_length(x.found)).alias("at"),
+                F.concat(acc.out, F.array(F.struct((acc.at + x.skip).alias("start"), x.found.alias("found")))).alias("out"),
+            ),
+        )
+
+    joined = F.aggregate(
+        runs,
+        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<struct<start:int,found:string>>>)").alias("out")),
+        lambda acc, run: F.get(F.transform(F.array(one(acc.at, run)), lambda x: F.struct(x.at.alias("at"), F.concat(acc.out, F.array(x.out)).alias("out"))), F.lit(0)),
+        lambda acc: acc.out,
+    )
+    return F.when(F.size(pairs) > 0, F.flatten(joined)).otherwise(empty)
+
+
+def matches_of(text: Column, pattern: str) -> Column:
+    """array<struct<start, found>> of all matches, leftmost and non-overlapping."""
+    empty = F.expr("cast(array() as array<struct<start:int,found:string>>)")
     pairs = F.zip_with(
         F.split(text, pattern, -1),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda piece, found: F.struct(F.char_length(piece).alias("skip"), found.alias("found")),
     )
-    return F.when(
-        text.rlike(pattern),
-        F.aggregate(
-            F.filter(pairs, lambda x: x.found.isNotNull()),
-            F.struct(F.lit(0).alias("at"), empty.alias("out")),
-            lambda acc, x: F.struct(
-                (acc.at + x.skip + F.char_length(x.found)).alias("at"),
-                F.concat(acc.out, F.array(F.struct((acc.at + x.skip).alias("start"), x.found.alias("found")))).alias("out"),
-            ),
-            lambda acc: acc.out,
-        ),
-    ).otherwise(empty)
+    found = F.get(F.transform(F.array(F.filter(pairs, lambda x: x.found.isNotNull())), placed), F.lit(0))
+    return F.when(text.rlike(pattern), found).otherwise(empty)
 
 
 def spans_of(matches: Column, kind: str, value) -> Column:
@@ -122,8 +141,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     spans is an array of (start, kind_no, end, value_hash, n_owners, n_repositories,
     example), by start, then kind. Null and empty texts, and texts without a match,
-    have an empty array. A null owner or repository counts as one of its own. Repeated
-    rows are scanned each for itself; other columns are ignored.
+    have an empty array, very long ones as many spans as they have. A null owner or
+    repository counts as one of its own, a null id is an id like any other. Repeated
+    rows are scanned each for itself, and are one repository by default, as repo_col is
+    the document: a table that names repositories should pass that column. An empty table
+    gives an empty result; other columns are ignored.
     """
     scanned = written(scan(docs, id_col, text_col, owner_col, repo_col), "secrets")
     each = scanned.filter(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).select("row", "s.*")
