@@ -261,9 +261,16 @@ def by_bucket(rows: DataFrame, facts: DataFrame, hot: int, how: str = "inner") -
     return small.unionByName(rows.filter(large).join(F.broadcast(facts.filter(large).drop("size")), "bucket", how))
 
 
-def hot_size(entries: DataFrame) -> int:
-    """A size that at most MOST_HOT buckets of these entries exceed."""
-    return max(LEAST_HOT, entries.count() // MOST_HOT)
+def hot_size(rows: DataFrame) -> int:
+    """A size that at most MOST_HOT groups of these rows exceed."""
+    return max(LEAST_HOT, rows.count() // MOST_HOT)
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, hot: int) -> DataFrame:
+    """rows with the row of facts (key, size, ...) of their key, if there is one: by broadcast where size is above hot, as in by_bucket."""
+    large = F.broadcast(facts.filter(F.col("size") > hot))
+    small = rows.join(large.select(key), key, "left_anti").join(facts.filter(F.col("size") <= hot), key)
+    return small.unionByName(rows.join(large, key))
 
 
 def parts_of(facts: DataFrame, head: str, members: str) -> DataFrame:
@@ -314,9 +321,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = written(confirmed(open_pairs(held, arenas, s), sets, s).union(arena_links(arenas, s)), "rest")
     if not rest.isEmpty():
         grouped = merged(grouped, rest)
-    named = classes.join(grouped, "node")
-    best = named.groupBy("component").agg(F.min("first").alias("best"))
-    by_sequence = named.join(best, "component").select("sequence", F.col("best.id").alias("component_id"), F.col("best.row").alias("best_row"))
+    named = written(classes.join(grouped, "node"), "named")
+    best = written(named.groupBy("component").agg(F.min("first").alias("best"), F.count("*").alias("size")), "best")
+    by_sequence = with_facts(named, best, "component", hot_size(named)).select("sequence", F.col("best.id").alias("component_id"), F.col("best.row").alias("best_row"))
     return rows.select("row", "id", "n_shingles", "sequence").join(by_sequence, "sequence", "left").select(
         "row", "id", "n_shingles",
         F.when(F.col("sequence").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
@@ -330,9 +337,7 @@ def headed(entries: DataFrame) -> tuple[DataFrame, int]:
     rank = F.struct(F.xxhash64("node").alias("h"), "node", "n")
     buckets = entries.groupBy("bucket").agg(F.min(rank).alias("first"), F.count("*").alias("size")).filter("size > 1")
     buckets = written(parts_of(buckets.select("bucket", "size", F.col("first.node").alias("head"), F.col("first.n").alias("head_n")), "head", "size"), "buckets")
-    large = F.broadcast(buckets.filter(F.col("size") > hot))  # MOST_HOT at most
-    small = entries.join(large.select("bucket"), "bucket", "left_anti").join(buckets.filter(F.col("size") <= hot), "bucket")
-    return written(small.unionByName(entries.join(large, "bucket")), "together"), hot
+    return written(with_facts(entries, buckets, "bucket", hot), "together"), hot
 
 
 def open_buckets(members: DataFrame, grouped: DataFrame, hot: int) -> DataFrame:
