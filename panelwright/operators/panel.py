@@ -25,11 +25,6 @@ def exact_lag(value: str, entity: str | Sequence[str], period: str, k: int) -> C
     return F.max(value).over(range_window(entity, period, k, k))
 
 
-def exact_lags(values: Sequence[str], entity: str, period: str, k: int) -> Column:
-    """struct of several columns k periods before."""
-    return F.max(F.struct(*values)).over(range_window(entity, period, k, k))
-
-
 def recent_mean(value: str, entity: str, period: str, k: int) -> Column:
     """Mean over what there is of the last k periods."""
     return F.avg(value).over(range_window(entity, period, k))

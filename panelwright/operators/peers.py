@@ -24,6 +24,14 @@ def pool(focal: DataFrame, on: Sequence[str], entity: str, carry: Sequence[str],
     return both.filter(allowed) if allowed is not None else both
 
 
+def masked(rows: DataFrame, on: Sequence[str], entity: str, value: str, mask: Column, name: str) -> DataFrame:
+    """rows with name_max and n_name: the largest value and the number of the group's other rows for which mask holds. No pairs."""
+    inside = F.coalesce(mask, F.lit(False))
+    marked = rows.withColumn("__v", F.when(inside, F.col(value))).withColumn("__in", inside.cast("long"))
+    out = with_others_max(marked, "__v", on, entity, f"{name}_max")
+    return out.withColumn(f"n_{name}", total_of("__in", on) - F.col("__in")).drop("__v", "__in")
+
+
 def top_two(members: DataFrame, on: Sequence[str], entity: str, value: str) -> DataFrame:
     """A group's two largest side by side, its size and how many have no value."""
     placed = members.withColumn("__place", first_rank(value, on, [entity]))

@@ -72,7 +72,7 @@ def f_scalar_features(spark, d):
 @query("""SELECT p_partkey, CASE p_brand WHEN 'Brand#11' THEN 'OLD' WHEN 'Brand#12' THEN 'NEW' ELSE p_brand END AS brand, (p_size > 25)::INT AS is_large, coalesce((nullif(p_size % 7, 0) <= 3)::INT, 0) AS near_line,
   (nullif(p_size % 5, 0) IS NULL)::INT + (nullif(p_size % 3, 0) IS NULL)::INT AS n_missing, (nullif(p_size % 5, 0) IS NULL OR nullif(p_size % 3, 0) IS NULL) AS any_missing,
   coalesce(nullif(p_size % 5, 0), p_size % 3) AS preferred, (nullif(p_size % 5, 0) <> nullif(p_size % 3, 0))::INT AS changed, round(1 - (p_size - 1) / 49.0::DOUBLE, 6) AS size_score, abs(p_retailprice - round(p_retailprice, 0)) <= 0.25 AS near_whole,
-  CASE WHEN p_size % 5 >= p_size % 3 * 1.5 THEN 'expanded' WHEN p_size % 5 <= p_size % 3 * 0.5 THEN 'collapsed' ELSE 'stable' END AS change_class, try_cast(substr(p_name, 1, 2) AS DOUBLE) AS lenient,
+  CASE WHEN p_size % 5 >= p_size % 3 * 1.5 THEN 'expanded' WHEN p_size % 5 <= p_size % 3 * 0.5 THEN 'collapsed' ELSE 'stable' END AS change_class, CASE WHEN p_size % 7 > 0 AND p_size % 4 > 0 THEN try_cast(substr(p_brand, 7, 2) AS DOUBLE) END AS lenient, substr(p_brand, 7, 2)::INT AS brand_no, round((p_size - 1) / 49.0::DOUBLE, 6) AS worst_first,
   (p_size % 3 = 0)::INT AS is_zero, (p_size % 3 = 1)::INT AS is_one FROM part""")
 def f_flags(spark, d):
     """Aliases, flags, missing counts, preference, change, closeness, one-hot."""
@@ -82,7 +82,8 @@ def f_flags(spark, d):
         "p_partkey", E.renamed("p_brand", {"Brand#11": "OLD", "Brand#12": "NEW"}).alias("brand"), (F.col("p_size") > 25).cast("int").alias("is_large"), E.flag(F.expr("nullif(p_size % 7, 0) <= 3")).alias("near_line"),
         E.missing_count(["five", "three"]).alias("n_missing"), E.any_missing(["five", "three"]).alias("any_missing"), F.coalesce("five", F.expr("p_size % 3")).alias("preferred"), E.changed("five", "three").alias("changed"),
         F.round(E.rank_score("p_size", 50), 6).alias("size_score"), E.close("p_retailprice", F.round("p_retailprice", 0), 0.25).alias("near_whole"),
-        E.change_class(F.expr("p_size % 5"), F.expr("p_size % 3"), 0.5).alias("change_class"), E.lenient(F.substring("p_name", 1, 2)).alias("lenient"), *E.one_of("kind", ["zero", "one"]),
+        E.change_class(F.expr("p_size % 5"), F.expr("p_size % 3"), 0.5).alias("change_class"), E.lenient(F.expr("case when p_size % 7 = 0 then 'NaN' when p_size % 4 = 0 then 'x' else substr(p_brand, 7, 2) end")).alias("lenient"),
+        E.strict(F.substring("p_brand", 7, 2), "int").alias("brand_no"), F.round(E.rank_score("p_size", 50, best_first=False), 6).alias("worst_first"), *E.one_of("kind", ["zero", "one"]),
     )
 
 

@@ -62,10 +62,14 @@ def q9_leakage_audit(spark, d):
     return p.groupBy("segment").agg(F.count("*").alias("n"), F.count_if(leak).alias("n_leaks"), *(F.round(F.count_if(F.col(f"t{k}").isNull()) * 100.0 / F.count("*"), 6).alias(f"t{k}_null_pct") for k in (1, 2, 3)))
 
 
-@query(f"""WITH {PREDICTIONS} SELECT segment, period, count(*) AS n, count(*) FILTER (m IS NOT NULL AND b IS NOT NULL) AS n_complete, count(*) FILTER (m IS NOT NULL OR b IS NOT NULL) AS n_any, count(*) FILTER (m IS NOT NULL AND b IS NOT NULL) / count(*)::DOUBLE AS complete_rate FROM predictions GROUP BY ALL""")
+@query(f"""WITH {PANEL}, l AS (SELECT segment, period, {LAG.format('target', 2)} AS t2, {LAG.format('target', 3)} AS t3 FROM panel)
+SELECT segment, period, count(*) AS n, count(*) FILTER (t2 IS NOT NULL AND t3 IS NOT NULL) AS n_complete, count(*) FILTER (t2 IS NOT NULL OR t3 IS NOT NULL) AS n_any, count(*) FILTER (t2 IS NOT NULL AND t3 IS NOT NULL) / count(*)::DOUBLE AS complete_rate FROM l GROUP BY ALL""")
 def a19_coverage(spark, d):
-    """A19, D21, F22."""
-    return S.coverage(predictions(spark, d), ["segment", "period"], ["m", "b"])
+    """Rows with all and with any of two lags."""
+    from ..operators import panel as P
+
+    p = panel(spark, d).select("segment", "period", *(P.exact_lag("target", "entity", "period", k).alias(f"t{k}") for k in (2, 3)))
+    return S.coverage(p, ["segment", "period"], ["t2", "t3"])
 
 
 @query(f"""WITH {PANEL} SELECT segment, count(*) AS n_panel, count(*) FILTER (n_occ >= 2) AS n_enough, count(*) FILTER (n_occ >= 2 AND period > 1995) AS n_after_first FROM panel GROUP BY segment""")

@@ -92,20 +92,18 @@ def e15_top_status(spark, d):
     return ranked(spark, d).withColumn("status", V.top_status("actual_rank", "predicted_rank", 10)).groupBy("segment", "period", "status").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {PREDICTIONS}, l AS (SELECT *, (actual > 60)::INT AS label, a / (a + 60) AS p FROM predictions), k AS (SELECT *, rank() OVER (PARTITION BY segment, period ORDER BY p) + (count(*) OVER (PARTITION BY segment, period, p) - 1) / 2.0::DOUBLE AS r FROM l)
+@query(f"""WITH {PREDICTIONS}, l AS (SELECT *, (actual > m)::INT AS label, a / (a + m) AS p FROM predictions), k AS (SELECT *, rank() OVER (PARTITION BY segment, period ORDER BY p) + (count(*) OVER (PARTITION BY segment, period, p) - 1) / 2.0::DOUBLE AS r FROM l)
 SELECT segment, period, count(*) AS n, round((sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2) / nullif(count(*) FILTER (label = 1) * count(*) FILTER (label = 0), 0)::DOUBLE, 6) AS auc, round(avg((p - label) ** 2), 6) AS brier FROM k GROUP BY segment, period""")
 def e20_auc_brier(spark, d):
-    p = predictions(spark, d).withColumn("label", (F.col("actual") > 60).cast("int")).withColumn("p", F.col("a") / (F.col("a") + 60))
+    p = predictions(spark, d).withColumn("label", (F.col("actual") > F.col("m")).cast("int")).withColumn("p", F.col("a") / (F.col("a") + F.col("m")))
     return V.auc(p, ["segment", "period"], "label", "p").select("segment", "period", "n", F.round("auc", 6).alias("auc"), F.round("brier", 6).alias("brier"))
 
 
 @query(f"""WITH {PREDICTIONS} SELECT segment, count(*) AS n, round(avg(abs(a - actual)), 6) AS a, round(avg(abs(b - actual)), 6) AS b, round(avg(abs(m - actual)), 6) AS m FROM predictions WHERE m IS NOT NULL GROUP BY segment""")
 def e22_same_cohort(spark, d):
-    """Several models over the rows that all of them predict."""
+    """Several models over the rows that all of them predict."""
     p = predictions(spark, d)
-    keys = ["segment", "entity", "period"]
-    models = {x: p.filter(F.col(x).isNotNull()).select(*keys, F.col(x).alias("predicted")) for x in ("a", "b", "m")}
-    both = V.same_cohort(models, keys).join(p.select(*keys, "actual"), keys)
+    both = p.dropna(subset=["a", "b", "m"])  # models are columns of one table, so their cohort takes no join
     return both.groupBy("segment").agg(F.count("*").alias("n"), *(F.round(F.avg(F.abs(F.col(x) - F.col("actual"))), 6).alias(x) for x in ("a", "b", "m")))
 
 

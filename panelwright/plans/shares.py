@@ -38,10 +38,19 @@ def d10_pool_top_two(spark, d):
 
 @query(f"""WITH {PANEL} SELECT a.entity, a.period, count(*) AS n_others, max(b.qty) AS others_max, sum(CASE WHEN b.segment = a.segment THEN b.qty END)::BIGINT AS same_segment FROM panel a JOIN panel b ON a.grp = b.grp AND a.period = b.period AND a.segment = b.segment AND a.entity <> b.entity GROUP BY a.entity, a.period""")
 def j5_pool_self_join(spark, d):
-    """Each entity with its competitors."""
-    p = panel(spark, d).select("entity", "period", "grp", "segment", "qty")
-    both = peers.pool(p, ["period", "grp", "segment"], "entity", ["qty"])
-    return both.groupBy("entity", "period").agg(F.count("*").alias("n_others"), F.max("other_qty").alias("others_max"), F.sum("other_qty").alias("same_segment"))
+    """What each entity's competitors have, by leave-one-out windows instead of pairs."""
+    r = peers.room(panel(spark, d).select("entity", "period", "grp", "segment", "qty"), ["period", "grp", "segment"], "entity", "qty")
+    return r.filter("room_count > 1").select("entity", "period", (F.col("room_count") - 1).alias("n_others"), "others_max", F.col("others_total").alias("same_segment"))
+
+
+@query(f"""WITH {PANEL} SELECT a.entity, a.period, a.segment, max(b.qty) FILTER (b.segment = 'BUILDING') AS building_max, count(b.entity) FILTER (b.segment = 'BUILDING') AS n_building, max(b.qty) FILTER (b.segment = 'MACHINERY') AS machinery_max, count(b.entity) FILTER (b.segment = 'MACHINERY') AS n_machinery
+FROM panel a LEFT JOIN panel b ON a.grp = b.grp AND a.period = b.period AND a.entity <> b.entity GROUP BY ALL""")
+def a23_peer_types(spark, d):
+    """Largest value and number of the others of each peer type, whatever the entity's own type."""
+    p = panel(spark, d).select("entity", "period", "segment", "grp", "qty")
+    for kind in ("BUILDING", "MACHINERY"):
+        p = peers.masked(p, ["grp", "period"], "entity", "qty", F.col("segment") == kind, kind.lower())
+    return p.select("entity", "period", "segment", "building_max", "n_building", "machinery_max", "n_machinery")
 
 
 @query(f"""WITH {PANEL}, r AS (SELECT entity, period, segment, grp, qty, count(*) OVER w AS room_count, (sum(qty) OVER w)::BIGINT AS room_total, row_number() OVER (PARTITION BY segment, grp, period ORDER BY qty DESC NULLS LAST, entity) AS place, rank() OVER (PARTITION BY segment, grp, period ORDER BY qty DESC) AS room_rank FROM panel WINDOW w AS (PARTITION BY segment, grp, period)),
@@ -62,11 +71,11 @@ def d17_vacated(spark, d):
     return peers.vacated(p.withColumn("period", F.col("period") + 1), p, ["grp", "segment", "period"], "entity", "qty").withColumn("vacated_share", F.round("vacated_share", 6))
 
 
-@query("""WITH plays AS (SELECT l_orderkey AS occ, l_returnflag AS grp, l_linenumber AS play, list(DISTINCT l_suppkey) AS members FROM lineitem GROUP BY ALL), e AS (SELECT occ, grp, unnest(members) AS member FROM plays), per AS (SELECT occ, grp, member, count(*) AS n FROM e GROUP BY ALL), t AS (SELECT occ, grp, count(*) AS plays FROM plays GROUP BY ALL)
+@query("""WITH plays AS (SELECT l_orderkey AS occ, l_returnflag AS grp, l_linenumber % 2 AS play, list(DISTINCT l_suppkey) AS members FROM lineitem GROUP BY ALL), e AS (SELECT occ, grp, unnest(members) AS member FROM plays), per AS (SELECT occ, grp, member, count(*) AS n FROM e GROUP BY ALL), t AS (SELECT occ, grp, count(*) AS plays FROM plays GROUP BY ALL)
 SELECT member, sum(n)::BIGINT AS on_field, sum(plays)::BIGINT AS plays, round(sum(n) / sum(plays)::DOUBLE, 6) AS rate FROM per JOIN t USING (occ, grp) GROUP BY member""")
 def d18_participation(spark, d):
     """D18, F28."""
-    plays = scan(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("occ"), F.col("l_returnflag").alias("grp"), "l_linenumber").agg(F.collect_set("l_suppkey").alias("members"))
+    plays = scan(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("occ"), F.col("l_returnflag").alias("grp"), F.col("l_linenumber") % 2).agg(F.collect_set("l_suppkey").alias("members"))
     return peers.participation(plays, "occ", "grp", F.col("members"), []).withColumn("rate", F.round("rate", 6))
 
 
@@ -79,37 +88,37 @@ def d16_event_shares(spark, d):
     return x.select("entity", "period", "grp", "urgent", "deep", "early", F.round(ratio("urgent", R.total_of("urgent", by)), 6).alias("urgent_share"), F.round(ratio("deep", R.total_of("deep", by)), 6).alias("deep_share"))
 
 
-@query(f"""WITH {STATS} SELECT segment, period, round(sum(prio * qty) FILTER (qty > 20) / sum(qty) FILTER (qty > 20)::DOUBLE, 6) AS weighted, sum(CASE WHEN prio = 9 THEN qty END)::BIGINT AS known, bool_or(prio = 1) AS any_urgent, count(DISTINCT grp) AS n_groups,
+@query(f"""WITH {STATS} SELECT segment, period, round(sum(prio * qty) FILTER (qty > 20) / sum(qty) FILTER (qty > 20)::DOUBLE, 6) AS weighted, sum(CASE WHEN prio = 1 AND sub = 2 AND grp < 3 THEN qty END)::BIGINT AS known, bool_or(prio = 1) AS any_urgent, count(DISTINCT grp) AS n_groups,
   round(avg(CASE WHEN prio = 1 THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS urgent_rate, min_by(occ, qty * 1000000000 + occ) AS least_occ, max_by(occ, qty * 1000000000 + occ) AS most_occ FROM stats GROUP BY segment, period""")
 def a7_grouped(spark, d):
     """Weighted mean, sum that stays null, any, rates, rows at the extremes."""
     s = stats(spark, d)
     at = F.col("qty") * 1000000000 + F.col("occ")
     return s.groupBy("segment", "period").agg(
-        F.round(R.weighted_mean("prio", F.when(F.col("qty") > 20, F.col("qty"))), 6).alias("weighted"), F.sum(F.when(F.col("prio") == 9, F.col("qty"))).alias("known"), F.bool_or(F.col("prio") == 1).alias("any_urgent"),
+        F.round(R.weighted_mean("prio", F.when(F.col("qty") > 20, F.col("qty"))), 6).alias("weighted"), F.sum(F.when((F.col("prio") == 1) & (F.col("sub") == 2) & (F.col("grp") < 3), F.col("qty"))).alias("known"), F.bool_or(F.col("prio") == 1).alias("any_urgent"),
         F.count_distinct("grp").alias("n_groups"), F.round(F.avg((F.col("prio") == 1).cast("double")), 6).alias("urgent_rate"), F.min_by("occ", at).alias("least_occ"), F.max_by("occ", at).alias("most_occ"),
     )
 
 
-@query(f"""WITH {PANEL} SELECT segment, count(*) AS n, round(avg(target), 6) AS mean, round(median(target), 6) AS median, round(stddev_samp(target), 6) AS std, min(target) AS min, max(target) AS max, round(skewness(target), 5) AS skew, count(*) FILTER (target < 50) AS n_low FROM panel GROUP BY segment""")
+@query(f"""WITH {PANEL} SELECT segment, count(*) AS n, round(avg(target), 6) AS mean, round(median(target), 6) AS median, round(stddev_samp(target), 6) AS std, min(target) AS min, max(target) AS max, round(skewness(target), 5) AS skew, count(*) FILTER (target < 4000) AS n_low FROM panel GROUP BY segment""")
 def a5_distribution(spark, d):
-    """Summary with exact median and bias-corrected skewness."""
+    """A5: summary with exact median and bias-corrected skewness."""
     return panel(spark, d).groupBy("segment").agg(
         F.count("*").alias("n"), F.round(F.avg("target"), 6).alias("mean"), F.round(F.median("target"), 6).alias("median"), F.round(F.stddev_samp("target"), 6).alias("std"), F.min("target").alias("min"), F.max("target").alias("max"),
-        F.round(R.sample_skew("target"), 5).alias("skew"), F.count_if(F.col("target") < 50).alias("n_low"),
+        F.round(R.sample_skew("target"), 5).alias("skew"), F.count_if(F.col("target") < 4000).alias("n_low"),
     )
 
 
 @query(f"""WITH {STATS}, n AS (SELECT entity, period, min(prio) AS v, count(DISTINCT prio) AS k FROM stats GROUP BY ALL) SELECT entity, period, CASE WHEN k <= 1 THEN v END AS value, k > 1 AS conflict FROM n""")
 def a9_conflict(spark, d):
-    """One value, or null where sources disagree."""
+    """One value, or null where sources disagree."""
     n = stats(spark, d).groupBy("entity", "period").agg(F.min("prio").alias("v"), F.count_distinct("prio").alias("k"))
     return n.select("entity", "period", F.when(F.col("k") <= 1, F.col("v")).alias("value"), (F.col("k") > 1).alias("conflict"))
 
 
 @query(f"""WITH {STATS} SELECT segment, count(*) FILTER (status = 'F') AS F, count(*) FILTER (status = 'O') AS O, count(*) FILTER (status = 'P') AS P FROM stats GROUP BY segment""")
 def a22_cross_tab(spark, d):
-    """Pivot with a fixed list, empty cells 0."""
+    """Cross-tabulation with a fixed list, empty cells 0."""
     return stats(spark, d).groupBy("segment").pivot("status", ["F", "O", "P"]).count().na.fill(0)
 
 

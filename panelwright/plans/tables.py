@@ -18,7 +18,7 @@ FILE_ROWS = 500_000
 
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal BETWEEN 0 AND 5000")
 def s2_projected_scan(spark, d):
-    """Two columns and a range reach the Parquet reader."""
+    """Two columns and a range reach the Parquet reader."""
     return S.as_text(S.scan(spark, d, "customer", ["c_custkey", "c_mktsegment", "c_acctbal"]), ["c_mktsegment"]).filter(F.col("c_acctbal").between(0, 5000)).drop("c_acctbal")
 
 
@@ -36,7 +36,7 @@ def p15_missing_periods(spark, d):
 
 @query("SELECT p_partkey, p_brand, p_size, p_retailprice FROM part")
 def s4_strict_csv(spark, d):
-    """Written as CSV with quotes, read back under a strict schema with a range check."""
+    """Written as CSV with quotes, read back under a strict schema with a range check."""
     path = scratch(spark, "csv")
     scan(spark, d, "part").select("p_partkey", F.concat(F.lit('"'), "p_brand", F.lit('"')).alias("p_brand"), "p_size", "p_retailprice").write.option("header", True).csv(path)
     return S.strict_csv(spark, path, {"p_partkey": "bigint", "p_brand": "string", "p_size": "int", "p_retailprice": "double"}, F.expr("p_size between 1 and 1000"))
@@ -44,24 +44,45 @@ def s4_strict_csv(spark, d):
 
 @query("SELECT year(o_orderdate)::INT AS period, o_custkey AS id, count(*) AS n FROM orders GROUP BY ALL")
 def s5_json_archive(spark, d):
-    """Nested JSON, one file a period, the period from the file's name."""
+    """Nested JSON, files a period, the period from the path."""
     path = scratch(spark, "json")
     by = scan(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year"), F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"))
-    one = by.groupBy("year", F.pmod("id", F.lit(4)).alias("part")).agg(F.collect_list(F.struct("id", "n")).alias("players"))
+    one = by.groupBy("year", F.floor(F.col("id") / 1000).alias("part")).agg(F.collect_list(F.struct("id", "n")).alias("players"))  # at most 1000 ids a list
     one.select("year", F.lit("ok").alias("status"), F.create_map(F.lit("part"), F.col("part").cast("string")).alias("meta"), "players").write.partitionBy("year").json(path)
-    raw = spark.read.schema("status string, meta map<string,string>, players array<struct<id bigint, n bigint>>, year int").json(path)
-    return raw.select(F.col("year").alias("period"), F.inline("players"))
+    return S.json_archive(spark, path, "players", "id bigint, n bigint", r"year=(\d{4})/", one_object=False).drop("meta")
 
 
 @query(f"WITH {PANEL} SELECT entity, period, segment, target FROM panel")
 def s8_validated_write(spark, d):
-    """Written, read back and checked; a second write leaves it alone."""
+    """Written beside, checked, put in place of an older table; a third write leaves it alone."""
     path = scratch(spark, "panel")
-    out = S.publish(panel(spark, d).select("entity", "period", "segment", "target"), path, ["entity", "period"])
+    p = panel(spark, d).select("entity", "period", "segment", "target")
+    S.publish(p.filter("period = 1995"), path, ["entity", "period"])  # replaced by the whole below
+    out = S.publish(p, path, ["entity", "period"])
     S.preserve(out.limit(0), path)
     return out
 
 
+#: Meaning, formula, sources and whether a model may read it, by feature.
+DICTIONARY = {
+    "lag_1": ("score of the period before", "target(t-1)", "orders,lineitem", True),
+    "lag_3": ("score three periods before", "target(t-3)", "orders,lineitem", True),
+    "target": ("score of the period", "total_score / n_occ", "orders,lineitem", False),
+}
+
+
+@query(f"""WITH {PANEL}, l AS (SELECT period, target, max(target) OVER (PARTITION BY entity ORDER BY period RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS lag_1, max(target) OVER (PARTITION BY entity ORDER BY period RANGE BETWEEN 3 PRECEDING AND 3 PRECEDING) AS lag_3 FROM panel),
+d(feature, meaning, formula, sources, model_input) AS (VALUES {', '.join(f"('{k}', '{m}', '{f}', '{s}', {str(b).lower()})" for k, (m, f, s, b) in DICTIONARY.items())})
+SELECT d.*, CASE feature WHEN 'lag_1' THEN (SELECT min(period) FILTER (lag_1 IS NOT NULL) FROM l) WHEN 'lag_3' THEN (SELECT min(period) FILTER (lag_3 IS NOT NULL) FROM l) ELSE (SELECT min(period) FILTER (target IS NOT NULL) FROM l) END AS first_period FROM d""")
+def s18_feature_dictionary(spark, d):
+    """Dictionary rows beside the earliest period that has a value."""
+    from ..operators import panel as P
+
+    p = panel(spark, d).select("period", "target", *(P.exact_lag("target", "entity", "period", k).alias(f"lag_{k}") for k in (1, 3)))
+    rows = spark.createDataFrame([(k, *v) for k, v in DICTIONARY.items()], "feature string, meaning string, formula string, sources string, model_input boolean")
+    return rows.join(S.first_available(p, list(DICTIONARY), "period"), "feature")
+
+
 @query("""SELECT c_custkey AS id, CASE WHEN c_nationkey = 3 THEN 'new' ELSE 'old' END AS version, c_nationkey AS model FROM customer""")
 def s13_upsert(spark, d):
     """One model's rows replaced."""
@@ -97,11 +118,53 @@ def s11_file_manifest(spark, d):
     return S.manifest(spark, path, "*.parquet").withColumn("file", F.regexp_replace("file", r"^(part-\d+)-.*(\.c|-c)(\d+)\..*$", "$1-$3"))
 
 
-@query("""SELECT column_name, data_type, n_rows, n_null, null_pct FROM (SELECT 'p_partkey' AS column_name, 'bigint' AS data_type, count(*) AS n_rows, count(*) FILTER (p_partkey IS NULL) AS n_null, 100.0::DOUBLE * count(*) FILTER (p_partkey IS NULL) / count(*) AS null_pct FROM part
-UNION ALL SELECT 'half', 'int', count(*), count(*) FILTER (nullif(p_size % 2, 0) IS NULL), 100.0::DOUBLE * count(*) FILTER (nullif(p_size % 2, 0) IS NULL) / count(*) FROM part)""")
+PROFILED = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "known_price": "double"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{x}' AS column_name, '{kind}' AS data_type, count(*) AS n_rows, count(*) FILTER ({x} IS NULL) AS n_null, 100.0::DOUBLE * count(*) FILTER ({x} IS NULL) / count(*) AS null_pct, count({x}) = count(*) AND count(DISTINCT {x}) = count(*) AS id_candidate, (SELECT string_agg(DISTINCT year(o_orderdate)::VARCHAR, ',' ORDER BY year(o_orderdate)::VARCHAR) FROM orders) AS periods FROM (SELECT *, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END AS known_price FROM orders)" for x, kind in PROFILED.items()))
 def s16_profile(spark, d):
-    """Types, rows, nulls of every column in one pass."""
-    return S.profile(scan(spark, d, "part").select("p_partkey", F.expr("nullif(p_size % 2, 0)").cast("int").alias("half"))).select("column_name", "data_type", "n_rows", "n_null", "null_pct")
+    """Types, rows, nulls and id candidates of every column in one pass, beside the periods covered."""
+    o = scan(spark, d, "orders").withColumn("known_price", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_totalprice")))
+    periods = S.dataset_manifest(o, "orders", F.year("o_orderdate")).select("periods").first()["periods"]
+    return S.profile(o.select(*PROFILED)).drop("n_distinct").withColumn("periods", F.lit(periods))
+
+
+@query("SELECT l_orderkey, l_linenumber::VARCHAR AS l_linenumber, l_suppkey::VARCHAR AS l_suppkey FROM lineitem")
+def s3_text_codes(spark, d):
+    """S3: codes flattened to text."""
+    return S.as_text(S.scan(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_suppkey"]), ["l_linenumber", "l_suppkey"])
+
+
+@query("SELECT event_id, user_id, ts::DATE::VARCHAR AS day FROM events WHERE ts::DATE = (SELECT max(ts::DATE) FROM events)")
+def s6_latest_snapshot(spark, d):
+    """Rows of the newest dated folder; only its files are read."""
+    path = scratch(spark, "snapshots")
+    scan(spark, d, "events").select("event_id", "user_id", F.to_date("ts").alias("snapshot_date")).write.partitionBy("snapshot_date").parquet(path)
+    return S.latest_snapshot(spark.read.parquet(path)).select("event_id", "user_id", F.col("snapshot_date").cast("string").alias("day"))
+
+
+@query("SELECT c_mktsegment AS segment, c_nationkey AS grp, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY ALL")
+def s10_report_csv(spark, d):
+    """A report table as one sorted CSV file, read back strictly."""
+    path = scratch(spark, "report")
+    report = scan(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("grp")).agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+    S.csv_sink(report, path, ["segment", "grp"])
+    return S.strict_csv(spark, path, {"segment": "string", "grp": "bigint", "n": "bigint", "total": "double"}, F.expr("n > 0"))
+
+
+@query(f"WITH {PANEL} SELECT segment, period, entity, qty, row_number() OVER (PARTITION BY segment, period ORDER BY qty DESC, entity) AS place FROM panel")
+def s17_published_ranking(spark, d):
+    """One ranked snapshot published as Parquet and as CSV, both read back and found equal in rows."""
+    from ..functions import ranks as R
+    from ..operators.contracts import ContractError
+
+    ranked = panel(spark, d).select("segment", "period", "entity", "qty", R.first_rank("qty", ["segment", "period"], ["entity"]).alias("place"))
+    out = S.publish(ranked, scratch(spark, "ranking"), ["segment", "period", "entity"])
+    path = scratch(spark, "ranking-csv")
+    out.write.option("header", True).csv(path)
+    if spark.read.option("header", True).csv(path).count() != out.count():
+        raise ContractError("the CSV copy has other rows than the table")
+    return out
 
 
 @query(f"""WITH {PANEL}, l AS (
@@ -116,16 +179,18 @@ def s16_profile(spark, d):
 )
 SELECT segment, spec, row_number() OVER (PARTITION BY segment, spec ORDER BY place) - 1 AS ord, feature FROM s""")
 def s15_segment_features(spark, d):
-    """Ordered feature lists as rows, from the columns and segments of the written panel."""
+    """Ordered feature lists as rows, from the columns and segments of the written panel."""
     from ..operators import panel as P
 
     lags = (P.exact_lag("target", "entity", "period", k).alias(f"lag_{k}") for k in (1, 6))
     written = held(panel(spark, d).select("segment", "qty", "price", "disc", *lags), "features")
-    return S.segment_manifest(written, "segment", [x for x in written.columns if x != "segment"])
+    families = [x for x in written.columns if x.startswith("lag_")]  # P9: columns by prefix, and all but a list
+    return S.segment_manifest(written, "segment", [x for x in written.columns if x not in ("segment", *families)] + families)
 
 
 @query(f"WITH {PANEL}, l AS (SELECT period, max(target) OVER (PARTITION BY entity ORDER BY period RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS lag_1, max(target) OVER (PARTITION BY entity ORDER BY period RANGE BETWEEN 3 PRECEDING AND 3 PRECEDING) AS lag_3 FROM panel) SELECT 'lag_1' AS feature, min(period) FILTER (lag_1 IS NOT NULL) AS first_period FROM l UNION ALL SELECT 'lag_3', min(period) FILTER (lag_3 IS NOT NULL) FROM l")
 def s18_first_available(spark, d):
+    """The earliest period of each feature."""
     from ..operators import panel as P
 
     p = panel(spark, d).select("period", *(P.exact_lag("target", "entity", "period", k).alias(f"lag_{k}") for k in (1, 3)))

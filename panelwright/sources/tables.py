@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,11 +30,11 @@ def strict_csv(spark: SparkSession, path: str, columns: Mapping[str, str], check
     return out.filter(F.assert_true(check).isNull()) if check is not None else out
 
 
-def json_archive(spark: SparkSession, path: str, items: str, item_schema: str, period_pattern: str = r"(\d{4})") -> DataFrame:
-    """One JSON object a file with a list of structs: a row an item, the period taken from the file's name, meta kept."""
+def json_archive(spark: SparkSession, path: str, items: str, item_schema: str, period_pattern: str = r"(\d{4})[^/]*$", one_object: bool = True) -> DataFrame:
+    """JSON objects with a list of structs, one a file or one a line: a row an item, the period taken from the file's path (by default its name), meta kept."""
     schema = f"status string, meta map<string,string>, {items} array<struct<{item_schema}>>"
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
-    period = F.regexp_extract(F.col("_metadata.file_name"), period_pattern, 1).try_cast("int")
+    raw = spark.read.schema(schema).option("multiLine", one_object).json(path)
+    period = F.regexp_extract(F.col("_metadata.file_path"), period_pattern, 1).try_cast("int")
     return raw.select(period.alias("period"), "meta", F.inline(items))
 
 
@@ -57,15 +58,31 @@ def landed(spark: SparkSession, paths: Mapping[int, str], columns: Sequence[str]
     return out
 
 
-def publish(df: DataFrame, path: str, keys: Sequence[str] = (), mode: str = "overwrite") -> DataFrame:
-    """Write, read back, compare schema and (by one aggregate each) rows and keys; then return the table."""
-    df.write.mode(mode).parquet(path)
-    back = df.sparkSession.read.parquet(path)
+def publish(df: DataFrame, path: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Write beside path, read back, compare schema, rows and keys; only then put it in place of what is there.
+
+    What was at path stays until the new table has passed, and also if it has not.
+    """
+    spark, seen, beside = df.sparkSession, Observation(), f"{path}.{uuid.uuid4().hex}"
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(beside)
+    back = spark.read.parquet(beside)
     if [(f.name, f.dataType) for f in back.schema] != [(f.name, f.dataType) for f in df.schema]:
         raise ContractError(f"{path} reads back with another schema")
+    if back.count() != seen.get["n"]:
+        raise ContractError(f"{path} reads back with another number of rows")
     if keys and not back.groupBy(*keys).count().filter("count > 1").isEmpty():
         raise ContractError(f"{path}: {', '.join(keys)} is not a key")
-    return back
+    moved(spark, beside, path)
+    return spark.read.parquet(path)
+
+
+def moved(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a folder to another, which is deleted first, by Hadoop's file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(path(target), True)
+    if not system.rename(path(source), path(target)):
+        raise OSError(f"can't rename {source} to {target}")
 
 
 def preserve(df: DataFrame, path: str) -> None:
@@ -139,14 +156,18 @@ def segment_manifest(df: DataFrame, segment: str, features: Sequence[str]) -> Da
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """column_name, data_type, n_rows, n_null, null_pct and n_distinct of every column, in one pass."""
+    """column_name, data_type, n_rows, n_null, null_pct, n_distinct (approximate) and whether it may be an id, of every column, in one pass.
+
+    An id candidate has no nulls and as many values as rows, up to the error of the estimate (3 x 2%).
+    """
     cols = df.columns
     aggs = [F.count("*").alias("n")]
     for i, x in enumerate(cols):
-        aggs += [F.count_if(F.col(x).isNull()).alias(f"z{i}"), F.approx_count_distinct(x).alias(f"d{i}")]
+        aggs += [F.count_if(F.col(x).isNull()).alias(f"z{i}"), F.approx_count_distinct(x, 0.02).alias(f"d{i}")]
     kinds = dict(df.dtypes)
     rows = F.array(*(F.struct(F.lit(x).alias("column_name"), F.lit(kinds[x]).alias("data_type"), F.col("n").alias("n_rows"), F.col(f"z{i}").alias("n_null"), F.col(f"d{i}").alias("n_distinct")) for i, x in enumerate(cols)))
-    return df.agg(*aggs).select(F.inline(rows)).withColumn("null_pct", F.try_divide(F.col("n_null") * 100.0, "n_rows"))
+    out = df.agg(*aggs).select(F.inline(rows)).withColumn("null_pct", F.try_divide(F.col("n_null") * 100.0, "n_rows"))
+    return out.withColumn("id_candidate", (F.col("n_null") == 0) & (F.col("n_distinct") >= 0.94 * F.col("n_rows")))
 
 
 def first_available(df: DataFrame, features: Sequence[str], period: str) -> DataFrame:
