@@ -141,6 +141,17 @@ def close(a: Column | str, b: Column | str, within: float = 1e-10) -> Column:
     return F.abs(c(a) - c(b)) <= within
 
 
+def represented(components: Column, a: Column | str, b: Column | str) -> tuple[Column, Column]:
+    """Two inputs: a and b where components holds, else their total and the share of a in it."""
+    x, y = c(a).cast("double"), c(b).cast("double")
+    return F.when(components, x).otherwise(x + y), F.when(components, y).otherwise(F.try_divide(x, x + y))
+
+
+def exclusive(flags: Sequence[Column]) -> Column:
+    """A condition that always holds, and fails the job where not exactly one flag is set."""
+    return F.assert_true(reduce(add, (flag(x) for x in flags)) == 1, F.lit("not exactly one flag is set")).isNull()
+
+
 def implied_share(parts: Column, shares: Column) -> Column:
     """Sum of parts over the sum of the totals that each share implies, at most 1. An aggregate."""
     total = F.sum(F.when(shares > 0, parts / shares))

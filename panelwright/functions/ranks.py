@@ -85,6 +85,12 @@ def correlation(x: Column | str, y: Column | str) -> Column:
     return F.when((sx > 1e-12) & (sy > 1e-12), F.covar_pop(a, b) / F.nullif(sx * sy, F.lit(0.0)))
 
 
+def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, least: int = 3) -> DataFrame:
+    """n and spearman by group; null below so many rows or without variance."""
+    ranked = df.select(*by, average_rank(x, by).alias("__x"), average_rank(y, by).alias("__y"))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, correlation("__x", "__y")).alias("spearman"))
+
+
 def sample_skew(x: Column | str) -> Column:
     """Bias-corrected skewness; null below three values or without variance."""
     n = F.count(c(x)).cast("double")

@@ -37,29 +37,52 @@ def power_calibration(rows: DataFrame, keys: Sequence[str], rank: str, target: s
 
 
 def apply_power(rank: Column | str) -> Column:
+    """The calibrated value of a rank, on a row that has alpha and beta."""
     return F.col("alpha") * F.pow(rank, -F.col("beta"))
 
 
 #: Largest correction of any adjuster, either way.
 BOUND = 0.75
-# Bounded corrections by name: columns of a row and of a parameter row p_* to a correction.
-ADJUSTERS: Mapping[str, Callable[[], Column]] = {
-    "count": lambda: F.col("p_coef") * F.try_divide(F.col("count") - F.col("count_mean"), F.col("count_std")),
-    "burden": lambda: -F.col("p_penalty") * hinge("burden", 6.0),
-    "share": lambda: F.col("p_coef") * F.try_divide(F.col("share") - F.col("share_mean"), F.col("share_std")),
-    "steps": lambda: -(F.col("p_penalty") * hinge("burden", 2.0) + F.col("p_penalty_2") * hinge("burden", 4.0) + F.col("p_penalty_3") * hinge("burden", 6.0)),
-    "gated": lambda: hinge("burden", 4.0) * (F.col("p_up") * gate("base", 4.0, 4.0) - F.col("p_low") * gate(8.0 - F.col("base"), 4.0, 4.0)),
+# Bounded corrections by name: parameters to a correction from a row's columns, its fold's means and deviations among them.
+ADJUSTERS: Mapping[str, Callable[[Mapping[str, float]], Column]] = {
+    "count": lambda p: p["p_coef"] * F.try_divide(F.col("count") - F.col("count_mean"), F.nullif(F.col("count_std"), F.lit(0.0))),
+    "burden": lambda p: -p["p_penalty"] * hinge("burden", 6.0),
+    "share": lambda p: p["p_coef"] * F.try_divide(F.col("share") - F.col("share_mean"), F.nullif(F.col("share_std"), F.lit(0.0))),
+    "steps": lambda p: -(p["p_penalty"] * hinge("burden", 2.0) + p["p_penalty_2"] * hinge("burden", 4.0) + p["p_penalty_3"] * hinge("burden", 6.0)),
+    "gated": lambda p: hinge("burden", 4.0) * (p["p_up"] * gate("base", 4.0, 4.0) - p["p_low"] * gate(4.0 - F.col("base"), 0.0, 4.0)),
 }
 
 
-def bounded(name: str, bound: float = BOUND) -> Column:
-    return F.coalesce(clip(ADJUSTERS[name](), -bound, bound), F.lit(0.0))
+def bounded(name: str, setting: Mapping[str, float], bound: float = BOUND) -> Column:
+    """A correction under one setting of its parameters."""
+    return F.coalesce(clip(ADJUSTERS[name](setting), -bound, bound), F.lit(0.0))
 
 
-def grid_errors(rows: DataFrame, grid: DataFrame, keys: Sequence[str], name: str, base: str, target: str) -> DataFrame:
-    """Mean absolute error of base + correction for every parameter row (a few hundred), by key."""
-    fixed = F.abs(F.col(target) - F.col(base) - bounded(name))
-    return rows.join(F.broadcast(grid)).groupBy(*keys, *grid.columns).agg(F.avg(fixed).alias("mae"), F.avg(F.abs(F.col(target) - F.col(base))).alias("base_mae"), F.count("*").alias("n"))
+# The adjusters' parameter grids.
+SIGNED = (-0.40, -0.25, -0.15, -0.10, -0.05, 0.0, 0.05, 0.10, 0.15, 0.25, 0.40)
+PENALTY = (0.0, 0.025, 0.05, 0.10, 0.15, 0.25)
+STEPS = (0.0, 0.025, 0.05, 0.10)
+SHRINKAGE = (0.0, 0.25, 0.50, 0.75, 1.0)
+GRIDS: Mapping[str, Sequence[Mapping[str, float]]] = {
+    "count": [{"p_coef": x} for x in SIGNED],
+    "burden": [{"p_penalty": x} for x in PENALTY],
+    "share": [{"p_coef": x} for x in SIGNED],
+    "steps": [{"p_penalty": a, "p_penalty_2": b, "p_penalty_3": c} for a in STEPS for b in STEPS for c in STEPS],
+    "gated": [{"p_low": a, "p_up": b} for a in PENALTY for b in PENALTY],
+}
+
+
+def grid_errors(rows: DataFrame, keys: Sequence[str], base: str, target: str, grids: Mapping[str, Sequence[Mapping[str, float]]] = GRIDS) -> DataFrame:
+    """keys, name, setting (its place in the grid), mae, base_mae and n of base + correction for every setting of every adjuster.
+
+    Rows are read once: each setting's error is a sum of its own, so nothing is repeated or joined.
+    """
+    places = [(name, i, s) for name, grid in grids.items() for i, s in enumerate(grid)]
+    out = rows
+    error = lambda name, s: F.abs(F.col(target) - F.col(base) - bounded(name, s))
+    sums = out.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.abs(F.col(target) - F.col(base))).alias("base_mae"), F.array(*(F.avg(error(name, s)) for name, _, s in places)).alias("maes"))
+    named = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(i).alias("setting"), F.get("maes", F.lit(j)).alias("mae")) for j, (name, i, _) in enumerate(places)))
+    return sums.select(*keys, "n", "base_mae", F.inline(named))
 
 
 def blended(rows: DataFrame, keys: Sequence[str], period: str, a: str, b: str, target: str, weights: Sequence[float]) -> DataFrame:

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import compact_key
+
 
 class ContractError(ValueError):
     pass
@@ -37,9 +39,11 @@ class TableContract:
         return df.select(*(F.col(have[physical.lower()]).alias(name) for name, physical in self.columns.items()))
 
     def gaps(self, df: DataFrame) -> DataFrame:
-        """kind and value of every required period or segment that df lacks."""
+        """kind and value of every required column, period or segment that df lacks, and a row of kind rows if it is empty."""
         spark = df.sparkSession
-        out = spark.createDataFrame([], "kind string, value string")
+        have = {x.lower() for x in df.columns}
+        lacking = [("column", x) for x in self.columns.values() if x.lower() not in have] + ([("rows", "none")] if df.isEmpty() else [])
+        out = spark.createDataFrame(lacking, "kind string, value string")
         for kind, col, wanted in (("period", self.period_col, self.periods), ("segment", self.segment_col, self.segments)):
             if wanted:
                 need = spark.createDataFrame([(str(x),) for x in wanted], "value string")
@@ -109,3 +113,72 @@ def findings(df: DataFrame, checks: Iterable[Check]) -> DataFrame:
         F.when(F.col("affected") == 0, "pass").otherwise("fail").alias("status"),
         "affected", "total", F.try_divide("affected", "total").alias("rate"),
     )
+
+
+def without_boundary(df: DataFrame, period: str, first: int, segment: str) -> tuple[DataFrame, DataFrame]:
+    """df without its periods up to first, which remain as history only, and rows before, removed and after by segment."""
+    kept = F.col(period) > first
+    audit = df.groupBy(segment).agg(F.count("*").alias("n_before"), F.count_if(~kept).alias("n_removed"), F.count_if(kept).alias("n_after"))
+    return df.filter(kept), audit
+
+
+def browsed(df: DataFrame, equal: Mapping[str, object], name: str, part: str) -> DataFrame:
+    """Rows of the given values whose name contains part, without regard to case."""
+    for column, value in equal.items():
+        df = df.filter(F.col(column) == value)
+    return df.filter(F.lower(name).contains(part.lower()))
+
+
+def assert_inputs(features: Iterable[str], forbidden: Iterable[str]) -> None:
+    """ContractError if a model would read what it may not know."""
+    found = sorted(set(features) & set(forbidden))
+    if found:
+        raise ContractError(f"forbidden inputs: {', '.join(found)}")
+
+
+def input_audit(df: DataFrame, features: Sequence[str], forbidden: Sequence[str], first: Column) -> DataFrame:
+    """feature, forbidden and n_first: how many rows without a past have a value."""
+    counts = df.agg(*(F.count(F.when(first, F.col(x))).alias(x) for x in features)).unpivot([], list(features), "feature", "n_first")
+    return counts.withColumn("forbidden", F.col("feature").isin(*forbidden))
+
+
+def one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which every row of either side has exactly one partner; ContractError otherwise."""
+    a, b = left.withColumn("__l", F.lit(1)), right.withColumn("__r", F.lit(1))
+    sides = a.select(*keys, "__l", F.lit(0).alias("__r")).unionByName(b.select(*keys, F.lit(0).alias("__l"), "__r"))
+    if not sides.groupBy(*keys).agg(F.sum("__l").alias("l"), F.sum("__r").alias("r")).filter("l != 1 or r != 1").isEmpty():
+        raise ContractError(f"{', '.join(keys)} doesn't pair the rows one to one")
+    return left.join(right, list(keys))
+
+
+def group_counts(df: DataFrame, period: str, group: str, wanted: int, *more: Column) -> DataFrame:
+    """Groups and rows a period, and whether there is one row for each of the wanted groups."""
+    n, rows = F.count_distinct(group), F.count("*")
+    return df.groupBy(period).agg(n.alias("n_groups"), rows.alias("n_rows"), ((n == wanted) & (rows == wanted)).alias("complete"), *more)
+
+
+def name_join(left: DataFrame, right: DataFrame, left_name: str, right_name: str, on: Sequence[str] = ()) -> DataFrame:
+    """Left join by normalised names within the columns on; a key that two rows of a side share is a ContractError."""
+    key = [*on, "__key"]
+    a = assert_unique(left.withColumn("__key", compact_key(left_name)), key)
+    b = assert_unique(right.withColumn("__key", compact_key(right_name)).drop(right_name), key)
+    return a.join(b, key, "left").drop("__key")
+
+
+def ranking_audit(df: DataFrame, by: Sequence[str], rank: str, size: str, score: str) -> DataFrame:
+    """n, missing entities of the full size, ranks out of bounds, ties, and scores (1 best, 0 last) that don't follow from the rank."""
+    r, n = F.col(rank), F.col(size)
+    return df.groupBy(*by).agg(
+        F.count("*").alias("n"), (F.max(n) - F.count("*")).alias("n_missing"), F.count_if((r < 1) | (r > n)).alias("n_out"), (F.count("*") - F.count_distinct(r)).alias("n_tied"),
+        F.count_if(F.abs(1 + (1 - F.col(score)) * (n - 1) - r) > 1e-9).alias("n_inconsistent"), F.count_if(F.col(score).isNull()).alias("n_without_score"),
+    )
+
+
+def key_findings(df: DataFrame, key: str, segment: str) -> DataFrame:
+    """check_name and affected: rows without a key, keys of several rows, keys of several segments."""
+    per = df.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct(segment).alias("kinds"))
+    counts = per.agg(
+        F.coalesce(F.sum(F.when(F.col(key).isNull(), F.col("n"))), F.lit(0)).alias("missing_key"),
+        F.count_if(F.col(key).isNotNull() & (F.col("n") > 1)).alias("duplicate_key"), F.count_if(F.col(key).isNotNull() & (F.col("kinds") > 1)).alias("segment_mismatch"),
+    )
+    return counts.unpivot([], ["missing_key", "duplicate_key", "segment_mismatch"], "check_name", "affected")

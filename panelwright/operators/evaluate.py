@@ -6,7 +6,7 @@ Everything is grouped aggregation over ranked rows; bootstraps run on sums by pe
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,7 +70,8 @@ def leave_one_out(per: DataFrame, by: Sequence[str], gain: str, n: str) -> DataF
 
 def draw(replicate: Column, position: Column, n: Column, seed: int) -> Column:
     """A place from 1 to n that depends on its arguments only."""
-    return F.pmod(F.xxhash64(F.lit(seed), replicate, position), n) + 1
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), replicate.cast("string"), position.cast("string")).cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), n) + 1
 
 
 def block_bootstrap(per: DataFrame, by: Sequence[str], period: str, total: str, n: str, replicates: int, seed: int = 446) -> DataFrame:
@@ -83,7 +84,7 @@ def block_bootstrap(per: DataFrame, by: Sequence[str], period: str, total: str,
     placed = per.withColumn("__i", F.row_number().over(w.orderBy(period)).cast("long")).withColumn("__n", F.count("*").over(w))
     drawn = placed.select(*by, F.col("__i").alias("__position"), "__n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     drawn = drawn.withColumn("__i", draw(F.col("replicate"), F.col("__position"), F.col("__n"), seed))
-    sums = drawn.join(F.broadcast(placed.drop("__n")), [*by, "__i"]).groupBy(*by, "replicate").agg(
+    sums = drawn.join(placed.drop("__n"), [*by, "__i"]).groupBy(*by, "replicate").agg(
         F.try_divide(F.sum(total), F.sum(n)).alias("pooled"), F.avg(F.col(total) / F.col(n)).alias("of_means")
     )
     q = lambda x, p: F.percentile(x, F.lit(p))
@@ -122,13 +123,17 @@ def top_status(actual_rank: Column | str, predicted_rank: Column | str, top: int
 
 
 def stability(coefficients: DataFrame, by: Sequence[str], order: str, value: str = "coefficient") -> DataFrame:
-    """mean, deviation, extremes, changes of sign between successive non-zero folds, and an unstable flag."""
+    """mean, deviation, extremes, changes of sign between successive non-zero folds with their rate, and an unstable flag.
+
+    Unstable: a quarter of the successive pairs change sign, or the deviation is above the mean's size.
+    """
     sign = F.signum(value)
     before = F.lag("__sign").over(Window.partitionBy(*by).orderBy(order))
-    changes = coefficients.filter(F.col(value) != 0).withColumn("__sign", sign).withColumn("__before", before).groupBy(*by).agg(F.count_if(F.col("__sign") != F.col("__before")).alias("sign_changes"))
+    changes = coefficients.filter(F.col(value) != 0).withColumn("__sign", sign).withColumn("__before", before).groupBy(*by).agg(F.count_if(F.col("__sign") != F.col("__before")).alias("sign_changes"), F.count("__before").alias("__pairs"))
     spread = coefficients.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
     out = spread.join(changes, list(by), "left").withColumn("sign_changes", F.coalesce("sign_changes", F.lit(0)))
-    return out.withColumn("unstable", (F.col("sign_changes") >= 2) | (F.coalesce("std", F.lit(0.0)) > F.abs("mean")))
+    out = out.withColumn("change_rate", F.coalesce(F.try_divide("sign_changes", "__pairs"), F.lit(0.0))).drop("__pairs")
+    return out.withColumn("unstable", (F.col("change_rate") >= 0.25) | (F.coalesce("std", F.lit(0.0)) > F.abs("mean")))
 
 
 def auc(rows: DataFrame, by: Sequence[str], label: str, probability: str) -> DataFrame:
@@ -147,6 +152,7 @@ def decided(rows: DataFrame, rules: Sequence[tuple[str, Column]], otherwise: str
     return rows.withColumn(name, out.otherwise(otherwise))
 
 
+# Fixed values of the rule sets below: least gains and periods, and how much ranking or bias may lose.
 def adaptive_rules() -> list[tuple[str, Column]]:
     """Accept with a full rank, a gain that most periods or the interval back, and no loss in ranking."""
     gain = F.col("improvement") > 0
@@ -167,6 +173,15 @@ def tree_rules() -> list[tuple[str, Column]]:
     return [("PROMOTE", (F.col("improvement") > 0) & (F.col("wins") >= F.ceil(F.col("n_folds") / 2)) & (F.col("spearman_change") >= -0.005))]
 
 
+def role_rules() -> list[tuple[str, Column]]:
+    backed = (F.col("improvement") > 0) & (F.col("low") > 0)
+    return [("ADVANCE", backed & (F.col("n_folds") >= 7)), ("PROMISING_LIMITED_HISTORY", backed)]
+
+
+def screen_rules() -> list[tuple[str, Column]]:
+    return [("PASS", (F.col("improvement") >= 0.005) & (F.col("spearman_change") >= -0.005) & (F.col("low_bias_change") <= 0.02) & (F.col("high_bias_change") >= -0.05))]
+
+
 def success_rules() -> list[tuple[str, Column]]:
     gain = F.col("improvement")
     return [
@@ -181,10 +196,16 @@ def tuned(scores: DataFrame, keys: Sequence[str], simplicity: Sequence[Column])
     return scores.withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r")
 
 
-def same_cohort(predictions: Mapping[str, DataFrame], keys: Sequence[str], value: str = "predicted") -> DataFrame:
-    """One column a model, over the rows that every model predicts."""
-    out = None
-    for name, df in predictions.items():
-        one = df.select(*keys, F.col(value).alias(name))
-        out = one if out is None else out.join(one, list(keys))
-    return out
+def selected(predictions: DataFrame, keys: Sequence[str], model: str, name: str) -> DataFrame:
+    """One model's rows of a long table, keys and prediction, renamed."""
+    return predictions.filter(F.col("model") == model).select(*keys, F.col("predicted").alias(name))
+
+
+def pairing_audit(predictions: DataFrame, keys: Sequence[str], by: Sequence[str], models: Sequence[str]) -> DataFrame:
+    """By group of a long table: entities, those that lack a model or have one twice, and predictions that aren't finite numbers."""
+    p = F.col("predicted")
+    finite = p.isNotNull() & ~F.isnan(p) & (F.abs(p) < float("inf"))
+    per = predictions.groupBy(*dict.fromkeys([*by, *keys])).agg(F.count("*").alias("rows"), F.count_distinct("model").alias("models"), F.count_if(~finite).alias("bad"))
+    return per.groupBy(*by).agg(
+        F.count("*").alias("n"), F.count_if(F.col("models") < len(models)).alias("n_unpaired"), F.count_if(F.col("rows") > F.col("models")).alias("n_repeated"), F.sum("bad").alias("n_not_finite")
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,9 +16,9 @@ def expanding_folds(data: DataFrame, period: str, segment: str, least_train: int
 
 
 def with_roles(data: DataFrame, folds: DataFrame, period: str, segment: str) -> DataFrame:
-    """data once a fold, role train (before it) or valid (in it). Folds are as few as periods."""
+    """data once a fold, role train (before it) or valid (in it). Each row is repeated for all later folds; sums don't need that, see linear.fold_sums."""
     f = folds.select(F.col(segment).alias("__segment"), "fold")
-    both = data.join(F.broadcast(f), (F.col(segment) == F.col("__segment")) & (F.col(period) <= F.col("fold")))
+    both = data.join(f, (F.col(segment) == F.col("__segment")) & (F.col(period) <= F.col("fold")))
     return both.withColumn("role", F.when(F.col(period) < F.col("fold"), "train").otherwise("valid")).drop("__segment")
 
 
@@ -26,7 +26,7 @@ def evaluation_start(folds: DataFrame, segment: str, preferred: int) -> DataFram
     """The first period from the preferred one on that has a fold in every segment."""
     n = folds.select(segment).distinct().agg(F.count("*").alias("n"))
     by_fold = folds.filter(F.col("fold") >= preferred).groupBy("fold").agg(F.count_distinct(segment).alias("k"))
-    return by_fold.join(F.broadcast(n), F.col("k") == F.col("n")).agg(F.min("fold").alias("start"))
+    return by_fold.join(n, F.col("k") == F.col("n")).agg(F.min("fold").alias("start"))
 
 
 def inner_periods(folds: DataFrame, segment: str, last: int = 5, least: int = 3) -> DataFrame:
@@ -51,3 +51,14 @@ def modal_recent(choices: DataFrame, keys: Sequence[str], period: str, columns:
     counted = recent.groupBy(*keys, *columns).agg(F.count("*").alias("n"), F.min(period).alias("__first"))
     order = Window.partitionBy(*keys).orderBy(F.desc("n"), "__first", *columns)
     return counted.withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r", "__first")
+
+
+def chosen_inside(scores: DataFrame, inner: DataFrame, by: Sequence[str], setting: Sequence[str], simplicity: Sequence[Column]) -> DataFrame:
+    """For every fold the setting with the least mean error over its inner folds (to 9 places, then the simplest), and its score on the fold itself.
+
+    scores has by, fold, the setting's columns and mae.
+    """
+    keys = [*by, "fold"]
+    past = inner.join(scores.select(*by, F.col("fold").alias("inner_fold"), *setting, "mae"), [*by, "inner_fold"]).groupBy(*keys, *setting).agg(F.avg("mae").alias("inner_mae"))
+    order = Window.partitionBy(*keys).orderBy(F.round("inner_mae", 9), *simplicity)
+    return past.withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r").join(scores, [*keys, *setting])

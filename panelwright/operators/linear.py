@@ -1,55 +1,68 @@
 """Linear models from sufficient statistics.
 
-Data is expanded to (segment, fold), imputed with the fold's training medians and summed
-to one Gram matrix a fold. Ordinary least squares, every ridge and every elastic net of a
-grid then cost one small solve a fold on executors; no fit looks at rows again.
+Folds expand: what a fold trains on is what the fold before trained on, and the periods in
+between. So data is summed once by (segment, period), and a running sum over the periods
+gives every fold's counts, means, deviations and Gram matrix; no row is repeated. Missing
+values are summed beside the known ones, so the fold's median can be put in afterwards.
+Every specification, least squares, every ridge and every elastic net of a grid then cost
+one small solve a fold on executors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import add
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Penalties of the grids.
 RIDGE = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
 NET_ALPHA, NET_L1 = (0.001, 0.01, 0.1, 1.0, 10.0), (0.05, 0.25, 0.5, 0.75, 0.95)
-COEF = "method string, alpha double, l1 double, intercept double, coef array<double>"
+SETTING = ["spec", "method", "alpha", "l1"]
+COEF = "spec string, n_inputs int, method string, alpha double, l1 double, intercept double, coef array<double>, coef_z array<double>, med array<double>"
 
 
-def fold_statistics(expanded: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """Training medians, and means and population deviations after imputing, by fold."""
-    train = expanded.filter("role = 'train'")
-    medians = train.groupBy(*keys).agg(*(F.coalesce(F.median(x), F.lit(0.0)).alias(f"{x}__med") for x in features))
-    filled = train.join(F.broadcast(medians), list(keys))
-    value = lambda x: F.coalesce(F.col(x).cast("double"), F.col(f"{x}__med"))
-    rest = filled.groupBy(*keys).agg(*(F.avg(value(x)).alias(f"{x}__mean") for x in features), *(F.stddev_pop(value(x)).alias(f"{x}__std") for x in features))
-    return medians.join(rest, list(keys))
+def period_sums(rows: DataFrame, by: Sequence[str], period: str, features: Sequence[str], target: str) -> DataFrame:
+    """n, s and p by group and period: sums and products (upper triangle, by rows) of v = (known features or 0, missing flags, target)."""
+    v = [*(F.coalesce(F.col(x).cast("double"), F.lit(0.0)) for x in features), *(F.isnull(x).cast("double") for x in features), F.col(target).cast("double")]
+    pairs = [(i, j) for i in range(len(v)) for j in range(i, len(v))]
+    return rows.groupBy(*by, period).agg(F.count("*").alias("n"), F.array(*(F.sum(x) for x in v)).alias("s"), F.array(*(F.sum(v[i] * v[j]) for i, j in pairs)).alias("p"))
 
 
-def standardized(expanded: DataFrame, statistics: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """x: array of the imputed, standardized features (0 where a feature has no variance). Statistics are a row a fold."""
-    both = expanded.join(F.broadcast(statistics), list(keys))
-    z = [F.when(F.col(f"{x}__std") > 1e-12, (F.coalesce(F.col(x).cast("double"), F.col(f"{x}__med")) - F.col(f"{x}__mean")) / F.col(f"{x}__std")).otherwise(0.0) for x in features]
-    return both.withColumn("x", F.array(*z)).drop(*(f"{x}__{s}" for x in features for s in ("med", "mean", "std")))
+def fold_sums(rows: DataFrame, by: Sequence[str], period: str, features: Sequence[str], target: str, least: int = 50) -> DataFrame:
+    """by, fold, n, s and p over all periods before each fold, with n_valid rows in it, where there are `least` to train on; and med."""
+    m = 2 * len(features) + 1
+    sums = period_sums(rows, by, period, features, target)
+    before = Window.partitionBy(*by).orderBy(period).rangeBetween(Window.unboundedPreceding, -1)
+    past = lambda c, k: F.array(*(F.sum(F.get(c, F.lit(i))).over(before) for i in range(k)))
+    out = sums.select(*by, F.col(period).alias("fold"), F.col("n").alias("n_valid"), F.sum("n").over(before).alias("n"), past("s", m).alias("s"), past("p", m * (m + 1) // 2).alias("p")).filter(F.col("n") >= least)
+    return with_medians(out, rows, by, period, features)
 
 
-def gram(rows: DataFrame, keys: Sequence[str], k: int, target: str) -> DataFrame:
-    """n, sums of x and y, x'x (upper triangle, by rows) and x'y, a row a key."""
-    x = lambda i: F.get("x", F.lit(i))
-    y = F.col(target).cast("double")
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"),
-        F.array(*(F.sum(x(i)) for i in range(k))).alias("sx"),
-        F.array(*(F.sum(x(i) * x(j)) for i, j in pairs)).alias("sxx"),
-        F.array(*(F.sum(x(i) * y) for i in range(k))).alias("sxy"),
-    )
+def all_sums(rows: DataFrame, by: Sequence[str], period: str, features: Sequence[str], target: str) -> DataFrame:
+    """As fold_sums, over all periods, for a final fit: a row a group."""
+    m = 2 * len(features) + 1
+    total = lambda c, k: F.array(*(F.sum(F.get(c, F.lit(i))) for i in range(k)))
+    out = period_sums(rows, by, period, features, target).groupBy(*by).agg(F.sum("n").alias("n"), (F.max(period) + 1).alias("fold"), total("s", m).alias("s"), total("p", m * (m + 1) // 2).alias("p"))
+    return with_medians(out, rows, by, period, features)
+
+
+def with_medians(sums: DataFrame, rows: DataFrame, by: Sequence[str], period: str, features: Sequence[str]) -> DataFrame:
+    """sums with med, the exact training medians of features that miss values there; 0 for the others, which need none.
+
+    Only groups and folds with a missing value look at their rows' distinct values again.
+    """
+    k = len(features)
+    lacks = lambda i: F.get("s", F.lit(k + i)) > 0
+    need = sums.filter(reduce(lambda a, b: a | b, map(lacks, range(k)))).select(*(F.col(x).alias(f"__{x}") for x in by), "fold")
+    same = reduce(lambda a, b: a & b, (F.col(x) == F.col(f"__{x}") for x in by))
+    medians = rows.join(need, same & (F.col(period) < F.col("fold"))).groupBy(*(F.col(x) for x in by), "fold").agg(F.array(*(F.coalesce(F.median(F.col(x).cast("double")), F.lit(0.0)) for x in features)).alias("med"))
+    zero = F.array(*(F.lit(0.0) for _ in features))
+    return sums.join(medians, [*by, "fold"], "left").withColumn("med", F.coalesce("med", zero))
 
 
 def net(a: np.ndarray, b: np.ndarray, n: float, alpha: float, l1: float, rounds: int = 1000, within: float = 1e-9) -> np.ndarray:
@@ -68,71 +81,130 @@ def net(a: np.ndarray, b: np.ndarray, n: float, alpha: float, l1: float, rounds:
     return w
 
 
-def centred(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """x'x and x'y about their means, the means of x, and that of y."""
-    k = len(row["sx"])
-    full = np.zeros((k, k))
-    full[np.triu_indices(k)] = row["sxx"]
+def design(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """x'x and x'y of imputed, standardized features about their means, these means and deviations, and the mean of y. A feature without variance is 0."""
+    s, med, n = np.asarray(row["s"]), np.asarray(row["med"]), row["n"]
+    k, m = len(med), len(s)
+    full = np.zeros((m, m))
+    full[np.triu_indices(m)] = row["p"]
     full = full + np.triu(full, 1).T
-    mx, my = np.asarray(row["sx"]) / row["n"], row["sy"] / row["n"]
-    return full - row["n"] * np.outer(mx, mx), np.asarray(row["sxy"]) - row["n"] * mx * my, mx, my
+    put = np.hstack([np.eye(k), np.diag(med)])  # known value, or the median where it is missing
+    mean, my = put @ s[: 2 * k] / n, s[-1] / n
+    xx, xy = put @ full[: 2 * k, : 2 * k] @ put.T - n * np.outer(mean, mean), put @ full[: 2 * k, -1] - n * mean * my
+    std = np.sqrt(np.maximum(np.diag(xx), 0) / n)
+    std[std <= 1e-12 * np.maximum(1, np.abs(mean))] = 0
+    scale = np.divide(1, std, out=np.zeros(k), where=std > 0)
+    return xx * np.outer(scale, scale), xy * scale, mean, std, my
+
+
+def key_kinds(df: DataFrame, keys: Sequence[str]) -> str:
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
-def fits(grams: DataFrame, keys: Sequence[str], ridge: Sequence[float] = RIDGE, net_alpha: Sequence[float] = (), net_l1: Sequence[float] = ()) -> DataFrame:
-    """Coefficients of every method and penalty, a row each: method, alpha, l1, intercept, coef."""
-    kinds = ", ".join(f"`{k}` {grams.schema[k].dataType.simpleString()}" for k in keys)
+def fits(sums: DataFrame, keys: Sequence[str], specs: Mapping[str, Sequence[int]], ridge: Sequence[float] = RIDGE, net_alpha: Sequence[float] = (), net_l1: Sequence[float] = ()) -> DataFrame:
+    """Coefficients of every specification (places of its features), method and penalty, a row each.
 
+    intercept and coef are in the features' own units, coef_z in deviations; features that
+    are not in a specification have 0. med is what missing values count as.
+    """
     def solve(batches):
         for batch in batches:
             out = []
             for _, row in batch.iterrows():
-                a, b, mx, my = centred(row)
-                found = [("ols", 0.0, 0.0, np.linalg.lstsq(a, b, rcond=1e-10)[0])]
-                found += [("ridge", r, 0.0, np.linalg.solve(a + r * np.eye(len(b)), b)) for r in ridge]
-                found += [("net", al, l1, net(a, b, row["n"], al, l1)) for al in net_alpha for l1 in net_l1]
-                out += [(*(row[k] for k in keys), m, float(al), float(l1), float(my - mx @ w), w.tolist()) for m, al, l1, w in found]
-            yield pd.DataFrame(out, columns=[*keys, "method", "alpha", "l1", "intercept", "coef"])
+                a, b, mean, std, my = design(row)
+                for spec, at in specs.items():
+                    sub, rhs = a[np.ix_(at, at)], b[list(at)]
+                    found = [("ols", 0.0, 0.0, np.linalg.lstsq(sub, rhs, rcond=1e-10)[0])]
+                    found += [("ridge", r, 0.0, np.linalg.solve(sub + r * np.eye(len(rhs)), rhs)) for r in ridge]
+                    found += [("net", al, l1, net(sub, rhs, row["n"], al, l1)) for al in net_alpha for l1 in net_l1]
+                    for method, al, l1, w in found:
+                        z = np.zeros(len(b))
+                        z[list(at)] = w
+                        units = np.divide(z, std, out=np.zeros(len(z)), where=std > 0)
+                        out.append((*(row[k] for k in keys), spec, len(at), method, float(al), float(l1), float(my - units @ mean), units.tolist(), z.tolist(), list(row["med"])))
+            yield pd.DataFrame(out, columns=[*keys, *(c.split()[0] for c in COEF.split(", "))])
 
-    return grams.mapInPandas(solve, f"{kinds}, {COEF}")
+    return sums.mapInPandas(solve, f"{key_kinds(sums, keys)}, {COEF}")
 
 
-def scored(rows: DataFrame, coefficients: DataFrame, keys: Sequence[str], name: str = "predicted") -> DataFrame:
-    """rows once a coefficient row of their fold, with the prediction. Coefficients are few rows a fold."""
-    dot = F.aggregate(F.zip_with("x", "coef", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return rows.join(F.broadcast(coefficients), list(keys)).withColumn(name, F.col("intercept") + dot)
+def predicted(features: Sequence[str]) -> Column:
+    """The prediction of a row joined with a row of coefficients."""
+    value = lambda i, x: F.coalesce(F.col(x).cast("double"), F.get("med", F.lit(i)))
+    return F.col("intercept") + reduce(add, (F.get("coef", F.lit(i)) * value(i, x) for i, x in enumerate(features)))
 
 
-def original_units(coefficients: DataFrame, statistics: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """feature, coefficient and intercept per key and method, for features as they were before standardizing."""
-    both = coefficients.join(F.broadcast(statistics), list(keys))
-    plain = [F.when(F.col(f"{x}__std") > 1e-12, F.get("coef", F.lit(i)) / F.col(f"{x}__std")).otherwise(0.0) for i, x in enumerate(features)]
-    base = F.col("intercept") - reduce(add, (p * F.col(f"{x}__mean") for p, x in zip(plain, features, strict=True)))
-    named = F.array(*(F.struct(F.lit(x).alias("feature"), p.alias("coefficient")) for p, x in zip(plain, features, strict=True)))
-    return both.withColumn("base", base).select(*keys, "method", "alpha", "l1", F.col("base").alias("intercept_units"), F.inline(named))
+def scored(rows: DataFrame, coefficients: DataFrame, by: Sequence[str], period: str, features: Sequence[str]) -> DataFrame:
+    """The rows of each fold's own period, once for each of its coefficient rows, with the prediction."""
+    return rows.withColumn("fold", F.col(period)).join(coefficients, [*by, "fold"]).withColumn("predicted", predicted(features))
 
 
-def rank_audit(grams: DataFrame, keys: Sequence[str], within: float = 1e-10) -> DataFrame:
-    """n_features, matrix rank, deficiency and condition number of the standardized design, by key."""
-    kinds = ", ".join(f"`{k}` {grams.schema[k].dataType.simpleString()}" for k in keys)
+def original_units(coefficients: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """feature, coefficient and intercept by key and setting."""
+    named = F.array(*(F.struct(F.lit(x).alias("feature"), F.get("coef", F.lit(i)).alias("coefficient")) for i, x in enumerate(features)))
+    return coefficients.select(*keys, *SETTING, "intercept", F.inline(named))
+
 
+def statistics(sums: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """feature, n, n_missing, med, mean and std (population) of the imputed training values, by key."""
     def run(batches):
         for batch in batches:
             out = []
             for _, row in batch.iterrows():
-                values = np.linalg.eigvalsh(centred(row)[0])[::-1]
+                _, _, mean, std, _ = design(row)
+                out += [(*(row[k] for k in keys), x, int(row["n"]), int(row["s"][len(features) + i]), float(row["med"][i]), float(mean[i]), float(std[i])) for i, x in enumerate(features)]
+            yield pd.DataFrame(out, columns=[*keys, "feature", "n", "n_missing", "med", "mean", "std"])
+
+    return sums.mapInPandas(run, f"{key_kinds(sums, keys)}, feature string, n long, n_missing long, med double, mean double, std double")
+
+
+def rank_audit(sums: DataFrame, keys: Sequence[str], within: float = 1e-10) -> DataFrame:
+    """n_features, matrix rank, deficiency and condition number of the standardized design, by key."""
+    def run(batches):
+        for batch in batches:
+            out = []
+            for _, row in batch.iterrows():
+                values = np.linalg.eigvalsh(design(row)[0])[::-1]
                 top = max(values[0], 0.0)
                 rank = int((values > within * max(top, 1e-300)).sum())
                 low = values[-1]
                 out.append((*(row[k] for k in keys), len(values), rank, len(values) - rank, float(np.sqrt(top / low)) if low > within * top else None))
             yield pd.DataFrame(out, columns=[*keys, "n_features", "matrix_rank", "deficiency", "condition"])
 
-    return grams.mapInPandas(run, f"{kinds}, n_features int, matrix_rank int, deficiency int, condition double")
+    return sums.mapInPandas(run, f"{key_kinds(sums, keys)}, n_features int, matrix_rank int, deficiency int, condition double")
 
 
-def correlations(grams: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """feature_a, feature_b and r of every pair a < b, by key, from the Gram matrix."""
-    k = len(features)
-    at = {(i, j): n for n, (i, j) in enumerate((i, j) for i in range(k) for j in range(i, k))}
-    cov = lambda i, j: F.get("sxx", F.lit(at[i, j])) - F.get("sx", F.lit(i)) * F.get("sx", F.lit(j)) / F.col("n")
-    rows = [F.struct(F.lit(features[i]).alias("feature_a"), F.lit(features[j]).alias("feature_b"), F.try_divide(cov(i, j), F.sqrt(F.greatest(cov(i, i) * cov(j, j), F.lit(0.0)))).alias("r")) for i in range(k) for j in range(i + 1, k)]
-    return grams.select(*keys, F.inline(F.array(*rows)))
+def correlations(sums: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """feature_a, feature_b and r of every pair a < b, by key; null where either has no variance."""
+    def run(batches):
+        for batch in batches:
+            out = []
+            for _, row in batch.iterrows():
+                a, n = design(row)[0], row["n"]
+                out += [(*(row[k] for k in keys), features[i], features[j], float(a[i, j] / n) if a[i, i] > 0 and a[j, j] > 0 else None) for i in range(len(features)) for j in range(i + 1, len(features))]
+            yield pd.DataFrame(out, columns=[*keys, "feature_a", "feature_b", "r"])
+
+    return sums.mapInPandas(run, f"{key_kinds(sums, keys)}, feature_a string, feature_b string, r double")
+
+
+def nested(rows: DataFrame, sums: DataFrame, coefficients: DataFrame, by: Sequence[str], period: str, features: Sequence[str], target: str, inner: DataFrame, choose: Sequence[str] = ("spec",)) -> DataFrame:
+    """For every fold and value of choose the setting that did best on the fold's inner folds, and what it does on the fold itself.
+
+    inner has by, fold and inner_fold, all before the fold: a fit of an inner fold knows
+    nothing later. The mean absolute error decides, then the mean rank correlation (made
+    for settings whose error is the same only), then fewer inputs and more shrinkage.
+    """
+    from .evaluate import tuned
+    from ..functions.ranks import spearman
+
+    keys = [*by, "fold"]
+    done = scored(rows, coefficients, by, period, features)
+    mae = done.groupBy(*keys, *SETTING, "n_inputs").agg(F.avg(F.abs(F.col("predicted") - F.col(target))).alias("mae"), F.count("*").alias("n"))
+    past = inner.join(mae.withColumnRenamed("fold", "inner_fold"), [*by, "inner_fold"]).groupBy(*keys, *SETTING, "n_inputs").agg(F.avg("mae").alias("mae"))
+    least = F.min("mae").over(Window.partitionBy(*keys, *choose))
+    even = past.withColumn("__least", least).filter(F.col("mae") <= F.col("__least") + 1e-12).drop("__least")
+    among = inner.join(even.select(*keys, *SETTING), keys).select(*by, F.col("inner_fold").alias("fold"), *SETTING).distinct()
+    ranks = spearman(scored(rows, coefficients.join(among, [*keys, *SETTING], "left_semi"), by, period, features), [*keys, *SETTING], "predicted", target)
+    ranks = inner.join(ranks.select(*by, F.col("fold").alias("inner_fold"), *SETTING, "spearman"), [*by, "inner_fold"]).groupBy(*keys, *SETTING).agg(F.avg("spearman").alias("spearman"))
+    best = tuned(even.join(ranks, [*keys, *SETTING], "left"), [*keys, *choose], [F.col("n_inputs"), F.desc("alpha"), F.desc("l1"), F.col("method"), F.col("spec")])
+    best = best.select(*keys, *SETTING, F.col("mae").alias("inner_mae"), F.col("spearman").alias("inner_spearman"))
+    return best.join(mae.drop("n_inputs"), [*keys, *SETTING])

@@ -82,3 +82,18 @@ def first_row(df: DataFrame, keys: Sequence[str], *order: Column | str) -> DataF
 def top_rows(df: DataFrame, keys: Sequence[str], n: int, *order: Column | str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("place", place).filter(F.col("place") <= n)
+
+
+def checked_targets(stats: DataFrame, entity: str, period: str, segment: str, sub: str, occurrence: str, group: str, weights: Mapping[str, float], sums: Sequence[str]) -> DataFrame:
+    """targets(), after a gate that refuses repeated rows of an entity and occurrence."""
+    from .contracts import assert_unique
+
+    return targets(assert_unique(stats, [entity, period, occurrence]), entity, period, segment, sub, occurrence, group, weights, sums)
+
+
+def target_audit(stats: DataFrame, built: DataFrame, keys: Sequence[str], least: int, *more: Column) -> DataFrame:
+    """One row: stat rows, keys and repeated ones among them, targets built and those with enough occurrences."""
+    per = stats.groupBy(*keys).agg(F.count("*").alias("n"))
+    a = per.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_keys"), F.count_if(F.col("n") > 1).alias("n_duplicate_keys"))
+    b = built.agg(F.count("*").alias("n_targets"), F.count_if(F.col("n_occ") >= least).alias("n_eligible"), *more)
+    return a.withColumn("__one", F.lit(1)).join(b.withColumn("__one", F.lit(1)), "__one").drop("__one")

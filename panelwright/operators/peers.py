@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
@@ -32,6 +32,12 @@ def masked(rows: DataFrame, on: Sequence[str], entity: str, value: str, mask: Co
     return out.withColumn(f"n_{name}", total_of("__in", on) - F.col("__in")).drop("__v", "__in")
 
 
+def pool_audit(members: DataFrame, on: Sequence[str], entity: str, place: str, value: str) -> DataFrame:
+    """n, n_repeated, n_gaps (in places) and n_tied of every pool."""
+    n = F.count("*")
+    return members.groupBy(*on).agg(n.alias("n"), (n - F.count_distinct(entity)).alias("n_repeated"), (F.max(place) - F.count_distinct(place)).alias("n_gaps"), (n - F.count_distinct(value)).alias("n_tied"))
+
+
 def top_two(members: DataFrame, on: Sequence[str], entity: str, value: str) -> DataFrame:
     """A group's two largest side by side, its size and how many have no value."""
     placed = members.withColumn("__place", first_rank(value, on, [entity]))
@@ -55,6 +61,21 @@ def room(rows: DataFrame, on: Sequence[str], entity: str, value: str) -> DataFra
     return with_others_max(out, value, on, entity, "others_max").withColumn("to_others_max", ratio(value, "others_max"))
 
 
+def effective(rows: DataFrame, on: Sequence[str], entity: str, probability: str, load: str) -> DataFrame:
+    """rows with what the others of their group are: n_others, n_known, n_unknown, effective and burden (sums of probability and of probability * load), best, max_load, sum_load and n_ahead (of a higher probability)."""
+    p, q = F.col(probability), F.col(load)
+    w = Window.partitionBy(*on)
+    rest = lambda x: F.coalesce(F.sum(x).over(w), F.lit(0.0)) - F.coalesce(x, F.lit(0.0))
+    out = with_others_max(with_others_max(rows, probability, on, entity, "best"), load, on, entity, "max_load")
+    out = out.withColumn("n_others", total_of(F.lit(1), on) - 1).withColumn("n_known", F.count(p).over(w) - p.isNotNull().cast("int"))
+    ahead = F.when(p.isNotNull(), F.rank().over(w.orderBy(p.desc_nulls_last())) - 1).otherwise(0)
+    alone = F.col("n_others") == 0
+    return out.withColumns({
+        "n_unknown": F.col("n_others") - F.col("n_known"), "effective": F.when(F.col("n_known") == 0, 0.0).otherwise(rest(p)), "burden": F.when(F.col("n_known") == 0, 0.0).otherwise(rest(p * q)),
+        "sum_load": F.when(~alone, others_total(load, on)), "n_ahead": ahead,
+    })
+
+
 def vacated(prior: DataFrame, present: DataFrame, group: Sequence[str], entity: str, value: str) -> DataFrame:
     """A group's share of prior measures that belongs to entities which are no longer in it."""
     here = present.select(*group, entity).distinct().withColumn("__here", F.lit(1))

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Model
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
@@ -37,13 +36,6 @@ def grid_errors(kind: str, train: DataFrame, valid: DataFrame, target: str, grid
     return [(s, e) for e, _, s in sorted(out, key=lambda x: x[:2])]
 
 
-def balanced_classifier(train: DataFrame, label: str) -> Model:
-    """Logistic regression with classes weighted to count alike."""
-    n, k = train.count(), train.select(label).distinct().count()
-    weights = train.groupBy(label).agg((F.lit(float(n)) / (k * F.count("*"))).alias("__w"))
-    return LogisticRegression(featuresCol="features", labelCol=label, weightCol="__w", predictionCol="label_predicted").fit(train.join(F.broadcast(weights), label))
-
-
 def permuted(rows: DataFrame, feature: str, by: Sequence[str], key: str, repeat: int, seed: int = 446) -> DataFrame:
     """rows with the feature's values shuffled within each group, by hashes of the key."""
     a = Window.partitionBy(*by).orderBy(key)
@@ -62,4 +54,4 @@ def importance(model: Model, rows: DataFrame, features: Sequence[str], by: Seque
         for r in range(repeats):
             one = model.transform(assembled(permuted(rows, x, by, key, r), features)).groupBy(*by).agg(error.alias("mae")).withColumn("feature", F.lit(x)).withColumn("repeat", F.lit(r))
             out = one if out is None else out.unionByName(one)
-    return out.join(F.broadcast(base), list(by)).withColumn("rise", F.col("mae") - F.col("base_mae"))
+    return out.join(base, list(by)).withColumn("rise", F.col("mae") - F.col("base_mae"))

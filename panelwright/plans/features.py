@@ -20,7 +20,7 @@ query = registered(QUERIES, ORACLES)
 g AS (SELECT entity, period + 1 AS period, grp AS prev_grp, n FROM (SELECT entity, period, grp, count(*) AS n, row_number() OVER (PARTITION BY entity, period ORDER BY count(*) DESC, grp) AS rn FROM stats GROUP BY entity, period, grp) WHERE rn = 1)
 SELECT entity, period, segment, grp, prev_grp, (grp <> prev_grp)::INT AS changed_group, CASE WHEN prev_grp IS NULL THEN 'no_previous' WHEN n < 2 THEN 'few_rows' ELSE 'kept' END AS reason FROM s LEFT JOIN g USING (entity, period)""")
 def d7_context(spark, d):
-    """First-snapshot assignment, previous group, change flag and exclusion reason."""
+    """First-snapshot assignment, previous group, change flag and exclusion reason."""
     s = stats(spark, d)
     priority = F.when(F.col("status") == "F", 0).when(F.col("status") == "O", 1).otherwise(2)
     first = P.first_row(s, ["entity", "period"], "sub", priority, "occ").select("entity", "period", "segment", "grp")
@@ -33,7 +33,7 @@ def d7_context(spark, d):
 @query(f"""WITH {PANEL}, l AS (SELECT grp, period, entity AS leader FROM (SELECT *, row_number() OVER (PARTITION BY grp, period ORDER BY qty DESC, entity) AS rn FROM panel) WHERE rn = 1), r AS (SELECT entity AS leader, period + 1 AS period, qty AS prior_qty FROM panel)
 SELECT grp, l.period, l.leader, prior_qty, (prior_qty IS NOT NULL)::INT AS has_history FROM l LEFT JOIN r USING (leader, period)""")
 def d11_leader_environment(spark, d):
-    """A group's leader with its own rating of the period before."""
+    """A group's leader with its own rating of the period before."""
     p = panel(spark, d)
     leader = P.first_row(p, ["grp", "period"], F.desc("qty"), "entity").select("grp", "period", F.col("entity").alias("leader"))
     rating = p.select(F.col("entity").alias("leader"), (F.col("period") + 1).alias("period"), F.col("qty").alias("prior_qty"))
@@ -43,7 +43,7 @@ def d11_leader_environment(spark, d):
 @query(f"""WITH {PANEL}, m AS (SELECT segment, period, entity, rank() OVER (PARTITION BY segment, period ORDER BY price DESC) AS market FROM panel WHERE n_occ >= 2)
 SELECT p.entity, p.period, p.segment, market, (market IS NOT NULL)::INT AS matched, CASE WHEN market IS NOT NULL THEN least(market, 20) END AS before_apex, CASE WHEN market IS NOT NULL THEN greatest(market - 20, 0) END AS after_apex FROM panel p LEFT JOIN m ON p.segment = m.segment AND p.entity = m.entity AND m.period = p.period - 1""")
 def d15_market_features(spark, d):
-    """Market rank of the period before, match flag, knots."""
+    """Market rank of the period before, match flag, knots."""
     p = panel(spark, d)
     m = p.filter("n_occ >= 2").select("segment", (F.col("period") + 1).alias("period"), "entity", R.lowest_rank("price", ["segment", "period"]).alias("market"))
     below, above = knots("market", 20)
@@ -55,7 +55,7 @@ def d15_market_features(spark, d):
 @query(f"""WITH {STATS}, f AS (SELECT entity, period, sum(prio * qty) FILTER (status = 'F') / sum(qty) FILTER (status = 'F')::DOUBLE AS w FROM stats GROUP BY ALL), o AS (SELECT entity, period, sum(n_lines * price) FILTER (status = 'O') / sum(price) FILTER (status = 'O')::DOUBLE AS w FROM stats GROUP BY ALL)
 SELECT entity, period, round(f.w, 6) AS done_metric, round(o.w, 6) AS open_metric, round(coalesce(f.w + o.w, o.w * 2), 6) AS preferred FROM f FULL JOIN o USING (entity, period) WHERE f.w IS NOT NULL OR o.w IS NOT NULL""")
 def d19_weighted_tracking(spark, d):
-    """Weighted metrics of two feeds, prefer-source rule."""
+    """Weighted metrics of two feeds, prefer-source rule."""
     g = stats(spark, d).groupBy("entity", "period").agg(
         R.weighted_mean("prio", F.when(F.col("status") == "F", F.col("qty"))).alias("f"), R.weighted_mean("n_lines", F.when(F.col("status") == "O", F.col("price"))).alias("o")
     ).filter("f is not null or o is not null")
@@ -66,7 +66,7 @@ def d19_weighted_tracking(spark, d):
 c AS (SELECT entity, period, segment, price, start + years - period AS years_left, period - start AS years_in FROM u WHERE rn = 1)
 SELECT entity, period, round(ln(1 + price::DOUBLE), 6) AS log_price, years_left, least(years_in, 3) AS years_in, round((rank() OVER w + (count(*) OVER (PARTITION BY segment, period, price) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY segment, period), 6) AS price_pct FROM c WINDOW w AS (PARTITION BY segment, period ORDER BY price)""")
 def d23_commitment(spark, d):
-    """The interval that holds, with log amount, remaining years and percentile."""
+    """The interval that holds, with log amount, remaining years and percentile."""
     i = stats(spark, d).select("entity", F.col("period").alias("start"), F.col("prio").alias("years"), "price", "occ")
     c = asof.valid_interval(panel(spark, d).select("entity", "period", "segment"), i, "entity", "period", "start", "years", F.col("start").desc(), F.col("price").desc(), "occ").filter("start is not null")
     return c.select(
@@ -78,7 +78,7 @@ def d23_commitment(spark, d):
 @query(f"""WITH {PANEL}, x AS (SELECT *, CASE WHEN entity % 4 > 0 THEN (entity % 4) / 4.0::DOUBLE END AS p FROM panel), w AS (SELECT a.entity, a.period, sum(b.p * b.qty) AS weighted, count(*) FILTER (b.p IS NOT NULL) AS n_known, count(*) FILTER (b.p IS NULL) AS n_unknown, max(b.p) AS best, sum(b.p) AS effective FROM x a JOIN x b ON a.grp = b.grp AND a.period = b.period AND a.segment = b.segment AND a.entity <> b.entity GROUP BY a.entity, a.period)
 SELECT x.entity, x.period, round(weighted, 6) AS weighted, coalesce(n_known, 0) AS n_known, coalesce(n_unknown, 0) AS n_unknown, round(effective, 6) AS effective FROM x LEFT JOIN w USING (entity, period)""")
 def d25_weighted_competitors(spark, d):
-    """Probability-weighted measures of the others by leave-one-out sums, unknown kept apart. No self-join."""
+    """Probability-weighted measures of the others by leave-one-out sums, unknown kept apart. No self-join."""
     room = ["grp", "segment", "period"]
     w = Window.partitionBy(*room)
     x = panel(spark, d).withColumn("p", F.when(F.col("entity") % 4 > 0, (F.col("entity") % 4) / F.lit(4.0)))
@@ -93,8 +93,9 @@ def d25_weighted_competitors(spark, d):
 @query(f"""WITH {PANEL}, e AS (SELECT grp, period + 1 AS period, sum(qty)::BIGINT AS grp_qty FROM panel GROUP BY grp, period), h AS (SELECT entity, period, segment, grp, target, max(target) OVER (PARTITION BY entity ORDER BY period RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS lag_1 FROM panel), c AS (SELECT segment, grp, period, count(*) AS pool FROM panel GROUP BY ALL)
 SELECT h.entity, h.period, h.segment, lag_1, grp_qty, pool, (lag_1 IS NULL)::INT + (grp_qty IS NULL)::INT AS n_missing FROM h LEFT JOIN e USING (grp, period) LEFT JOIN c USING (segment, grp, period)""")
 def d12_assembled(spark, d):
-    """One modelling table from several sources, uniqueness checked, missing inputs counted."""
+    """One modelling table from several sources, uniqueness checked, missing inputs counted."""
     p = panel(spark, d)
+    p = contracts.assert_unique(p, ["entity", "period"])
     e = p.groupBy("grp", (F.col("period") + 1).alias("period")).agg(F.sum("qty").alias("grp_qty"))
     c = p.groupBy("segment", "grp", "period").agg(F.count("*").alias("pool"))
     h = p.select("entity", "period", "segment", "grp", P.exact_lag("target", "entity", "period", 1).alias("lag_1"))
@@ -104,22 +105,21 @@ def d12_assembled(spark, d):
 
 @query(f"""WITH {PREDICTIONS}, folds AS (SELECT segment, period AS fold FROM (SELECT segment, period, coalesce(sum(count(*)) OVER (PARTITION BY segment ORDER BY period RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM predictions GROUP BY segment, period) WHERE n >= 50),
 k AS (SELECT f.segment, fold, regr_slope(actual, a) AS coefficient FROM predictions p JOIN folds f ON p.segment = f.segment AND period < fold GROUP BY f.segment, fold), z AS (SELECT segment, sign(coefficient) AS s, lag(sign(coefficient)) OVER (PARTITION BY segment ORDER BY fold) AS b FROM k WHERE coefficient <> 0)
-SELECT segment, 'a' AS feature, round(avg(coefficient), 4) AS mean, round(min(coefficient), 4) AS min, round(max(coefficient), 4) AS max, (SELECT count(*) FILTER (s <> b) FROM z WHERE z.segment = k.segment) AS sign_changes FROM k GROUP BY segment""")
+SELECT *, change_rate >= 0.25 OR coalesce(std, 0) > abs(mean) AS unstable FROM (SELECT segment, 'a' AS feature, round(avg(coefficient), 4) AS mean, round(stddev_samp(coefficient), 4) AS std, round(min(coefficient), 4) AS min, round(max(coefficient), 4) AS max, (SELECT count(*) FILTER (s <> b) FROM z WHERE z.segment = k.segment) AS sign_changes, coalesce((SELECT count(*) FILTER (s <> b) / nullif(count(b), 0)::DOUBLE FROM z WHERE z.segment = k.segment), 0) AS change_rate FROM k GROUP BY segment)""")
 def e9_coefficient_stability(spark, d):
-    """Spread and sign changes of the folds' coefficients."""
+    """Spread and sign changes of the folds' coefficients, and which are unstable."""
     from ..operators.evaluate import stability
-    from .models import KEYS, expanded, linear
+    from .models import KEYS, linear, sums_of
 
-    e = expanded(spark, d)
-    st = linear.fold_statistics(e, KEYS, ["a"])
-    g = linear.gram(linear.standardized(e, st, KEYS, ["a"]).filter("role = 'train'"), KEYS, 1, "actual")
-    c = linear.original_units(linear.fits(g, KEYS, ridge=()), st, KEYS, ["a"])
-    return stability(c, ["segment", "feature"], "fold").select("segment", "feature", *(F.round(x, 4).alias(x) for x in ("mean", "min", "max")), "sign_changes")
+    _, sums = sums_of(spark, d, ["a"])
+    c = linear.original_units(linear.fits(sums, KEYS, {"last": [0]}, ridge=()), KEYS, ["a"])
+    got = stability(c, ["segment", "feature"], "fold")
+    return got.select("segment", "feature", *(F.round(x, 4).alias(x) for x in ("mean", "std", "min", "max")), "sign_changes", "change_rate", "unstable")
 
 
 @query(f"""WITH {PREDICTIONS}, g AS (SELECT segment, period, abs(a - actual) - abs(b - actual) AS gain FROM predictions) SELECT segment, count(*) AS n, round(avg(gain), 6) AS mean_gain, round(median(gain), 6) AS median_gain, round(avg((gain > 0)::INT::DOUBLE), 6) AS improved_rate FROM g GROUP BY segment""")
 def e17_paired_ablation(spark, d):
-    """Paired gain of one specification over another."""
+    """Paired gain of one specification over another."""
     g = predictions(spark, d).select("segment", (F.abs(F.col("a") - F.col("actual")) - F.abs(F.col("b") - F.col("actual"))).alias("gain"))
     return g.groupBy("segment").agg(F.count("*").alias("n"), F.round(F.avg("gain"), 6).alias("mean_gain"), F.round(F.median("gain"), 6).alias("median_gain"), F.round(F.avg((F.col("gain") > 0).cast("double")), 6).alias("improved_rate"))
 
@@ -134,36 +134,6 @@ def e19_tier_bias(spark, d):
     )
 
 
-@query()
-def m10_ablation(spark, d):
-    """Ridge over nested feature groups, every fold and penalty from one Gram matrix a group."""
-    from .models import KEYS, expanded, linear
-
-    e, out = expanded(spark, d), None
-    for name, features in {"last": ["a"], "history": ["a", "b"], "full": ["a", "b", "n_prior"]}.items():
-        st = linear.fold_statistics(e, KEYS, features)
-        x = linear.standardized(e, st, KEYS, features)
-        fits = linear.fits(linear.gram(x.filter("role = 'train'"), KEYS, len(features), "actual"), KEYS, linear.RIDGE).filter("method = 'ridge'")
-        one = linear.scored(x.filter("role = 'valid'"), fits, KEYS).groupBy(*KEYS, "alpha").agg(F.avg(F.abs(F.col("predicted") - F.col("actual"))).alias("mae")).withColumn("spec", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-@query()
-def m19_residual_ridge(spark, d):
-    """A ridge on the residual of a frozen base, shrunk by a grid of factors."""
-    from .models import KEYS, expanded, linear
-
-    features = ["a", "n_prior"]
-    e = expanded(spark, d).withColumn("residual", F.col("actual") - F.col("b"))
-    st = linear.fold_statistics(e, KEYS, features)
-    x = linear.standardized(e, st, KEYS, features)
-    fits = linear.fits(linear.gram(x.filter("role = 'train'"), KEYS, len(features), "residual"), KEYS, (0.1, 1.0, 10.0, 100.0)).filter("method = 'ridge'")
-    done = linear.scored(x.filter("role = 'valid'"), fits, KEYS).withColumn("shrinkage", F.explode(F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))))
-    error = F.abs(F.col("actual") - F.col("b") - F.col("shrinkage") * F.col("predicted"))
-    return done.groupBy(*KEYS, "alpha", "shrinkage").agg(F.avg(error).alias("mae"), F.count("*").alias("n"))
-
-
 @query(f"""SELECT c_mktsegment AS segment, c_nationkey AS grp, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer WHERE c_acctbal IS NOT NULL AND c_nationkey IS NOT NULL GROUP BY ALL""")
 def a1_group_sums(spark, d):
     """Strict sums by keys that are known."""

@@ -61,7 +61,7 @@ def j9_valid_interval(spark, d):
 @query("""WITH e AS (SELECT *, ts::DATE AS day, month(ts)::INT AS period FROM events), n AS (SELECT user_id, max(day) AS day FROM e WHERE ts < TIMESTAMP '2024-01-20' GROUP BY user_id)
 SELECT e.user_id, strftime(e.day, '%Y-%m-%d') AS day, e.event_id, e.event_type FROM e JOIN n USING (user_id, day)""")
 def j10_snapshot_before_cutoff(spark, d):
-    """All rows of the newest dated snapshot before a cutoff."""
+    """All rows of the newest dated snapshot before a cutoff."""
     e = scan(spark, d, "events").filter(F.col("ts") < F.lit("2024-01-20").cast("timestamp")).withColumn("day", F.to_date("ts"))
     whole = scan(spark, d, "events").withColumn("day", F.to_date("ts"))
     newest = e.groupBy("user_id").agg(F.max("day").alias("day"))
@@ -78,7 +78,7 @@ def j11_asof_first(spark, d):
 @query("""WITH base AS (SELECT c_nationkey AS grp, max(c_custkey) AS leader FROM customer GROUP BY 1), o AS (SELECT grp, leader - 1 AS leader FROM base WHERE grp % 5 = 0)
 SELECT grp, leader, 'base' AS origin FROM base WHERE grp NOT IN (SELECT grp FROM o) UNION ALL SELECT grp, leader, 'override' FROM o""")
 def j15_override_merge(spark, d):
-    """J15, D6, U1."""
+    """J15, U1."""
     base = scan(spark, d, "customer").groupBy(F.col("c_nationkey").alias("grp")).agg(F.max("c_custkey").alias("leader")).withColumn("origin", F.lit("base"))
     better = base.filter("grp % 5 = 0").select("grp", (F.col("leader") - 1).alias("leader"), F.lit("override").alias("origin"))
     return contracts.overridden(base, better, ["grp"])
@@ -93,7 +93,7 @@ def j18_fallback(spark, d):
 
 @query(f"""WITH {PANEL}, f AS (SELECT entity, period FROM panel WHERE n_occ = 1 AND period % 2 = 0) SELECT segment, count(*) AS n_before, count(*) FILTER (f.entity IS NOT NULL) AS n_removed, count(*) FILTER (f.entity IS NULL) AS n_after FROM panel LEFT JOIN f USING (entity, period) GROUP BY segment""")
 def p7_flagged_removed(spark, d):
-    """Remove flagged keys with an audit."""
+    """Remove flagged keys with an audit."""
     p = panel(spark, d)
     return contracts.without(p, p.filter("n_occ = 1 and period % 2 = 0"), ["entity", "period"], "segment")[1]
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import calibrate, folds, linear, trees
+from ..functions.exprs import clip
+from ..operators import calibrate, folds, linear, logistic, trees
 from ..operators import panel as P
 from .base import PANEL, PREDICTIONS, Query, held, panel, predictions, registered
 
@@ -15,6 +16,15 @@ query = registered(QUERIES, ORACLES)
 FOLDS = f"""{PREDICTIONS}, counts AS (SELECT segment, period AS fold, count(*) AS n_valid FROM predictions GROUP BY ALL), cum AS (SELECT *, coalesce(sum(n_valid) OVER (PARTITION BY segment ORDER BY fold RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS n_train FROM counts), folds AS (SELECT segment, fold, n_train, n_valid FROM cum WHERE n_train >= 50)"""
 KEYS = ["segment", "fold"]
 FEATURES = ["a", "b", "n_prior"]
+SPECS = {"last": [0], "history": [0, 1], "full": [0, 1, 2]}
+ALPHAS = ", ".join(map(str, linear.RIDGE))
+# One feature's ridge in closed form: means, deviation and covariance of the training rows, then errors by penalty.
+RIDGE = f"""{FOLDS}, st AS (SELECT f.segment, fold, count(*) AS n, avg(a) AS ma, stddev_pop(a) AS sa, avg(actual) AS my, covar_pop(a, actual) AS cay FROM predictions p JOIN folds f ON p.segment = f.segment AND period < fold GROUP BY ALL),
+al AS (SELECT unnest([{ALPHAS}]::DOUBLE[]) AS alpha),
+sc AS (SELECT p.segment, st.fold, alpha, avg(abs(my + n * (cay / sa) / (n + alpha) * (a - ma) / sa - actual)) AS mae, count(*) AS n FROM predictions p JOIN st ON p.segment = st.segment AND p.period = st.fold, al GROUP BY ALL),
+inn AS (SELECT segment, fold, inner_fold FROM (SELECT *, count(*) OVER (PARTITION BY segment, fold) AS k FROM (SELECT x.segment, x.fold, y.fold AS inner_fold, row_number() OVER (PARTITION BY x.segment, x.fold ORDER BY y.fold DESC) AS rn FROM folds x JOIN folds y ON x.segment = y.segment AND y.fold < x.fold) WHERE rn <= 5) WHERE k >= 3)"""
+NESTED = f"""{RIDGE}, past AS (SELECT i.segment, i.fold, alpha, avg(mae) AS inner_mae FROM inn i JOIN sc ON i.segment = sc.segment AND i.inner_fold = sc.fold GROUP BY ALL),
+best AS (SELECT segment, fold, alpha, inner_mae FROM (SELECT *, row_number() OVER (PARTITION BY segment, fold ORDER BY round(inner_mae, 9), alpha DESC) AS rn FROM past) WHERE rn = 1)"""
 
 
 def fold_table(spark, d):
@@ -45,10 +55,10 @@ def m1_evaluation_start(spark, d):
     return folds.evaluation_start(fold_table(spark, d), "segment", 1996)
 
 
-@query(f"WITH {FOLDS}, i AS (SELECT a.segment, a.fold, b.fold AS inner_fold, row_number() OVER (PARTITION BY a.segment, a.fold ORDER BY b.fold DESC) AS rn FROM folds a JOIN folds b ON a.segment = b.segment AND b.fold < a.fold), k AS (SELECT *, count(*) OVER (PARTITION BY segment, fold) AS n FROM i WHERE rn <= 5) SELECT segment, fold, inner_fold FROM k WHERE n >= 2")
+@query(f"WITH {FOLDS}, i AS (SELECT a.segment, a.fold, b.fold AS inner_fold, row_number() OVER (PARTITION BY a.segment, a.fold ORDER BY b.fold DESC) AS rn FROM folds a JOIN folds b ON a.segment = b.segment AND b.fold < a.fold), k AS (SELECT *, count(*) OVER (PARTITION BY segment, fold) AS n FROM i WHERE rn <= 5) SELECT segment, fold, inner_fold FROM k WHERE n >= 3")
 def w20_inner_periods(spark, d):
     """W20, M8."""
-    return folds.inner_periods(fold_table(spark, d), "segment", 5, 2)
+    return folds.inner_periods(fold_table(spark, d), "segment")
 
 
 @query(f"WITH {PANEL}, s AS (SELECT segment, period, sum(target) AS s, count(*) AS n FROM panel GROUP BY ALL) SELECT segment, period, round(sum(s) OVER w / sum(n) OVER w, 6) AS baseline FROM s WINDOW w AS (PARTITION BY segment ORDER BY period RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
@@ -57,69 +67,138 @@ def m3_mean_baseline(spark, d):
     return folds.mean_baseline(panel(spark, d), "period", "segment", "target").withColumn("baseline", F.round("baseline", 6))
 
 
-@query(f"WITH {FOLDS} SELECT f.segment, fold, round(median(a), 6) AS a__med, round(avg(a), 6) AS a__mean, round(stddev_pop(a), 6) AS a__std FROM predictions p JOIN folds f ON p.segment = f.segment AND period < fold GROUP BY f.segment, fold")
+def sums_of(spark, d, features=FEATURES, target="actual"):
+    """Predictions, written once as several branches read them, and their running sums by fold."""
+    rows = held(predictions(spark, d), "predictions")
+    return rows, linear.fold_sums(rows, ["segment"], "period", features, target)
+
+
+@query(f"WITH {FOLDS} SELECT f.segment, fold, 'a' AS feature, count(*) AS n, round(avg(a), 6) AS mean, round(stddev_pop(a), 6) AS std FROM predictions p JOIN folds f ON p.segment = f.segment AND period < fold GROUP BY f.segment, fold UNION ALL SELECT f.segment, fold, 'b', count(*), round(avg(b), 6), round(stddev_pop(b), 6) FROM predictions p JOIN folds f ON p.segment = f.segment AND period < fold GROUP BY f.segment, fold")
 def m4_fold_statistics(spark, d):
-    """M4: medians, means and population deviations of training rows."""
-    return linear.fold_statistics(expanded(spark, d), KEYS, ["a"]).select(*KEYS, *(F.round(x, 6).alias(x) for x in ("a__med", "a__mean", "a__std")))
+    """M4: means and population deviations of training rows, from running sums."""
+    _, sums = sums_of(spark, d, ["a", "b"])
+    return linear.statistics(sums, KEYS, ["a", "b"]).select(*KEYS, "feature", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query(f"""WITH {PANEL}, l AS (SELECT segment, period, target AS actual, max(target) OVER (PARTITION BY entity ORDER BY period RANGE BETWEEN 2 PRECEDING AND 2 PRECEDING) AS t2 FROM panel), c AS (SELECT segment, period AS fold, count(*) AS k FROM l GROUP BY ALL), f AS (SELECT segment, fold FROM (SELECT *, sum(k) OVER (PARTITION BY segment ORDER BY fold RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM c) WHERE n >= 50),
+md AS (SELECT f.segment, fold, coalesce(median(t2), 0) AS med FROM l JOIN f ON l.segment = f.segment AND period < fold GROUP BY ALL)
+SELECT l.segment, md.fold, count(*) AS n, count(*) - count(t2) AS n_missing, round(any_value(med), 6) AS med, round(avg(coalesce(t2, med)), 6) AS mean, round(stddev_pop(coalesce(t2, med)), 6) AS std FROM l JOIN md ON l.segment = md.segment AND period < md.fold GROUP BY l.segment, md.fold""")
+def m4_imputed_statistics(spark, d):
+    """M4: a feature that misses values, imputed with the fold's own training median."""
+    rows = held(panel(spark, d).select("segment", "period", F.col("target").alias("actual"), P.exact_lag("target", "entity", "period", 2).alias("t2")), "lagged")
+    sums = linear.fold_sums(rows, ["segment"], "period", ["t2"], "actual")
+    return linear.statistics(sums, KEYS, ["t2"]).select(*KEYS, "n", "n_missing", *(F.round(x, 6).alias(x) for x in ("med", "mean", "std")))
 
 
 @query(f"WITH {FOLDS} SELECT f.segment, fold, 'a' AS feature, round(regr_slope(actual, a), 4) AS coefficient, round(regr_intercept(actual, a), 3) AS intercept FROM predictions p JOIN folds f ON p.segment = f.segment AND period < fold GROUP BY f.segment, fold")
 def m5_ols_one_feature(spark, d):
     """Least squares by fold, coefficients in original units."""
-    e = expanded(spark, d)
-    st = linear.fold_statistics(e, KEYS, ["a"])
-    g = linear.gram(linear.standardized(e, st, KEYS, ["a"]).filter("role = 'train'"), KEYS, 1, "actual")
-    return linear.original_units(linear.fits(g, KEYS, ridge=()), st, KEYS, ["a"]).select(*KEYS, "feature", F.round("coefficient", 4).alias("coefficient"), F.round("intercept_units", 3).alias("intercept"))
+    _, sums = sums_of(spark, d, ["a"])
+    units = linear.original_units(linear.fits(sums, KEYS, {"last": [0]}, ridge=()), KEYS, ["a"])
+    return units.select(*KEYS, "feature", F.round("coefficient", 4).alias("coefficient"), F.round("intercept", 3).alias("intercept"))
+
+
+def scores(spark, d):
+    """Errors on each fold's own period of every specification and setting."""
+    rows, sums = sums_of(spark, d)
+    done = linear.scored(rows, linear.fits(sums, KEYS, SPECS, linear.RIDGE, linear.NET_ALPHA, linear.NET_L1), ["segment"], "period", FEATURES)
+    return done.groupBy(*KEYS, *linear.SETTING).agg(F.avg(F.abs(F.col("predicted") - F.col("actual"))).alias("mae"), F.count("*").alias("n"))
 
 
 @query()
 def m6_linear_grids(spark, d):
-    """Ridge and elastic-net grids of every fold from one Gram matrix; errors on the fold's own period."""
-    e = expanded(spark, d)
-    st = linear.fold_statistics(e, KEYS, FEATURES)
-    x = linear.standardized(e, st, KEYS, FEATURES)
-    fits = linear.fits(linear.gram(x.filter("role = 'train'"), KEYS, len(FEATURES), "actual"), KEYS, linear.RIDGE, linear.NET_ALPHA, linear.NET_L1)
-    done = linear.scored(x.filter("role = 'valid'"), fits, KEYS)
-    return done.groupBy(*KEYS, "method", "alpha", "l1").agg(F.avg(F.abs(F.col("predicted") - F.col("actual"))).alias("mae"), F.count("*").alias("n"))
+    """M6, M7: ridge and elastic-net grids of every fold from one Gram matrix; errors on the fold's own period."""
+    return scores(spark, d).filter("spec = 'full'").drop("spec")
+
+
+@query(f"WITH {RIDGE} SELECT segment, fold, alpha, round(mae, 5) AS mae, n FROM sc")
+def m6_ridge_one_feature(spark, d):
+    """M6: the ridge grid on one feature."""
+    return scores(spark, d).filter("spec = 'last' and method = 'ridge'").select(*KEYS, "alpha", F.round("mae", 5).alias("mae"), "n")
+
+
+@query(f"WITH {NESTED} SELECT segment, fold, alpha, round(inner_mae, 5) AS inner_mae, round(mae, 5) AS mae, n FROM best JOIN sc USING (segment, fold, alpha)")
+def m8_nested_ridge(spark, d):
+    """Per fold the penalty that did best on the last inner folds (three to five), refitted on all that lies before the fold."""
+    rows, sums = sums_of(spark, d, ["a"])
+    inner = folds.inner_periods(fold_table(spark, d), "segment")
+    fits = linear.fits(sums, KEYS, {"last": [0]}).filter("method = 'ridge'")
+    best = linear.nested(rows, sums, fits, ["segment"], "period", ["a"], "actual", inner)
+    return best.select(*KEYS, "alpha", F.round("inner_mae", 5).alias("inner_mae"), F.round("mae", 5).alias("mae"), "n")
+
+
+def nested_choice(spark, d, choose):
+    rows, sums = sums_of(spark, d)
+    fits = linear.fits(sums, KEYS, SPECS, linear.RIDGE, linear.NET_ALPHA, linear.NET_L1)
+    return linear.nested(rows, sums, fits, ["segment"], "period", FEATURES, "actual", folds.inner_periods(fold_table(spark, d), "segment"), choose)
 
 
 @query()
-def m9_adaptive_choice(spark, d):
-    """Per fold the setting that did best on inner folds before it."""
-    from ..operators.evaluate import tuned
+def m8_nested_specs(spark, d):
+    """The nested choice of every specification over all methods and penalties."""
+    return nested_choice(spark, d, ["spec"])
+
 
-    scores = m6_linear_grids(spark, d)
-    inner = folds.inner_periods(fold_table(spark, d), "segment", 5, 1)
-    past = inner.join(scores.withColumnRenamed("fold", "inner_fold"), ["segment", "inner_fold"]).groupBy(*KEYS, "method", "alpha", "l1").agg(F.avg("mae").alias("mae")).withColumn("spearman", F.lit(0.0))
-    chosen = tuned(past, KEYS, [F.desc("alpha"), F.desc("l1"), F.col("method")]).select(*KEYS, "method", "alpha", "l1", F.col("mae").alias("inner_mae"))
-    return chosen.join(scores, [*KEYS, "method", "alpha", "l1"])
+@query()
+def m9_adaptive_choice(spark, d):
+    """Per fold the specification and setting that did best on inner folds, by error, then rank correlation."""
+    return nested_choice(spark, d, [])
 
 
 @query()
+def m10_ablation(spark, d):
+    """Ridge over nested feature groups, every fold and penalty from one Gram matrix."""
+    return scores(spark, d).filter("method = 'ridge'").select(*KEYS, "spec", "alpha", "mae", "n")
+
+
+@query(f"WITH {RIDGE} SELECT segment, fold, alpha, 'a' AS feature, round(n * (cay / sa) / (n + alpha) / sa, 6) AS coefficient FROM st, al")
+def m30_coefficient_path(spark, d):
+    """A coefficient over the penalties."""
+    _, sums = sums_of(spark, d, ["a"])
+    units = linear.original_units(linear.fits(sums, KEYS, {"last": [0]}).filter("method = 'ridge'"), KEYS, ["a"])
+    return units.select(*KEYS, "alpha", "feature", F.round("coefficient", 6).alias("coefficient"))
+
+
+@query(f"WITH {FOLDS}, c AS (SELECT f.segment, fold, abs(corr(a, b)) AS r FROM predictions p JOIN folds f ON p.segment = f.segment AND period < fold GROUP BY f.segment, fold) SELECT segment, fold, 'pair' AS spec, 2 AS n_features, CASE WHEN r > 1 - 1e-9 THEN 1 ELSE 2 END AS matrix_rank, CASE WHEN r > 1 - 1e-9 THEN 1 ELSE 0 END AS deficiency, CASE WHEN r <= 1 - 1e-9 THEN round(sqrt((1 + r) / (1 - r)), 4) END AS condition FROM c UNION ALL SELECT segment, fold, 'doubled', 3, CASE WHEN r > 1 - 1e-9 THEN 1 ELSE 2 END, CASE WHEN r > 1 - 1e-9 THEN 2 ELSE 1 END, NULL FROM c")
 def a16_rank_audit(spark, d):
-    """Matrix rank, condition number by fold."""
-    e = expanded(spark, d)
-    st = linear.fold_statistics(e, KEYS, FEATURES)
-    return linear.rank_audit(linear.gram(linear.standardized(e, st, KEYS, FEATURES).filter("role = 'train'"), KEYS, len(FEATURES), "actual"), KEYS)
+    """Matrix rank, deficiency and condition number by fold, of two features and of these with a multiple of one."""
+    rows = held(predictions(spark, d).withColumn("double_a", F.col("a") * 2), "predictions")
+    out = None
+    for name, features in {"pair": ["a", "b"], "doubled": ["a", "b", "double_a"]}.items():
+        one = linear.rank_audit(linear.fold_sums(rows, ["segment"], "period", features, "actual"), KEYS).withColumn("spec", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("condition", F.round("condition", 4))
 
 
-@query(f"WITH {FOLDS} SELECT f.segment, fold, 'a' AS feature_a, 'b' AS feature_b, round(corr(a, b), 5) AS r, CASE WHEN abs(corr(a, b)) >= 0.9 THEN 'review' WHEN abs(corr(a, b)) >= 0.75 THEN 'strong' ELSE 'weak' END AS decision FROM predictions p JOIN folds f ON p.segment = f.segment AND period < fold GROUP BY f.segment, fold")
+PAIRS = [(x, y) for i, x in enumerate(FEATURES) for y in FEATURES[i + 1 :]]
+
+
+@query(f"WITH {FOLDS}, c AS ({' UNION ALL '.join(f"SELECT f.segment, fold, '{x}' AS feature_a, '{y}' AS feature_b, corr({x}, {y}) AS r FROM predictions p JOIN folds f ON p.segment = f.segment AND period < fold GROUP BY f.segment, fold" for x, y in PAIRS)}) SELECT segment, fold, feature_a, feature_b, round(r, 5) AS r, CASE WHEN abs(r) >= 0.9 THEN 'review' ELSE 'strong' END AS decision FROM c WHERE abs(r) >= 0.75 AND NOT isnan(r)")
 def a14_correlated_pairs(spark, d):
-    """Correlations from the Gram matrix, with a label."""
-    e = expanded(spark, d)
-    st = linear.fold_statistics(e, KEYS, ["a", "b"])
-    c = linear.correlations(linear.gram(linear.standardized(e, st, KEYS, ["a", "b"]).filter("role = 'train'"), KEYS, 2, "actual"), KEYS, ["a", "b"])
-    label = F.when(F.abs("r") >= 0.9, "review").when(F.abs("r") >= 0.75, "strong").otherwise("weak")
-    return c.withColumn("decision", label).withColumn("r", F.round("r", 5))
+    """Pairs of features above a correlation of 0.75, with a label, from the Gram matrix."""
+    _, sums = sums_of(spark, d)
+    c = linear.correlations(sums, KEYS, FEATURES).filter(F.abs("r") >= 0.75)
+    return c.withColumn("decision", F.when(F.abs("r") >= 0.9, "review").otherwise("strong")).withColumn("r", F.round("r", 5))
 
 
-@query()
+POWER = f"""{FOLDS}, k AS (SELECT *, rank() OVER (PARTITION BY segment, period ORDER BY a DESC) + (count(*) OVER (PARTITION BY segment, period, a) - 1) / 2.0::DOUBLE AS r FROM predictions),
+bt AS (SELECT 0.05::DOUBLE + i * ((1.50::DOUBLE - 0.05::DOUBLE) / 145) AS beta FROM range(146) t(i)),
+tr AS (SELECT k.segment, fold, beta, actual, r ** -beta AS w, actual / (r ** -beta) AS v FROM k JOIN folds f ON k.segment = f.segment AND period < fold, bt),
+wm AS (SELECT segment, fold, beta, min(v) AS alpha FROM (SELECT *, sum(w) OVER (PARTITION BY segment, fold, beta ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run, sum(w) OVER (PARTITION BY segment, fold, beta) AS total FROM tr) WHERE run * 2 >= total GROUP BY ALL),
+er AS (SELECT segment, fold, beta, alpha, avg(abs(actual - alpha * w)) AS mae, count(*) AS n FROM tr JOIN wm USING (segment, fold, beta) GROUP BY ALL),
+bp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment, fold ORDER BY mae, beta) AS rn FROM er) WHERE rn = 1)"""
+
+
+@query(f"WITH {POWER} SELECT bp.segment, bp.fold, round(beta, 4) AS beta, round(alpha, 3) AS alpha, round(any_value(bp.mae), 4) AS train_mae, any_value(bp.n) AS n_train, round(avg(abs(actual - alpha * r ** -beta)), 4) AS mae FROM bp JOIN k ON k.segment = bp.segment AND k.period = bp.fold GROUP BY bp.segment, bp.fold, beta, alpha")
 def m12_power_calibration(spark, d):
-    """Alpha * rank ** -beta by segment and period over a grid of exponents."""
+    """Alpha * rank ** -beta fitted by segment and fold on earlier periods only, over a grid of exponents; its error on the fold."""
     from ..functions.ranks import average_rank
 
-    p = predictions(spark, d).withColumn("rank", average_rank("a", ["segment", "period"], True))
-    return calibrate.power_calibration(p.select("segment", "period", "rank", "actual"), ["segment", "period"], "rank", "actual")
+    p = held(predictions(spark, d).withColumn("rank", average_rank("a", ["segment", "period"], True)).select("segment", "period", "rank", "actual"), "ranked")
+    train = folds.with_roles(p, folds.expanding_folds(p, "period", "segment", 50), "period", "segment").filter("role = 'train'")
+    fitted = calibrate.power_calibration(train, KEYS, "rank", "actual").select(*KEYS, "alpha", "beta", F.col("mae").alias("train_mae"), F.col("n").alias("n_train"))
+    done = p.withColumn("fold", F.col("period")).join(fitted, KEYS).withColumn("error", F.abs(F.col("actual") - calibrate.apply_power("rank")))
+    return done.groupBy(*KEYS, F.round("beta", 4).alias("beta"), F.round("alpha", 3).alias("alpha"), F.round("train_mae", 4).alias("train_mae"), "n_train").agg(F.round(F.avg("error"), 4).alias("mae"))
 
 
 @query(f"""WITH {PREDICTIONS}, w AS (SELECT unnest([0.0::DOUBLE, 0.25, 0.5, 0.75, 1.0]) AS weight), per AS (SELECT segment, period, weight, sum(abs(actual - weight * a - (1 - weight) * b)) AS e, count(*) AS n FROM predictions, w GROUP BY ALL), past AS (SELECT *, sum(e) OVER q / sum(n) OVER q AS past FROM per WINDOW q AS (PARTITION BY segment, weight ORDER BY period RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
@@ -130,77 +209,214 @@ def m18_blend_weight(spark, d):
     return got.withColumn("past_mae", F.round("past_mae", 6))
 
 
-@query(f"""WITH {PREDICTIONS}, g AS (SELECT unnest([0.0::DOUBLE, 0.1, 0.2, 0.4]) AS p_penalty), x AS (SELECT segment, p_penalty, abs(actual - b - coalesce(least(0.75, greatest(-0.75, -p_penalty * greatest(n_occ::DOUBLE - 6, 0))), 0)) AS e, abs(actual - b) AS f FROM predictions, g)
-SELECT segment, p_penalty, round(avg(e), 6) AS mae, round(avg(f), 6) AS base_mae, count(*) AS n FROM x GROUP BY ALL""")
+RESIDUAL = f"""{FOLDS}, st AS (SELECT f.segment, fold, count(*) AS n, avg(a) AS ma, stddev_pop(a) AS sa, avg(actual - b) AS my, covar_pop(a, actual - b) AS cay FROM predictions p JOIN folds f ON p.segment = f.segment AND period < fold GROUP BY ALL),
+al AS (SELECT alpha, shrinkage FROM (SELECT unnest([0.1, 1, 10, 100]::DOUBLE[]) AS alpha), (SELECT unnest([0, 0.25, 0.5, 0.75, 1]::DOUBLE[]) AS shrinkage)),
+sc AS (SELECT p.segment, st.fold, alpha, shrinkage, avg(abs(actual - b - shrinkage * (my + n * (cay / sa) / (n + alpha) * (a - ma) / sa))) AS mae, count(*) AS n FROM predictions p JOIN st ON p.segment = st.segment AND p.period = st.fold, al GROUP BY ALL),
+{RIDGE[RIDGE.index("inn AS"):]}, past AS (SELECT i.segment, i.fold, alpha, shrinkage, avg(mae) AS inner_mae FROM inn i JOIN sc ON i.segment = sc.segment AND i.inner_fold = sc.fold GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment, fold ORDER BY round(inner_mae, 9), shrinkage, alpha DESC) AS rn FROM past) WHERE rn = 1)"""
+
+
+@query(f"WITH {RESIDUAL} SELECT segment, fold, alpha, shrinkage, round(inner_mae, 5) AS inner_mae, round(mae, 5) AS mae, n FROM best JOIN sc USING (segment, fold, alpha, shrinkage)")
+def m19_residual_ridge(spark, d):
+    """A ridge on the residual of a frozen base and how much of it counts, both chosen on inner folds."""
+    rows = held(predictions(spark, d).withColumn("residual", F.col("actual") - F.col("b")), "predictions")
+    fits = linear.fits(linear.fold_sums(rows, ["segment"], "period", ["a"], "residual"), KEYS, {"last": [0]}, (0.1, 1.0, 10.0, 100.0)).filter("method = 'ridge'")
+    done = linear.scored(rows, fits, ["segment"], "period", ["a"])
+    errors = F.array(*(F.struct(F.lit(x).alias("shrinkage"), F.avg(F.abs(F.col("residual") - x * F.col("predicted"))).alias("mae")) for x in calibrate.SHRINKAGE))
+    by_setting = done.groupBy(*KEYS, "alpha").agg(F.count("*").alias("n"), errors.alias("errors")).select(*KEYS, "alpha", "n", F.inline("errors"))
+    best = folds.chosen_inside(by_setting, folds.inner_periods(fold_table(spark, d), "segment"), ["segment"], ["alpha", "shrinkage"], [F.col("shrinkage"), F.desc("alpha")])
+    return best.select(*KEYS, "alpha", "shrinkage", F.round("inner_mae", 5).alias("inner_mae"), F.round("mae", 5).alias("mae"), "n")
+
+
+def adjusted_rows(spark, d):
+    """Rows of each fold's own period with what the adjusters read, in thousands, and the fold's training means and deviations."""
+    p = predictions(spark, d).select(
+        "segment", "entity", "period", (F.col("actual") / 1000).alias("actual"), (F.col("b") / 1000).alias("base"),
+        F.col("n_prior").cast("double").alias("count"), (F.col("n_prior") * 2.0).alias("burden"), (F.col("a") / (F.col("a") + F.col("m"))).alias("share"),
+    )
+    rows = held(p, "adjusted")
+    stats = linear.statistics(linear.fold_sums(rows, ["segment"], "period", ["count", "share"], "actual"), KEYS, ["count", "share"])
+    of = lambda x, c: F.max(F.when(F.col("feature") == x, F.col(c))).alias(f"{x}_{c}")
+    wide = stats.groupBy(*KEYS).agg(*(of(x, c) for x in ("count", "share") for c in ("mean", "std")))
+    return held(rows.withColumn("fold", F.col("period")).join(wide, KEYS), "adjusted")
+
+
+def adjustment(name, p):
+    """SQL of one adjuster under one setting."""
+    terms = {
+        "count": lambda: f"{p.get('p_coef')} * (cnt - cnt_mean) / nullif(cnt_std, 0)", "share": lambda: f"{p.get('p_coef')} * (share - share_mean) / nullif(share_std, 0)",
+        "burden": lambda: f"-{p.get('p_penalty')} * greatest(burden - 6, 0)",
+        "steps": lambda: f"-({p.get('p_penalty')} * greatest(burden - 2, 0) + {p.get('p_penalty_2')} * greatest(burden - 4, 0) + {p.get('p_penalty_3')} * greatest(burden - 6, 0))",
+        "gated": lambda: f"greatest(burden - 4, 0) * ({p.get('p_up')} * least(greatest((base - 4) / 4, 0), 1) - {p.get('p_low')} * least(greatest((4 - base) / 4, 0), 1))",
+    }
+    term = terms[name]()  # least() and greatest() skip nulls in DuckDB, too
+    return f"CASE WHEN ({term}) IS NULL THEN 0 ELSE least(0.75, greatest(-0.75, ({term})::DOUBLE)) END"
+
+
+ADJUSTED = f"""{FOLDS}, raw AS (SELECT segment, entity, period, actual / 1000 AS actual, b / 1000 AS base, n_prior::DOUBLE AS cnt, n_prior * 2.0::DOUBLE AS burden, a / (a + m) AS share FROM predictions),
+ts AS (SELECT f.segment, fold, avg(cnt) AS cnt_mean, CASE WHEN stddev_pop(cnt) > 1e-9 THEN stddev_pop(cnt) END AS cnt_std, avg(share) AS share_mean, CASE WHEN stddev_pop(share) > 1e-9 THEN stddev_pop(share) END AS share_std FROM raw JOIN folds f ON raw.segment = f.segment AND period < fold GROUP BY ALL),
+adj AS (SELECT raw.*, fold, cnt_mean, cnt_std, share_mean, share_std FROM raw JOIN ts ON raw.segment = ts.segment AND raw.period = ts.fold)"""
+GRID_ERRORS = " UNION ALL ".join(f"SELECT segment, fold, '{name}' AS name, {i} AS setting, avg(abs(actual - base - {adjustment(name, s)})) AS mae, avg(abs(actual - base)) AS base_mae, count(*) AS n FROM adj GROUP BY segment, fold" for name, grid in calibrate.GRIDS.items() for i, s in enumerate(grid))
+
+
+@query(f"WITH {ADJUSTED}, g AS ({GRID_ERRORS}) SELECT segment, fold, name, setting, round(mae, 6) AS mae, round(base_mae, 6) AS base_mae, n FROM g")
 def m20_bounded_corrections(spark, d):
-    """A grid of bounded corrections in one pass."""
-    p = predictions(spark, d).withColumn("burden", F.col("n_occ").cast("double"))
-    grid = spark.createDataFrame([(0.0,), (0.1,), (0.2,), (0.4,)], "p_penalty double")
-    return calibrate.grid_errors(p, grid, ["segment"], "burden", "b", "actual").withColumns({"mae": F.round("mae", 6), "base_mae": F.round("base_mae", 6)})
+    """All five bounded adjusters over their whole grids in one pass, with means and deviations of the fold's training rows."""
+    got = calibrate.grid_errors(adjusted_rows(spark, d), KEYS, "base", "actual")
+    return got.withColumns({"mae": F.round("mae", 6), "base_mae": F.round("base_mae", 6)})
 
 
-@query()
-def m22_locked_confirmation(spark, d):
-    """The setting locked on early periods, scored on sealed ones."""
-    p = predictions(spark, d).withColumn("burden", F.col("n_occ").cast("double"))
-    grid = spark.createDataFrame([(0.0,), (0.1,), (0.2,), (0.4,)], "p_penalty double")
-    side = lambda rows: calibrate.grid_errors(rows, grid, ["segment"], "burden", "b", "actual")
-    return calibrate.locked(side(p.filter("period < 1999")), side(p.filter("period >= 1999")), ["segment"], ["p_penalty"])
+COMPONENTS = f"""{ADJUSTED}, g AS ({GRID_ERRORS}), {RIDGE[RIDGE.index("inn AS"):]},
+pc AS (SELECT i.segment, i.fold, name, setting, avg(mae) AS inner_mae, avg(base_mae) AS inner_base FROM inn i JOIN g ON i.segment = g.segment AND i.inner_fold = g.fold GROUP BY ALL),
+bc AS (SELECT *, row_number() OVER (PARTITION BY segment, fold ORDER BY round(inner_mae, 9), name) AS place FROM (SELECT *, row_number() OVER (PARTITION BY segment, fold, name ORDER BY round(inner_mae, 9), setting) AS rn FROM pc) WHERE rn = 1 AND inner_base - inner_mae >= 0.0005)"""
 
 
-@query()
+@query(f"WITH {COMPONENTS} SELECT segment, fold, name, setting, round(inner_mae, 6) AS inner_mae, round(inner_base - inner_mae, 6) AS inner_gain, place FROM bc WHERE place <= 3")
+def m21_components(spark, d):
+    """Each fold's components: the best setting of every adjuster on inner folds, of which up to three that gain 0.0005 there stay."""
+    return components(spark, d)[1].withColumns({x: F.round(x, 6) for x in ("inner_mae", "inner_gain")})
+
+
+def components(spark, d):
+    from ..operators import panel as P
+
+    rows = adjusted_rows(spark, d)
+    errors = held(calibrate.grid_errors(rows, KEYS, "base", "actual"), "grid")
+    inner = folds.inner_periods(fold_table(spark, d), "segment")
+    past = inner.join(errors.withColumnRenamed("fold", "inner_fold"), ["segment", "inner_fold"]).groupBy(*KEYS, "name", "setting").agg(F.avg("mae").alias("inner_mae"), F.avg("base_mae").alias("inner_base"))
+    best = P.first_row(past, [*KEYS, "name"], F.round("inner_mae", 9), "setting").withColumn("inner_gain", F.col("inner_base") - F.col("inner_mae")).filter("inner_gain >= 0.0005")
+    return rows, P.top_rows(best, KEYS, 3, F.round("inner_mae", 9), "name").select(*KEYS, "name", "setting", "inner_mae", "inner_gain", "place")
+
+
+CORRECTED = " UNION ALL ".join(f"SELECT segment, fold, entity, '{name}' AS name, {i} AS setting, {adjustment(name, s)} AS c FROM adj" for name, grid in calibrate.GRIDS.items() for i, s in enumerate(grid))
+
+
+@query(f"WITH {COMPONENTS}, cc AS ({CORRECTED}), k AS (SELECT segment, fold, entity, avg(c) AS c, count(*) AS n_components FROM cc JOIN bc USING (segment, fold, name, setting) WHERE place <= 3 GROUP BY ALL) SELECT adj.segment, adj.fold, count(*) AS n, max(coalesce(n_components, 0)) AS n_components, round(avg(abs(actual - base)), 6) AS base_mae, round(avg(abs(actual - base - least(0.75, greatest(-0.75, coalesce(c, 0))))), 6) AS mae FROM adj LEFT JOIN k USING (segment, fold, entity) GROUP BY adj.segment, adj.fold")
+def m23_corrected(spark, d):
+    """Base prediction plus the bounded mean of the fold's chosen components, as it would be deployed."""
+    rows, chosen = components(spark, d)
+    wide = chosen.groupBy(*KEYS).agg(F.collect_list(F.struct("name", "setting")).alias("chosen"))  # three at most
+    every = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(i).alias("setting"), calibrate.bounded(name, s).alias("c")) for name, grid in calibrate.GRIDS.items() for i, s in enumerate(grid)))
+    mine = F.filter(every, lambda x: F.array_contains("chosen", F.struct(x["name"].alias("name"), x["setting"].alias("setting"))))
+    both = rows.join(wide, KEYS, "left").withColumn("mine", F.when(F.col("chosen").isNotNull(), mine))
+    mean = F.aggregate("mine", F.lit(0.0), lambda acc, x: acc + x["c"]) / F.size("mine")
+    done = both.withColumn("correction", F.coalesce(clip(mean, -calibrate.BOUND, calibrate.BOUND), F.lit(0.0)))
+    return done.groupBy(*KEYS).agg(
+        F.count("*").alias("n"), F.max(F.coalesce(F.size("chosen"), F.lit(0))).alias("n_components"),
+        F.round(F.avg(F.abs(F.col("actual") - F.col("base"))), 6).alias("base_mae"), F.round(F.avg(F.abs(F.col("actual") - F.col("base") - F.col("correction"))), 6).alias("mae"),
+    )
+
+
+@query(f"WITH {ADJUSTED}, g AS ({GRID_ERRORS}), h AS (SELECT segment, fold < 2000 AS discovery, name, setting, sum(mae * n) / sum(n) AS mae, sum(base_mae * n) / sum(n) AS base_mae, sum(n)::BIGINT AS n FROM g GROUP BY ALL), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment, name ORDER BY round(mae, 9), setting) AS rn FROM h WHERE discovery) WHERE rn = 1) SELECT s.segment, s.name, s.setting, round(s.mae, 6) AS mae, round(s.base_mae, 6) AS base_mae, round(s.base_mae - s.mae, 6) AS improvement, s.base_mae - s.mae >= 0.005 AS passed, s.n FROM best JOIN h s ON s.segment = best.segment AND s.name = best.name AND s.setting = best.setting AND NOT s.discovery")
+def m22_locked_confirmation(spark, d):
+    """Each adjuster's setting locked on discovery periods, scored on sealed ones, with pass or fail."""
+    g = calibrate.grid_errors(adjusted_rows(spark, d), KEYS, "base", "actual")
+    weighted = lambda x: F.sum(F.col(x) * F.col("n")) / F.sum("n")
+    side = lambda rows: rows.groupBy("segment", "name", "setting").agg(weighted("mae").alias("mae"), weighted("base_mae").alias("base_mae"), F.sum("n").alias("n"))
+    g = held(g, "grid")
+    got = calibrate.locked(side(g.filter("fold < 2000")), side(g.filter("fold >= 2000")), ["segment", "name"], ["setting"])
+    return got.withColumns({x: F.round(x, 6) for x in ("mae", "base_mae", "improvement")})
+
+
+@query(f"""WITH {NESTED}, md AS (SELECT segment, alpha FROM (SELECT segment, alpha, row_number() OVER (PARTITION BY segment ORDER BY count(*) DESC, min(fold), alpha) AS rn FROM (SELECT *, dense_rank() OVER (PARTITION BY segment ORDER BY fold DESC) AS dr FROM best) WHERE dr <= 5 GROUP BY segment, alpha) WHERE rn = 1),
+fin AS (SELECT segment, count(*) AS n, avg(a) AS ma, stddev_pop(a) AS sa, avg(actual) AS my, covar_pop(a, actual) AS cay FROM predictions GROUP BY segment), nw AS (SELECT * FROM predictions WHERE period = (SELECT max(period) FROM predictions)), pr AS (SELECT nw.segment, entity, period, alpha, my + n * (cay / sa) / (n + alpha) * (a - ma) / sa AS predicted FROM nw JOIN fin USING (segment) JOIN md USING (segment))
+SELECT segment, entity, period, alpha, round(predicted, 4) AS predicted, row_number() OVER (PARTITION BY segment ORDER BY round(predicted, 4) DESC, entity) AS place FROM pr""")
 def m29_batch_scoring(spark, d):
-    """Refit on all periods, score the latest, rank by segment."""
-    p = predictions(spark, d)
-    e = p.withColumn("role", F.lit("train"))
-    st = linear.fold_statistics(e, ["segment"], FEATURES)
-    x = linear.standardized(e, st, ["segment"], FEATURES)
-    fits = linear.fits(linear.gram(x, ["segment"], len(FEATURES), "actual"), ["segment"], ridge=(1.0,)).filter("method = 'ridge'")
-    newest = p.agg(F.max("period").alias("newest"))
-    done = linear.scored(x.join(F.broadcast(newest), F.col("period") == F.col("newest")), fits, ["segment"])
+    """Refit on all periods with the penalty that recent folds chose most often, score the latest period, rank by segment; the inputs are checked."""
     from ..functions.ranks import first_rank
+    from ..operators.contracts import assert_inputs
 
-    return done.withColumn("place", first_rank("predicted", ["segment"], ["entity"])).select("segment", "entity", "period", "predicted", "place")
+    assert_inputs(["a"], ["actual", "entity", "n_occ"])
+    rows, sums = sums_of(spark, d, ["a"])
+    inner = folds.inner_periods(fold_table(spark, d), "segment")
+    recent = linear.nested(rows, sums, linear.fits(sums, KEYS, {"last": [0]}).filter("method = 'ridge'"), ["segment"], "period", ["a"], "actual", inner)
+    modal = folds.modal_recent(recent.select("segment", "fold", "alpha"), ["segment"], "fold", ["alpha"]).select("segment", "alpha")
+    final = linear.fits(linear.all_sums(rows, ["segment"], "period", ["a"], "actual"), ["segment"], {"last": [0]}).filter("method = 'ridge'").join(modal, ["segment", "alpha"])
+    newest = rows.agg(F.max("period").alias("newest"))
+    done = rows.join(F.broadcast(newest), F.col("period") == F.col("newest")).join(final, "segment").withColumn("predicted", F.round(linear.predicted(["a"]), 4))  # newest is one row
+    return done.withColumn("place", first_rank("predicted", ["segment"], ["entity"])).select("segment", "entity", "period", "alpha", "predicted", "place")
 
 
-@query()
-def m13_role_classifier(spark, d):
-    """Balanced logistic probabilities, fitted on earlier periods only."""
-    p = predictions(spark, d).withColumn("label", (F.col("actual") > 60).cast("double"))
-    rows = trees.assembled(p, FEATURES)
-    model = trees.balanced_classifier(rows.filter("period < 1999"), "label")
-    from pyspark.ml.functions import vector_to_array
+def probabilities(spark, d):
+    """Predictions with the cross-fitted probability of an above-average period."""
+    p = held(predictions(spark, d).withColumn("label", (F.col("actual") > F.col("m")).cast("int")), "labelled")
+    return logistic.crossfit(p, ["segment"], "period", FEATURES, "label")
 
-    scored = model.transform(rows.filter("period >= 1999"))
-    return scored.select("segment", "entity", "period", "label", F.get(vector_to_array("probability"), F.lit(1)).alias("probability"))
 
+@query()
+def m14_crossfitted_probabilities(spark, d):
+    """Balanced logistic probabilities of every period, fitted on the periods before it; null where these are too few."""
+    return probabilities(spark, d).select("segment", "entity", "period", "label", "probability")
 
-def tree_errors(spark, d, kind: str, grid):
-    rows = trees.assembled(predictions(spark, d), FEATURES)
-    train, valid = rows.filter("period < 1999"), rows.filter("period >= 1999")
-    best, error = trees.grid_errors(kind, train, valid, "actual", grid)[0]
-    return trees.fitted(kind, train, "actual", **best).transform(valid).select("segment", "entity", "period", "actual", "predicted")
+
+@query()
+def m15_mixture(spark, d):
+    """Ridges on either class's rows, mixed by the cross-fitted probability; the penalty is chosen on inner folds."""
+    rows = held(probabilities(spark, d), "probabilities")
+    branch = lambda k: linear.fits(linear.fold_sums(rows.filter(F.col("label") == k), ["segment"], "period", ["a", "b"], "actual", 30), KEYS, {"history": [0, 1]}, (0.1, 1.0, 10.0, 100.0)).filter("method = 'ridge'")
+    side = lambda k, name: branch(k).select(*KEYS, "alpha", *(F.col(x).alias(f"{name}_{x}") for x in ("intercept", "coef", "med")))
+    value = lambda name: F.col(f"{name}_intercept") + F.get(f"{name}_coef", F.lit(0)) * F.col("a") + F.get(f"{name}_coef", F.lit(1)) * F.col("b")
+    both = rows.filter("probability is not null").withColumn("fold", F.col("period")).join(side(1, "high").join(side(0, "low"), [*KEYS, "alpha"]), KEYS)
+    mixed = F.col("probability") * value("high") + (1 - F.col("probability")) * value("low")
+    errors = both.groupBy(*KEYS, "alpha").agg(F.avg(F.abs(F.col("actual") - mixed)).alias("mae"), F.count("*").alias("n"))
+    return folds.chosen_inside(errors, folds.inner_periods(errors.select(*KEYS).distinct(), "segment", least=1), ["segment"], ["alpha"], [F.desc("alpha")])
+
+
+@query(f"""WITH {FOLDS}, q AS (SELECT p.*, n_occ * 1.0::DOUBLE AS chance FROM predictions p), s1 AS (SELECT f.segment, fold, regr_slope(chance, a) AS k, regr_intercept(chance, a) AS c FROM q JOIN folds f ON q.segment = f.segment AND period < fold GROUP BY f.segment, fold),
+x AS (SELECT q.segment, entity, period, actual, c + k * a AS hat FROM q JOIN s1 ON q.segment = s1.segment AND q.period = s1.fold), c2 AS (SELECT segment, period AS fold, count(*) AS n FROM x GROUP BY ALL), f2 AS (SELECT segment, fold FROM (SELECT *, sum(n) OVER (PARTITION BY segment ORDER BY fold RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t FROM c2) WHERE t >= 50),
+s2 AS (SELECT f2.segment, fold, regr_slope(actual, hat) AS k, regr_intercept(actual, hat) AS c FROM x JOIN f2 ON x.segment = f2.segment AND period < fold GROUP BY f2.segment, fold)
+SELECT x.segment, s2.fold, count(*) AS n, round(avg(abs(c + k * hat - actual)), 4) AS mae FROM x JOIN s2 ON x.segment = s2.segment AND x.period = s2.fold GROUP BY x.segment, s2.fold""")
+def m17_chained(spark, d):
+    """Occurrences first, then the score from their cross-fitted predictions: the second fit only sees what the first said about periods it had not read."""
+    rows = held(predictions(spark, d).withColumn("chance", F.col("n_occ").cast("double")), "predictions")
+    ols = lambda sums: linear.fits(sums, KEYS, {"one": [0]}, ridge=())
+    first = linear.scored(rows, ols(linear.fold_sums(rows, ["segment"], "period", ["a"], "chance")), ["segment"], "period", ["a"])
+    x = held(first.select("segment", "entity", "period", "actual", F.col("predicted").alias("hat")), "chained")
+    done = linear.scored(x, ols(linear.fold_sums(x, ["segment"], "period", ["hat"], "actual")), ["segment"], "period", ["hat"])
+    return done.groupBy(*KEYS).agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("predicted") - F.col("actual"))), 4).alias("mae"))
+
+
+def chosen_tree(spark, d, kind: str, grid):
+    """Predictions for 2000 and later of the setting that does best on 1999 after training on what lies before; refitted up to 1999."""
+    rows = trees.assembled(held(predictions(spark, d), "predictions"), FEATURES)
+    best, _ = trees.grid_errors(kind, rows.filter("period < 1999"), rows.filter("period = 1999"), "actual", grid)[0]
+    return trees.fitted(kind, rows.filter("period < 2000"), "actual", **best).transform(rows.filter("period >= 2000")).select("segment", "entity", "period", "actual", "predicted")
 
 
 @query()
 def m24_tree(spark, d):
-    """A small grid of regression trees."""
-    return tree_errors(spark, d, "tree", [{"maxDepth": k, "minInstancesPerNode": n} for k in (2, 4) for n in (10,)])
+    """Regression trees over depths and leaf sizes."""
+    return chosen_tree(spark, d, "tree", [{"maxDepth": k, "minInstancesPerNode": n} for k in (2, 3, 4, 5) for n in (5, 10, 20, 40)])
 
 
 @query()
 def m25_forest(spark, d):
-    return tree_errors(spark, d, "forest", [{"numTrees": 10, "maxDepth": k} for k in (4,)])
+    """Forests over depths and leaf sizes."""
+    return chosen_tree(spark, d, "forest", [{"numTrees": 20, "maxDepth": k, "minInstancesPerNode": n, "featureSubsetStrategy": "0.5"} for k in (4, 6) for n in (5, 20)])
 
 
 @query()
 def m26_boosting(spark, d):
-    return tree_errors(spark, d, "boosting", [{"maxIter": 5, "maxDepth": 3, "lossType": loss} for loss in ("squared",)])
+    """Boosting over depths and both losses."""
+    return chosen_tree(spark, d, "boosting", [{"maxIter": 10, "maxDepth": k, "lossType": loss} for k in (2, 3) for loss in ("squared", "absolute")])
 
 
 @query()
 def m27_permutation_importance(spark, d):
-    p = predictions(spark, d).withColumn("key", F.xxhash64("entity", "period"))
+    """Five shuffles of every feature."""
+    p = held(predictions(spark, d).withColumn("key", F.xxhash64("entity", "period")), "predictions")
     rows = trees.assembled(p, FEATURES)
     model = trees.fitted("tree", rows.filter("period < 1999"), "actual", maxDepth=3)
-    return trees.importance(model, p.filter("period >= 1999"), FEATURES, ["segment"], "key", "actual", repeats=1)
+    return trees.importance(model, p.filter("period >= 1999"), FEATURES, ["segment"], "key", "actual", repeats=5)
+
+
+@query()
+def e25_complexity(spark, d):
+    """Error on training and later rows, and distinct predictions, by depth of a tree."""
+    rows = trees.assembled(held(predictions(spark, d), "predictions"), FEATURES)
+    out, error = None, F.abs(F.col("actual") - F.col("predicted"))
+    for depth in (2, 3, 4, 5):
+        done = trees.fitted("tree", rows.filter("period < 2000"), "actual", maxDepth=depth, minInstancesPerNode=5).transform(rows)
+        one = done.agg(F.avg(F.when(F.col("period") < 2000, error)).alias("train_mae"), F.avg(F.when(F.col("period") >= 2000, error)).alias("valid_mae"), F.count_distinct("predicted").alias("n_distinct")).withColumn("depth", F.lit(depth))
+        out = one if out is None else out.unionByName(one)
+    return out

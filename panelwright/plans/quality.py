@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.exprs import exclusive
 from ..operators import contracts as C
 from ..sources import tables as S
 from .base import PANEL, PREDICTIONS, STATS, Query, panel, predictions, registered, scan, stats
@@ -23,7 +24,7 @@ CUSTOMER = {"missing_name": "c_name IS NULL", "negative_balance": "c_acctbal < 0
 
 @query(" UNION ALL ".join(finding("identity", k, "customer", v) for k, v in CUSTOMER.items()))
 def q1_findings(spark, d):
-    """Findings of one pass over a table."""
+    """Findings of one pass over a table."""
     out = C.findings(scan(spark, d, "customer"), [C.Check("identity", k, F.expr(v)) for k, v in CUSTOMER.items()])
     return out.withColumn("rate", F.round("rate", 6))
 
@@ -31,7 +32,7 @@ def q1_findings(spark, d):
 @query(f"""WITH {STATS}, g AS (SELECT entity, period, count(DISTINCT prio) AS k, min_by(prio, day::VARCHAR || occ::VARCHAR) AS first_prio FROM stats GROUP BY ALL), c AS (SELECT entity, period, prio, sum(qty) AS q FROM stats GROUP BY ALL), t AS (SELECT entity, period, prio AS main_prio FROM (SELECT *, row_number() OVER (PARTITION BY entity, period ORDER BY q DESC, prio) AS rn FROM c) WHERE rn = 1)
 SELECT period, count(*) AS n, count(*) FILTER (k > 1) AS n_multi, count(*) FILTER (first_prio <> main_prio) AS n_disagree FROM g JOIN t USING (entity, period) GROUP BY period""")
 def q3_assignment_audit(spark, d):
-    """Q3, Q4: first against primary assignment."""
+    """Q3: first against primary assignment."""
     from ..operators.panel import first_row
 
     s = stats(spark, d)
@@ -43,18 +44,19 @@ def q3_assignment_audit(spark, d):
 @query(f"""WITH {PANEL}, l AS (SELECT entity, period, segment, {LAG.format('qty', 1)} AS q1, row_number() OVER (PARTITION BY entity ORDER BY period) - 1 AS n_prior, {LAG.format('n_occ', 1)} AS o1 FROM panel),
 r AS (SELECT segment, CASE WHEN q1 IS NOT NULL THEN 'present' WHEN n_prior = 0 THEN 'no_history' WHEN n_prior >= 3 THEN 'gap_long' ELSE 'gap' END AS reason FROM l) SELECT segment, reason, count(*) AS n FROM r GROUP BY ALL""")
 def q5_missing_reasons(spark, d):
-    """One exclusive reason a row."""
+    """Q5, F16: one exclusive reason a row, which the flags are checked for."""
     from ..operators import panel as P
 
     p = panel(spark, d).select("segment", P.exact_lag("qty", "entity", "period", 1).alias("q1"), P.prior_count("entity", "period").alias("n_prior"))
     reason = F.when(F.col("q1").isNotNull(), "present").when(F.col("n_prior") == 0, "no_history").when(F.col("n_prior") >= 3, "gap_long").otherwise("gap")
-    return p.withColumn("reason", reason).groupBy("segment", "reason").agg(F.count("*").alias("n"))
+    flags = [F.col("q1").isNotNull(), F.col("q1").isNull() & (F.col("n_prior") == 0), F.col("q1").isNull() & F.col("n_prior").between(1, 2), F.col("q1").isNull() & (F.col("n_prior") >= 3)]
+    return p.filter(exclusive(flags)).withColumn("reason", reason).groupBy("segment", "reason").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {PANEL}, l AS (SELECT entity, segment, period, {LAG.format('target', 1)} AS t1, {LAG.format('target', 2)} AS t2, {LAG.format('target', 3)} AS t3, row_number() OVER (PARTITION BY entity ORDER BY period) AS rn FROM panel)
 SELECT segment, count(*) AS n, count(*) FILTER (rn = 1 AND (t1 IS NOT NULL OR t2 IS NOT NULL OR t3 IS NOT NULL)) AS n_leaks, round(100.0::DOUBLE * count(*) FILTER (t1 IS NULL) / count(*), 6) AS t1_null_pct, round(100.0::DOUBLE * count(*) FILTER (t2 IS NULL) / count(*), 6) AS t2_null_pct, round(100.0::DOUBLE * count(*) FILTER (t3 IS NULL) / count(*), 6) AS t3_null_pct FROM l GROUP BY segment""")
 def q9_leakage_audit(spark, d):
-    """A first row must have no history; share of missing inputs."""
+    """A first row must have no history; share of missing inputs."""
     from ..operators import panel as P
 
     p = panel(spark, d).select("segment", P.prior_count("entity", "period").alias("n_prior"), *(P.exact_lag("target", "entity", "period", k).alias(f"t{k}") for k in (1, 2, 3)))
@@ -74,19 +76,19 @@ def a19_coverage(spark, d):
 
 @query(f"""WITH {PANEL} SELECT segment, count(*) AS n_panel, count(*) FILTER (n_occ >= 2) AS n_enough, count(*) FILTER (n_occ >= 2 AND period > 1995) AS n_after_first FROM panel GROUP BY segment""")
 def q8_cohort_flow(spark, d):
-    """Q8, P4, P8."""
+    """Q8, P4."""
     return panel(spark, d).groupBy("segment").agg(F.count("*").alias("n_panel"), F.count_if(F.col("n_occ") >= 2).alias("n_enough"), F.count_if((F.col("n_occ") >= 2) & (F.col("period") > 1995)).alias("n_after_first"))
 
 
 @query(f"""WITH {PANEL}, g AS (SELECT segment, period, grp, count(*) AS n FROM panel GROUP BY ALL) SELECT segment, period, count(*) AS n_groups, count(*) FILTER (n = 1) AS n_alone, count(*) - count(DISTINCT n) AS n_tied, max(n) AS largest FROM g GROUP BY ALL""")
 def q6_pool_structure(spark, d):
-    """Q6, Q7: pools without competitors, ties, coverage."""
+    """Q6: pools without competitors, ties, coverage."""
     g = panel(spark, d).groupBy("segment", "period", "grp").agg(F.count("*").alias("n"))
     return g.groupBy("segment", "period").agg(F.count("*").alias("n_groups"), F.count_if(F.col("n") == 1).alias("n_alone"), (F.count("*") - F.count_distinct("n")).alias("n_tied"), F.max("n").alias("largest"))
 
 
 @query(f"""WITH {PREDICTIONS} SELECT segment, count(*) AS n, count(*) - count(DISTINCT (entity, period)) AS n_repeated, count(*) FILTER (NOT isfinite(a)) AS n_infinite, count(*) FILTER (m IS NULL) AS n_without_mean FROM predictions GROUP BY segment""")
 def e28_prediction_sanity(spark, d):
-    """E5, E6, E28."""
+    """Repeated keys and values that are no numbers."""
     p = predictions(spark, d)
     return p.groupBy("segment").agg(F.count("*").alias("n"), (F.count("*") - F.count_distinct("entity", "period")).alias("n_repeated"), F.count_if(F.isnan("a") | (F.abs("a") == float("inf"))).alias("n_infinite"), F.count_if(F.col("m").isNull()).alias("n_without_mean"))

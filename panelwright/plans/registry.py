@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import features, joins, models, panels, quality, ranked, reports, shares, tables
+from . import cohorts, features, jobs, joins, models, panels, quality, ranked, reports, shares, tables
 
 FLAGSHIP = "d2_lagged_panel"
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (tables, panels, joins, ranked, shares, reports, quality, features, models):
+for module in (tables, panels, joins, ranked, shares, reports, quality, features, models, cohorts, jobs):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

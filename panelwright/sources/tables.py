@@ -141,12 +141,6 @@ def frozen(df: DataFrame, forbidden: Sequence[str]) -> DataFrame:
     return out
 
 
-def exploded_manifest(spark: SparkSession, specs: Mapping[str, Mapping[str, Sequence[str]]]) -> DataFrame:
-    """segment, spec, ord, feature from ordered feature lists."""
-    rows = [(segment, spec, list(fs)) for segment, by in specs.items() for spec, fs in by.items()]
-    return spark.createDataFrame(rows, "segment string, spec string, features array<string>").select("segment", "spec", F.posexplode("features").alias("ord", "feature"))
-
-
 def segment_manifest(df: DataFrame, segment: str, features: Sequence[str]) -> DataFrame:
     """segment, spec, ord, feature: in column order, those with `any` value in the segment and those `complete` there."""
     counts = df.groupBy(F.col(segment).alias("segment")).agg(F.count("*").alias("n"), *(F.count(x).alias(f"k{i}") for i, x in enumerate(features)))

@@ -79,23 +79,22 @@ def test_linear_equals_numpy(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(80, 2)) * [1, 5] + [0, 3]
     y = 2 + x @ [1.5, -0.5] + rng.normal(size=80)
-    data = [("s", 2020, "train", float(a), float(b) if i % 9 else None, float(v)) for i, ((a, b), v) in enumerate(zip(x, y, strict=True))]
-    df = spark.createDataFrame(data, "seg string, fold int, role string, a double, b double, y double")
-    keys = ["seg", "fold"]
-    st = linear.fold_statistics(df, keys, ["a", "b"])
-    g = linear.gram(linear.standardized(df, st, keys, ["a", "b"]), keys, 2, "y")
-    fits = {(r["method"], r["alpha"], r["l1"]): r for r in linear.fits(g, keys, (10.0,), (0.1,), (0.5,)).collect()}
+    data = [("s", 2018 + i % 2, float(a), float(b) if i % 9 else None, float(v)) for i, ((a, b), v) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame([*data, ("s", 2020, 0.0, 0.0, 0.0)], "seg string, t int, a double, b double, y double")
+    keys, both = ["seg", "fold"], {"both": [0, 1]}
+    g = linear.fold_sums(df, ["seg"], "t", ["a", "b"], "y").filter("fold = 2020")
+    fits = {(r["method"], r["alpha"], r["l1"]): r for r in linear.fits(g, keys, both, (10.0,), (0.1,), (0.5,)).collect()}
     filled = np.array([[a, np.nan if b is None else b] for *_, a, b, _ in data])
     filled[np.isnan(filled[:, 1]), 1] = np.nanmedian(filled[:, 1])
     z = (filled - filled.mean(0)) / filled.std(0)
-    assert np.allclose(fits["ols", 0, 0]["coef"], np.linalg.lstsq(z, y - y.mean(), rcond=None)[0])
-    assert np.allclose(fits["ridge", 10, 0]["coef"], np.linalg.solve(z.T @ z + 10 * np.eye(2), z.T @ (y - y.mean())))
-    w = np.array(fits["net", 0.1, 0.5]["coef"])
+    assert np.allclose(fits["ols", 0, 0]["coef_z"], np.linalg.lstsq(z, y - y.mean(), rcond=None)[0])
+    assert np.allclose(fits["ridge", 10, 0]["coef_z"], np.linalg.solve(z.T @ z + 10 * np.eye(2), z.T @ (y - y.mean())))
+    w = np.array(fits["net", 0.1, 0.5]["coef_z"])
     slope = -z.T @ (y - y.mean() - z @ w) / 80 + 0.1 * 0.5 * w
     assert np.all(np.abs(slope[w != 0] + 0.05 * np.sign(w[w != 0])) < 1e-6)
-    units = {r["feature"]: r for r in linear.original_units(linear.fits(g, keys, ()), st, keys, ["a", "b"]).collect()}
-    back = units["a"]["intercept_units"] + filled @ [units["a"]["coefficient"], units["b"]["coefficient"]]
-    assert np.allclose(back, y.mean() + z @ fits["ols", 0, 0]["coef"])
+    units = {r["feature"]: r for r in linear.original_units(linear.fits(g, keys, both, ()), keys, ["a", "b"]).collect()}
+    back = units["a"]["intercept"] + filled @ [units["a"]["coefficient"], units["b"]["coefficient"]]
+    assert np.allclose(back, y.mean() + z @ fits["ols", 0, 0]["coef_z"])
     audit = linear.rank_audit(g, keys).first()
     assert (audit["matrix_rank"], audit["deficiency"]) == (2, 0)
 
