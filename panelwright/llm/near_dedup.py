@@ -48,7 +48,7 @@ WORDS = re.compile(WORD)
 #: Buckets that may be broadcast at once, and the least size of such a bucket.
 MOST_HOT, LEAST_HOT = 10_000, 128
 #: Partners of one document that one task confirms, shingles of a block of documents, rounds of pivots.
-PART, BLOCK_ITEMS, MOST_ROUNDS = 1024, 1 << 20, 8
+PART, BLOCK_ITEMS, MOST_ROUNDS = 128, 1 << 20, 8
 
 
 @dataclass(frozen=True)
