@@ -42,12 +42,12 @@ def w17_weighted_median(spark, d):
     return weighted_median(s, ["segment", "period"], "v", "qty", "weighted_median").withColumn("weighted_median", F.round("weighted_median", 6))
 
 
-@query(f"""WITH {PANEL}, g AS (SELECT segment, grp, period, sum(qty)::BIGINT AS qty FROM panel GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY segment, period ORDER BY qty // 400 DESC) AS rn FROM g)
+@query(f"""WITH {PANEL}, g AS (SELECT segment, grp, period, sum(qty)::BIGINT AS qty FROM panel GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY segment, period ORDER BY qty // 5 DESC) AS rn FROM g)
 SELECT segment, period, min(rn) AS low, max(rn) AS high, count(DISTINCT rn) AS n_distinct, min(rn) = 1 AND max(rn) = count(*) AND count(DISTINCT rn) = count(*) AS contiguous FROM r GROUP BY segment, period""")
 def w19_contiguous_ranks(spark, d):
     """Whether ranks that came from elsewhere run from 1 without gaps."""
     g = panel(spark, d).groupBy("segment", "grp", "period").agg(F.sum("qty").alias("qty"))
-    r = g.withColumn("rn", R.lowest_rank(F.floor(F.col("qty") / 400), ["segment", "period"]))  # ties leave gaps
+    r = g.withColumn("rn", R.lowest_rank(F.floor(F.col("qty") / 5), ["segment", "period"]))  # ties leave gaps
     low, high, n = F.min("rn"), F.max("rn"), F.count_distinct("rn")
     return r.groupBy("segment", "period").agg(low.alias("low"), high.alias("high"), n.alias("n_distinct"), ((low == 1) & (high == F.count("*")) & (n == F.count("*"))).alias("contiguous"))
 
