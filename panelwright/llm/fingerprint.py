@@ -66,7 +66,8 @@ def fingerprint(text: str) -> str:
     level = hashes.astype(np.uint64) + np.uint64(1)
     at = np.flatnonzero(level % np.uint64(LEAST_BLOCK) == 0)
     level = (level[at] // np.uint64(LEAST_BLOCK)).astype(np.int64)
-    ends = np.array([np.count_nonzero(level % (1 << i) == 0) for i in range(33)])  # by i: chunk ends at block size 3 * 2**i
+    halvings = np.frexp((level & -level).astype(np.float64))[1] - 1  # how often 2 divides a level
+    ends = np.cumsum(np.bincount(halvings, minlength=33)[::-1])[::-1]  # by i: chunk ends at block size 3 * 2**i
     k = max(0, -(-len(data) // (LETTERS * LEAST_BLOCK)) - 1).bit_length()
     while ends[k] > MOST:
         k += 1
