@@ -10,20 +10,6 @@ from pyspark.sql import functions as F
 from .exprs import c
 
 
-def average_rank(value: Column | str, by: Sequence[str | Column], descending: bool = False) -> Column:
-    """Ties share the mean of their places; null stays unranked."""
-    v = c(value)
-    order = v.desc_nulls_last() if descending else v.asc_nulls_last()
-    first = F.rank().over(Window.partitionBy(*by).orderBy(order))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, v))
-    return F.when(v.isNotNull(), first + (ties - 1) / F.lit(2.0))
-
-
-def percent_rank(value: Column | str, by: Sequence[str | Column]) -> Column:
-    """Average rank over the number of known values."""
-    return average_rank(value, by) / F.count(c(value)).over(Window.partitionBy(*by))
-
-
 def first_rank(value: Column | str, by: Sequence[str | Column], ties: Sequence[str], descending: bool = True) -> Column:
     """Places 1, 2, 3 without gaps; ties in the order of the tie columns."""
     order = c(value).desc_nulls_last() if descending else c(value).asc_nulls_last()
@@ -36,13 +22,6 @@ def lowest_rank(value: Column | str, by: Sequence[str | Column], descending: boo
     return F.when(c(value).isNotNull(), F.rank().over(Window.partitionBy(*by).orderBy(order)))
 
 
-def tier(value: Column | str, by: Sequence[str | Column], ties: Sequence[str], n: int = 4) -> Column:
-    """1..n by place, the edges at equal steps between the first and the last place."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(c(value), *ties))
-    rows = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    return F.when(rows == 1, F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil((place - 1) * n / F.nullif(rows - 1, F.lit(0))))).cast("int")
-
-
 def total_of(value: Column | str, by: Sequence[str | Column]) -> Column:
     return F.sum(c(value)).over(Window.partitionBy(*by))
 
@@ -85,12 +64,6 @@ def correlation(x: Column | str, y: Column | str) -> Column:
     return F.when((sx > 1e-12) & (sy > 1e-12), F.covar_pop(a, b) / F.nullif(sx * sy, F.lit(0.0)))
 
 
-def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, least: int = 3) -> DataFrame:
-    """n and spearman by group; null below so many rows or without variance."""
-    ranked = df.select(*by, average_rank(x, by).alias("__x"), average_rank(y, by).alias("__y"))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, correlation("__x", "__y")).alias("spearman"))
-
-
 def sample_skew(x: Column | str) -> Column:
     """Bias-corrected skewness; null below three values or without variance."""
     n = F.count(c(x)).cast("double")

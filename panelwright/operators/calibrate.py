@@ -15,8 +15,8 @@ def beta_grid(low: float = 0.05, high: float = 1.50, n: int = 146) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(low) + i * F.lit((high - low) / (n - 1)))
 
 
-def weighted_median(rows: DataFrame, by: Sequence[str], value: str, weight: str, name: str) -> DataFrame:
-    """The first value, in order, at which the running weight reaches half of all."""
+def grid_median(rows: DataFrame, by: Sequence[str], value: str, weight: str, name: str) -> DataFrame:
+    """places.weighted_median by window, for the many groups that a grid makes: writing its rows would cost more than sorting them."""
     w = Window.partitionBy(*by).orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
     reached = rows.withColumn("__run", F.sum(weight).over(w)).withColumn("__all", F.sum(weight).over(Window.partitionBy(*by)))
     return reached.filter(F.col("__run") * 2 >= F.col("__all")).groupBy(*by).agg(F.min(value).alias(name))
@@ -31,7 +31,7 @@ def power_calibration(rows: DataFrame, keys: Sequence[str], rank: str, target: s
     """
     ok = rows.filter((F.col(rank) > 0) & (F.col(target) >= 0)).withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).filter(F.col("__n") >= least)
     tried = ok.select(*keys, rank, target, F.explode(beta_grid()).alias("beta")).withColumn("__w", F.pow(rank, -F.col("beta"))).withColumn("__v", F.col(target) / F.col("__w"))
-    alpha = weighted_median(tried, [*keys, "beta"], "__v", "__w", "alpha")
+    alpha = grid_median(tried, [*keys, "beta"], "__v", "__w", "alpha")
     error = tried.join(alpha, [*keys, "beta"]).groupBy(*keys, "beta", "alpha").agg(F.avg(F.abs(F.col(target) - F.col("alpha") * F.col("__w"))).alias("mae"), F.count("*").alias("n"))
     return error.groupBy(*keys).agg(F.min_by(F.struct("alpha", "beta", "mae", "n"), F.struct("mae", "beta")).alias("best")).select(*keys, "best.*")
 

@@ -12,17 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import c
-from ..functions.ranks import average_rank, correlation
+from ..functions.ranks import correlation
+from .places import Rank, with_ranks
 
 
 def diagnosed(rows: DataFrame, by: Sequence[str], actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """Errors and average ranks of actual and predicted values within each group."""
-    return (
-        rows.withColumn("signed_error", F.col(predicted) - F.col(actual))
-        .withColumn("absolute_error", F.abs(F.col(predicted) - F.col(actual)))
-        .withColumn("actual_rank", average_rank(actual, by, descending=True))
-        .withColumn("predicted_rank", average_rank(predicted, by, descending=True))
-    )
+    error = F.col(predicted) - F.col(actual)
+    with_errors = rows.withColumns({"signed_error": error, "absolute_error": F.abs(error)})
+    return with_ranks(with_errors, by, {"actual_rank": Rank(actual, descending=True), "predicted_rank": Rank(predicted, descending=True)})
 
 
 def metrics(ranked: DataFrame, by: Sequence[str], top: int, actual: str = "actual") -> DataFrame:
@@ -138,7 +136,7 @@ def stability(coefficients: DataFrame, by: Sequence[str], order: str, value: str
 
 def auc(rows: DataFrame, by: Sequence[str], label: str, probability: str) -> DataFrame:
     """Area under the ROC curve from average ranks, and Brier score, by group; null for a single class."""
-    ranked = rows.withColumn("__rank", average_rank(probability, by))
+    ranked = with_ranks(rows.select(*by, label, probability), by, {"__rank": Rank(probability)})
     pos, neg = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
     area = F.try_divide(F.sum(F.when(F.col(label) == 1, F.col("__rank"))) - pos * (pos + 1) / 2, pos * neg)
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), area.alias("auc"), F.avg(F.pow(F.col(probability) - F.col(label), 2)).alias("brier"))

@@ -194,7 +194,7 @@ def nested(rows: DataFrame, sums: DataFrame, coefficients: DataFrame, by: Sequen
     for settings whose error is the same only), then fewer inputs and more shrinkage.
     """
     from .evaluate import tuned
-    from ..functions.ranks import spearman
+    from .places import spearman
 
     keys = [*by, "fold"]
     done = scored(rows, coefficients, by, period, features)

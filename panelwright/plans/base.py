@@ -8,13 +8,13 @@ are exact and do not depend on their order.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import panel as P
+from ..sources.scratch import held, scratch  # noqa: F401
 from ..sources.tables import scan
 
 WEIGHTS = {"qty": 0.25, "price": 0.0009765625, "disc": -0.0625}
@@ -37,23 +37,6 @@ def registered(queries: dict[str, Query], oracles: dict[str, str]):
     return of
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
-
-
-def held(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again, where several branches of a plan need it."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def stats(spark: SparkSession, d: str) -> DataFrame:
     """Stat rows: one an order with lines."""
     lines = scan(spark, d, "lineitem").groupBy("l_orderkey").agg(

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..functions import ranks as R
-from ..operators import asof, contracts, evaluate, peers
+from ..operators import asof, contracts, evaluate, peers, places
 from ..operators import panel as P
+from ..operators.places import Rank
 from .base import PANEL, PREDICTIONS, STATS, Query, held, panel, predictions, registered, scan, stats
 from .panels import LAG
 
@@ -135,7 +136,7 @@ SELECT segment, grp, period, count(*) AS n, CASE WHEN count(*) >= 3 AND stddev_p
 def a24_cohort_spearman(spark, d):
     """Rank correlation in sub-cohorts of three rows or more."""
     by = ["segment", "grp", "period"]
-    return R.spearman(predictions(spark, d), by, "a", "actual", 3).withColumn("spearman", F.round("spearman", 6))
+    return places.spearman(predictions(spark, d), by, "a", "actual", 3).withColumn("spearman", F.round("spearman", 6))
 
 
 @query(f"""WITH {PANEL}, l AS (SELECT entity, period, segment, grp, {LAG.format('qty', 1)} AS q1, {LAG.format('target', 1)} AS t1 FROM panel)
@@ -214,7 +215,8 @@ SELECT segment, period, count(*) AS n, max(n) - count(*) AS n_missing, count(*)
 def q7_ranking_audit(spark, d):
     """Q7: a ranking's missing entities, bounds, ties and whether its score agrees with its rank."""
     by = ["segment", "period"]
-    k = panel(spark, d).select(*by, "entity", R.lowest_rank("qty", by).alias("r"), R.total_of(F.lit(1), by).alias("n"))
+    k = places.with_ranks(panel(spark, d).select(*by, "entity", "qty"), by, {"r": Rank("qty", "low", True)})
+    k = k.join(k.groupBy(*by).agg(F.count("*").alias("n")), by)
     s = k.filter("entity % 7 > 0").withColumn("score", F.when(F.col("n") > 1, 1 - (F.col("r") - 1) / (F.col("n") - 1)))
     return contracts.ranking_audit(s, by, "r", "n", "score")
 

@@ -9,6 +9,7 @@ from ..functions import ranks as R
 from ..functions.exprs import clip, filled, knots, log_amount, ratio
 from ..operators import asof, contracts
 from ..operators import panel as P
+from ..operators.places import Rank, with_ranks
 from .base import PANEL, PREDICTIONS, STATS, Query, panel, predictions, registered, scan, stats
 
 QUERIES: dict[str, Query] = {}
@@ -45,7 +46,8 @@ SELECT p.entity, p.period, p.segment, market, (market IS NOT NULL)::INT AS match
 def d15_market_features(spark, d):
     """Market rank of the period before, match flag, knots."""
     p = panel(spark, d)
-    m = p.filter("n_occ >= 2").select("segment", (F.col("period") + 1).alias("period"), "entity", R.lowest_rank("price", ["segment", "period"]).alias("market"))
+    k = p.filter("n_occ >= 2").select("segment", (F.col("period") + 1).alias("period"), "entity", "price")
+    m = with_ranks(k, ["segment", "period"], {"market": Rank("price", "low", True)}).drop("price")
     below, above = knots("market", 20)
     return p.select("entity", "period", "segment").join(contracts.assert_unique(m, ["segment", "period", "entity"]), ["segment", "period", "entity"], "left").select(
         "entity", "period", "segment", "market", F.col("market").isNotNull().cast("int").alias("matched"), below.alias("before_apex"), above.alias("after_apex")
@@ -69,9 +71,10 @@ def d23_commitment(spark, d):
     """The interval that holds, with log amount, remaining years and percentile."""
     i = stats(spark, d).select("entity", F.col("period").alias("start"), F.col("prio").alias("years"), "price", "occ")
     c = asof.valid_interval(panel(spark, d).select("entity", "period", "segment"), i, "entity", "period", "start", "years", F.col("start").desc(), F.col("price").desc(), "occ").filter("start is not null")
+    c = with_ranks(c, ["segment", "period"], {"pct": Rank("price", "percent")})
     return c.select(
         "entity", "period", F.round(log_amount(F.col("price").cast("double")), 6).alias("log_price"), (F.col("start") + F.col("years") - F.col("period")).alias("years_left"),
-        clip(F.col("period") - F.col("start"), high=3).alias("years_in"), F.round(R.percent_rank("price", ["segment", "period"]), 6).alias("price_pct"),
+        clip(F.col("period") - F.col("start"), high=3).alias("years_in"), F.round("pct", 6).alias("price_pct"),
     )
 
 

@@ -9,6 +9,7 @@ from ..functions import exprs as E
 from ..functions import ranks as R
 from ..operators import asof, contracts, peers
 from ..operators import panel as P
+from ..operators.places import Rank, with_ranks
 from .base import PANEL, PREDICTIONS, STATS, WEIGHTS, Query, held, panel, predictions, registered, scan, scratch, stats
 from .panels import LAG
 
@@ -98,7 +99,8 @@ SELECT h.segment, h.period, count(*) AS n_cohort, count(market) AS n_matched, ro
 def d15_market_coverage(spark, d):
     """How much of the cohort with history the market covers."""
     p = panel(spark, d).withColumn("n_prior", P.prior_count("entity", "period"))
-    m = p.filter("n_occ >= 2").select("segment", (F.col("period") + 1).alias("period"), "entity", R.lowest_rank("price", ["segment", "period"]).alias("market"))
+    k = p.filter("n_occ >= 2").select("segment", (F.col("period") + 1).alias("period"), "entity", "price")
+    m = with_ranks(k, ["segment", "period"], {"market": Rank("price", "low", True)}).drop("price")
     both = contracts.checked_join(p.filter("n_prior >= 1"), m, ["segment", "period", "entity"])
     return both.groupBy("segment", "period").agg(F.count("*").alias("n_cohort"), F.count("market").alias("n_matched"), F.round(F.count("market") / F.count("*"), 6).alias("match_rate"), F.min("market").alias("best_market"))
 

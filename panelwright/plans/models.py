@@ -192,9 +192,10 @@ bp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment, fold OR
 @query(f"WITH {POWER} SELECT bp.segment, bp.fold, round(beta, 4) AS beta, round(alpha, 3) AS alpha, round(any_value(bp.mae), 4) AS train_mae, any_value(bp.n) AS n_train, round(avg(abs(actual - alpha * r ** -beta)), 4) AS mae FROM bp JOIN k ON k.segment = bp.segment AND k.period = bp.fold GROUP BY bp.segment, bp.fold, beta, alpha")
 def m12_power_calibration(spark, d):
     """Alpha * rank ** -beta fitted by segment and fold on earlier periods only, over a grid of exponents; its error on the fold."""
-    from ..functions.ranks import average_rank
+    from ..operators.places import Rank, with_ranks
 
-    p = held(predictions(spark, d).withColumn("rank", average_rank("a", ["segment", "period"], True)).select("segment", "period", "rank", "actual"), "ranked")
+    ranked = with_ranks(predictions(spark, d).select("segment", "period", "a", "actual"), ["segment", "period"], {"rank": Rank("a", descending=True)})
+    p = held(ranked.select("segment", "period", "rank", "actual"), "ranked")
     train = folds.with_roles(p, folds.expanding_folds(p, "period", "segment", 50), "period", "segment").filter("role = 'train'")
     fitted = calibrate.power_calibration(train, KEYS, "rank", "actual").select(*KEYS, "alpha", "beta", F.col("mae").alias("train_mae"), F.col("n").alias("n_train"))
     done = p.withColumn("fold", F.col("period")).join(fitted, KEYS).withColumn("error", F.abs(F.col("actual") - calibrate.apply_power("rank")))

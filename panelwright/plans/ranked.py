@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import ranks as R
 from ..operators import panel as P
-from .base import PANEL, PREDICTIONS, STATS, Query, panel, predictions, registered, scan, stats
+from ..operators import places
+from ..operators.places import Rank
+from .base import PANEL, PREDICTIONS, STATS, Query, held, panel, predictions, registered, scan, stats
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -21,10 +23,10 @@ query = registered(QUERIES, ORACLES)
 def w8_ranks(spark, d):
     """Average, percent, first and minimum ranks, equal-frequency tiers."""
     by = ["segment", "period"]
-    return panel(spark, d).select(
-        "entity", "period", "segment", R.average_rank("n_occ", by, True).alias("average_rank"), F.round(R.percent_rank("n_occ", by), 6).alias("pct_rank"),
-        R.first_rank("n_occ", by, ["entity"]).alias("first_rank"), R.lowest_rank("n_occ", by).alias("min_rank"), R.tier("n_occ", by, ["entity"]).alias("tier"),
-    )
+    p = held(panel(spark, d).select("entity", "period", "segment", "n_occ"), "panel")
+    kinds = {"average_rank": Rank("n_occ", descending=True), "pct_rank": Rank("n_occ", "percent"), "min_rank": Rank("n_occ", "low", True)}
+    placed = places.with_place(places.with_tier(p, by, "n_occ", ["entity"], "tier"), by, "n_occ", ["entity"], "first_rank")
+    return places.with_ranks(placed, by, kinds).withColumn("pct_rank", F.round("pct_rank", 6)).drop("n_occ")
 
 
 @query(f"""WITH {PREDICTIONS} SELECT segment, period, entity, place FROM (SELECT *, row_number() OVER (PARTITION BY segment, period ORDER BY abs(a - actual) DESC, entity) AS place FROM predictions) WHERE place <= 5""")
@@ -36,10 +38,8 @@ def w16_largest_errors(spark, d):
 @query(f"""WITH {STATS}, w AS (SELECT segment, period, price::DOUBLE / qty AS v, qty, sum(qty) OVER (PARTITION BY segment, period ORDER BY price::DOUBLE / qty RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run, sum(qty) OVER (PARTITION BY segment, period) AS total FROM stats)
 SELECT segment, period, round(min(v), 6) AS weighted_median FROM w WHERE run * 2 >= total GROUP BY segment, period""")
 def w17_weighted_median(spark, d):
-    from ..operators.calibrate import weighted_median
-
     s = stats(spark, d).withColumn("v", F.col("price").cast("double") / F.col("qty"))
-    return weighted_median(s, ["segment", "period"], "v", "qty", "weighted_median").withColumn("weighted_median", F.round("weighted_median", 6))
+    return places.weighted_median(s, ["segment", "period"], "v", "qty", "weighted_median").withColumn("weighted_median", F.round("weighted_median", 6))
 
 
 @query(f"""WITH {PANEL}, g AS (SELECT segment, grp, period, sum(qty)::BIGINT AS qty FROM panel GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY segment, period ORDER BY qty // 5 DESC) AS rn FROM g)

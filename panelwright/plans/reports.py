@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import buckets
-from ..functions.ranks import average_rank, correlation
+from ..functions.ranks import correlation
 from ..operators import evaluate as V
 from ..operators.contracts import checked_join
+from ..operators.places import Rank, with_ranks
 from .base import PREDICTIONS, Query, held, predictions, registered, scan
 
 QUERIES: dict[str, Query] = {}
@@ -221,7 +222,8 @@ SELECT segment, round(avg(market_rho), 6) AS market_spearman, round(avg(model_rh
 def e23_external_ranking(spark, d):
     """Two rankings against the actual one: rank correlation, overlap, rank error and periods won."""
     by = ["segment", "period"]
-    r = predictions(spark, d).select(*by, average_rank("n_prior", by, True).alias("market"), average_rank("b", by, True).alias("model"), average_rank("actual", by, True).alias("actual"))
+    of = {"market": "n_prior", "model": "b", "actual": "a_value"}
+    r = with_ranks(predictions(spark, d).select(*by, "n_prior", "b", F.col("actual").alias("a_value")), by, {name: Rank(x, descending=True) for name, x in of.items()})
     top = lambda x: F.count_if((F.col(x) <= 10) & (F.col("actual") <= 10)) / F.least(F.lit(10), F.count("*"))
     s = r.groupBy(*by).agg(*(correlation(x, "actual").alias(f"{x}_rho") for x in ("market", "model")), *(top(x).alias(f"{x}_top") for x in ("market", "model")), F.avg(F.abs(F.col("market") - F.col("actual"))).alias("market_mae"), F.avg(F.abs(F.col("model") - F.col("actual"))).alias("model_mae"))
     return s.groupBy("segment").agg(*(F.round(F.avg(f"{x}_rho"), 6).alias(f"{x}_spearman") for x in ("market", "model")), *(F.round(F.avg(f"{x}_top"), 6).alias(f"{x}_overlap") for x in ("market", "model")), F.round(F.avg("market_mae"), 6).alias("market_mae"), F.round(F.avg("model_mae"), 6).alias("model_mae"), F.count_if(F.col("model_mae") < F.col("market_mae") - 1e-9).alias("model_wins"), F.count("*").alias("n_periods"))

@@ -52,24 +52,6 @@ def test_buckets_are_left_closed(spark):
     assert [r[0] for r in df.select(E.buckets("a", (2, 4), ("low", "mid", "high"), "none")).collect()] == ["low", "mid", "high", "none"]
 
 
-def test_average_and_percent_rank(spark):
-    df = spark.createDataFrame([("g", 1, 5.0), ("g", 2, 5.0), ("g", 3, 9.0), ("g", 4, None)], "g string, k int, v double")
-    got = df.select("k", R.average_rank("v", ["g"], True).alias("a"), R.percent_rank("v", ["g"]).alias("p"), R.lowest_rank("v", ["g"]).alias("m")).orderBy("k").collect()
-    assert [tuple(r) for r in got] == [(1, 2.5, 0.5, 2), (2, 2.5, 0.5, 2), (3, 1.0, 1.0, 1), (4, None, None, None)]
-
-
-def test_tiers_equal_rank_quartiles(spark):
-    import numpy as np
-    import pandas as pd
-
-    for n in (4, 6, 9, 13):
-        df = spark.createDataFrame([("g", i, float(i * 7 % n)) for i in range(n)], "g string, k int, v double")
-        got = {r["k"]: r["t"] for r in df.select("k", R.tier("v", ["g"], ["k"]).alias("t")).collect()}
-        v = pd.Series([float(i * 7 % n) for i in range(n)])
-        want = pd.qcut(v.rank(method="first"), 4, labels=[1, 2, 3, 4])
-        assert [got[i] for i in range(n)] == list(np.array(want))
-
-
 def test_others_max_without_self_join(spark):
     df = spark.createDataFrame([("r", 1, 5), ("r", 2, 7), ("r", 3, 7), ("r", 4, None), ("s", 5, 1)], "g string, k int, v int")
     got = {r["k"]: r["o"] for r in R.with_others_max(df, "v", ["g"], "k", "o").collect()}
