@@ -21,7 +21,8 @@ from ..sources.scratch import held
 
 
 class Rank(NamedTuple):
-    """The rank of a value: kind is average (ties share their mean place), percent (that over the known values) or low (ties share the first)."""
+    """The rank of a value. Kinds: average (ties share their mean place), percent (that over the known values), low (ties share
+    their first place), first (1, 2, 3 without gaps, nulls last) and tier (1 to 4 by place, the edges at equal steps)."""
 
     value: str
     kind: str = "average"
@@ -47,35 +48,53 @@ def running(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], a
 
 
 def with_ranks(rows: DataFrame, by: Sequence[str], ranks: Mapping[str, Rank]) -> DataFrame:
-    """rows with one column a rank; a null value stays unranked. rows is written once and read for every rank."""
+    """rows with one column a rank, none of kind first or tier; a null value stays unranked.
+
+    rows is written once. Values of one type share an exchange.
+    """
     rows = out = held(rows, "ranked")
-    for name, (value, kind, descending) in ranks.items():
-        counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-        placed = running(counts, by, [F.desc(value) if descending else F.asc(value)], "__n", "__upto")
-        if kind == "low":
-            rank = F.col("__upto") - F.col("__n") + 1
+    kinds: dict[str, list[str]] = {}
+    for value in dict.fromkeys(r.value for r in ranks.values()):
+        kinds.setdefault(rows.schema[value].dataType.simpleString(), []).append(value)
+    for values in kinds.values():
+        each = F.explode(F.array(*(F.struct(F.lit(i).alias("of"), F.col(x).alias("v")) for i, x in enumerate(values))))
+        counts = rows.select(*by, each.alias("__e")).filter("__e.v is not null").groupBy(*by, F.col("__e.of").alias("__of"), F.col("__e.v").alias("__v")).agg(F.count("*").alias("__n"))
+        placed = running(counts, [*by, "__of"], ["__v"], "__n", "__upto")
+        known = placed.groupBy(*by, "__of").agg(F.max("__upto").alias("__known"))
+        placed = same_keys(placed, known, [*by, "__of"])
+        for i, value in enumerate(values):
+            mine = {name: rank_of(r.kind, r.descending).alias(name) for name, r in ranks.items() if r.value == value}
+            out = same_keys(out, placed.filter(F.col("__of") == i).select(*by, F.col("__v").alias(value), *mine.values()), [*by, value], "left")
+    return out.select(*rows.columns, *ranks)
+
+
+def rank_of(kind: str, descending: bool) -> Column:
+    """From __upto (known values up to this one, ascending), __n (equal ones) and __known (all)."""
+    low = (F.col("__known") - F.col("__upto") if descending else F.col("__upto") - F.col("__n")) + 1
+    average = low + (F.col("__n") - 1) / F.lit(2.0)
+    return {"low": low, "average": average, "percent": average / F.col("__known")}[kind]
+
+
+def with_places(rows: DataFrame, by: Sequence[str], value: str, ties: Sequence[str], ranks: Mapping[str, Rank]) -> DataFrame:
+    """rows with ranks of one value, of any kind. ties, columns that tell a group's rows apart, order equal values (and nulls).
+
+    One exchange orders the rows; all kinds follow from the ascending place and its largest by value.
+    """
+    placed = held(running(rows.withColumn("__one", F.lit(1)), by, [F.asc_nulls_last(value), *ties], "__one", "__place").drop("__one"), "placed")
+    groups = placed.groupBy(*by).agg(F.count("*").alias("__size"), F.count(value).alias("__known"))
+    equal = placed.groupBy(*by, value).agg(F.max("__place").alias("__upto"), F.count("*").alias("__n"))
+    out = same_keys(same_keys(placed, equal, [*by, value]), groups, by)
+    known, inside = F.col(value).isNotNull(), F.col("__place") - F.col("__upto") + F.col("__n")
+    step = F.ceil((F.col("__place") - 1) * 4 / F.nullif(F.col("__size") - 1, F.lit(0)))
+    for name, (_, kind, descending) in ranks.items():
+        if kind == "first":
+            rank = F.when(known & F.lit(descending), F.col("__known") - F.col("__upto") + inside).otherwise(F.col("__place"))
+        elif kind == "tier":
+            rank = F.when(F.col("__size") == 1, F.lit(1)).otherwise(F.greatest(F.lit(1), step)).cast("int")
         else:
-            rank = F.col("__upto") - (F.col("__n") - 1) / F.lit(2.0)
-        if kind == "percent":
-            placed = same_keys(placed, counts.groupBy(*by).agg(F.sum("__n").alias("__known")), by)
-            rank = rank / F.col("__known")
-        out = same_keys(out, placed.select(*by, value, rank.alias(name)), [*by, value], "left")
-    return out
-
-
-def with_place(rows: DataFrame, by: Sequence[str], value: str, ties: Sequence[str], name: str, descending: bool = True) -> DataFrame:
-    """rows with their places 1, 2, 3 without gaps, nulls last; ties in the order of the tie columns, which tell rows apart."""
-    order = F.desc_nulls_last(value) if descending else F.asc_nulls_last(value)
-    return running(rows.withColumn("__one", F.lit(1)), by, [order, *ties], "__one", name).drop("__one")
-
-
-def with_tier(rows: DataFrame, by: Sequence[str], value: str, ties: Sequence[str], name: str, n: int = 4) -> DataFrame:
-    """1..n by place from the smallest value, the edges at equal steps between the first and the last place."""
-    placed = with_place(rows, by, value, ties, "__place", descending=False)
-    size = rows.groupBy(*by).agg(F.count("*").alias("__size"))
-    step = F.ceil((F.col("__place") - 1) * n / F.nullif(F.col("__size") - 1, F.lit(0)))
-    tier = F.when(F.col("__size") == 1, F.lit(1)).otherwise(F.greatest(F.lit(1), step)).cast("int")
-    return same_keys(placed, size, by).withColumn(name, tier).drop("__place", "__size")
+            rank = F.when(known, rank_of(kind, descending))
+        out = out.withColumn(name, rank)
+    return out.select(*rows.columns, *ranks)
 
 
 def weighted_median(rows: DataFrame, by: Sequence[str], value: str, weight: str, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import ranks as R
 from ..operators import panel as P
 from ..operators import places
 from ..operators.places import Rank
-from .base import PANEL, PREDICTIONS, STATS, Query, held, panel, predictions, registered, scan, stats
+from .base import PANEL, PREDICTIONS, STATS, Query, panel, predictions, registered, scan, stats
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -23,10 +23,9 @@ query = registered(QUERIES, ORACLES)
 def w8_ranks(spark, d):
     """Average, percent, first and minimum ranks, equal-frequency tiers."""
     by = ["segment", "period"]
-    p = held(panel(spark, d).select("entity", "period", "segment", "n_occ"), "panel")
-    kinds = {"average_rank": Rank("n_occ", descending=True), "pct_rank": Rank("n_occ", "percent"), "min_rank": Rank("n_occ", "low", True)}
-    placed = places.with_place(places.with_tier(p, by, "n_occ", ["entity"], "tier"), by, "n_occ", ["entity"], "first_rank")
-    return places.with_ranks(placed, by, kinds).withColumn("pct_rank", F.round("pct_rank", 6)).drop("n_occ")
+    p = panel(spark, d).select("entity", "period", "segment", "n_occ")
+    kinds = {"average_rank": Rank("n_occ", descending=True), "pct_rank": Rank("n_occ", "percent"), "min_rank": Rank("n_occ", "low", True), "first_rank": Rank("n_occ", "first", True), "tier": Rank("n_occ", "tier")}
+    return places.with_places(p, by, "n_occ", ["entity"], kinds).withColumn("pct_rank", F.round("pct_rank", 6)).drop("n_occ")
 
 
 @query(f"""WITH {PREDICTIONS} SELECT segment, period, entity, place FROM (SELECT *, row_number() OVER (PARTITION BY segment, period ORDER BY abs(a - actual) DESC, entity) AS place FROM predictions) WHERE place <= 5""")

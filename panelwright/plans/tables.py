@@ -155,10 +155,10 @@ def s10_report_csv(spark, d):
 @query(f"WITH {PANEL} SELECT segment, period, entity, qty, row_number() OVER (PARTITION BY segment, period ORDER BY qty DESC, entity) AS place FROM panel")
 def s17_published_ranking(spark, d):
     """One ranked snapshot published as Parquet and as CSV, both read back and found equal in rows."""
-    from ..operators.places import with_place
+    from ..operators.places import Rank, with_places
     from ..operators.contracts import ContractError
 
-    ranked = with_place(panel(spark, d).select("segment", "period", "entity", "qty"), ["segment", "period"], "qty", ["entity"], "place")
+    ranked = with_places(panel(spark, d).select("segment", "period", "entity", "qty"), ["segment", "period"], "qty", ["entity"], {"place": Rank("qty", "first", True)})
     out = S.publish(ranked, scratch(spark, "ranking"), ["segment", "period", "entity"])
     path = scratch(spark, "ranking-csv")
     out.write.option("header", True).csv(path)

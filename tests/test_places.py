@@ -22,21 +22,26 @@ def data():
 
 def test_ranks_equal_pandas(spark, data):
     df = spark.createDataFrame(data, "g string, k long, v double, w long").repartition(5)
-    ranks = {"mean_down": Rank("v", descending=True), "mean_up": Rank("v"), "pct": Rank("v", "percent"), "low": Rank("v", "low", True)}
+    ranks = {"heavy": Rank("w"), "mean_down": Rank("v", descending=True), "mean_up": Rank("v"), "pct": Rank("v", "percent"), "low": Rank("v", "low", True)}
     got = places.with_ranks(df, ["g"], ranks).toPandas().sort_values("k")
     assert len(got) == len(data)
     by = data.assign(v=data.v.astype(float)).groupby("g", dropna=False).v
+    assert np.allclose(got.heavy, data.groupby("g", dropna=False).w.rank())
     for name, want in (("mean_down", by.rank(ascending=False)), ("mean_up", by.rank()), ("pct", by.rank(pct=True)), ("low", by.rank(method="min", ascending=False))):
         assert np.allclose(got[name].astype(float).to_numpy(), want.to_numpy(), equal_nan=True), name
 
 
 def test_places_are_whole_and_in_order(spark, data):
     df = spark.createDataFrame(data, "g string, k long, v double, w long").repartition(5)
-    got = places.with_place(df, ["g"], "v", ["k"], "place").toPandas()
+    kinds = {"down": Rank("v", "first", True), "up": Rank("v", "first"), "mean": Rank("v", descending=True), "low": Rank("v", "low")}
+    got = places.with_places(df, ["g"], "v", ["k"], kinds).toPandas()
     assert len(got) == len(data)
     for _, part in got.groupby("g", dropna=False):
-        want = part.sort_values(["v", "k"], ascending=[False, True], na_position="last")
-        assert want.place.tolist() == list(range(1, len(part) + 1))
+        for name, up in (("down", False), ("up", True)):
+            want = part.sort_values(["v", "k"], ascending=[up, True], na_position="last")
+            assert want[name].tolist() == list(range(1, len(part) + 1))
+        assert np.allclose(part["mean"].astype(float), part.v.rank(ascending=False), equal_nan=True)
+        assert np.allclose(part["low"].astype(float), part.v.rank(method="min"), equal_nan=True)
 
 
 def test_weighted_median_equals_brute_force(spark, data):
@@ -57,7 +62,7 @@ def test_average_percent_and_lowest_rank(spark):
 def test_tiers_equal_rank_quartiles(spark):
     sizes = (1, 4, 6, 9, 13)
     df = spark.createDataFrame([(f"g{n}", i, float(i * 7 % n)) for n in sizes for i in range(n)], "g string, k int, v double")
-    got = {(r["g"], r["k"]): r["t"] for r in places.with_tier(df, ["g"], "v", ["k"], "t").collect()}
+    got = {(r["g"], r["k"]): r["t"] for r in places.with_places(df, ["g"], "v", ["k"], {"t": Rank("v", "tier")}).collect()}
     assert got["g1", 0] == 1
     for n in sizes[1:]:
         want = pd.qcut(pd.Series([float(i * 7 % n) for i in range(n)]).rank(method="first"), 4, labels=[1, 2, 3, 4])
@@ -66,4 +71,4 @@ def test_tiers_equal_rank_quartiles(spark):
 
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "g string, k int, v double")
-    assert places.with_ranks(df, ["g"], {"a": Rank("v")}).count() == places.with_place(df, ["g"], "v", ["k"], "p").count() == 0
+    assert places.with_ranks(df, ["g"], {"a": Rank("v")}).count() == places.with_places(df, ["g"], "v", ["k"], {"p": Rank("v", "first")}).count() == 0
