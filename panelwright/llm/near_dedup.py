@@ -396,13 +396,14 @@ def arena_links(arenas: DataFrame, s: Settings) -> DataFrame:
     blocks = lambda n, held: F.ceil(F.greatest(n / s.block, held / BLOCK_ITEMS)).cast("int")
     top = lambda x: F.max(F.struct("n", "component", "held")).getField(x)
     plan = sizes.groupBy("arena").agg(
-        largest.alias("largest"), blocks(F.sum("n") - top("n"), F.sum("held") - top("held")).alias("rest"), blocks(top("n"), top("held")).alias("most")
+        largest.alias("largest"), blocks(F.sum("n") - top("n"), F.sum("held") - top("held")).alias("rest"), blocks(top("n"), top("held")).alias("most"),
+        F.sum("n").alias("size"),
     ).filter("rest > 0")
     in_largest = F.col("component") == F.col("largest")
     place = F.xxhash64("node")
     mine = F.when(in_largest, F.col("rest") + F.pmod(place, F.col("most"))).otherwise(F.pmod(place, F.col("rest"))).cast("int")
     others = F.when(in_largest, F.col("rest")).otherwise(F.col("rest") + F.col("most"))
-    dealt = able.join(plan, "arena").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    dealt = with_facts(able, plan, "arena", hot_size(able)).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
     # dealt anew by block, as an arena may be hot
     dealt = dealt.select("arena", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), "node", "component", "items", (F.col("mine") == F.col("other")).alias("own"))
 
