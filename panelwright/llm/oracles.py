@@ -108,4 +108,63 @@ SELECT doc_id, size, source_size, target,
 FROM b
 """
 
-ORACLES = {"op1_exact_dedup": OP1, "op2_secret_scan": OP2, "op6_warc_segments": OP6, "op10_mixing": OP10}
+TERM_SQL = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LOWER_SQL = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP11 = f"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, {LOWER_SQL}), '{TERM_SQL}')) AS term FROM documents
+), lengths AS (SELECT doc_id, count(*)::BIGINT AS n FROM words GROUP BY doc_id),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM lengths),
+tfs AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM words GROUP BY doc_id, term),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tfs, total GROUP BY term),
+asked AS (
+  SELECT item_id, term, count(*)::BIGINT AS k
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, {LOWER_SQL}), '{TERM_SQL}')) AS term FROM benchmark) GROUP BY item_id, term
+), scored AS (
+  SELECT item_id, doc_id, sum(k * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN lengths USING (doc_id), total GROUP BY item_id, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
+COMPONENTS = "list_transform(range(1, 65), lambda i: {0})"
+
+
+def cluster_sql() -> str:
+    """Rounds as they are defined: all distances to all centroids."""
+    assign = lambda r: f"""a{r} AS (SELECT * FROM (
+  SELECT v.no, v.vec_id, v.x, c.no AS cluster, list_sum({COMPONENTS.format("(v.x[i] - c.x[i]) * (v.x[i] - c.x[i])")})::BIGINT AS distance
+  FROM v, c{r} c QUALIFY row_number() OVER (PARTITION BY v.no ORDER BY distance, c.no) = 1)),"""
+    moved = lambda r: f"""c{r + 1} AS (SELECT c.no, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (
+  SELECT cluster, list(y ORDER BY i) AS x FROM (
+    SELECT cluster, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*))::BIGINT // count(*) AS y
+    FROM (SELECT cluster, unnest(x) AS x, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY cluster, i) GROUP BY cluster) m ON m.cluster = c.no),"""
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS no, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64
+), c0 AS (
+  SELECT place - 1 AS no, x FROM (SELECT x, row_number() OVER (ORDER BY sha256('1:' || vec_id), x) AS place FROM v) WHERE place <= 16
+), {"".join(assign(r) + moved(r) for r in range(3))} {assign(3)}
+s AS (SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM a3 GROUP BY cluster)
+SELECT vec_id, cluster::INT AS cluster, distance, cluster_inertia, (SELECT sum(distance)::BIGINT FROM a3) AS inertia,
+       sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a3 JOIN s USING (cluster) JOIN c3 c ON c.no = a3.cluster
+"""
+
+
+STRIP_SQL = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+OP13 = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
+k AS (SELECT *, translate(trim(line, {STRIP_SQL}), {LOWER_SQL}) AS key FROM l),
+r AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+j AS (SELECT k.doc_id, i, line, coalesce(k.doc_id <> keeper, false) AS gone FROM k LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+"""
+
+ORACLES = {"op1_exact_dedup": OP1, "op2_secret_scan": OP2, "op6_warc_segments": OP6, "op10_mixing": OP10, "op11_ranked_search": OP11, "op12_clustering": cluster_sql(), "op13_line_dedup": OP13}

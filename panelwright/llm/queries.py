@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprint, language_id, license_scan, mixing, near_dedup, secret_scan, toxicity, warc_segments
-from .common import held_out, table
+from . import bpe, clustering, exact_dedup, fingerprint, language_id, license_scan, line_dedup, mixing, near_dedup, ranked_search, secret_scan, toxicity, warc_segments
+from .common import held_out, table, written
 
 #: Vocabulary of the tokenizer; any byte-level BPE file of the tokenizers library will do.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -108,7 +108,32 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item. A text without a term is no document and asks for nothing; every benchmark row is an item of its own."""
+    index = ranked_search.build(table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark")).select("item_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors of 64 finite components, three rounds from 16 centroids. Repeated rows are vectors of their own; an empty table gives no rows."""
+    rows, centroids = clustering.clusters(table(spark, sf_dir, "embeddings"))
+    rows = written(rows, "clustered")
+    by_cluster = {r["cluster"]: r["inertia"] for r in rows.groupBy("cluster").agg(F.sum("distance").alias("inertia")).collect()}  # a row a centroid
+    of_cluster = lambda values: F.get(F.array(*map(F.lit, values)), F.col("cluster")) if values else F.lit(None)
+    k = range(len(centroids))
+    return rows.select(
+        F.col("id").alias("vec_id"), "cluster", "distance",
+        of_cluster([by_cluster.get(i, 0) for i in k]).cast("long").alias("cluster_inertia"), F.lit(sum(by_cluster.values())).cast("long").alias("inertia"),
+        of_cluster([clustering.centroid_digest(centroids[i]) for i in k]).cast("string").alias("centroid_sha256"),
+    )
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that three or more of them have, but for the largest doc_id. A null or empty text is one empty line; repeated rows count each for itself."""
+    return line_dedup.without_repeated_lines(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_secret_scan, op3_fingerprint, op4_language_id, op5_license_scan, op6_warc_segments, op7_near_dedup, op8_bpe, op9_toxicity, op10_mixing)
+    for f in (op1_exact_dedup, op2_secret_scan, op3_fingerprint, op4_language_id, op5_license_scan, op6_warc_segments, op7_near_dedup, op8_bpe, op9_toxicity, op10_mixing, op11_ranked_search, op12_clustering, op13_line_dedup)
 }
