@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clip
-from ..operators import calibrate, folds, linear, logistic, trees
+from ..operators import calibrate, folds, linear, logistic, mixtures, trees
 from ..operators import panel as P
 from .base import PANEL, PREDICTIONS, Query, held, panel, predictions, registered
 
@@ -346,21 +346,44 @@ def probabilities(spark, d):
 
 @query()
 def m14_crossfitted_probabilities(spark, d):
-    """Balanced logistic probabilities of every period, fitted on the periods before it; null where these are too few."""
+    """Balanced logistic probabilities of every period, fitted on the periods before it; null where these are too few."""
     return probabilities(spark, d).select("segment", "entity", "period", "label", "probability")
 
 
+def mixture_rows(spark, d, schemes):
+    """Predictions in points with tiers of the year's occurrences, and every scheme's mixtures."""
+    points = lambda x: (F.col(x) / 1024).alias(x)
+    rows = predictions(spark, d).select("segment", "entity", "period", *map(points, ("actual", "a", "b")), "n_prior", F.col("n_occ").alias("role"))
+    return mixtures.mixed(rows, "segment", "period", FEATURES, "actual", "role", schemes)
+
+
+def tuned_mixture(spark, d, schemes):
+    """by fold the cuts and penalty that did best on inner folds."""
+    settings = {i * len(mixtures.ALPHAS) + j: (cuts, alpha) for i, cuts in enumerate(schemes) for j, alpha in enumerate(mixtures.ALPHAS)}
+    best = mixtures.chosen(mixture_rows(spark, d, schemes), "segment", "period", "actual", settings, folds.inner_periods(fold_table(spark, d), "segment"))
+    names = spark.createDataFrame([(i, list(cuts), alpha) for i, (cuts, alpha) in settings.items()], "setting int, cuts array<double>, alpha double")  # a row a setting
+    cut = lambda i: F.get("cuts", F.lit(i)).alias(f"cut_{i + 1}")
+    return best.join(F.broadcast(names), "setting").select(*KEYS, *(cut(i) for i in range(len(schemes[0]))), "alpha", "inner_mae", "mae", "n")
+
+
+@query()
+def m13_tier_probabilities(spark, d):
+    """Balanced classifiers of two and of three tiers, every period scored by a fit on the periods before it; null where a tier has fewer than 20 rows there."""
+    rows = mixture_rows(spark, d, [mixtures.TWO_TIERS[0], mixtures.THREE_TIERS[0]])
+    p = lambda i, t, name: F.get(F.get("tiers", F.lit(i)), F.lit(t)).alias(name)
+    return rows.select("segment", "entity", "period", "role", p(0, 1, "upper"), *(p(1, t, f"tier_{t}") for t in range(3)))
+
+
 @query()
 def m15_mixture(spark, d):
-    """Ridges on either class's rows, mixed by the cross-fitted probability; the penalty is chosen on inner folds."""
-    rows = held(probabilities(spark, d), "probabilities")
-    branch = lambda k: linear.fits(linear.fold_sums(rows.filter(F.col("label") == k), ["segment"], "period", ["a", "b"], "actual", 30), KEYS, {"history": [0, 1]}, (0.1, 1.0, 10.0, 100.0)).filter("method = 'ridge'")
-    side = lambda k, name: branch(k).select(*KEYS, "alpha", *(F.col(x).alias(f"{name}_{x}") for x in ("intercept", "coef", "med")))
-    value = lambda name: F.col(f"{name}_intercept") + F.get(f"{name}_coef", F.lit(0)) * F.col("a") + F.get(f"{name}_coef", F.lit(1)) * F.col("b")
-    both = rows.filter("probability is not null").withColumn("fold", F.col("period")).join(side(1, "high").join(side(0, "low"), [*KEYS, "alpha"]), KEYS)
-    mixed = F.col("probability") * value("high") + (1 - F.col("probability")) * value("low")
-    errors = both.groupBy(*KEYS, "alpha").agg(F.avg(F.abs(F.col("actual") - mixed)).alias("mae"), F.count("*").alias("n"))
-    return folds.chosen_inside(errors, folds.inner_periods(errors.select(*KEYS).distinct(), "segment", least=1), ["segment"], ["alpha"], [F.desc("alpha")])
+    """Two ridges mixed by the probability of the upper tier; of four thresholds and four penalties each fold takes what did best on its inner folds."""
+    return tuned_mixture(spark, d, mixtures.TWO_TIERS)
+
+
+@query()
+def m16_three_tiers(spark, d):
+    """Three ridges mixed by the probabilities of three tiers; three pairs of cuts and four penalties."""
+    return tuned_mixture(spark, d, mixtures.THREE_TIERS)
 
 
 @query(f"""WITH {FOLDS}, q AS (SELECT p.*, n_occ * 1.0::DOUBLE AS chance FROM predictions p), s1 AS (SELECT f.segment, fold, regr_slope(chance, a) AS k, regr_intercept(chance, a) AS c FROM q JOIN folds f ON q.segment = f.segment AND period < fold GROUP BY f.segment, fold),
