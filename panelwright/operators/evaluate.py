@@ -1,13 +1,16 @@
 """Metrics, comparisons, intervals and decisions over tables of predictions.
 
 A predictions table has segment, period, entity, actual and one or more predictions.
-Everything is grouped aggregation over ranked rows; bootstraps run on sums by period.
+Everything is grouped aggregation over ranked rows; bootstraps run on sums by period, or on sums by replicate.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,18 +94,50 @@ def block_bootstrap(per: DataFrame, by: Sequence[str], period: str, total: str,
     )
 
 
-def row_bootstrap(rows: DataFrame, by: Sequence[str], key: str, value: str, replicates: int, seed: int = 446) -> DataFrame:
-    """95% interval of a mean by Poisson(1) row weights drawn from hashes: one pass, partial sums by replicate."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("replicate"), F.col(key)), F.lit(1 << 30)) + 0.5) / F.lit(float(1 << 30))
-    cuts, p, total = [], 2.718281828459045**-1, 0.0
-    for k in range(1, 9):
-        total += p
-        p /= k
-        cuts.append(total)
-    weight = sum(((u > x).cast("int") for x in cuts), F.lit(0))
-    each = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("__w", weight)
-    sums = each.groupBy(*by, "replicate").agg(F.try_divide(F.sum(F.col(value) * F.col("__w")), F.sum("__w")).alias("m"))
-    return sums.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+#: Rows of a task that meet all replicates at a time, and groups whose sums it holds.
+BOOT_ROWS, BOOT_GROUPS = 256, 256
+#: The field of the draws, and the places where a Poisson(1) count goes up.
+FIELD = 2**31 - 1
+POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8))
+
+
+def poisson_draws(keys: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """How often each row (a key from 0 to FIELD - 1) is in each replicate: hashes of key, replicate and seed in 64-bit integers, which any engine can repeat."""
+    r = np.arange(1, replicates + 1, dtype=np.int64)
+    x = (keys[:, None] * (r * 48271 % FIELD) + r * 16807 + seed) % FIELD
+    x = (x * x + r) % FIELD
+    x = (x * x + keys[:, None]) % FIELD
+    return np.searchsorted(POISSON, (x + 0.5) / FIELD)
+
+
+def row_bootstrap(rows: DataFrame, by: Sequence[str], key: str, value: str, replicates: int = 5000, seed: int = 446) -> DataFrame:
+    """by, n, low and high: 95% interval of a mean from Poisson(1) row weights.
+
+    The draws are hashes of a row's key, from 0 to 2^31 - 2, so that a rerun agrees. A task holds
+    two sums a replicate and group and meets its rows in blocks; rows are never repeated.
+    """
+    cols = [*by, "__n", "__weights", "__sums"]
+    kinds = ", ".join(f"`{b}` {rows.schema[b].dataType.simpleString()}" for b in by)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            for name, part in batch.groupby(list(by), dropna=False, sort=False):
+                sums = held.setdefault(name, [0, np.zeros(replicates), np.zeros(replicates)])
+                keys, values = part[key].to_numpy(np.int64), part[value].to_numpy(float)
+                for at in range(0, len(part), BOOT_ROWS):
+                    w = poisson_draws(keys[at : at + BOOT_ROWS], replicates, seed).astype(float)
+                    sums[0], sums[1], sums[2] = sums[0] + len(w), sums[1] + w.sum(axis=0), sums[2] + values[at : at + BOOT_ROWS] @ w
+            if len(held) > BOOT_GROUPS:
+                yield pd.DataFrame([(*k, *v) for k, v in held.items()], columns=cols)
+                held = {}
+        yield pd.DataFrame([(*k, *v) for k, v in held.items()], columns=cols)
+
+    known = rows.select(*by, F.col(key).cast("long").alias(key), F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull() & F.col(key).isNotNull())
+    parts = known.mapInPandas(run, f"{kinds}, __n long, __weights array<double>, __sums array<double>")
+    each = parts.select(*by, "__n", F.posexplode(F.arrays_zip("__weights", "__sums")).alias("replicate", "__e"))
+    means = each.groupBy(*by, "replicate").agg(F.sum("__n").alias("__n"), F.try_divide(F.sum("__e.__sums"), F.sum("__e.__weights")).alias("m"))
+    return means.groupBy(*by).agg(F.max("__n").alias("n"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
 def slices(rows: DataFrame, by: Sequence[str], dimensions: Sequence[str], error: str, reference_error: str, signed: str) -> DataFrame:
@@ -207,3 +242,22 @@ def pairing_audit(predictions: DataFrame, keys: Sequence[str], by: Sequence[str]
     return per.groupBy(*by).agg(
         F.count("*").alias("n"), F.count_if(F.col("models") < len(models)).alias("n_unpaired"), F.count_if(F.col("rows") > F.col("models")).alias("n_repeated"), F.sum("bad").alias("n_not_finite")
     )
+
+
+def present(tables: Mapping[str, DataFrame], keys: Sequence[str], value: str) -> DataFrame:
+    """keys with a column a table: its value; and the bitsets __in (which tables, the first being 1, have the key) and __finite (where its value is a finite number).
+
+    All tables meet in one aggregation of a tagged union, however many they are; each has a key once.
+    """
+    long = None
+    for i, (name, t) in enumerate(tables.items()):
+        v = F.col(value).cast("double")
+        fine = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+        one = t.select(*keys, F.lit(1 << i).cast("long").alias("__bit"), F.when(fine, F.lit(1 << i)).otherwise(F.lit(0)).cast("long").alias("__fine"), *(v.alias(x) if x == name else F.lit(None).cast("double").alias(x) for x in tables))
+        long = one if long is None else long.unionByName(one)
+    return long.groupBy(*keys).agg(F.bit_or("__bit").alias("__in"), F.bit_or("__fine").alias("__finite"), *(F.max(x).alias(x) for x in tables))
+
+
+def same_cohort(tables: Mapping[str, DataFrame], keys: Sequence[str], value: str) -> DataFrame:
+    """keys and a column a model, of the keys for which every model has a finite value."""
+    return present(tables, keys, value).filter(F.col("__finite") == (1 << len(tables)) - 1).drop("__in", "__finite")

@@ -52,17 +52,21 @@ def all_sums(rows: DataFrame, by: Sequence[str], period: str, features: Sequence
 
 
 def with_medians(sums: DataFrame, rows: DataFrame, by: Sequence[str], period: str, features: Sequence[str]) -> DataFrame:
-    """sums with med, the exact training medians of features that miss values there; 0 for the others, which need none.
+    """sums with med, the exact training medians where a feature misses values; 0 elsewhere, which need none.
 
-    Only groups and folds with a missing value look at their rows' distinct values again.
+    Only where some fold misses a value are rows looked at again, for all such folds at once.
     """
+    from .medians import medians
+
     k = len(features)
     lacks = lambda i: F.get("s", F.lit(k + i)) > 0
-    need = sums.filter(reduce(lambda a, b: a | b, map(lacks, range(k)))).select(*(F.col(x).alias(f"__{x}") for x in by), "fold")
-    same = reduce(lambda a, b: a & b, (F.col(x) == F.col(f"__{x}") for x in by))
-    medians = rows.join(need, same & (F.col(period) < F.col("fold"))).groupBy(*(F.col(x) for x in by), "fold").agg(F.array(*(F.coalesce(F.median(F.col(x).cast("double")), F.lit(0.0)) for x in features)).alias("med"))
+    need = sums.filter(reduce(lambda a, b: a | b, map(lacks, range(k)))).select(*by, "fold")
     zero = F.array(*(F.lit(0.0) for _ in features))
-    return sums.join(medians, [*by, "fold"], "left").withColumn("med", F.coalesce("med", zero))
+    if need.isEmpty():
+        return sums.withColumn("med", zero)
+    found = medians(rows, by, features, period, need)
+    found = found.select(*by, "fold", F.array(*(F.coalesce(F.col(f"med_{x}"), F.lit(0.0)) for x in features)).alias("med"))
+    return sums.join(found, [*by, "fold"], "left").withColumn("med", F.coalesce("med", zero))
 
 
 def net(a: np.ndarray, b: np.ndarray, n: float, alpha: float, l1: float, rounds: int = 1000, within: float = 1e-9) -> np.ndarray:

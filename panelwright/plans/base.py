@@ -111,3 +111,14 @@ PREDICTIONS = f"""{PANEL}, seg AS (
 
 def r6(name: str, alias: str | None = None):
     return F.round(name, 6).alias(alias or name)
+
+
+def bootstrap_sql(source: str, by: str, key: str, value: str, replicates: int, seed: int = 446) -> str:
+    """evaluate.row_bootstrap as SQL tables; the last, boot, has by, low and high."""
+    from ..operators.evaluate import FIELD, POISSON
+
+    weight = " + ".join(f"((x + 0.5) / {FIELD}::DOUBLE > {c!r}::DOUBLE)::INT" for c in POISSON)
+    return f"""draws AS (SELECT {by}, {key} AS k, {value} AS v, r, ({key} * (r * 48271 % {FIELD}) + r * 16807 + {seed}) % {FIELD} AS x FROM {source}, (SELECT unnest(range(1, {replicates} + 1))::BIGINT AS r)),
+once AS (SELECT * REPLACE ((x * x + r) % {FIELD} AS x) FROM draws), twice AS (SELECT * REPLACE ((x * x + k) % {FIELD} AS x) FROM once),
+means AS (SELECT {by}, r, sum(v * ({weight})) / sum({weight})::DOUBLE AS m FROM twice GROUP BY {by}, r),
+boot AS (SELECT {by}, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM means GROUP BY {by})"""

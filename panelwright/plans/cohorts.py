@@ -9,6 +9,7 @@ from ..functions import exprs as E
 from ..functions import ranks as R
 from ..operators import asof, contracts, evaluate, peers, places
 from ..operators import panel as P
+from ..operators.medians import with_medians
 from ..operators.places import Rank
 from .base import PANEL, PREDICTIONS, STATS, Query, held, panel, predictions, registered, scan, stats
 from .panels import LAG
@@ -117,10 +118,12 @@ def a13_collapsed(spark, d):
 def a17_bands_by_period(spark, d):
     """Skewness, median and bands by period."""
     t = F.col("target")
-    return panel(spark, d).groupBy("period").agg(
-        F.count("*").alias("n"), F.round(F.median("target"), 6).alias("median"), F.round(R.sample_skew("target"), 5).alias("skew"),
+    p = held(panel(spark, d).select("period", "target"), "targets")
+    out = p.groupBy("period").agg(
+        F.count("*").alias("n"), F.round(R.sample_skew("target"), 5).alias("skew"),
         F.count_if(t < 4000).alias("n_low"), F.count_if((t >= 4000) & (t < 12000)).alias("n_mid"), F.count_if(t >= 12000).alias("n_high"),
     )
+    return with_medians(p, out, ["period"], t, "median").withColumn("median", F.round("median", 6))
 
 
 @query(f"""WITH {PANEL} SELECT entity, {', '.join(f'max(target) FILTER (period = {y}) AS t{y}' for y in range(1995, 2002))} FROM panel GROUP BY entity""")

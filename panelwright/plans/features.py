@@ -10,7 +10,9 @@ from ..functions.exprs import clip, filled, knots, log_amount, ratio
 from ..operators import asof, contracts
 from ..operators import panel as P
 from ..operators.places import Rank, with_ranks
-from .base import PANEL, PREDICTIONS, STATS, Query, panel, predictions, registered, scan, stats
+from ..operators.evaluate import row_bootstrap
+from ..operators.medians import with_medians
+from .base import PANEL, PREDICTIONS, STATS, Query, bootstrap_sql, held, panel, predictions, registered, scan, stats
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -70,7 +72,7 @@ SELECT entity, period, round(ln(1 + price::DOUBLE), 6) AS log_price, years_left,
 def d23_commitment(spark, d):
     """The interval that holds, with log amount, remaining years and percentile."""
     i = stats(spark, d).select("entity", F.col("period").alias("start"), F.col("prio").alias("years"), "price", "occ")
-    c = asof.valid_interval(panel(spark, d).select("entity", "period", "segment"), i, "entity", "period", "start", "years", F.col("start").desc(), F.col("price").desc(), "occ").filter("start is not null")
+    c = asof.valid_interval(panel(spark, d).select("entity", "period", "segment"), i, "entity", "period", "start", "years", [-F.col("price"), F.col("occ")]).filter("start is not null")
     c = with_ranks(c, ["segment", "period"], {"pct": Rank("price", "percent")})
     return c.select(
         "entity", "period", F.round(log_amount(F.col("price").cast("double")), 6).alias("log_price"), (F.col("start") + F.col("years") - F.col("period")).alias("years_left"),
@@ -120,21 +122,27 @@ def e9_coefficient_stability(spark, d):
     return got.select("segment", "feature", *(F.round(x, 4).alias(x) for x in ("mean", "std", "min", "max")), "sign_changes", "change_rate", "unstable")
 
 
-@query(f"""WITH {PREDICTIONS}, g AS (SELECT segment, period, abs(a - actual) - abs(b - actual) AS gain FROM predictions) SELECT segment, count(*) AS n, round(avg(gain), 6) AS mean_gain, round(median(gain), 6) AS median_gain, round(avg((gain > 0)::INT::DOUBLE), 6) AS improved_rate FROM g GROUP BY segment""")
+@query(f"""WITH {PREDICTIONS}, g AS (SELECT segment, (entity * 31 + period) % 2147483647 AS k, abs(a - actual) - abs(b - actual) AS gain FROM predictions), {bootstrap_sql("g", "segment", "k", "gain", 1000)}
+SELECT segment, count(*) AS n, round(avg(gain), 6) AS mean_gain, round(median(gain), 6) AS median_gain, round(avg((gain > 0)::INT::DOUBLE), 6) AS improved_rate, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high FROM g JOIN boot USING (segment) GROUP BY segment""")
 def e17_paired_ablation(spark, d):
-    """Paired gain of one specification over another."""
-    g = predictions(spark, d).select("segment", (F.abs(F.col("a") - F.col("actual")) - F.abs(F.col("b") - F.col("actual"))).alias("gain"))
-    return g.groupBy("segment").agg(F.count("*").alias("n"), F.round(F.avg("gain"), 6).alias("mean_gain"), F.round(F.median("gain"), 6).alias("median_gain"), F.round(F.avg((F.col("gain") > 0).cast("double")), 6).alias("improved_rate"))
+    """Paired gain of one specification over another, with the interval of its mean from 1,000 row resamples."""
+    gain = F.abs(F.col("a") - F.col("actual")) - F.abs(F.col("b") - F.col("actual"))
+    g = held(predictions(spark, d).select("segment", ((F.col("entity") * 31 + F.col("period")) % 2147483647).alias("k"), gain.alias("gain")), "gains")
+    out = g.groupBy("segment").agg(F.count("*").alias("n"), F.round(F.avg("gain"), 6).alias("mean_gain"), F.round(F.avg((F.col("gain") > 0).cast("double")), 6).alias("improved_rate"))
+    out = with_medians(g, out, ["segment"], F.col("gain"), "median_gain").join(row_bootstrap(g, ["segment"], "k", "gain", 1000).drop("n"), "segment")
+    return out.withColumns({x: F.round(x, 6) for x in ("median_gain", "low", "high")})
 
 
 @query(f"""WITH {PREDICTIONS} SELECT segment, round(avg(actual - b), 6) AS mean, round(median(actual - b), 6) AS median, round(stddev_samp(actual - b), 6) AS std, count(*) FILTER (actual < 4000) AS n_low, round(avg(actual - b) FILTER (actual < 4000), 6) AS low_bias, round(avg(actual - b) FILTER (actual >= 12000), 6) AS high_bias, round(avg((b > actual)::INT::DOUBLE), 6) AS over_rate FROM predictions GROUP BY segment""")
 def e19_tier_bias(spark, d):
     """Residuals by tier of the actual value."""
     r = F.col("actual") - F.col("b")
-    return predictions(spark, d).groupBy("segment").agg(
-        F.round(F.avg(r), 6).alias("mean"), F.round(F.median(r), 6).alias("median"), F.round(F.stddev_samp(r), 6).alias("std"), F.count_if(F.col("actual") < 4000).alias("n_low"),
+    p = held(predictions(spark, d).select("segment", "actual", "b"), "predictions")
+    out = p.groupBy("segment").agg(
+        F.round(F.avg(r), 6).alias("mean"), F.round(F.stddev_samp(r), 6).alias("std"), F.count_if(F.col("actual") < 4000).alias("n_low"),
         F.round(F.avg(F.when(F.col("actual") < 4000, r)), 6).alias("low_bias"), F.round(F.avg(F.when(F.col("actual") >= 12000, r)), 6).alias("high_bias"), F.round(F.avg((F.col("b") > F.col("actual")).cast("double")), 6).alias("over_rate"),
     )
+    return with_medians(p, out, ["segment"], r, "median").withColumn("median", F.round("median", 6))
 
 
 @query(f"""SELECT c_mktsegment AS segment, c_nationkey AS grp, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer WHERE c_acctbal IS NOT NULL AND c_nationkey IS NOT NULL GROUP BY ALL""")

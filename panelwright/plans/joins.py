@@ -54,7 +54,7 @@ SELECT entity, period, n_same_period, CASE WHEN ok THEN start END AS start, CASE
 def j9_valid_interval(spark, d):
     """Newest, then largest interval signed before the period and still running."""
     i = stats(spark, d).select("entity", F.col("period").alias("start"), F.col("prio").alias("years"), "price", "occ")
-    got = asof.valid_interval(panel(spark, d).select("entity", "period"), i, "entity", "period", "start", "years", F.col("start").desc(), F.col("price").desc(), "occ")
+    got = asof.valid_interval(panel(spark, d).select("entity", "period"), i, "entity", "period", "start", "years", [-F.col("price"), F.col("occ")])
     return got.select("entity", "period", "n_same_period", "start", "years", "price")
 
 

@@ -10,7 +10,7 @@ from ..functions.ranks import correlation
 from ..operators import evaluate as V
 from ..operators.contracts import checked_join
 from ..operators.places import Rank, with_ranks
-from .base import PREDICTIONS, Query, held, predictions, registered, scan
+from .base import PREDICTIONS, Query, bootstrap_sql, held, predictions, registered, scan
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -238,8 +238,38 @@ def e11_block_bootstrap(spark, d):
     return got.select("segment", *(F.round(x, 6).alias(x) for x in ("pooled_low", "pooled_high", "means_low", "means_high")))
 
 
-@query()
+GAINS = f"{PREDICTIONS}, gains AS (SELECT segment, (entity * 31 + period) % 2147483647 AS k, abs(a - actual) - abs(b - actual) AS gain FROM predictions)"
+
+
+@query(f"WITH {GAINS}, {bootstrap_sql('gains', 'segment', 'k', 'gain', 5000)} SELECT segment, n, round(low, 6) AS low, round(high, 6) AS high FROM boot JOIN (SELECT segment, count(*) AS n FROM gains GROUP BY segment) USING (segment)")
 def e10_row_bootstrap(spark, d):
-    """Intervals from Poisson row weights."""
-    p = predictions(spark, d).withColumn("gain", F.abs(F.col("a") - F.col("actual")) - F.abs(F.col("b") - F.col("actual")))
-    return V.row_bootstrap(p.select("segment", "gain", F.xxhash64("entity", "period").alias("key")), ["segment"], "key", "gain", 1000)
+    """Intervals from 5,000 replicates of Poisson row weights."""
+    p = predictions(spark, d).select("segment", ((F.col("entity") * 31 + F.col("period")) % 2147483647).alias("k"), (F.abs(F.col("a") - F.col("actual")) - F.abs(F.col("b") - F.col("actual"))).alias("gain"))
+    return V.row_bootstrap(p, ["segment"], "k", "gain").select("segment", "n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+MODELS = {"recent": "a", "history": "b", "segment_mean": "m"}
+
+
+@query(f"""WITH {PREDICTIONS}, x AS (SELECT entity, period, a AS said FROM predictions), y AS (SELECT entity, period, b AS said FROM predictions WHERE n_prior >= 2), z AS (SELECT entity, period, m AS said FROM predictions WHERE entity % 7 <> 0),
+c AS (SELECT p.segment, p.actual, x.said AS a, y.said AS b, z.said AS m FROM predictions p JOIN x USING (entity, period) JOIN y USING (entity, period) JOIN z USING (entity, period))
+SELECT segment, count(*) AS n, round(avg(abs(a - actual)), 6) AS recent, round(avg(abs(b - actual)), 6) AS history, round(avg(abs(m - actual)), 6) AS segment_mean FROM c GROUP BY segment""")
+def j19_same_cohort(spark, d):
+    """Models that three tables of different rows hold, compared on the rows that all of them predict."""
+    p = held(predictions(spark, d), "predictions")
+    of = {"recent": p, "history": p.filter("n_prior >= 2"), "segment_mean": p.filter("entity % 7 != 0")}
+    tables = {name: held(rows.select("entity", "period", F.col(MODELS[name]).alias("said")), f"model-{name}") for name, rows in of.items()}
+    both = V.same_cohort(tables, ["entity", "period"], "said").join(p.select("entity", "period", "segment", "actual"), ["entity", "period"])
+    mae = lambda name: F.round(F.avg(F.abs(F.col(name) - F.col("actual"))), 6)
+    return both.groupBy("segment").agg(F.count("*").alias("n"), mae("recent").alias("recent"), mae("history").alias("history"), mae("segment_mean").alias("segment_mean"))
+
+
+@query(f"""WITH {PREDICTIONS}, y AS (SELECT entity, period, CASE WHEN entity % 11 = 0 THEN NULL WHEN entity % 13 = 0 THEN 'NaN'::DOUBLE ELSE b END AS said FROM predictions WHERE n_prior >= 2)
+SELECT count(*) FILTER (y.entity IS NOT NULL) AS n_both, count(*) FILTER (y.entity IS NULL) AS n_only_first, count(*) FILTER (y.entity IS NOT NULL AND (said IS NULL OR isnan(said))) AS n_not_finite FROM predictions p LEFT JOIN y USING (entity, period)""")
+def e5_pairing_gaps(spark, d):
+    """E5: pairing of two outputs where one lacks rows and has values that are missing or no number."""
+    p = held(predictions(spark, d), "predictions")
+    odd = F.when(F.col("entity") % 11 == 0, F.lit(None)).when(F.col("entity") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("b"))
+    second = held(p.filter("n_prior >= 2").select("entity", "period", odd.alias("said")), "second")
+    bits = V.present({"first": p.select("entity", "period", F.col("a").alias("said")), "second": second}, ["entity", "period"], "said")
+    return bits.agg(F.count_if(F.col("__in") == 3).alias("n_both"), F.count_if(F.col("__in") == 1).alias("n_only_first"), F.count_if((F.col("__in") == 3) & (F.col("__finite").bitwiseAND(F.lit(2)) == 0)).alias("n_not_finite"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import ranks as R
 from ..functions.exprs import flag, ratio
 from ..operators import peers
-from .base import PANEL, STATS, Query, panel, registered, scan, stats
+from ..operators.medians import with_medians
+from .base import PANEL, STATS, Query, held, panel, registered, scan, stats
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -103,10 +104,12 @@ def a7_grouped(spark, d):
 @query(f"""WITH {PANEL} SELECT segment, count(*) AS n, round(avg(target), 6) AS mean, round(median(target), 6) AS median, round(stddev_samp(target), 6) AS std, min(target) AS min, max(target) AS max, round(skewness(target), 5) AS skew, count(*) FILTER (target < 4000) AS n_low FROM panel GROUP BY segment""")
 def a5_distribution(spark, d):
     """A5: summary with exact median and bias-corrected skewness."""
-    return panel(spark, d).groupBy("segment").agg(
-        F.count("*").alias("n"), F.round(F.avg("target"), 6).alias("mean"), F.round(F.median("target"), 6).alias("median"), F.round(F.stddev_samp("target"), 6).alias("std"), F.min("target").alias("min"), F.max("target").alias("max"),
+    p = held(panel(spark, d).select("segment", "target"), "targets")
+    out = p.groupBy("segment").agg(
+        F.count("*").alias("n"), F.round(F.avg("target"), 6).alias("mean"), F.round(F.stddev_samp("target"), 6).alias("std"), F.min("target").alias("min"), F.max("target").alias("max"),
         F.round(R.sample_skew("target"), 5).alias("skew"), F.count_if(F.col("target") < 4000).alias("n_low"),
     )
+    return with_medians(p, out, ["segment"], F.col("target"), "median").withColumn("median", F.round("median", 6))
 
 
 @query(f"""WITH {STATS}, n AS (SELECT entity, period, min(prio) AS v, count(DISTINCT prio) AS k FROM stats GROUP BY ALL) SELECT entity, period, CASE WHEN k <= 1 THEN v END AS value, k > 1 AS conflict FROM n""")

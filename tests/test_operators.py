@@ -38,7 +38,7 @@ def test_target_counts_zero_rows(spark):
 def test_interval_needs_an_earlier_signature(spark):
     context = spark.createDataFrame([("p", 2020), ("p", 2023), ("q", 2020)], "k string, t int")
     deals = spark.createDataFrame([("p", 2019, 3, 5.0), ("p", 2020, 2, 9.0), ("p", 2018, 9, 1.0)], "k string, signed int, years int, value double")
-    got = rows(asof.valid_interval(context, deals, "k", "t", "signed", "years", F.desc("signed"), F.desc("value")).select("k", "t", "signed", "value", "n_same_period"), "k", "t")
+    got = rows(asof.valid_interval(context, deals, "k", "t", "signed", "years", [-F.col("value")]).select("k", "t", "signed", "value", "n_same_period"), "k", "t")
     assert got == [("p", 2020, 2019, 5.0, 1), ("p", 2023, 2018, 1.0, 0), ("q", 2020, None, None, 0)]
 
 
