@@ -2,38 +2,96 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clip, gate, hinge
+from ..sources.scratch import held
 
 
-def beta_grid(low: float = 0.05, high: float = 1.50, n: int = 146) -> Column:
-    """The exponents tried, an array."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(low) + i * F.lit((high - low) / (n - 1)))
+#: Bits of an alpha that a pass finds.
+STEP_BITS = 6
 
 
-def grid_median(rows: DataFrame, by: Sequence[str], value: str, weight: str, name: str) -> DataFrame:
-    """places.weighted_median by window, for the many groups that a grid makes: writing its rows would cost more than sorting them."""
-    w = Window.partitionBy(*by).orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
-    reached = rows.withColumn("__run", F.sum(weight).over(w)).withColumn("__all", F.sum(weight).over(Window.partitionBy(*by)))
-    return reached.filter(F.col("__run") * 2 >= F.col("__all")).groupBy(*by).agg(F.min(value).alias(name))
+def grid_sums(rows: DataFrame, by: str, period: str, rank: str, target: str, state: Mapping[tuple, np.ndarray], shift: int, betas: np.ndarray) -> DataFrame:
+    """by, fold, place (of beta) and w: the weights of the rows before the fold whose ratio lies in each part of (fold, beta)'s bracket; the last two are those below and all.
 
-
-def power_calibration(rows: DataFrame, keys: Sequence[str], rank: str, target: str, least: int = 20) -> DataFrame:
-    """alpha and beta of alpha * rank ** -beta with the least absolute error, by key.
-
-    For each beta alpha is the weighted median of target * rank ** beta with weights
-    rank ** -beta; the first beta of the smallest error wins. Keys with fewer than
-    `least` usable rows (rank > 0, target >= 0) have no row.
+    state has the brackets' lower ends, as bits, by (group, fold). Every task adds up its own rows.
+    """
+    parts = 1 << STEP_BITS
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for group, part in batch.groupby(by):
+                r, y, when = part[rank].to_numpy(float), part[target].to_numpy(float), part[period].to_numpy()
+                w = r[:, None] ** -betas
+                bits = (y[:, None] / w).view(np.int64)
+                for (g, fold), low in state.items():
+                    if g == group and (past := when < fold).any():
+                        at = (bits[past] >> shift) - (low >> shift)
+                        at = np.where(at < 0, parts, np.where(at < parts, at, parts + 1)) + np.arange(len(betas)) * (parts + 2)
+                        sums = np.bincount(at.ravel(), w[past].ravel(), len(betas) * (parts + 2)).reshape(len(betas), -1)
+                        sums[:, parts + 1] = w[past].sum(axis=0)
+                        found[g, fold] = found.get((g, fold), 0.0) + sums
+        yield pd.DataFrame([(g, f, i, w.tolist()) for (g, f), sums in found.items() for i, w in enumerate(sums)], columns=[by, "fold", "place", "w"])
+
+    each = rows.select(by, period, rank, target).mapInPandas(run, f"`{by}` {rows.schema[by].dataType.simpleString()}, fold long, place int, w array<double>")
+    return each.groupBy(by, "fold", "place").agg(F.array(*(F.sum(F.get("w", F.lit(i))) for i in range(parts + 2))).alias("w"))
+
+
+def power_calibration(rows: DataFrame, by: str, period: str, rank: str, target: str, folds: DataFrame, least: int = 20) -> DataFrame:
+    """alpha, beta, mae and n of alpha * rank ** -beta with the least absolute error over the rows before each fold (by, fold).
+
+    For each beta alpha is the weighted median of target * rank ** beta with weights rank ** -beta;
+    the first beta of the smallest error wins. Folds with fewer than `least` usable rows (rank > 0,
+    target >= 0) have none.
+
+    The medians of all folds and exponents are found together, STEP_BITS bits of the ratio a
+    pass: tasks add up the weights in each part of every bracket, and the part that holds the
+    median is the next bracket. No row is repeated, sorted or exchanged; a row a fold and
+    exponent comes to the driver.
     """
-    ok = rows.filter((F.col(rank) > 0) & (F.col(target) >= 0)).withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).filter(F.col("__n") >= least)
-    tried = ok.select(*keys, rank, target, F.explode(beta_grid()).alias("beta")).withColumn("__w", F.pow(rank, -F.col("beta"))).withColumn("__v", F.col(target) / F.col("__w"))
-    alpha = grid_median(tried, [*keys, "beta"], "__v", "__w", "alpha")
-    error = tried.join(alpha, [*keys, "beta"]).groupBy(*keys, "beta", "alpha").agg(F.avg(F.abs(F.col(target) - F.col("alpha") * F.col("__w"))).alias("mae"), F.count("*").alias("n"))
-    return error.groupBy(*keys).agg(F.min_by(F.struct("alpha", "beta", "mae", "n"), F.struct("mae", "beta")).alias("best")).select(*keys, "best.*")
+    betas, parts = np.array([0.05 + i * ((1.50 - 0.05) / 145) for i in range(146)]), 1 << STEP_BITS
+    ok = held(rows.filter((F.col(rank) > 0) & (F.col(target) >= 0)).select(by, period, F.col(rank).cast("double").alias(rank), F.col(target).cast("double").alias(target)), "usable")
+    sizes = ok.groupBy(by, period).agg(F.count("*").alias("n"))
+    counted = folds.select(by, "fold").join(sizes, by).filter(F.col(period) < F.col("fold")).groupBy(by, "fold").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).collect()  # a row a fold
+    n = {(r[by], r["fold"]): r["n"] for r in counted}
+    low = {k: np.zeros(len(betas), np.int64) for k in n}
+    shift = 63
+    while shift > 0 and n:
+        shift = max(0, shift - STEP_BITS)
+        for r in grid_sums(ok, by, period, rank, target, low, shift, betas).collect():
+            k, i, w = (r[by], r["fold"]), r["place"], np.array(r["w"])
+            run = w[parts] + np.cumsum(w[:parts])
+            part = min(int(np.searchsorted(run * 2, w[parts + 1])), parts - 1)
+            low[k][i] += part << shift
+    alphas = {k: v.view(float) for k, v in low.items()}
+
+    def errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for group, part in batch.groupby(by):
+                w, y, when = part[rank].to_numpy(float)[:, None] ** -betas, part[target].to_numpy(float)[:, None], part[period].to_numpy()
+                for (g, fold), alpha in alphas.items():
+                    if g == group:
+                        past = when < fold
+                        found[g, fold] = found.get((g, fold), 0.0) + np.abs(alpha * w[past] - y[past]).sum(axis=0)
+        yield pd.DataFrame([(*k, v.tolist()) for k, v in found.items()], columns=[by, "fold", "e"])
+
+    kind = rows.schema[by].dataType.simpleString()
+    summed = ok.mapInPandas(errors, f"`{by}` {kind}, fold long, e array<double>").groupBy(by, "fold").agg(F.array(*(F.sum(F.get("e", F.lit(i))) for i in range(len(betas)))).alias("e"))
+    best = []
+    for r in summed.collect():  # a row a fold
+        k = (r[by], r["fold"])
+        mae = np.array(r["e"]) / n[k]
+        i = int(mae.argmin())
+        best.append((*k, float(alphas[k][i]), float(betas[i]), float(mae[i]), n[k]))
+    return rows.sparkSession.createDataFrame(best, f"`{by}` {kind}, fold long, alpha double, beta double, mae double, n long")
 
 
 def apply_power(rank: Column | str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -182,3 +183,39 @@ def key_findings(df: DataFrame, key: str, segment: str) -> DataFrame:
         F.count_if(F.col(key).isNotNull() & (F.col("n") > 1)).alias("duplicate_key"), F.count_if(F.col(key).isNotNull() & (F.col("kinds") > 1)).alias("segment_mismatch"),
     )
     return counts.unpivot([], ["missing_key", "duplicate_key", "segment_mismatch"], "check_name", "affected")
+
+
+def assembled(base: DataFrame, sources: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """base with the columns of every source, one row a key each, and n_<source>, 1 where the source has the key.
+
+    All tables meet in one exchange, as a tagged union that is collapsed by key, however many
+    they are. A key that base or a source has twice fails the job.
+    """
+    tables = {"base": base, **sources}
+    columns = {name: [c for c in t.columns if c not in keys] for name, t in tables.items()}
+    kinds = {c: t.schema[c].dataType for name, t in tables.items() for c in columns[name]}
+    if len(kinds) != sum(map(len, columns.values())):
+        raise ContractError("two tables share a column that is no key")
+    long = None
+    for i, (name, t) in enumerate(tables.items()):
+        one = t.select(*keys, F.lit(i).alias("__of"), *(F.col(c) if c in columns[name] else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()))
+        long = one if long is None else long.unionByName(one)
+    counts = [F.count_if(F.col("__of") == i).alias(f"n_{name}") for i, name in enumerate(tables)]
+    met = long.groupBy(*keys).agg(*counts, *(F.max(c).alias(c) for c in kinds)).filter("n_base > 0")
+    twice = F.greatest(*(F.col(f"n_{name}") for name in tables)) > 1
+    sure = F.when(twice, F.raise_error(F.lit("a key has several rows in a table")).cast("long")).otherwise(F.col("n_base"))
+    return met.withColumn("n_base", sure).filter("n_base = 1").drop("n_base")
+
+
+def group_coverage(df: DataFrame, by: Sequence[str], groups: Mapping[str, Sequence[str]]) -> DataFrame:
+    """by, feature_group, n, n_complete, n_any, any_rate and omitted features, in one pass; a feature that df lacks is named there and is complete nowhere."""
+    has = {g: [f for f in features if f in df.columns] for g, features in groups.items()}
+    every = lambda fs: F.count_if(reduce(Column.__and__, (F.col(f).isNotNull() for f in fs))) if fs else F.lit(0).cast("long")
+    some = lambda fs: F.count_if(reduce(Column.__or__, (F.col(f).isNotNull() for f in fs))) if fs else F.lit(0).cast("long")
+    rows = [
+        F.struct(F.lit(g).alias("feature_group"), F.col("n"), F.col(f"__c{i}").alias("n_complete"), F.col(f"__a{i}").alias("n_any"), F.lit(",".join(f for f in features if f not in df.columns)).alias("omitted"))
+        for i, (g, features) in enumerate(groups.items())
+    ]
+    aggs = [x for i, (g, features) in enumerate(groups.items()) for x in (every(has[g] if len(has[g]) == len(features) else []).alias(f"__c{i}"), some(has[g]).alias(f"__a{i}"))]
+    out = df.groupBy(*by).agg(F.count("*").alias("n"), *aggs).select(*by, F.inline(F.array(*rows)))
+    return out.withColumn("any_rate", F.try_divide("n_any", "n"))

@@ -128,17 +128,55 @@ def d20_external_rates(spark, d):
     return both.select("entity", "period", F.round(F.coalesce("external", "own"), 6).alias("rate"), F.when(F.col("external").isNotNull(), "external").otherwise("own").alias("origin"))
 
 
-@query(f"""WITH {PANEL}, e AS (SELECT grp, period + 1 AS period, sum(qty)::BIGINT AS grp_qty FROM panel GROUP BY grp, period), h AS (SELECT entity, period, grp, {LAG.format('qty', 1)} AS q1, {LAG.format('disc', 2)} AS d2 FROM panel)
-SELECT entity, h.period, coalesce(q1, 0) AS q1, (q1 IS NOT NULL)::INT AS q1_known, coalesce(d2, 0) AS d2, (d2 IS NOT NULL)::INT AS d2_known, coalesce(grp_qty, 0) AS grp_qty, (grp_qty IS NOT NULL)::INT AS grp_known, CASE WHEN q1 IS NULL AND d2 IS NULL THEN 'no_history' WHEN grp_qty IS NULL THEN 'no_group' ELSE 'none' END AS omission FROM h LEFT JOIN e USING (grp, period)""")
+SIX = f"""{STATS}, {PANEL[PANEL.index("panel AS ("):]},
+base AS (SELECT entity, period, segment, grp, max(grp) OVER (PARTITION BY entity ORDER BY period RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS prev_grp FROM panel),
+opp AS (SELECT entity, period + 1 AS period, qty AS opp_qty, n_occ AS opp_occ FROM panel),
+deep AS (SELECT entity, period + 1 AS period, grp, sum(qty) FILTER (n_lines >= 5) / sum(qty)::DOUBLE AS deep_share, sum(qty) FILTER (prio = 1) / sum(qty)::DOUBLE AS urgent_share FROM stats GROUP BY entity, period, grp),
+grps AS (SELECT grp, period + 1 AS period, sum(qty)::BIGINT AS grp_qty FROM panel GROUP BY grp, period),
+part AS (SELECT entity, period + 1 AS period, grp, count(*) FILTER (sub <= 6) / count(*)::DOUBLE AS early_rate FROM stats WHERE prio > 1 GROUP BY entity, period, grp),
+track AS (SELECT entity, period + 1 AS period, avg(price)::DOUBLE AS mean_price FROM stats WHERE n_lines >= 4 GROUP BY entity, period),
+ext AS (SELECT entity, period + 2 AS period, disc AS old_disc FROM panel WHERE entity % 3 > 0),
+six AS (SELECT b.entity, b.period, b.segment, opp_qty, opp_occ, coalesce(deep_share, 0) AS deep_share, coalesce(urgent_share, 0) AS urgent_share, grp_qty, early_rate, mean_price, old_disc,
+  (early_rate IS NOT NULL)::INT AS part_known, (mean_price IS NOT NULL)::INT AS track_known, (old_disc IS NOT NULL)::INT AS ext_known
+  FROM base b LEFT JOIN opp o ON o.entity = b.entity AND o.period = b.period LEFT JOIN deep d ON d.entity = b.entity AND d.period = b.period AND d.grp = b.prev_grp LEFT JOIN grps g ON g.grp = b.grp AND g.period = b.period
+  LEFT JOIN part p ON p.entity = b.entity AND p.period = b.period AND p.grp = b.prev_grp LEFT JOIN track t ON t.entity = b.entity AND t.period = b.period LEFT JOIN ext e ON e.entity = b.entity AND e.period = b.period)"""
+GROUPS = {"opportunity": ["opp_qty", "opp_occ"], "group": ["grp_qty"], "participation": ["early_rate"], "tracking": ["mean_price", "old_disc"], "routes": ["routes_run", "old_disc"]}
+
+
+def six_sources(spark, d):
+    """Each row of the panel with six sources: five by entity and period in one exchange, two of them only for the group of the period before, and one by group and period."""
+    s, p = stats(spark, d), panel(spark, d)
+    later = lambda k: (F.col("period") + k).alias("period")
+    share = lambda c: F.sum(F.when(c, F.col("qty"))) / F.sum("qty")
+    base = p.select("entity", "period", "segment", "grp", P.exact_lag("grp", "entity", "period", 1).alias("prev_grp"))
+    # An entity's sources by group have one group a period: customers stay in their nation.
+    deep = s.groupBy("entity", "period", "grp").agg(share(F.col("n_lines") >= 5).alias("deep_share"), share(F.col("prio") == 1).alias("urgent_share")).select("entity", later(1), F.col("grp").alias("deep_grp"), "deep_share", "urgent_share")
+    part = s.filter("prio > 1").groupBy("entity", "period", "grp").agg((F.count_if(F.col("sub") <= 6) / F.count("*")).alias("early_rate")).select("entity", later(1), F.col("grp").alias("part_grp"), "early_rate")
+    sources = {
+        "opportunity": p.select("entity", later(1), F.col("qty").alias("opp_qty"), F.col("n_occ").alias("opp_occ")), "deep": deep, "part": part,
+        "track": s.filter("n_lines >= 4").groupBy("entity", "period").agg(F.avg("price").alias("mean_price")).select("entity", later(1), "mean_price"),
+        "ext": p.filter("entity % 3 > 0").select("entity", later(2), F.col("disc").alias("old_disc")),
+    }
+    met = contracts.assembled(base, sources, ["entity", "period"])
+    grps = p.groupBy("grp", "period").agg(F.sum("qty").alias("grp_qty")).select("grp", later(1), "grp_qty")
+    both = contracts.checked_join(met, grps, ["grp", "period"])
+    of = lambda c, g: F.when(F.col(g) == F.col("prev_grp"), F.col(c))
+    known = lambda c, name: F.col(c).isNotNull().cast("int").alias(name)
+    out = both.select("entity", "period", "segment", "opp_qty", "opp_occ", *(F.coalesce(of(c, "deep_grp"), F.lit(0.0)).alias(c) for c in ("deep_share", "urgent_share")), "grp_qty", of("early_rate", "part_grp").alias("early_rate"), "mean_price", "old_disc")
+    return out.select("*", known("early_rate", "part_known"), known("mean_price", "track_known"), known("old_disc", "ext_known"))
+
+
+@query(f"WITH {SIX} SELECT * REPLACE (round(deep_share, 6) AS deep_share, round(urgent_share, 6) AS urgent_share, round(early_rate, 6) AS early_rate, round(mean_price, 3) AS mean_price) FROM six")
 def d21_assembled(spark, d):
-    """Sources joined, zeros filled in beside flags that say so, and why a row would be left out."""
-    p = panel(spark, d)
-    e = p.groupBy("grp", (F.col("period") + 1).alias("period")).agg(F.sum("qty").alias("grp_qty"))
-    h = p.select("entity", "period", "grp", P.exact_lag("qty", "entity", "period", 1).alias("q1"), P.exact_lag("disc", "entity", "period", 2).alias("d2"))
-    both = contracts.checked_join(h, e, ["grp", "period"])
-    omission = F.when(F.col("q1").isNull() & F.col("d2").isNull(), "no_history").when(F.col("grp_qty").isNull(), "no_group").otherwise("none")
-    known = lambda x, name: F.col(x).isNotNull().cast("int").alias(name)
-    return both.select("entity", "period", E.filled("q1").alias("q1"), known("q1", "q1_known"), E.filled("d2").alias("d2"), known("d2", "d2_known"), E.filled("grp_qty").alias("grp_qty"), known("grp_qty", "grp_known"), omission.alias("omission"))
+    """Six sources assembled, zeros filled in where a share is missing, flags that say what is known."""
+    six = six_sources(spark, d)
+    return six.withColumns({**{x: F.round(x, 6) for x in ("deep_share", "urgent_share", "early_rate")}, "mean_price": F.round("mean_price", 3)})
+
+
+@query(f"WITH {SIX}, c AS (" + " UNION ALL ".join(f"SELECT segment, period, '{g}' AS feature_group, count(*) AS n, {'0' if 'routes_run' in fs else 'count(*) FILTER (' + ' AND '.join(f'{f} IS NOT NULL' for f in fs) + ')'} AS n_complete, count(*) FILTER ({' OR '.join(f'{f} IS NOT NULL' for f in fs if f != 'routes_run')}) AS n_any, '{'routes_run' if 'routes_run' in fs else ''}' AS omitted FROM six GROUP BY segment, period" for g, fs in GROUPS.items()) + ") SELECT *, round(n_any / n::DOUBLE, 6) AS any_rate FROM c")
+def d21_coverage(spark, d):
+    """Rows with all and with any feature of a group, by segment and period, and the features that no source has."""
+    return contracts.group_coverage(six_sources(spark, d), ["segment", "period"], GROUPS).withColumn("any_rate", F.round("any_rate", 6))
 
 
 @query(f"""WITH {STATS}, y AS (SELECT entity, period, CASE WHEN count(DISTINCT prio) = 1 THEN min(prio) END AS amount, count(DISTINCT prio) > 1 AS conflict FROM stats GROUP BY ALL) SELECT entity, period + 1 AS period, amount, conflict FROM y""")

@@ -181,7 +181,7 @@ def a14_correlated_pairs(spark, d):
     return c.withColumn("decision", F.when(F.abs("r") >= 0.9, "review").otherwise("strong")).withColumn("r", F.round("r", 5))
 
 
-POWER = f"""{FOLDS}, k AS (SELECT *, rank() OVER (PARTITION BY segment, period ORDER BY a DESC) + (count(*) OVER (PARTITION BY segment, period, a) - 1) / 2.0::DOUBLE AS r FROM predictions),
+POWER = f"""{FOLDS}, k AS (SELECT *, rank() OVER (PARTITION BY segment, period ORDER BY qty DESC) + (count(*) OVER (PARTITION BY segment, period, qty) - 1) / 2.0::DOUBLE AS r FROM (SELECT p.segment, p.period, q.qty, p.actual FROM predictions p JOIN panel q USING (entity, period))),
 bt AS (SELECT 0.05::DOUBLE + i * ((1.50::DOUBLE - 0.05::DOUBLE) / 145) AS beta FROM range(146) t(i)),
 tr AS (SELECT k.segment, fold, beta, actual, r ** -beta AS w, actual / (r ** -beta) AS v FROM k JOIN folds f ON k.segment = f.segment AND period < fold, bt),
 wm AS (SELECT segment, fold, beta, min(v) AS alpha FROM (SELECT *, sum(w) OVER (PARTITION BY segment, fold, beta ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run, sum(w) OVER (PARTITION BY segment, fold, beta) AS total FROM tr) WHERE run * 2 >= total GROUP BY ALL),
@@ -191,13 +191,13 @@ bp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment, fold OR
 
 @query(f"WITH {POWER} SELECT bp.segment, bp.fold, round(beta, 4) AS beta, round(alpha, 3) AS alpha, round(any_value(bp.mae), 4) AS train_mae, any_value(bp.n) AS n_train, round(avg(abs(actual - alpha * r ** -beta)), 4) AS mae FROM bp JOIN k ON k.segment = bp.segment AND k.period = bp.fold GROUP BY bp.segment, bp.fold, beta, alpha")
 def m12_power_calibration(spark, d):
-    """Alpha * rank ** -beta fitted by segment and fold on earlier periods only, over a grid of exponents; its error on the fold."""
+    """Alpha * rank ** -beta fitted by segment and fold on earlier periods only, over a grid of exponents; its error on the fold. The rank is by the year's quantity, which the score falls with."""
     from ..operators.places import Rank, with_ranks
 
-    ranked = with_ranks(predictions(spark, d).select("segment", "period", "a", "actual"), ["segment", "period"], {"rank": Rank("a", descending=True)})
+    both = predictions(spark, d).select("entity", "segment", "period", "actual").join(panel(spark, d).select("entity", "period", "qty"), ["entity", "period"])
+    ranked = with_ranks(both, ["segment", "period"], {"rank": Rank("qty", descending=True)})
     p = held(ranked.select("segment", "period", "rank", "actual"), "ranked")
-    train = folds.with_roles(p, folds.expanding_folds(p, "period", "segment", 50), "period", "segment").filter("role = 'train'")
-    fitted = calibrate.power_calibration(train, KEYS, "rank", "actual").select(*KEYS, "alpha", "beta", F.col("mae").alias("train_mae"), F.col("n").alias("n_train"))
+    fitted = calibrate.power_calibration(p, "segment", "period", "rank", "actual", folds.expanding_folds(p, "period", "segment", 50)).select(*KEYS, "alpha", "beta", F.col("mae").alias("train_mae"), F.col("n").alias("n_train"))
     done = p.withColumn("fold", F.col("period")).join(fitted, KEYS).withColumn("error", F.abs(F.col("actual") - calibrate.apply_power("rank")))
     return done.groupBy(*KEYS, F.round("beta", 4).alias("beta"), F.round("alpha", 3).alias("alpha"), F.round("train_mae", 4).alias("train_mae"), "n_train").agg(F.round(F.avg("error"), 4).alias("mae"))
 

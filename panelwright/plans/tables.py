@@ -42,14 +42,17 @@ def s4_strict_csv(spark, d):
     return S.strict_csv(spark, path, {"p_partkey": "bigint", "p_brand": "string", "p_size": "int", "p_retailprice": "double"}, F.expr("p_size between 1 and 1000"))
 
 
-@query("SELECT year(o_orderdate)::INT AS period, o_custkey AS id, count(*) AS n FROM orders GROUP BY ALL")
+@query("""WITH n AS (SELECT year(o_orderdate)::INT AS period, o_custkey AS id, count(*) AS n FROM orders GROUP BY ALL) SELECT period, (id // 1000)::VARCHAR AS part, (year(DATE '2000-01-01') - 5)::VARCHAR || '-2001' AS span, id, n FROM n""")
 def s5_json_archive(spark, d):
-    """Nested JSON, files a period, the period from the path."""
+    """Nested JSON in files a period, the period from the file's name, its meta kept beside every item."""
     path = scratch(spark, "json")
     by = scan(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year"), F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"))
     one = by.groupBy("year", F.floor(F.col("id") / 1000).alias("part")).agg(F.collect_list(F.struct("id", "n")).alias("players"))  # at most 1000 ids a list
-    one.select("year", F.lit("ok").alias("status"), F.create_map(F.lit("part"), F.col("part").cast("string")).alias("meta"), "players").write.partitionBy("year").json(path)
-    return S.json_archive(spark, path, "players", "id bigint, n bigint", r"year=(\d{4})/", one_object=False).drop("meta")
+    meta = F.create_map(F.lit("part"), F.col("part").cast("string"), F.lit("span"), F.lit("1995-2001"))
+    one.select("year", F.lit("ok").alias("status"), meta.alias("meta"), "players").write.partitionBy("year").json(path)
+    S.named_by_partition(spark, path, "archive")
+    got = S.json_archive(spark, path, "players", "id bigint, n bigint", one_object=False)
+    return got.select("period", F.col("meta")["part"].alias("part"), F.col("meta")["span"].alias("span"), "id", "n")
 
 
 @query(f"WITH {PANEL} SELECT entity, period, segment, target FROM panel")
@@ -210,3 +213,16 @@ def s7_landed_periods(spark, d):
 def s14_frozen(spark, d):
     """Present-day columns dropped and their absence checked."""
     return S.frozen(scan(spark, d, "customer"), ["c_acctbal", "c_mktsegment", "c_nationkey"])
+
+
+MAPPED = {"lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "orders": ["o_orderkey", "o_custkey"]}
+MAPPING = " UNION ALL ".join(
+    f"SELECT '{x}' AS left_column, '{y}' AS right_column, (SELECT count(DISTINCT {x}) FROM lineitem) AS n_left, (SELECT count(DISTINCT {y}) FROM orders) AS n_right, (SELECT count(*) FROM (SELECT DISTINCT {x} FROM lineitem WHERE {x} IN (SELECT {y} FROM orders))) AS n_common"
+    for x in MAPPED["lineitem"] for y in MAPPED["orders"]
+)
+
+
+@query(f"WITH m AS ({MAPPING}) SELECT *, round(n_common / n_left::DOUBLE, 6) AS contained FROM m WHERE n_common >= 0.95 * n_left")
+def s16_column_mapping(spark, d):
+    """Which columns of one table hold the values of which columns of another: sketches propose, exact counts confirm."""
+    return S.column_mapping(scan(spark, d, "lineitem").select(*MAPPED["lineitem"]), scan(spark, d, "orders").select(*MAPPED["orders"])).withColumn("contained", F.round("contained", 6))

@@ -85,6 +85,20 @@ def moved(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"can't rename {source} to {target}")
 
 
+def named_by_partition(spark: SparkSession, path: str, prefix: str) -> None:
+    """Moves the files of path/<column>=<value>/ to path/<prefix>-<number>_<value>.<kind>: one rename a file, no data."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    system = paths(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in system.listStatus(paths(path)):
+        value = folder.getPath().getName().partition("=")[2]
+        if folder.isDirectory() and value:
+            for i, f in enumerate(system.listStatus(folder.getPath())):
+                kind = f.getPath().getName().rpartition(".")[2]
+                if not system.rename(f.getPath(), paths(f"{path}/{prefix}-{i}_{value}.{kind}")):
+                    raise OSError(f"can't rename {f.getPath()}")
+            system.delete(folder.getPath(), True)
+
+
 def preserve(df: DataFrame, path: str) -> None:
     """Write unless there is something already."""
     df.write.mode("ignore").parquet(path)
@@ -175,3 +189,33 @@ def coverage(df: DataFrame, by: Sequence[str], features: Sequence[str]) -> DataF
     every = F.greatest(*(F.isnull(x).cast("int") for x in features)) == 0 if len(features) > 1 else F.col(features[0]).isNotNull()
     some = F.coalesce(*(F.col(x).cast("string") for x in features)).isNotNull()
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(every).alias("n_complete"), F.count_if(some).alias("n_any")).withColumn("complete_rate", F.try_divide("n_complete", "n"))
+
+
+def sketched(df: DataFrame) -> DataFrame:
+    """column_name, family (integer, number, text or date), a theta sketch of the distinct values and their estimated number, of every column, in one pass."""
+    family = {"tinyint": "integer", "smallint": "integer", "int": "integer", "bigint": "integer", "float": "number", "double": "number", "string": "text", "date": "date", "timestamp": "date"}
+    known = [(x, family[kind]) for x, kind in df.dtypes if kind in family]
+    sketch = df.agg(*(F.theta_sketch_agg(F.col(x).cast("string")).alias(x) for x, _ in known))
+    return sketch.select(F.inline(F.array(*(F.struct(F.lit(x).alias("column_name"), F.lit(kind).alias("family"), F.col(x).alias("sketch"), F.theta_sketch_estimate(x).alias("estimate")) for x, kind in known))))
+
+
+def column_mapping(left: DataFrame, right: DataFrame, least: float = 0.95, sure: float = 0.1) -> DataFrame:
+    """left_column, right_column, n_left, n_right and n_common (exact distinct values) and contained, the share of left's values that right has, of pairs with `least` of them.
+
+    Sketches, one a column, propose the pairs of one family whose estimated containment is within
+    `sure` of the bound, far beyond the sketches' error of some 2%; exact counts then decide. So each
+    table is read once for its sketches, and only columns of proposed pairs again.
+    """
+    a, b = sketched(left), sketched(right)
+    pairs = a.select("family", F.col("column_name").alias("left_column"), F.col("sketch").alias("s"), F.col("estimate").alias("n")).join(b.select("family", F.col("column_name").alias("right_column"), F.col("sketch").alias("t")), "family")
+    near = pairs.filter(F.theta_sketch_estimate(F.theta_intersection("s", "t")) >= (least - sure) * F.col("n")).select("left_column", "right_column").collect()  # columns times columns at most
+    shape = "left_column string, right_column string, n_left long, n_right long, n_common long, contained double"
+    if not near:
+        return left.sparkSession.createDataFrame([], shape)
+    values = lambda df, cols, side: df.select(F.explode(F.array(*(F.struct(F.lit(x).alias("column_name"), F.col(x).cast("string").alias("v")) for x in cols))).alias("e")).select(F.col("e.column_name").alias(f"{side}_column"), "e.v").filter("v is not null").distinct()
+    x, y = values(left, sorted({r[0] for r in near}), "left"), values(right, sorted({r[1] for r in near}), "right")
+    wanted = left.sparkSession.createDataFrame([tuple(r) for r in near], "left_column string, right_column string")
+    sizes = lambda v, side: v.groupBy(f"{side}_column").agg(F.count("*").alias(f"n_{side}"))
+    common = x.join(y, "v").groupBy("left_column", "right_column").agg(F.count("*").alias("n_common"))
+    out = wanted.join(common, ["left_column", "right_column"]).join(sizes(x, "left"), "left_column").join(sizes(y, "right"), "right_column")
+    return out.withColumn("contained", F.col("n_common") / F.col("n_left")).filter(F.col("contained") >= least).select(*(c.split()[0] for c in shape.split(", ")))

@@ -118,11 +118,14 @@ def test_bootstrap_depends_on_the_seed_only(spark):
     assert a == b and (a["pooled_low"], a["pooled_high"]) == (1.0, 3.0)
 
 
-def test_power_calibration_recovers_parameters(spark):
-    df = spark.createDataFrame([("s", float(r), 20.0 * r**-0.5) for r in range(1, 31)], "g string, r double, y double")
-    got = calibrate.power_calibration(df, ["g"], "r", "y").first()
-    assert abs(got["beta"] - 0.5) < 0.011 and got["mae"] < 0.2
-    assert calibrate.power_calibration(df.limit(10), ["g"], "r", "y").count() == 0
+def test_power_calibration_recovers_parameters_of_the_past(spark):
+    past = [("s", 1, float(r), 20.0 * r**-0.5) for r in range(1, 31)]
+    df = spark.createDataFrame([*past, *(("s", 2, float(r), 7.0) for r in range(1, 31))], "g string, t int, r double, y double")
+    folds = spark.createDataFrame([("s", 2), ("s", 3)], "g string, fold long")
+    got = {r["fold"]: r for r in calibrate.power_calibration(df, "g", "t", "r", "y", folds).collect()}
+    assert abs(got[2]["beta"] - 0.5) < 0.011 and got[2]["mae"] < 0.2 and got[2]["n"] == 30
+    assert got[3]["n"] == 60 and got[3]["mae"] > got[2]["mae"]
+    assert calibrate.power_calibration(df.filter("r <= 10"), "g", "t", "r", "y", folds.filter("fold = 2")).count() == 0
 
 
 def test_sources(spark, tmp_path):
