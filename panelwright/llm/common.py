@@ -60,6 +60,20 @@ def row_number(docs: DataFrame) -> Column:
         seed += 1
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs, all columns kept, without the rows whose row_number is in the single column of gone. docs must be from as_scan."""
+    row = unused(docs, "__row")
+    return docs.withColumn(row, row_number(docs)).join(gone.toDF(row), row, "left_anti").select(*docs.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_scan, held_out, row_number, text_of, written
+from .common import as_scan, held_out, row_number, text_of, without_rows, written
 
 #: Languages of one mask word; a slot has as many words as the languages need.
 WORD_BITS = 64
@@ -119,16 +119,17 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     id is small enough are taken, that many in expectation, whole texts of them. The
     driver gets one row a language and settings.grams n-grams of each.
     """
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    by_lang = written(labelled.groupBy(F.col(lang_col).alias("lang")).count(), "languages")
+    named = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    labelled = named.filter(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    by_lang = written(labelled.groupBy("lang").count(), "languages")
     counts = by_lang.orderBy("lang").collect()
     languages = [r["lang"] for r in counts]
     slots = np.zeros((-(-len(languages) // WORD_BITS), 1 << settings.slot_bits), dtype=np.uint64)
     if not languages:
         return Model([], slots, 0)
-    share = by_lang.select(F.col("lang").alias(lang_col), F.least(F.lit(1.0), settings.training_rows / F.col("count")).alias("__share"))
-    drawn = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < F.col("__share") * (1 << 30)
-    sample = labelled.select(id_col, text_col, lang_col).join(F.broadcast(share), lang_col).filter(drawn)
+    share = by_lang.select("lang", F.least(F.lit(1.0), settings.training_rows / F.col("count")).alias("share"))
+    drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    sample = labelled.join(F.broadcast(share), "lang").filter(drawn)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -137,7 +138,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     keys, n = np.unique(trigrams(part)[0], return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": keys, "n": n})
 
-    grams = sample.select(F.col(lang_col).alias("lang"), text_of(text_col).alias("text")).mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = sample.select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams = written(grams, "grams")
     rated = grams.join(F.broadcast(grams.groupBy("lang").agg(F.sum("n").alias("all"))), "lang").withColumn("rate", F.col("n") / F.col("all"))
     best = F.max("rate").over(Window.partitionBy("gram"))
@@ -208,6 +209,6 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without the rows of no known language: undetermined, or hitting no learned n-gram."""
     docs = as_scan(docs)
-    rows = docs.select(row_number(docs).alias("__row"), text_col)
-    gone = predict(rows, learn(docs, id_col, text_col, lang_col), "__row", text_col).filter((F.col("lang_pred") == "und") | (F.col("score") == 0))
-    return docs.withColumn("__row", row_number(docs)).join(gone.select(F.col("id").alias("__row")), "__row", "left_anti").drop("__row")
+    rows = docs.select(row_number(docs).alias("number"), F.col(text_col).alias("words"))
+    gone = predict(rows, learn(docs, id_col, text_col, lang_col), "number", "words").filter((F.col("lang_pred") == "und") | (F.col("score") == 0))
+    return without_rows(docs, gone.select("id"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, as_scan, row_number, text_of, written
+from .common import WORD, as_scan, row_number, text_of, unused, written
 
 #: Bits of the key, and of them how many choose the range.
 KEY_BITS, RANGE_BITS = 60, 10
@@ -110,9 +110,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = as_scan(docs)
     copies = F.expr("cast((2 * taken + size) div (2 * size) as int)")
-    chosen = (
-        mix(docs, id_col, text_col, source_col).filter("size > 0")
-        .select(F.col("row").alias("__row"), copies.alias("__copies")).filter("__copies > 0")
-    )
-    kept = docs.withColumn("__row", row_number(docs)).join(chosen, "__row")
-    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    row, copies_, copy = (unused(docs, x) for x in ("__row", "__copies", "__copy"))
+    chosen = mix(docs, id_col, text_col, source_col).filter("size > 0").select(F.col("row").alias(row), copies.alias(copies_)).filter(F.col(copies_) > 0)
+    kept = docs.withColumn(row, row_number(docs)).join(chosen, row)
+    return kept.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies_)))).select(*docs.columns)

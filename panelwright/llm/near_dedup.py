@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, as_scan, row_number, text_of, written
+from .common import WORD, as_scan, row_number, text_of, without_rows, written
 
 WORDS = re.compile(WORD)
 #: Buckets that may be broadcast at once, and the least size of such a bucket.
@@ -443,5 +443,4 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """docs with one document of each group, that of the smallest id; documents without words all stay."""
     docs = as_scan(docs)
-    gone = near_groups(docs, id_col, text_col, settings).filter("not first").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", row_number(docs)).join(gone, "__row", "left_anti").drop("__row")
+    return without_rows(docs, near_groups(docs, id_col, text_col, settings).filter("not first").select("row"))
