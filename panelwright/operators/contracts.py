@@ -219,3 +219,13 @@ def group_coverage(df: DataFrame, by: Sequence[str], groups: Mapping[str, Sequen
     aggs = [x for i, (g, features) in enumerate(groups.items()) for x in (every(has[g] if len(has[g]) == len(features) else []).alias(f"__c{i}"), some(has[g]).alias(f"__a{i}"))]
     out = df.groupBy(*by).agg(F.count("*").alias("n"), *aggs).select(*by, F.inline(F.array(*rows)))
     return out.withColumn("any_rate", F.try_divide("n_any", "n"))
+
+
+def leader_audit(projected: DataFrame, realised: DataFrame, group: str, period: str, entity: str, n_groups: int) -> DataFrame:
+    """By period: groups with a projected leader, groups without, groups with several, how many have a realised leader and where that is another (the smallest projected counts)."""
+    one = projected.groupBy(period, group).agg(F.count("*").alias("__k"), F.min(entity).alias("__projected"))
+    both = one.join(realised.select(group, period, F.col(entity).alias("__realised")), [group, period], "left")
+    return both.groupBy(period).agg(
+        F.count("*").alias("n_groups"), (F.lit(n_groups) - F.count("*")).alias("n_missing"), F.count_if(F.col("__k") > 1).alias("n_duplicate"),
+        F.count("__realised").alias("n_realised"), F.count_if(F.col("__realised") != F.col("__projected")).alias("n_differ"),
+    )

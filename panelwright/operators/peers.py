@@ -38,6 +38,20 @@ def pool_audit(members: DataFrame, on: Sequence[str], entity: str, place: str, v
     return members.groupBy(*on).agg(n.alias("n"), (n - F.count_distinct(entity)).alias("n_repeated"), (F.max(place) - F.count_distinct(place)).alias("n_gaps"), (n - F.count_distinct(value)).alias("n_tied"))
 
 
+def pool_faults(focal: DataFrame, listed: DataFrame, keys: Sequence[str], by: Sequence[str], competitor: str, place: str, wrong: Column) -> DataFrame:
+    """By `by`: focal rows, listed competitors, those that are the focal entity (the last key) itself, of a wrong type, repeated; lists whose ranks are not 1 to n; focal rows without a list."""
+    n = F.count("*")
+    lists = listed.groupBy(*keys).agg(
+        n.alias("__n"), F.count_if(F.col(competitor) == F.col(keys[-1])).alias("__self"), F.count_if(wrong).alias("__wrong"), (n - F.count_distinct(competitor)).alias("__repeated"),
+        ((F.min(place) != 1) | (F.max(place) != n) | (F.count_distinct(place) != n)).alias("__bad"),
+    )
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return focal.join(lists, list(keys), "left").groupBy(*by).agg(
+        F.count("*").alias("n_focal"), total("__n", "n_rows"), total("__self", "n_self"), total("__wrong", "n_wrong_type"), total("__repeated", "n_repeated"),
+        F.count_if("__bad").alias("n_bad_ranks"), F.count_if(F.col("__n").isNull()).alias("n_without_pool"),
+    )
+
+
 def top_two(members: DataFrame, on: Sequence[str], entity: str, value: str) -> DataFrame:
     """A group's two largest side by side, its size and how many have no value."""
     placed = members.withColumn("__place", first_rank(value, on, [entity]))

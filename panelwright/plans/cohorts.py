@@ -88,11 +88,11 @@ def j10_snapshot_by_period(spark, d):
     return got.select("event_id", "user_id", "period", F.col("taken").cast("string").alias("taken"))
 
 
-@query(f"""WITH {PANEL}, l AS (SELECT grp, period, arg_max(entity, qty * 1000000000 - entity) AS leader FROM panel GROUP BY ALL), o AS (SELECT grp, period, leader + 1 AS leader FROM l WHERE grp % 5 = 0 AND period % 2 = 0), m AS (SELECT * FROM l WHERE (grp, period) NOT IN (SELECT (grp, period) FROM o) UNION ALL SELECT * FROM o)
+@query(f"""WITH {PANEL}, l AS (SELECT grp, period, arg_max(entity, qty * 1000000000 - entity) AS leader FROM panel WHERE NOT (grp = 3 AND period % 2 = 1) GROUP BY ALL), o AS (SELECT grp, period, leader + 1 AS leader FROM l WHERE grp % 5 = 0 AND period % 2 = 0), m AS (SELECT * FROM l WHERE (grp, period) NOT IN (SELECT (grp, period) FROM o) UNION ALL SELECT * FROM o)
 SELECT period, count(DISTINCT grp) AS n_groups, count(*) AS n_rows, count(DISTINCT grp) = 25 AND count(*) = 25 AS complete, sum(leader)::BIGINT AS leaders FROM m GROUP BY period""")
 def j15_group_counts(spark, d):
     """Leaders with overrides in place, and whether every group of a period has exactly one."""
-    l = panel(spark, d).groupBy("grp", "period").agg(F.max_by("entity", F.col("qty") * 1000000000 - F.col("entity")).alias("leader"))  # noqa: E741
+    l = panel(spark, d).filter("not (grp = 3 and period % 2 = 1)").groupBy("grp", "period").agg(F.max_by("entity", F.col("qty") * 1000000000 - F.col("entity")).alias("leader"))  # noqa: E741
     better = l.filter("grp % 5 = 0 and period % 2 = 0").withColumn("leader", F.col("leader") + 1)
     merged = contracts.overridden(l, better, ["grp", "period"])
     return contracts.group_counts(merged, "period", "grp", 25, F.sum("leader").alias("leaders"))
@@ -213,14 +213,16 @@ def q6_pool_audit(spark, d):
     return o.groupBy("segment", "period").agg(F.count("*").alias("n_pools"), *(F.sum(x).alias(x) for x in ("n_repeated", "n_gaps", "n_tied")), F.count_if(F.col("n") == 1).alias("n_alone"), (25 - F.count("*")).alias("n_empty"))
 
 
-@query(f"""WITH {PANEL}, k AS (SELECT segment, period, entity, rank() OVER (PARTITION BY segment, period ORDER BY qty DESC) AS r, count(*) OVER (PARTITION BY segment, period) AS n FROM panel), s AS (SELECT *, CASE WHEN n > 1 THEN 1 - (r - 1) / (n - 1)::DOUBLE END AS score FROM k WHERE entity % 7 > 0)
+@query(f"""WITH {PANEL}, k AS (SELECT segment, period, entity, rank() OVER (PARTITION BY segment, period ORDER BY qty DESC) AS r, count(*) OVER (PARTITION BY segment, period) AS n FROM panel), s AS (SELECT * REPLACE (CASE WHEN entity % 19 = 1 THEN r + n ELSE r END AS r), CASE WHEN entity % 17 = 1 THEN NULL WHEN n > 1 THEN (1 - (r - 1) / (n - 1)::DOUBLE) * (CASE WHEN entity % 13 = 1 THEN 0.5 ELSE 1 END)::DOUBLE END AS score FROM k WHERE entity % 7 > 0)
 SELECT segment, period, count(*) AS n, max(n) - count(*) AS n_missing, count(*) FILTER (r < 1 OR r > n) AS n_out, count(*) - count(DISTINCT r) AS n_tied, count(*) FILTER (abs(1 + (1 - score) * (n - 1) - r) > 1e-9) AS n_inconsistent, count(*) FILTER (score IS NULL) AS n_without_score FROM s GROUP BY ALL""")
 def q7_ranking_audit(spark, d):
-    """Q7: a ranking's missing entities, bounds, ties and whether its score agrees with its rank."""
+    """Q7: a ranking's missing entities, bounds, ties and whether its score agrees with its rank; faults of each kind are put in."""
     by = ["segment", "period"]
     k = places.with_ranks(panel(spark, d).select(*by, "entity", "qty"), by, {"r": Rank("qty", "low", True)})
     k = k.join(k.groupBy(*by).agg(F.count("*").alias("n")), by)
-    s = k.filter("entity % 7 > 0").withColumn("score", F.when(F.col("n") > 1, 1 - (F.col("r") - 1) / (F.col("n") - 1)))
+    score = (1 - (F.col("r") - 1) / (F.col("n") - 1)) * F.when(F.col("entity") % 13 == 1, 0.5).otherwise(1.0)
+    s = k.filter("entity % 7 > 0").withColumn("score", F.when((F.col("n") > 1) & (F.col("entity") % 17 != 1), score))
+    s = s.withColumn("r", F.when(F.col("entity") % 19 == 1, F.col("r") + F.col("n")).otherwise(F.col("r")))
     return contracts.ranking_audit(s, by, "r", "n", "score")
 
 
@@ -231,3 +233,34 @@ def q2_keys(spark, d):
     c = scan(spark, d, "customer").select("c_custkey", "c_mktsegment")
     both = c.unionByName(c.filter("c_custkey % 10 = 0").withColumn("c_mktsegment", F.lit("BUILDING")))
     return contracts.key_findings(both, "c_custkey", "c_mktsegment")
+
+
+POOLS = f"""{PANEL}, k AS (SELECT *, row_number() OVER (PARTITION BY grp, period ORDER BY qty DESC, entity) AS place FROM panel), t AS (SELECT grp, period, entity AS competitor, segment AS competitor_segment, place FROM k WHERE place <= 4),
+l AS (SELECT p.segment, p.period, p.entity, competitor, competitor_segment, place FROM panel p JOIN t USING (grp, period) WHERE NOT (p.entity % 5 = 0 AND p.entity = competitor) AND p.entity % 29 > 0 UNION ALL SELECT p.segment, p.period, p.entity, competitor, competitor_segment, place FROM panel p JOIN t USING (grp, period) WHERE p.entity % 23 = 0 AND place = 1 AND p.entity % 29 > 0),
+f AS (SELECT segment, period, entity, count(*) AS n, count(*) FILTER (competitor = entity) AS n_self, count(*) FILTER (competitor_segment <> segment) AS n_wrong, count(*) - count(DISTINCT competitor) AS n_repeated, min(place) <> 1 OR max(place) <> count(*) OR count(DISTINCT place) <> count(*) AS bad FROM l GROUP BY ALL)"""
+
+
+@query(f"WITH {POOLS} SELECT p.segment, p.period, count(*) AS n_focal, coalesce(sum(n), 0)::BIGINT AS n_rows, coalesce(sum(n_self), 0)::BIGINT AS n_self, coalesce(sum(n_wrong), 0)::BIGINT AS n_wrong_type, coalesce(sum(n_repeated), 0)::BIGINT AS n_repeated, count(*) FILTER (bad) AS n_bad_ranks, count(*) FILTER (n IS NULL) AS n_without_pool FROM panel p LEFT JOIN f USING (segment, period, entity) GROUP BY p.segment, p.period")
+def q6_pool_faults(spark, d):
+    """Q6: lists of up to four competitors with themselves in it, of another segment, repeated, with gaps in their ranks, or without anyone."""
+    p = held(panel(spark, d).select("entity", "period", "segment", "grp", "qty"), "panel")
+    top = P.top_rows(p, ["grp", "period"], 4, F.desc("qty"), "entity").select("grp", "period", F.col("entity").alias("competitor"), F.col("segment").alias("competitor_segment"), "place")
+    both = held(p.filter("entity % 29 > 0").join(top, ["grp", "period"]), "lists")  # four rows a focal entity at most
+    listed = both.filter("not (entity % 5 = 0 and entity = competitor)").unionByName(both.filter("entity % 23 = 0 and place = 1"))
+    return peers.pool_faults(p, listed, ["segment", "period", "entity"], ["segment", "period"], "competitor", "place", F.col("competitor_segment") != F.col("segment"))
+
+
+LEADERS = f"""{STATS}, {PANEL[PANEL.index("panel AS ("):]}, r AS (SELECT grp, period, entity FROM (SELECT p.*, row_number() OVER (PARTITION BY grp, period ORDER BY p.qty DESC, first_sub, entity) AS place FROM panel p JOIN (SELECT entity, period, min(sub) AS first_sub FROM stats GROUP BY ALL) USING (entity, period)) WHERE place = 1),
+j AS (SELECT grp, period + 1 AS period, entity FROM r WHERE NOT (grp = 4 AND period % 2 = 0) UNION ALL SELECT grp, period + 1, entity + 1 FROM r WHERE grp = 6 AND period % 3 = 0)"""
+
+
+@query(f"WITH {LEADERS}, g AS (SELECT period, grp, count(*) AS k, min(entity) AS projected FROM j GROUP BY ALL) SELECT g.period, count(*) AS n_groups, 25 - count(*) AS n_missing, count(*) FILTER (k > 1) AS n_duplicate, count(r.entity) AS n_realised, count(*) FILTER (r.entity IS NOT NULL AND r.entity <> projected) AS n_differ FROM g LEFT JOIN r USING (grp, period) GROUP BY g.period")
+def q4_projected_leaders(spark, d):
+    """Q4: the leader projected for each group, last period's, against the one who led: coverage of the groups, groups with two, and how many differ."""
+    first = stats(spark, d).groupBy("entity", "period").agg(F.min("sub").alias("first_sub"))
+    led = P.first_row(panel(spark, d).select("entity", "period", "grp", "qty").join(first, ["entity", "period"]), ["grp", "period"], F.desc("qty"), "first_sub", "entity").select("grp", "period", "entity")
+    led = held(led, "leaders")
+    later = (F.col("period") + 1).alias("period")
+    projected = led.filter("not (grp = 4 and period % 2 = 0)").select("grp", later, "entity").unionByName(led.filter("grp = 6 and period % 3 = 0").select("grp", later, (F.col("entity") + 1).alias("entity")))
+    n_groups = scan(spark, d, "nation").count()
+    return contracts.leader_audit(projected, led, "grp", "period", "entity", n_groups)

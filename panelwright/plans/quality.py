@@ -53,13 +53,15 @@ def q5_missing_reasons(spark, d):
     return p.filter(exclusive(flags)).withColumn("reason", reason).groupBy("segment", "reason").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {PANEL}, l AS (SELECT entity, segment, period, {LAG.format('target', 1)} AS t1, {LAG.format('target', 2)} AS t2, {LAG.format('target', 3)} AS t3, row_number() OVER (PARTITION BY entity ORDER BY period) AS rn FROM panel)
+@query(f"""WITH {PANEL}, q AS (SELECT entity, segment, period, {LAG.format('target', 1)} AS t1, {LAG.format('target', 2)} AS t2, {LAG.format('target', 3)} AS t3, row_number() OVER (PARTITION BY entity ORDER BY period) AS rn FROM panel),
+l AS (SELECT * REPLACE (CASE WHEN entity % 31 = 1 AND rn = 1 THEN 1.0 ELSE t2 END AS t2) FROM q)
 SELECT segment, count(*) AS n, count(*) FILTER (rn = 1 AND (t1 IS NOT NULL OR t2 IS NOT NULL OR t3 IS NOT NULL)) AS n_leaks, round(100.0::DOUBLE * count(*) FILTER (t1 IS NULL) / count(*), 6) AS t1_null_pct, round(100.0::DOUBLE * count(*) FILTER (t2 IS NULL) / count(*), 6) AS t2_null_pct, round(100.0::DOUBLE * count(*) FILTER (t3 IS NULL) / count(*), 6) AS t3_null_pct FROM l GROUP BY segment""")
 def q9_leakage_audit(spark, d):
-    """A first row must have no history; share of missing inputs."""
+    """A first row must have no history (some get one here, to be found); share of missing inputs."""
     from ..operators import panel as P
 
-    p = panel(spark, d).select("segment", P.prior_count("entity", "period").alias("n_prior"), *(P.exact_lag("target", "entity", "period", k).alias(f"t{k}") for k in (1, 2, 3)))
+    p = panel(spark, d).select("segment", "entity", P.prior_count("entity", "period").alias("n_prior"), *(P.exact_lag("target", "entity", "period", k).alias(f"t{k}") for k in (1, 2, 3)))
+    p = p.withColumn("t2", F.when((F.col("entity") % 31 == 1) & (F.col("n_prior") == 0), 1.0).otherwise(F.col("t2")))
     leak = (F.col("n_prior") == 0) & F.coalesce("t1", "t2", "t3").isNotNull()
     return p.groupBy("segment").agg(F.count("*").alias("n"), F.count_if(leak).alias("n_leaks"), *(F.round(F.count_if(F.col(f"t{k}").isNull()) * 100.0 / F.count("*"), 6).alias(f"t{k}_null_pct") for k in (1, 2, 3)))
 
@@ -87,8 +89,12 @@ def q6_pool_structure(spark, d):
     return g.groupBy("segment", "period").agg(F.count("*").alias("n_groups"), F.count_if(F.col("n") == 1).alias("n_alone"), (F.count("*") - F.count_distinct("n")).alias("n_tied"), F.max("n").alias("largest"))
 
 
-@query(f"""WITH {PREDICTIONS} SELECT segment, count(*) AS n, count(*) - count(DISTINCT (entity, period)) AS n_repeated, count(*) FILTER (NOT isfinite(a)) AS n_infinite, count(*) FILTER (m IS NULL) AS n_without_mean FROM predictions GROUP BY segment""")
+@query(f"""WITH {PREDICTIONS}, faulty AS (SELECT segment, entity, period, CASE WHEN entity % 37 = 1 THEN 'Infinity'::DOUBLE WHEN entity % 41 = 1 THEN 'NaN'::DOUBLE ELSE a END AS a, CASE WHEN entity % 11 > 0 THEN m END AS m FROM (SELECT * FROM predictions UNION ALL SELECT * FROM predictions WHERE entity % 43 = 1))
+SELECT segment, count(*) AS n, count(*) - count(DISTINCT (entity, period)) AS n_repeated, count(*) FILTER (NOT isfinite(a)) AS n_infinite, count(*) FILTER (m IS NULL) AS n_without_mean FROM faulty GROUP BY segment""")
 def e28_prediction_sanity(spark, d):
-    """Repeated keys and values that are no numbers."""
+    """Repeated keys, values that are no numbers and missing means; faults of each kind are put in."""
     p = predictions(spark, d)
+    p = p.unionByName(p.filter("entity % 43 = 1"))
+    odd = F.when(F.col("entity") % 37 == 1, float("inf")).when(F.col("entity") % 41 == 1, float("nan")).otherwise(F.col("a"))
+    p = p.withColumn("a", odd).withColumn("m", F.when(F.col("entity") % 11 > 0, F.col("m")))
     return p.groupBy("segment").agg(F.count("*").alias("n"), (F.count("*") - F.count_distinct("entity", "period")).alias("n_repeated"), F.count_if(F.isnan("a") | (F.abs("a") == float("inf"))).alias("n_infinite"), F.count_if(F.col("m").isNull()).alias("n_without_mean"))

@@ -89,14 +89,14 @@ def d16_event_shares(spark, d):
     return x.select("entity", "period", "grp", "urgent", "deep", "early", F.round(ratio("urgent", R.total_of("urgent", by)), 6).alias("urgent_share"), F.round(ratio("deep", R.total_of("deep", by)), 6).alias("deep_share"))
 
 
-@query(f"""WITH {STATS} SELECT segment, period, round(sum(prio * qty) FILTER (qty > 20) / sum(qty) FILTER (qty > 20)::DOUBLE, 6) AS weighted, sum(CASE WHEN prio = 1 AND sub = 2 AND grp < 3 THEN qty END)::BIGINT AS known, bool_or(prio = 1) AS any_urgent, count(DISTINCT grp) AS n_groups,
+@query(f"""WITH {STATS} SELECT segment, period, round(sum(prio * qty) FILTER (qty > 20) / sum(qty) FILTER (qty > 20)::DOUBLE, 6) AS weighted, sum(CASE WHEN prio = 1 AND sub = 2 AND grp < 3 THEN qty END)::BIGINT AS known, bool_or(prio = 1 AND sub = 2 AND grp < 2 AND n_lines >= 6) AS any_urgent, count(DISTINCT grp) AS n_groups,
   round(avg(CASE WHEN prio = 1 THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS urgent_rate, min_by(occ, qty * 1000000000 + occ) AS least_occ, max_by(occ, qty * 1000000000 + occ) AS most_occ FROM stats GROUP BY segment, period""")
 def a7_grouped(spark, d):
     """Weighted mean, sum that stays null, any, rates, rows at the extremes."""
     s = stats(spark, d)
     at = F.col("qty") * 1000000000 + F.col("occ")
     return s.groupBy("segment", "period").agg(
-        F.round(R.weighted_mean("prio", F.when(F.col("qty") > 20, F.col("qty"))), 6).alias("weighted"), F.sum(F.when((F.col("prio") == 1) & (F.col("sub") == 2) & (F.col("grp") < 3), F.col("qty"))).alias("known"), F.bool_or(F.col("prio") == 1).alias("any_urgent"),
+        F.round(R.weighted_mean("prio", F.when(F.col("qty") > 20, F.col("qty"))), 6).alias("weighted"), F.sum(F.when((F.col("prio") == 1) & (F.col("sub") == 2) & (F.col("grp") < 3), F.col("qty"))).alias("known"), F.bool_or((F.col("prio") == 1) & (F.col("sub") == 2) & (F.col("grp") < 2) & (F.col("n_lines") >= 6)).alias("any_urgent"),
         F.count_distinct("grp").alias("n_groups"), F.round(F.avg((F.col("prio") == 1).cast("double")), 6).alias("urgent_rate"), F.min_by("occ", at).alias("least_occ"), F.max_by("occ", at).alias("most_occ"),
     )
 

@@ -63,9 +63,53 @@ def test_row_bootstrap_is_near_the_normal_interval(spark):
     assert abs(r["low"] - values.mean() + half) < 0.06 and abs(r["high"] - values.mean() - half) < 0.06
 
 
-def test_trees_learn_before_and_report_after(spark):
-    got = registry.QUERIES["e25_complexity"](spark, DIR).toPandas().sort_values("depth")
-    assert (got.n_distinct <= 2**got.depth).all() and got.train_mae.is_monotonic_decreasing
+def proximal(x, y, alpha, l1, rounds=20_000):
+    """Elastic net by accelerated proximal gradient on the rows' own products, not by coordinates."""
+    n = len(y)
+    g, c = x.T @ x / n, x.T @ y / n
+    step = 1 / (np.linalg.eigvalsh(g)[-1] + alpha * (1 - l1))
+    w = z = np.zeros(x.shape[1])
+    t = 1.0
+    for _ in range(rounds):
+        v = z - step * (g @ z - c + alpha * (1 - l1) * z)
+        new = np.sign(v) * np.maximum(np.abs(v) - step * alpha * l1, 0)
+        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        z, t, moved = new + (t - 1) / t_new * (new - w), t_new, np.abs(new - w).max()
+        w = new
+        if moved < 1e-13:
+            break
+    return w
+
+
+def test_grids_and_ablation_equal_fits_on_rows(spark):
+    """Errors of least squares, every ridge and every net, from the rows of two segments' folds."""
+    from panelwright.plans.base import predictions
+
+    data = predictions(spark, DIR).toPandas()
+    grid = registry.QUERIES["m6_linear_grids"](spark, DIR).toPandas()
+    ablation = registry.QUERIES["m10_ablation"](spark, DIR).toPandas()
+    seen = 0
+    for segment, fold in (("AUTOMOBILE", 1998), ("BUILDING", 2001)):
+        own = data[data.segment == segment]
+        past, now = own[own.period < fold], own[own.period == fold]
+        for spec, at in models.SPECS.items():
+            names = [models.FEATURES[i] for i in at]
+            x, v = past[names].to_numpy(float), now[names].to_numpy(float)
+            z, u, y = (x - x.mean(0)) / x.std(0), (v - x.mean(0)) / x.std(0), past.actual.to_numpy()
+            mae = lambda w: np.abs(y.mean() + u @ w - now.actual.to_numpy()).mean()  # noqa: B023, E731
+            fit = {
+                "ols": lambda r: np.linalg.lstsq(z, y - y.mean(), rcond=None)[0],  # noqa: B023
+                "ridge": lambda r: np.linalg.solve(z.T @ z + r.alpha * np.eye(len(at)), z.T @ (y - y.mean())),  # noqa: B023
+                "net": lambda r: proximal(z, y - y.mean(), r.alpha, r.l1),  # noqa: B023
+            }
+            rows = grid if spec == "full" else ablation[ablation.spec == spec].assign(method="ridge", l1=0.0)
+            for r in rows[(rows.segment == segment) & (rows.fold == fold)].itertuples():
+                assert mae(fit[r.method](r)) == pytest.approx(r.mae, rel=1e-6)
+                assert r.n == len(now)
+                seen += 1
+    assert seen == 2 * (1 + 6 + 25 + 6 + 6)
+    full = grid[grid.method == "ridge"].merge(ablation[ablation.spec == "full"], on=["segment", "fold", "alpha"])
+    assert len(full) and np.allclose(full.mae_x, full.mae_y)
 
 
 def test_publish_leaves_the_old_table_where_the_new_one_fails(spark, tmp_path):
