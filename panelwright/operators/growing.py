@@ -82,12 +82,12 @@ class Tree:
 
 def gains(n: np.ndarray, s: np.ndarray, least_leaf: float, penalty: float = 0.0) -> np.ndarray:
     """What every cut after a bin saves in squared error; n and s have the bins last. -inf where a side is too small."""
-    cn, cs = np.cumsum(n, axis=-1), np.cumsum(s, axis=-1)
-    all_n, all_s = cn[..., -1:], cs[..., -1:]
+    cn, cs = n.cumsum(axis=-1), s.cumsum(axis=-1)
+    all_n, all_s, penalty = cn[..., -1:], cs[..., -1:], penalty or 1e-300
     rn, rs = all_n - cn, all_s - cs
-    score = lambda a, b: b**2 / np.maximum(a + penalty, 1e-300)
-    saved = score(cn, cs) + score(rn, rs) - score(all_n, all_s)
-    return np.where((cn >= least_leaf) & (rn >= least_leaf) & (cn > 0) & (rn > 0), saved, -np.inf)
+    saved = cs * cs / (cn + penalty) + rs * rs / (rn + penalty) - all_s * all_s / (all_n + penalty)
+    saved[(cn < least_leaf) | (rn < least_leaf) | (cn <= 0) | (rn <= 0)] = -np.inf
+    return saved
 
 
 def level_wise(x: np.ndarray, n: np.ndarray, s: np.ndarray, bins: int, depth: int | None, least_leaf: float, picks: int, seed: int) -> Tree:
@@ -158,29 +158,31 @@ def leaf_wise(flat: np.ndarray, x: np.ndarray, n: np.ndarray, g: np.ndarray, bin
 
     def sums(at):
         places = flat[at].ravel()
-        return np.bincount(places, np.repeat(n[at], k), k * bins).reshape(k, bins), np.bincount(places, np.repeat(g[at], k), k * bins).reshape(k, bins)
+        return np.bincount(places, np.repeat(n[at], k), k * bins), np.bincount(places, np.repeat(g[at], k), k * bins)
 
-    def leaf(at, rest, hist):
-        saved = gains(*hist, least_leaf, penalty)
-        place = int(saved.argmax())
-        return [saved.ravel()[place], place // bins, place % bins, at, rest, hist]
+    def best(hists):
+        """Gain, feature and cut of the best split of each of some leaves."""
+        saved = gains(np.stack([h[0] for h in hists]).reshape(-1, k, bins), np.stack([h[1] for h in hists]).reshape(-1, k, bins), least_leaf, penalty).reshape(len(hists), -1)
+        return [(float(row[i]), i // bins, i % bins) for row, i in zip(saved, saved.argmax(axis=1).tolist(), strict=True)]
 
     everything = np.arange(len(n))
-    leaves = [leaf(everything, np.arange(len(others)), sums(everything))]
+    root = sums(everything)
+    leaves = [(best([root])[0], everything, np.arange(len(others)), root)]
     while len(leaves) < most_leaves:
-        i = max(range(len(leaves)), key=lambda j: (leaves[j][0], -j))
-        gain, f, c, at, rest, (hn, hg) = leaves[i]
+        i = max(range(len(leaves)), key=lambda j: (leaves[j][0][0], -j))
+        (gain, f, c), at, rest, hist = leaves[i]
         if not gain > LEAST_GAIN:
             break
-        right = x[at, f] > c
-        far = others[rest, f] > c
+        right, far = x[at, f] > c, others[rest, f] > c
         a, b = at[~right], at[right]
         small = sums(a if len(a) <= len(b) else b)
-        large = (hn - small[0], hg - small[1])
-        left_sums, right_sums = (small, large) if len(a) <= len(b) else (large, small)
-        leaves[i] = leaf(a, rest[~far], left_sums)
-        leaves.append(leaf(b, rest[far], right_sums))
-    return [(x[3], x[4]) for x in leaves]
+        large = (hist[0] - small[0], hist[1] - small[1])
+        low, high = (small, large) if len(a) <= len(b) else (large, small)
+        # Leaves of a full tree need no further split.
+        found = best([low, high]) if len(leaves) + 1 < most_leaves else [(0.0, 0, 0)] * 2
+        leaves[i] = (found[0], a, rest[~far], low)
+        leaves.append((found[1], b, rest[far], high))
+    return [(x[1], x[2]) for x in leaves]
 
 
 def boosted(x: np.ndarray, n: np.ndarray, s: np.ndarray, others: np.ndarray, bins: int, rate: float, most_leaves: int, least_leaf: float, loss: str, stops: list[int], penalty: float = 1.0) -> list[tuple[np.ndarray, np.ndarray]]:
