@@ -12,8 +12,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 query = registered(QUERIES, ORACLES)
 
-#: Rows of a part file at most, as a file is hashed as one value.
-FILE_ROWS = 500_000
+#: Documents a part file at most, so that a file's bytes fit in a task that hashes them.
+TEXT_ROWS = 2_000
 
 
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal BETWEEN 0 AND 5000")
@@ -98,26 +98,25 @@ def s11_dataset_manifest(spark, d):
     return S.dataset_manifest(scan(spark, d, "orders").select("o_orderkey", "o_orderdate"), "orders", F.year("o_orderdate"))
 
 
-@query("""SELECT s_nationkey::VARCHAR AS file, CASE WHEN s_nationkey % 7 = 0 THEN 'changed' ELSE 'removed' END AS status FROM (SELECT DISTINCT s_nationkey FROM supplier) WHERE s_nationkey % 7 = 0 OR s_nationkey % 5 = 0""")
+@query("""SELECT b::VARCHAR AS file, CASE WHEN b % 7 = 0 THEN 'changed' ELSE 'removed' END AS status FROM (SELECT DISTINCT doc_id % 25 AS b FROM documents) WHERE b % 7 = 0 OR b % 5 = 0""")
 def s12_preservation(spark, d):
     """Part files hashed before and after some partitions of a table are rewritten and others deleted."""
-    path = scratch(spark, "lines")
-    lines = scan(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
-    rows = scan(spark, d, "supplier").select("s_suppkey", "s_nationkey").join(lines, F.col("s_suppkey") == F.col("l_suppkey"), "left")
-    rows.write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("s_nationkey").parquet(path)
-    before = held(S.folder_manifest(spark, path, "s_nationkey"), "manifest")
-    corrected = spark.read.parquet(path).filter("s_nationkey % 7 = 0").withColumn("l_quantity", F.col("l_quantity") + 1).withColumn("corrected", F.lit(True))
-    corrected.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", FILE_ROWS).partitionBy("s_nationkey").parquet(path)
-    gone = before.select("file").filter("file % 5 = 0 and file % 7 != 0").collect()  # at most one a nation
-    S.drop_partitions(spark, path, [f"s_nationkey={r['file']}" for r in gone])
-    return S.changed_files(before, held(S.folder_manifest(spark, path, "s_nationkey"), "manifest"))
+    path = scratch(spark, "landed")
+    rows = scan(spark, d, "documents").select("doc_id", "text", "source", (F.col("doc_id") % 25).alias("bucket"))
+    rows.write.option("maxRecordsPerFile", TEXT_ROWS).partitionBy("bucket").parquet(path)
+    before = held(S.folder_manifest(spark, path, "bucket"), "manifest")
+    corrected = spark.read.parquet(path).filter("bucket % 7 = 0").withColumn("source", F.upper("source")).withColumn("corrected", F.lit(True))
+    corrected.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", TEXT_ROWS).partitionBy("bucket").parquet(path)
+    gone = before.select("file").filter("file % 5 = 0 and file % 7 != 0").collect()  # at most one a bucket
+    S.drop_partitions(spark, path, [f"bucket={r['file']}" for r in gone])
+    return S.changed_files(before, held(S.folder_manifest(spark, path, "bucket"), "manifest"))
 
 
 @query()
 def s11_file_manifest(spark, d):
-    """Bytes and checksums of the part files that orders are landed in."""
-    path = scratch(spark, "orders")
-    scan(spark, d, "orders").write.option("maxRecordsPerFile", FILE_ROWS).parquet(path)
+    """Bytes and checksums of the part files that documents are landed in."""
+    path = scratch(spark, "documents")
+    scan(spark, d, "documents").write.option("maxRecordsPerFile", TEXT_ROWS).parquet(path)
     return S.manifest(spark, path, "*.parquet").withColumn("file", F.regexp_replace("file", r"^(part-\d+)-.*(\.c|-c)(\d+)\..*$", "$1-$3"))
 
 
