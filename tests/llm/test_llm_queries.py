@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from panelwright.llm import exact_dedup, fingerprint, license_scan, warc_segments
+from panelwright.llm import exact_dedup, fingerprint, license_scan, toxicity, warc_segments
 from panelwright.llm.oracles import ORACLES
 from panelwright.llm.queries import QUERIES
 
@@ -165,12 +165,29 @@ def test_op8(spark, docs):
 
 
 def test_op9(spark):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"  # on the smaller tables too few are toxic to tell
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     got = {r["doc_id"]: r for r in QUERIES["op9_toxicity"](spark, d).collect()}
     assert all(r["held_out"] == held_out(i) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for i, r in got.items())
     judged = [i for i in labels if held_out(i) and i in got]
-    assert sum(got[i]["predicted"] == labels[i] for i in judged) >= 0.9 * len(judged)
+    hit, said, true = (sum(f(got[i]["predicted"], labels[i]) for i in judged) for f in (lambda p, y: p * y, lambda p, y: p, lambda p, y: y))
+    assert true >= 10 and hit >= 0.85 * said and hit >= 0.85 * true  # precision and recall
+    pairs = [(got[i]["score"] > got[j]["score"]) + 0.5 * (got[i]["score"] == got[j]["score"]) for i in judged for j in judged if labels[i] and not labels[j]]
+    assert sum(pairs) >= 0.95 * len(pairs)
+
+
+def test_toxicity_of_repeated_long_and_empty_texts(spark, docs):
+    """A row's score is its text's alone: the same for repeated rows, and a very long clean text stays clean."""
+    table, labels = spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/labels.parquet")
+    model = toxicity.learn(table, labels, settings=toxicity.Settings(training_rows=200))
+    texts = [docs[i]["text"] for i in sorted(docs)[:20]]
+    clean = " ".join(t for t in texts if t)
+    odd = [(i, t) for i, t in enumerate(texts)] * 2 + [(100, clean * 20), (101, None), (102, ""), (None, texts[0])]
+    got = {}
+    for r in toxicity.score(spark.createDataFrame(odd, "doc_id long, text string"), model).collect():
+        got.setdefault(r["id"], []).append(r["score"])
+    assert all(len(v) == 2 and v[0] == v[1] for i, v in got.items() if i is not None and i < 20)
+    assert got[101] == got[102] and got[None][0] == got[0][0] and 0 <= got[100][0] <= 1
 
 
 @pytest.mark.parametrize("digits", [1, 64])
