@@ -58,6 +58,9 @@ def byte_chars() -> list[str]:
     rest = iter(range(256, 512))
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
+#: Ids that are handed to Spark at a time (a single document may have more).
+FRAME_IDS = 500_000
+
 
 class Tokenizer:
     """From the bytes of a vocabulary file of the tokenizers library."""
@@ -239,7 +242,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = tokenizer(held)
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "ids": list(t.encode_batch(batch["text"].tolist()))})
+            start, out, size = 0, [], 0
+            for i, ids in enumerate(t.encode_batch(batch["text"].tolist()), 1):
+                out.append(np.array(ids, np.int32))
+                size += len(ids)
+                if size >= FRAME_IDS or i == len(batch):
+                    yield pd.DataFrame({"id": batch["id"].iloc[start:i], "ids": pd.Series(out, index=batch.index[start:i], dtype=object)})
+                    start, out, size = i, [], 0
 
     return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInPandas(run, f"id {kind}, ids array<int>")
 
