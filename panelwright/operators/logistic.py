@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .folds import with_roles
 
 
 def standard(features: Sequence[str]) -> list[Column]:

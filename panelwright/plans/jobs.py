@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
@@ -24,13 +23,9 @@ def d1_target_audit(spark, d):
     """The audit of a target build: repeated (entity, occurrence) keys are refused, and one of each goes on."""
     s = stats(spark, d)
     x = held(s.unionByName(s.filter("occ % 11 = 0")), "stats")
-    built = {"entity": "entity", "period": "period", "segment": "segment", "sub": "sub", "occurrence": "occ", "group": "grp", "weights": WEIGHTS, "sums": ("qty", "price", "disc")}
-    try:
-        P.checked_targets(x, **built)
-    except contracts.ContractError:
-        x = x.dropDuplicates(["entity", "period", "occ"])
-    p = held(P.checked_targets(x, **built), "targets")
-    return P.target_audit(s.unionByName(s.filter("occ % 11 = 0")), p, ["entity", "period", "occ"], 2, F.sum(F.when(F.col("n_occ") >= 2, F.col("qty"))).alias("qty"))
+    once = x if contracts.duplicate_keys(x, ["entity", "period", "occ"]).isEmpty() else x.dropDuplicates(["entity", "period", "occ"])
+    p = held(P.checked_targets(once, "entity", "period", "segment", "sub", "occ", "grp", WEIGHTS, ("qty", "price", "disc")), "targets")
+    return P.target_audit(x, p, ["entity", "period", "occ"], 2, F.sum(F.when(F.col("n_occ") >= 2, F.col("qty"))).alias("qty"))
 
 
 MEASURES = ("target", "n_occ", "qty", "price", "disc", "total_score")

@@ -199,13 +199,14 @@ def s18_first_available(spark, d):
     return S.first_available(p, ["lag_1", "lag_3"], "period")
 
 
-@query("SELECT o_orderkey, o_orderstatus, 1995 AS period, NULL::DOUBLE AS o_totalprice FROM orders WHERE year(o_orderdate) = 1995 UNION ALL SELECT o_orderkey, NULL, 1996, o_totalprice FROM orders WHERE year(o_orderdate) = 1996")
+@query("WITH o AS (SELECT *, year(o_orderdate)::INT AS period FROM orders) SELECT o_orderkey, CASE WHEN period % 2 = 1 THEN o_orderstatus END AS o_orderstatus, period, CASE WHEN period % 2 = 0 THEN o_totalprice END AS o_totalprice FROM o")
 def s7_landed_periods(spark, d):
-    """Files of several periods with different columns, stacked."""
-    o, path = scan(spark, d, "orders"), scratch(spark, "landed")
-    o.filter("year(o_orderdate) = 1995").select("o_orderkey", "o_orderstatus").write.parquet(f"{path}/1995")
-    o.filter("year(o_orderdate) = 1996").select("o_orderkey", "o_totalprice").write.parquet(f"{path}/1996")
-    return S.landed(spark, {1995: f"{path}/1995", 1996: f"{path}/1996"}, ["o_orderkey", "o_orderstatus", "o_totalprice"])
+    """Files of all periods, odd and even ones with different columns, stacked."""
+    o, path = held(scan(spark, d, "orders").withColumn("year", F.year("o_orderdate")), "orders"), scratch(spark, "landed")
+    years = [r["year"] for r in o.select("year").distinct().collect()]  # a row a period
+    o.filter("year % 2 = 1").select("o_orderkey", "o_orderstatus", "year").write.partitionBy("year").parquet(f"{path}/1")
+    o.filter("year % 2 = 0").select("o_orderkey", "o_totalprice", "year").write.partitionBy("year").parquet(f"{path}/0")
+    return S.landed(spark, {y: f"{path}/{y % 2}/year={y}" for y in sorted(years)}, ["o_orderkey", "o_orderstatus", "o_totalprice"])
 
 
 @query("SELECT c_custkey, c_name FROM customer")
