@@ -224,5 +224,5 @@ MAPPING = " UNION ALL ".join(
 
 @query(f"WITH m AS ({MAPPING}) SELECT *, round(n_common / n_left::DOUBLE, 6) AS contained FROM m WHERE n_common >= 0.95 * n_left")
 def s16_column_mapping(spark, d):
-    """Which columns of one table hold the values of which columns of another: sketches propose, exact counts confirm."""
+    """Which columns of one table hold the values of which columns of another, from exact counts."""
     return S.column_mapping(scan(spark, d, "lineitem").select(*MAPPED["lineitem"]), scan(spark, d, "orders").select(*MAPPED["orders"])).withColumn("contained", F.round("contained", 6))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.contracts import ContractError, TableContract
+from .scratch import held
 
 
 def scan(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -191,31 +192,37 @@ def coverage(df: DataFrame, by: Sequence[str], features: Sequence[str]) -> DataF
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(every).alias("n_complete"), F.count_if(some).alias("n_any")).withColumn("complete_rate", F.try_divide("n_complete", "n"))
 
 
-def sketched(df: DataFrame) -> DataFrame:
-    """column_name, family (integer, number, text or date), a theta sketch of the distinct values and their estimated number, of every column, in one pass."""
-    family = {"tinyint": "integer", "smallint": "integer", "int": "integer", "bigint": "integer", "float": "number", "double": "number", "string": "text", "date": "date", "timestamp": "date"}
-    known = [(x, family[kind]) for x, kind in df.dtypes if kind in family]
-    sketch = df.agg(*(F.theta_sketch_agg(F.col(x).cast("string")).alias(x) for x, _ in known))
-    return sketch.select(F.inline(F.array(*(F.struct(F.lit(x).alias("column_name"), F.lit(kind).alias("family"), F.col(x).alias("sketch"), F.theta_sketch_estimate(x).alias("estimate")) for x, kind in known))))
+FAMILIES = {"tinyint": "integer", "smallint": "integer", "int": "integer", "bigint": "integer", "float": "number", "double": "number", "string": "text", "date": "date", "timestamp": "date"}
+#: Columns that one word of a value's signature marks.
+MARKS = 62
 
 
-def column_mapping(left: DataFrame, right: DataFrame, least: float = 0.95, sure: float = 0.1) -> DataFrame:
-    """left_column, right_column, n_left, n_right and n_common (exact distinct values) and contained, the share of left's values that right has, of pairs with `least` of them.
+def marked(df: DataFrame, side: str, words: int) -> DataFrame:
+    """family, the value (whole for integers, as text for others) and, word by word, a bit for the column: a row a known value."""
+    known = [(x, FAMILIES[kind]) for x, kind in df.dtypes if kind in FAMILIES]
+    bits = lambda i: {f"left_{w}": (1 << i % MARKS if side == "left" and i // MARKS == w else 0) for w in range(words)} | {f"right_{w}": (1 << i % MARKS if side == "right" and i // MARKS == w else 0) for w in range(words)}
+    of = lambda i, x, f: F.struct(F.lit(f).alias("family"), (F.col(x).cast("long") if f == "integer" else F.lit(None).cast("long")).alias("whole"), (F.lit(None).cast("string") if f == "integer" else F.col(x).cast("string")).alias("v"), *(F.lit(b).cast("long").alias(c) for c, b in bits(i).items()))
+    return df.select(F.inline(F.array(*(of(i, x, f) for i, (x, f) in enumerate(known))))).filter("whole is not null or v is not null")
 
-    Sketches, one a column, propose the pairs of one family whose estimated containment is within
-    `sure` of the bound, far beyond the sketches' error of some 2%; exact counts then decide. So each
-    table is read once for its sketches, and only columns of proposed pairs again.
+
+def column_mapping(left: DataFrame, right: DataFrame, least: float = 0.95) -> DataFrame:
+    """left_column, right_column, n_left, n_right and n_common (exact distinct values) and contained, the share of left's values that right has, of pairs of one family with `least` of them.
+
+    Each table is read once: values are collapsed to the set of columns that hold them, these
+    sets are counted, and all pairs come from the counts. No sketch proposes pairs: it says
+    nothing of a column of a few values beside one of many.
     """
-    a, b = sketched(left), sketched(right)
-    pairs = a.select("family", F.col("column_name").alias("left_column"), F.col("sketch").alias("s"), F.col("estimate").alias("n")).join(b.select("family", F.col("column_name").alias("right_column"), F.col("sketch").alias("t")), "family")
-    near = pairs.filter(F.theta_sketch_estimate(F.theta_intersection("s", "t")) >= (least - sure) * F.col("n")).select("left_column", "right_column").collect()  # columns times columns at most
+    names = {"left": [x for x, kind in left.dtypes if kind in FAMILIES], "right": [x for x, kind in right.dtypes if kind in FAMILIES]}
+    words = -(-max(map(len, names.values()), default=0) // MARKS)
     shape = "left_column string, right_column string, n_left long, n_right long, n_common long, contained double"
-    if not near:
+    if not all(names.values()):
         return left.sparkSession.createDataFrame([], shape)
-    values = lambda df, cols, side: df.select(F.explode(F.array(*(F.struct(F.lit(x).alias("column_name"), F.col(x).cast("string").alias("v")) for x in cols))).alias("e")).select(F.col("e.column_name").alias(f"{side}_column"), "e.v").filter("v is not null").distinct()
-    x, y = values(left, sorted({r[0] for r in near}), "left"), values(right, sorted({r[1] for r in near}), "right")
-    wanted = left.sparkSession.createDataFrame([tuple(r) for r in near], "left_column string, right_column string")
-    sizes = lambda v, side: v.groupBy(f"{side}_column").agg(F.count("*").alias(f"n_{side}"))
-    common = x.join(y, "v").groupBy("left_column", "right_column").agg(F.count("*").alias("n_common"))
-    out = wanted.join(common, ["left_column", "right_column"]).join(sizes(x, "left"), "left_column").join(sizes(y, "right"), "right_column")
+    signature = [f"{side}_{w}" for side in names for w in range(words)]
+    values = marked(left, "left", words).unionByName(marked(right, "right", words)).groupBy("family", "whole", "v").agg(*(F.bit_or(c).alias(c) for c in signature))
+    sets = values.groupBy("family", *signature).agg(F.count("*").alias("n"))
+    held_by = lambda side: F.array_compact(F.array(*(F.when(F.col(f"{side}_{i // MARKS}").bitwiseAND(F.lit(1 << i % MARKS)) != 0, F.lit(x)) for i, x in enumerate(names[side]))))
+    sets = held(sets.select("n", held_by("left").alias("__left"), held_by("right").alias("__right")), "sets")
+    size = lambda side: sets.select(F.explode(f"__{side}").alias(f"{side}_column"), "n").groupBy(f"{side}_column").agg(F.sum("n").alias(f"n_{side}"))
+    common = sets.select(F.explode("__left").alias("left_column"), "__right", "n").select("left_column", F.explode("__right").alias("right_column"), "n").groupBy("left_column", "right_column").agg(F.sum("n").alias("n_common"))
+    out = common.join(size("left"), "left_column").join(size("right"), "right_column")
     return out.withColumn("contained", F.col("n_common") / F.col("n_left")).filter(F.col("contained") >= least).select(*(c.split()[0] for c in shape.split(", ")))
