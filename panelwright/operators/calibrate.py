@@ -130,17 +130,86 @@ GRIDS: Mapping[str, Sequence[Mapping[str, float]]] = {
 }
 
 
+#: What each adjuster reads of a row.
+READS = ("count", "count_mean", "count_std", "burden", "share", "share_mean", "share_std", "base")
+
+
+def corrections(name: str, p: Mapping[str, float], x: Mapping[str, np.ndarray], bound: float = BOUND) -> np.ndarray:
+    """bounded() of many rows at once; x has READS as doubles, NaN where they are null."""
+    above = lambda v, at: np.maximum(v - at, 0.0)
+    ramp = lambda v, start, width: np.clip((v - start) / width, 0.0, 1.0)
+    if name in ("count", "share"):
+        std = x[f"{name}_std"]
+        out = p["p_coef"] * ((x[name] - x[f"{name}_mean"]) / np.where(std == 0, np.nan, std))
+    elif name == "burden":
+        out = -p["p_penalty"] * above(x["burden"], 6.0)
+    elif name == "steps":
+        out = -(p["p_penalty"] * above(x["burden"], 2.0) + p["p_penalty_2"] * above(x["burden"], 4.0) + p["p_penalty_3"] * above(x["burden"], 6.0))
+    else:
+        out = above(x["burden"], 4.0) * (p["p_up"] * ramp(x["base"], 4.0, 4.0) - p["p_low"] * ramp(4.0 - x["base"], 0.0, 4.0))
+    out = np.clip(out, -bound, bound)
+    return np.where(np.isnan(out), 0.0, out)
+
+
+def read(batch: pd.DataFrame, at=slice(None)) -> dict[str, np.ndarray]:
+    return {c: batch[c].to_numpy(float)[at] for c in READS if c in batch}
+
+
 def grid_errors(rows: DataFrame, keys: Sequence[str], base: str, target: str, grids: Mapping[str, Sequence[Mapping[str, float]]] = GRIDS) -> DataFrame:
     """keys, name, setting (its place in the grid), mae, base_mae and n of base + correction for every setting of every adjuster.
 
-    Rows are read once: each setting's error is a sum of its own, so nothing is repeated or joined.
+    Rows are read once: a task adds up every setting's errors by key, in numpy, and only these sums are exchanged.
     """
     places = [(name, i, s) for name, grid in grids.items() for i, s in enumerate(grid)]
-    out = rows
-    error = lambda name, s: F.abs(F.col(target) - F.col(base) - bounded(name, s))
-    sums = out.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.abs(F.col(target) - F.col(base))).alias("base_mae"), F.array(*(F.avg(error(name, s)) for name, _, s in places)).alias("maes"))
-    named = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(i).alias("setting"), F.get("maes", F.lit(j)).alias("mae")) for j, (name, i, _) in enumerate(places)))
-    return sums.select(*keys, "n", "base_mae", F.inline(named))
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    cols = [*keys, "__n", "__known", "__sums"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            x, left = read(batch), batch["__left"].to_numpy(float)
+            known = ~np.isnan(left)
+            errors = [np.abs(left), *(np.abs(left - corrections(name, s, x)) for name, _, s in places)]
+            groups = batch.groupby(list(keys), dropna=False, sort=False)
+            code, names = groups.ngroup().to_numpy(), list(groups.indices)
+            heads = batch[list(keys)].iloc[np.unique(code, return_index=True)[1]].itertuples(index=False, name=None)
+            each = np.stack([np.bincount(code[known], e[known], len(names)) for e in errors], axis=1)
+            for name, n, k, e in zip(heads, np.bincount(code), np.bincount(code[known], minlength=len(names)), each, strict=True):
+                sums = held.setdefault(name, [0, 0, 0.0])
+                sums[0], sums[1], sums[2] = sums[0] + int(n), sums[1] + int(k), sums[2] + e
+        yield pd.DataFrame([(*k, n, m, s.tolist()) for k, (n, m, s) in held.items()], columns=cols)
+
+    double = [F.col(c).cast("double").alias(c) for c in READS if c != base and c in rows.columns]
+    read_rows = rows.select(*keys, *double, F.col(base).cast("double").alias("base"), (F.col(target) - F.col(base)).cast("double").alias("__left"))
+    parts = read_rows.mapInPandas(run, f"{kinds}, __n long, __known long, __sums array<double>")
+    each = parts.select(*keys, "__n", "__known", F.posexplode("__sums").alias("__place", "__e"))
+    sums = each.groupBy(*keys, "__place").agg(F.sum("__n").alias("n"), F.try_divide(F.sum("__e"), F.sum("__known")).alias("mae"))
+    bases = sums.filter("__place = 0").select(*keys, F.col("mae").alias("base_mae"))
+    named = rows.sparkSession.createDataFrame([(j, name, i) for j, (name, i, _) in enumerate(places, 1)], "__place int, name string, setting int")  # a row a setting
+    done = sums.join(F.broadcast(named), "__place").join(bases, list(keys))
+    return done.select(*keys, "n", "base_mae", "name", "setting", "mae")
+
+
+def mean_correction(rows: DataFrame, chosen: str, name: str, grids: Mapping[str, Sequence[Mapping[str, float]]] = GRIDS, bound: float = BOUND) -> DataFrame:
+    """rows with the bounded mean of the corrections that each row's array of (name, setting) chooses; 0 where it is null or empty. Only chosen corrections are made."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            total, n = np.zeros(len(batch)), np.zeros(len(batch))
+            marks = batch["__chosen"].fillna("")
+            for mark in marks.unique():
+                at = np.flatnonzero((marks == mark).to_numpy())
+                x = read(batch, at)
+                for one in filter(None, mark.split(",")):
+                    which, setting = one.rsplit(":", 1)
+                    total[at] += corrections(which, grids[which][int(setting)], x, bound)
+                    n[at] += 1
+            batch[name] = np.clip(np.divide(total, n, out=np.zeros(len(batch)), where=n > 0), -bound, bound)
+            yield batch.drop(columns="__chosen")
+
+    mark = F.array_join(F.transform(chosen, lambda e: F.concat_ws(":", e["name"], e["setting"].cast("string"))), ",")
+    spread = rows.withColumn("__chosen", mark).drop(chosen)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spread.schema if f.name != "__chosen")
+    return spread.mapInPandas(run, f"{kinds}, `{name}` double")
 
 
 def blended(rows: DataFrame, keys: Sequence[str], period: str, a: str, b: str, target: str, weights: Sequence[float]) -> DataFrame:

@@ -37,8 +37,17 @@ def registered(queries: dict[str, Query], oracles: dict[str, str]):
     return of
 
 
+#: Orders of a task of the exchange by entity: what a task holds doesn't grow with the tables.
+TASK_ROWS = 250_000
+
+
+def parts_of(spark: SparkSession, n: int, least: int = 20_000) -> int:
+    """Partitions for n rows: TASK_ROWS a partition at most, and as many as there are cores if these get `least` rows each."""
+    return max(1, -(-n // TASK_ROWS), min(spark.sparkContext.defaultParallelism, -(-n // least)))
+
+
 def stats(spark: SparkSession, d: str) -> DataFrame:
-    """Stat rows: one an order with lines."""
+    """Stat rows: one an order with lines, dealt by entity, so that panels and lags need no further exchange."""
     lines = scan(spark, d, "lineitem").groupBy("l_orderkey").agg(
         F.sum(F.col("l_quantity").cast("long")).alias("qty"),
         F.sum(F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long")).alias("price"),
@@ -50,7 +59,8 @@ def stats(spark: SparkSession, d: str) -> DataFrame:
         F.col("o_orderstatus").alias("status"), F.substring("o_orderpriority", 1, 1).cast("int").alias("prio"), F.to_date("o_orderdate").alias("day"),
     )
     customers = scan(spark, d, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("grp"))
-    return orders.join(lines, orders.occ == lines.l_orderkey).drop("l_orderkey").join(customers, "entity")
+    dealt = orders.join(lines, orders.occ == lines.l_orderkey).drop("l_orderkey").repartition(parts_of(spark, orders.count()), "entity")
+    return dealt.join(customers, "entity")
 
 
 STATS = """
@@ -79,17 +89,17 @@ PANEL = f"""{STATS}, panel AS (
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
-    """Three predictions of each target: a (last period), b (mean of three), m (mean of the segment before)."""
+    """Three predictions of each target: a (last period), b (mean of three), m (mean of the segment before). The panel is made once and written."""
     from ..operators.folds import mean_baseline
 
-    p = panel(spark, d)
-    rows = p.select(
+    rows = panel(spark, d).select(
         "entity", "period", "segment", "grp", "n_occ", F.col("target").alias("actual"),
         P.exact_lag("target", "entity", "period", 1).alias("a"),
         P.recent_mean("target", "entity", "period", 3).alias("b"),
         P.prior_count("entity", "period").alias("n_prior"),
     )
-    m = mean_baseline(p, "period", "segment", "target").withColumnRenamed("baseline", "m")
+    rows = held(rows, "lagged")
+    m = mean_baseline(rows, "period", "segment", "actual").withColumnRenamed("baseline", "m")
     return rows.join(m, ["segment", "period"]).filter("a is not null")
 
 

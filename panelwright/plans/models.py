@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clip
 from ..operators import calibrate, folds, linear, logistic, mixtures, trees
 from ..operators import panel as P
 from .base import PANEL, PREDICTIONS, Query, held, panel, predictions, registered
@@ -27,8 +26,12 @@ NESTED = f"""{RIDGE}, past AS (SELECT i.segment, i.fold, alpha, avg(mae) AS inne
 best AS (SELECT segment, fold, alpha, inner_mae FROM (SELECT *, row_number() OVER (PARTITION BY segment, fold ORDER BY round(inner_mae, 9), alpha DESC) AS rn FROM past) WHERE rn = 1)"""
 
 
+def folds_of(rows):
+    return folds.expanding_folds(rows, "period", "segment", 50)
+
+
 def fold_table(spark, d):
-    return folds.expanding_folds(predictions(spark, d), "period", "segment", 50)
+    return folds_of(predictions(spark, d))
 
 
 def expanded(spark, d):
@@ -121,7 +124,7 @@ def m6_ridge_one_feature(spark, d):
 def m8_nested_ridge(spark, d):
     """Per fold the penalty that did best on the last inner folds (three to five), refitted on all that lies before the fold."""
     rows, sums = sums_of(spark, d, ["a"])
-    inner = folds.inner_periods(fold_table(spark, d), "segment")
+    inner = folds.inner_periods(folds_of(rows), "segment")
     fits = linear.fits(sums, KEYS, {"last": [0]}).filter("method = 'ridge'")
     best = linear.nested(rows, sums, fits, ["segment"], "period", ["a"], "actual", inner)
     return best.select(*KEYS, "alpha", F.round("inner_mae", 5).alias("inner_mae"), F.round("mae", 5).alias("mae"), "n")
@@ -130,7 +133,7 @@ def m8_nested_ridge(spark, d):
 def nested_choice(spark, d, choose):
     rows, sums = sums_of(spark, d)
     fits = linear.fits(sums, KEYS, SPECS, linear.RIDGE, linear.NET_ALPHA, linear.NET_L1)
-    return linear.nested(rows, sums, fits, ["segment"], "period", FEATURES, "actual", folds.inner_periods(fold_table(spark, d), "segment"), choose)
+    return linear.nested(rows, sums, fits, ["segment"], "period", FEATURES, "actual", folds.inner_periods(folds_of(rows), "segment"), choose)
 
 
 @query()
@@ -225,12 +228,16 @@ def m19_residual_ridge(spark, d):
     done = linear.scored(rows, fits, ["segment"], "period", ["a"])
     errors = F.array(*(F.struct(F.lit(x).alias("shrinkage"), F.avg(F.abs(F.col("residual") - x * F.col("predicted"))).alias("mae")) for x in calibrate.SHRINKAGE))
     by_setting = done.groupBy(*KEYS, "alpha").agg(F.count("*").alias("n"), errors.alias("errors")).select(*KEYS, "alpha", "n", F.inline("errors"))
-    best = folds.chosen_inside(by_setting, folds.inner_periods(fold_table(spark, d), "segment"), ["segment"], ["alpha", "shrinkage"], [F.col("shrinkage"), F.desc("alpha")])
+    best = folds.chosen_inside(by_setting, folds.inner_periods(folds_of(rows), "segment"), ["segment"], ["alpha", "shrinkage"], [F.col("shrinkage"), F.desc("alpha")])
     return best.select(*KEYS, "alpha", "shrinkage", F.round("inner_mae", 5).alias("inner_mae"), F.round("mae", 5).alias("mae"), "n")
 
 
 def adjusted_rows(spark, d):
-    """Rows of each fold's own period with what the adjusters read, in thousands, and the fold's training means and deviations."""
+    return adjusted(spark, d)[0]
+
+
+def adjusted(spark, d):
+    """Rows of each fold's own period with what the adjusters read, in thousands, and the fold's training means and deviations; and the folds."""
     p = predictions(spark, d).select(
         "segment", "entity", "period", (F.col("actual") / 1000).alias("actual"), (F.col("b") / 1000).alias("base"),
         F.col("n_prior").cast("double").alias("count"), (F.col("n_prior") * 2.0).alias("burden"), (F.col("a") / (F.col("a") + F.col("m"))).alias("share"),
@@ -239,7 +246,7 @@ def adjusted_rows(spark, d):
     stats = linear.statistics(linear.fold_sums(rows, ["segment"], "period", ["count", "share"], "actual"), KEYS, ["count", "share"])
     of = lambda x, c: F.max(F.when(F.col("feature") == x, F.col(c))).alias(f"{x}_{c}")
     wide = stats.groupBy(*KEYS).agg(*(of(x, c) for x in ("count", "share") for c in ("mean", "std")))
-    return held(rows.withColumn("fold", F.col("period")).join(wide, KEYS), "adjusted")
+    return held(rows.withColumn("fold", F.col("period")).join(wide, KEYS), "adjusted"), folds_of(rows)
 
 
 def adjustment(name, p):
@@ -281,9 +288,9 @@ def m21_components(spark, d):
 def components(spark, d):
     from ..operators import panel as P
 
-    rows = adjusted_rows(spark, d)
+    rows, outer = adjusted(spark, d)
     errors = held(calibrate.grid_errors(rows, KEYS, "base", "actual"), "grid")
-    inner = folds.inner_periods(fold_table(spark, d), "segment")
+    inner = folds.inner_periods(outer, "segment")
     past = inner.join(errors.withColumnRenamed("fold", "inner_fold"), ["segment", "inner_fold"]).groupBy(*KEYS, "name", "setting").agg(F.avg("mae").alias("inner_mae"), F.avg("base_mae").alias("inner_base"))
     best = P.first_row(past, [*KEYS, "name"], F.round("inner_mae", 9), "setting").withColumn("inner_gain", F.col("inner_base") - F.col("inner_mae")).filter("inner_gain >= 0.0005")
     return rows, P.top_rows(best, KEYS, 3, F.round("inner_mae", 9), "name").select(*KEYS, "name", "setting", "inner_mae", "inner_gain", "place")
@@ -297,13 +304,10 @@ def m23_corrected(spark, d):
     """Base prediction plus the bounded mean of the fold's chosen components, as it would be deployed."""
     rows, chosen = components(spark, d)
     wide = chosen.groupBy(*KEYS).agg(F.collect_list(F.struct("name", "setting")).alias("chosen"))  # three at most
-    every = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(i).alias("setting"), calibrate.bounded(name, s).alias("c")) for name, grid in calibrate.GRIDS.items() for i, s in enumerate(grid)))
-    mine = F.filter(every, lambda x: F.array_contains("chosen", F.struct(x["name"].alias("name"), x["setting"].alias("setting"))))
-    both = rows.join(wide, KEYS, "left").withColumn("mine", F.when(F.col("chosen").isNotNull(), mine))
-    mean = F.aggregate("mine", F.lit(0.0), lambda acc, x: acc + x["c"]) / F.size("mine")
-    done = both.withColumn("correction", F.coalesce(clip(mean, -calibrate.BOUND, calibrate.BOUND), F.lit(0.0)))
+    both = rows.join(wide, KEYS, "left").withColumn("n_chosen", F.coalesce(F.size("chosen"), F.lit(0)))
+    done = calibrate.mean_correction(both, "chosen", "correction")
     return done.groupBy(*KEYS).agg(
-        F.count("*").alias("n"), F.max(F.coalesce(F.size("chosen"), F.lit(0))).alias("n_components"),
+        F.count("*").alias("n"), F.max("n_chosen").alias("n_components"),
         F.round(F.avg(F.abs(F.col("actual") - F.col("base"))), 6).alias("base_mae"), F.round(F.avg(F.abs(F.col("actual") - F.col("base") - F.col("correction"))), 6).alias("mae"),
     )
 
@@ -329,7 +333,7 @@ def m29_batch_scoring(spark, d):
 
     assert_inputs(["a"], ["actual", "entity", "n_occ"])
     rows, sums = sums_of(spark, d, ["a"])
-    inner = folds.inner_periods(fold_table(spark, d), "segment")
+    inner = folds.inner_periods(folds_of(rows), "segment")
     recent = linear.nested(rows, sums, linear.fits(sums, KEYS, {"last": [0]}).filter("method = 'ridge'"), ["segment"], "period", ["a"], "actual", inner)
     modal = folds.modal_recent(recent.select("segment", "fold", "alpha"), ["segment"], "fold", ["alpha"]).select("segment", "alpha")
     final = linear.fits(linear.all_sums(rows, ["segment"], "period", ["a"], "actual"), ["segment"], {"last": [0]}).filter("method = 'ridge'").join(modal, ["segment", "alpha"])
