@@ -95,19 +95,50 @@ def block_bootstrap(per: DataFrame, by: Sequence[str], period: str, total: str,
 
 
 #: Rows of a task that meet all replicates at a time, and groups whose sums it holds.
-BOOT_ROWS, BOOT_GROUPS = 256, 256
+BOOT_ROWS, BOOT_GROUPS = 16, 256
 #: The field of the draws, and the places where a Poisson(1) count goes up.
 FIELD = 2**31 - 1
 POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8))
 
 
+def least_above(cut: float) -> int:
+    """The smallest x of the field with (x + 0.5) / FIELD above the cut."""
+    x = max(0, int(cut * FIELD) - 4)
+    while (x + 0.5) / FIELD <= cut:
+        x += 1
+    return x
+
+
+#: POISSON in places of the field.
+STEPS = tuple(least_above(c) for c in POISSON)
+
+
+def reduced(x: np.ndarray, work: np.ndarray) -> None:
+    """x, from 0 to 2^63 - 1, to something below 2^32 that is the same in the field of 2^31 - 1: its low 31 bits plus the rest, as 2^31 is 1 there."""
+    np.right_shift(x, 31, out=work)
+    np.bitwise_and(x, FIELD, out=x)
+    np.add(x, work, out=x)
+
+
 def poisson_draws(keys: np.ndarray, replicates: int, seed: int) -> np.ndarray:
     """How often each row (a key from 0 to FIELD - 1) is in each replicate: hashes of key, replicate and seed in 64-bit integers, which any engine can repeat."""
-    r = np.arange(1, replicates + 1, dtype=np.int64)
-    x = (keys[:, None] * (r * 48271 % FIELD) + r * 16807 + seed) % FIELD
-    x = (x * x + r) % FIELD
-    x = (x * x + keys[:, None]) % FIELD
-    return np.searchsorted(POISSON, (x + 0.5) / FIELD)
+    r, k = np.arange(1, replicates + 1, dtype=np.int64), keys[:, None]
+    x = k * (r * 48271 % FIELD)
+    x += r * 16807 + seed
+    work = np.empty_like(x)
+    reduced(x, work)
+    reduced(x, work)  # at most FIELD + 2 from here on, so that a square fits
+    for more in (r, k):
+        np.multiply(x, x, out=x)
+        np.add(x, more, out=x)
+        reduced(x, work)
+        reduced(x, work)
+    x = x.astype(np.uint32)
+    np.minimum(x, x - np.uint32(FIELD), out=x)  # wraps round below FIELD, so the lesser one is the rest
+    out = np.zeros(x.shape, np.int8)
+    for step in STEPS:
+        out += x >= np.uint32(step) if step < FIELD else False
+    return out
 
 
 def row_bootstrap(rows: DataFrame, by: Sequence[str], key: str, value: str, replicates: int = 5000, seed: int = 446) -> DataFrame:
@@ -127,7 +158,8 @@ def row_bootstrap(rows: DataFrame, by: Sequence[str], key: str, value: str, repl
                 keys, values = part[key].to_numpy(np.int64), part[value].to_numpy(float)
                 for at in range(0, len(part), BOOT_ROWS):
                     w = poisson_draws(keys[at : at + BOOT_ROWS], replicates, seed).astype(float)
-                    sums[0], sums[1], sums[2] = sums[0] + len(w), sums[1] + w.sum(axis=0), sums[2] + values[at : at + BOOT_ROWS] @ w
+                    both = np.stack([np.ones(len(w)), values[at : at + BOOT_ROWS]]) @ w
+                    sums[0], sums[1], sums[2] = sums[0] + len(w), sums[1] + both[0], sums[2] + both[1]
             if len(held) > BOOT_GROUPS:
                 yield pd.DataFrame([(*k, *v) for k, v in held.items()], columns=cols)
                 held = {}
