@@ -7,6 +7,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelwright.llm import bpe, exact_dedup, fingerprint, language_id, mixing, secret_scan, toxicity, warc_segments
@@ -206,3 +207,27 @@ def test_mixing(docs, none, spark):
     assert sorted(map(str, mixing.mix(docs.repartition(2)).drop("row").collect())) == sorted(map(str, mixing.mix(docs).drop("row").collect()))
     assert mixing.mix(none).count() == 0
     assert mixing.mixed_documents(docs).columns == docs.columns
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """More rows than a bound of 3,000 would draw: what each bucket stands in is counted over all of them, and shards agree with a single one."""
+    from panelwright.llm.common import held_out
+
+    n = 6000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words of"), F.concat(F.lit("only"), F.col("id")), F.when(F.col("id") % 5 == 0, "vileword here")).alias("text"), F.lit("en").alias("lang"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 5 == 0).cast("int").alias("toxic"))
+    seen = {}
+    counted = toxicity.counted
+    toxicity.counted = lambda train, s: seen.setdefault("got", (train.count(), counted(train, s)))[1]
+    try:
+        model = toxicity.learn(docs, labels, settings=toxicity.Settings(shard_rows=1000, epochs=1))
+    finally:
+        toxicity.counted = counted
+    rows, (stands, toxic) = seen["got"]
+    of = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) != 3
+    train = docs.join(labels, "doc_id").filter(~held_out(F.col("doc_id")) & of)
+    both, _ = toxicity.buckets_of(["vileword"], 16)
+    assert rows == train.count() > 3000
+    assert stands[0, both[0, 0]] >= toxic[0, both[0, 0]] >= train.filter("toxic = 1").count() > 600
+    got = {r["id"]: r["score"] >= toxicity.CUT for r in toxicity.score(docs, model).collect()}
+    assert sum(got[i] == (i % 5 == 0) for i in range(n)) > 0.98 * n
