@@ -42,8 +42,8 @@ def pool_faults(focal: DataFrame, listed: DataFrame, keys: Sequence[str], by: Se
     """By `by`: focal rows, listed competitors, those that are the focal entity (the last key) itself, of a wrong type, repeated; lists whose ranks are not 1 to n; focal rows without a list."""
     n = F.count("*")
     lists = listed.groupBy(*keys).agg(
-        n.alias("__n"), F.count_if(F.col(competitor) == F.col(keys[-1])).alias("__self"), F.count_if(wrong).alias("__wrong"), (n - F.count_distinct(competitor)).alias("__repeated"),
-        ((F.min(place) != 1) | (F.max(place) != n) | (F.count_distinct(place) != n)).alias("__bad"),
+        n.alias("__n"), F.count_if(F.col(competitor) == F.col(keys[-1])).alias("__self"), F.count_if(wrong).alias("__wrong"), (n - F.size(F.collect_set(competitor))).alias("__repeated"),
+        ((F.min(place) != 1) | (F.max(place) != n) | (F.size(F.collect_set(place)) != n)).alias("__bad"),
     )
     total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
     return focal.join(lists, list(keys), "left").groupBy(*by).agg(

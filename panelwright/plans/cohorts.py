@@ -11,7 +11,7 @@ from ..operators import asof, contracts, evaluate, peers, places
 from ..operators import panel as P
 from ..operators.medians import with_medians
 from ..operators.places import Rank
-from .base import PANEL, PREDICTIONS, STATS, Query, held, panel, predictions, registered, scan, stats
+from .base import PANEL, PREDICTIONS, STATS, Query, held, panel, parts_of, predictions, registered, scan, stats
 from .panels import LAG
 
 QUERIES: dict[str, Query] = {}
@@ -245,8 +245,10 @@ def q6_pool_faults(spark, d):
     """Q6: lists of up to four competitors with themselves in it, of another segment, repeated, with gaps in their ranks, or without anyone."""
     p = held(panel(spark, d).select("entity", "period", "segment", "grp", "qty"), "panel")
     top = P.top_rows(p, ["grp", "period"], 4, F.desc("qty"), "entity").select("grp", "period", F.col("entity").alias("competitor"), F.col("segment").alias("competitor_segment"), "place")
-    both = held(p.filter("entity % 29 > 0").join(top, ["grp", "period"]), "lists")  # four rows a focal entity at most
-    listed = both.filter("not (entity % 5 = 0 and entity = competitor)").unionByName(both.filter("entity % 23 = 0 and place = 1"))
+    focal = p.filter("entity % 29 > 0").repartition(parts_of(spark, 4 * p.count()), "entity")
+    both = focal.join(F.broadcast(top), ["grp", "period"])  # top has four rows a group and period
+    copies = F.expr("int(not (entity % 5 = 0 and entity = competitor)) + int(entity % 23 = 0 and place = 1)")
+    listed = both.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).drop("__copy")
     return peers.pool_faults(p, listed, ["segment", "period", "entity"], ["segment", "period"], "competitor", "place", F.col("competitor_segment") != F.col("segment"))
 
 
