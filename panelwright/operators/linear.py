@@ -142,6 +142,45 @@ def scored(rows: DataFrame, coefficients: DataFrame, by: Sequence[str], period:
     return rows.withColumn("fold", F.col(period)).join(coefficients, [*by, "fold"]).withColumn("predicted", predicted(features))
 
 
+def errors(rows: DataFrame, coefficients: DataFrame, by: Sequence[str], period: str, features: Sequence[str], target: str) -> DataFrame:
+    """by, fold, setting, n_inputs, mae and n over the rows of each fold's own period, of all its coefficient rows.
+
+    Tasks have the coefficients, a row a fold and setting, and add up every setting's errors of
+    their rows; no row is repeated for its settings.
+    """
+    keys, k, kinds = [*by, "fold"], len(features), key_kinds(rows, by)
+    found = coefficients.select(*keys, *SETTING, "n_inputs", "intercept", "coef", "med").toPandas()  # a row a fold and setting
+    fits_of = {key: (t["intercept"].to_numpy(float), np.stack(t["coef"]).astype(float), np.array(t["med"].iloc[0], dtype=float)) for key, t in found.groupby(keys, dropna=False, sort=False)}
+    found["place"] = found.groupby(keys, dropna=False, sort=False).cumcount()
+    names = rows.sparkSession.createDataFrame(found[[*keys, "place", *SETTING, "n_inputs"]], f"{kinds}, fold {rows.schema[period].dataType.simpleString()}, place int, spec string, method string, alpha double, l1 double, n_inputs int")
+
+    def run(batches):
+        sums: dict[tuple, list] = {}
+        for batch in batches:
+            for key, part in batch.groupby([*by, "fold"], dropna=False, sort=False):
+                if key not in fits_of:
+                    continue
+                intercept, coef, med = fits_of[key]
+                lacks = part["__lacks"].to_numpy()
+                x, y = part[list(features)].to_numpy(float), part["__y"].to_numpy(float)
+                for i in range(k):
+                    x[(lacks >> i) & 1 == 1, i] = med[i]
+                known = (lacks >> k) & 1 == 0
+                mine = sums.setdefault(key, [0, 0, np.zeros(len(intercept))])
+                mine[0], mine[1] = mine[0] + len(part), mine[1] + int(known.sum())
+                for at in range(0, len(part), 4096):
+                    few = slice(at, at + 4096)
+                    said = intercept + sum(x[few, i, None] * coef[:, i] for i in range(k))
+                    mine[2] += np.abs(said - y[few, None])[known[few]].sum(axis=0)
+        yield pd.DataFrame([(*key, n, m, e.tolist()) for key, (n, m, e) in sums.items()], columns=[*keys, "__n", "__known", "__e"])
+
+    lacking = reduce(add, (F.isnull(x).cast("int") * (1 << i) for i, x in enumerate([*features, target])))
+    read = rows.select(*by, F.col(period).alias("fold"), *(F.col(x).cast("double").alias(x) for x in features), F.col(target).cast("double").alias("__y"), lacking.alias("__lacks"))
+    parts = read.mapInPandas(run, f"{kinds}, fold {rows.schema[period].dataType.simpleString()}, __n long, __known long, __e array<double>")
+    each = parts.select(*keys, "__n", "__known", F.posexplode("__e").alias("place", "__e")).groupBy(*keys, "place").agg(F.try_divide(F.sum("__e"), F.sum("__known")).alias("mae"), F.sum("__n").alias("n"))
+    return each.join(names, [*keys, "place"]).select(*keys, *SETTING, "n_inputs", "mae", "n")
+
+
 def original_units(coefficients: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
     """feature, coefficient and intercept by key and setting."""
     named = F.array(*(F.struct(F.lit(x).alias("feature"), F.get("coef", F.lit(i)).alias("coefficient")) for i, x in enumerate(features)))
@@ -190,25 +229,35 @@ def correlations(sums: DataFrame, keys: Sequence[str], features: Sequence[str])
     return sums.mapInPandas(run, f"{key_kinds(sums, keys)}, feature_a string, feature_b string, r double")
 
 
-def nested(rows: DataFrame, sums: DataFrame, coefficients: DataFrame, by: Sequence[str], period: str, features: Sequence[str], target: str, inner: DataFrame, choose: Sequence[str] = ("spec",)) -> DataFrame:
+def nested(rows: DataFrame, sums: DataFrame, coefficients: DataFrame, by: Sequence[str], period: str, features: Sequence[str], target: str, inner: DataFrame, choose: Sequence[str] = ("spec",), all_ranks: bool = True) -> DataFrame:
     """For every fold and value of choose the setting that did best on the fold's inner folds, and what it does on the fold itself.
 
     inner has by, fold and inner_fold, all before the fold: a fit of an inner fold knows
-    nothing later. The mean absolute error decides, then the mean rank correlation (made
-    for settings whose error is the same only), then fewer inputs and more shrinkage.
+    nothing later. The mean absolute error decides, then the mean rank correlation, then fewer
+    inputs and more shrinkage. Rank correlations are made for settings of the least error only;
+    without all_ranks, which a caller who doesn't read inner_spearman can do, only where several have it.
     """
     from .evaluate import tuned
     from .places import spearman
 
     keys = [*by, "fold"]
-    done = scored(rows, coefficients, by, period, features)
-    mae = done.groupBy(*keys, *SETTING, "n_inputs").agg(F.avg(F.abs(F.col("predicted") - F.col(target))).alias("mae"), F.count("*").alias("n"))
+    from ..sources.scratch import held
+
+    coefficients = held(coefficients, "coefficients")
+    mae = held(errors(rows, coefficients, by, period, features, target), "errors")
     past = inner.join(mae.withColumnRenamed("fold", "inner_fold"), [*by, "inner_fold"]).groupBy(*keys, *SETTING, "n_inputs").agg(F.avg("mae").alias("mae"))
     least = F.min("mae").over(Window.partitionBy(*keys, *choose))
     even = past.withColumn("__least", least).filter(F.col("mae") <= F.col("__least") + 1e-12).drop("__least")
-    among = inner.join(even.select(*keys, *SETTING), keys).select(*by, F.col("inner_fold").alias("fold"), *SETTING).distinct()
-    ranks = spearman(scored(rows, coefficients.join(among, [*keys, *SETTING], "left_semi"), by, period, features), [*keys, *SETTING], "predicted", target)
-    ranks = inner.join(ranks.select(*by, F.col("fold").alias("inner_fold"), *SETTING, "spearman"), [*by, "inner_fold"]).groupBy(*keys, *SETTING).agg(F.avg("spearman").alias("spearman"))
-    best = tuned(even.join(ranks, [*keys, *SETTING], "left"), [*keys, *choose], [F.col("n_inputs"), F.desc("alpha"), F.desc("l1"), F.col("method"), F.col("spec")])
+    if not all_ranks:
+        several = even.withColumn("__k", F.count("*").over(Window.partitionBy(*keys, *choose))).filter("__k > 1").drop("__k")
+    tied = even if all_ranks else several
+    among = inner.join(tied.select(*keys, *SETTING), keys).select(*by, F.col("inner_fold").alias("fold"), *SETTING).distinct()
+    if not all_ranks and tied.isEmpty():
+        ranked = even.withColumn("spearman", F.lit(None).cast("double"))
+    else:
+        ranks = spearman(scored(rows, coefficients.join(among, [*keys, *SETTING], "left_semi"), by, period, features), [*keys, *SETTING], "predicted", target)
+        ranks = inner.join(ranks.select(*by, F.col("fold").alias("inner_fold"), *SETTING, "spearman"), [*by, "inner_fold"]).groupBy(*keys, *SETTING).agg(F.avg("spearman").alias("spearman"))
+        ranked = even.join(ranks, [*keys, *SETTING], "left")
+    best = tuned(ranked, [*keys, *choose], [F.col("n_inputs"), F.desc("alpha"), F.desc("l1"), F.col("method"), F.col("spec")])
     best = best.select(*keys, *SETTING, F.col("mae").alias("inner_mae"), F.col("spearman").alias("inner_spearman"))
     return best.join(mae.drop("n_inputs"), [*keys, *SETTING])

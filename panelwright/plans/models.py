@@ -104,8 +104,8 @@ def m5_ols_one_feature(spark, d):
 def scores(spark, d):
     """Errors on each fold's own period of every specification and setting."""
     rows, sums = sums_of(spark, d)
-    done = linear.scored(rows, linear.fits(sums, KEYS, SPECS, linear.RIDGE, linear.NET_ALPHA, linear.NET_L1), ["segment"], "period", FEATURES)
-    return done.groupBy(*KEYS, *linear.SETTING).agg(F.avg(F.abs(F.col("predicted") - F.col("actual"))).alias("mae"), F.count("*").alias("n"))
+    fits = linear.fits(sums, KEYS, SPECS, linear.RIDGE, linear.NET_ALPHA, linear.NET_L1)
+    return linear.errors(rows, fits, ["segment"], "period", FEATURES, "actual").drop("n_inputs")
 
 
 @query()
@@ -126,7 +126,7 @@ def m8_nested_ridge(spark, d):
     rows, sums = sums_of(spark, d, ["a"])
     inner = folds.inner_periods(folds_of(rows), "segment")
     fits = linear.fits(sums, KEYS, {"last": [0]}).filter("method = 'ridge'")
-    best = linear.nested(rows, sums, fits, ["segment"], "period", ["a"], "actual", inner)
+    best = linear.nested(rows, sums, fits, ["segment"], "period", ["a"], "actual", inner, all_ranks=False)
     return best.select(*KEYS, "alpha", F.round("inner_mae", 5).alias("inner_mae"), F.round("mae", 5).alias("mae"), "n")
 
 
@@ -334,7 +334,7 @@ def m29_batch_scoring(spark, d):
     assert_inputs(["a"], ["actual", "entity", "n_occ"])
     rows, sums = sums_of(spark, d, ["a"])
     inner = folds.inner_periods(folds_of(rows), "segment")
-    recent = linear.nested(rows, sums, linear.fits(sums, KEYS, {"last": [0]}).filter("method = 'ridge'"), ["segment"], "period", ["a"], "actual", inner)
+    recent = linear.nested(rows, sums, linear.fits(sums, KEYS, {"last": [0]}).filter("method = 'ridge'"), ["segment"], "period", ["a"], "actual", inner, all_ranks=False)
     modal = folds.modal_recent(recent.select("segment", "fold", "alpha"), ["segment"], "fold", ["alpha"]).select("segment", "alpha")
     final = linear.fits(linear.all_sums(rows, ["segment"], "period", ["a"], "actual"), ["segment"], {"last": [0]}).filter("method = 'ridge'").join(modal, ["segment", "alpha"])
     newest = rows.agg(F.max("period").alias("newest"))
