@@ -7,7 +7,7 @@ which tells a text full of such windows from a long one with a stray match. Both
 rectified into one logistic unit. The gradient of a maximum reaches one window only, so
 training touches few rows. Embeddings start from how much more often a bucket stands in
 toxic texts.
-Labelled rows are encoded once and dealt to shards. Every epoch each shard trains from the
+Texts meet their labels in one exchange by shard, where labelled ones are encoded. Every epoch each shard trains from the
 same parameters, a task streaming its rows, and the shards' changes are averaged by Spark:
 a bucket's over the shards that touched it. The driver only holds the parameters.
 Scores are shifted so that the best cut of rows left out of training lies at 0.3; each
@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, text_of, written
@@ -231,9 +231,14 @@ def step(state: State, both: np.ndarray, counts: np.ndarray, y: np.ndarray, s: S
         p += v
 
 
-def start(seen: np.ndarray, toxic: np.ndarray, rate: float, s: Settings) -> State:
-    """Embeddings and filters before training, from the rows of each bucket and the toxic ones among them, (2, buckets)."""
+def start(seen: np.ndarray, toxic: np.ndarray, rate: float, n: int, s: Settings) -> State:
+    """Embeddings and filters before training, from the rows of each bucket and the toxic ones among them, (2, buckets).
+
+    The counts are scaled down to one shard's before. Deviations of all rows would grow with the root of their
+    number until any common word stands out, and the first steps would then push every filter below 0 for good.
+    """
     rng, size = np.random.default_rng(s.seed), 1 << s.bucket_bits
+    seen, toxic = (x * min(1.0, s.shard_rows / max(n, 1)) for x in (seen, toxic))
     signal = (toxic - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 4)
     emb = rng.normal(0, 0.05, (2, size, s.dims))
     emb[:, :, 0] = np.clip(signal, -8, 8) / 8
@@ -357,7 +362,8 @@ def scaled(model: Model, z: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", settings: Settings = Settings()) -> Model:
     """A model of label_col from all labelled rows that aren't held out: three quarters of their ids train, the rest calibrate.
 
-    Of several labels of an id the largest counts. Rows are encoded once and written by shard.
+    Of several labels of an id the largest counts. Labels and texts that aren't held out are dealt to shards
+    together, a task a shard, so that no text is exchanged twice; labelled rows are encoded there and written.
     """
     s = settings
     named = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("double").alias("label"))
@@ -365,7 +371,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         share = min(1.0, s.training_rows / max(named.count(), 1))
         named = named.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     draw = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    texts = docs.filter(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -374,14 +380,16 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     n = named.count()
     shards = max(1, min(s.max_shards, n // s.shard_rows), -(-n // s.most_rows))
-    rows = texts.join(named, "id").select("label", "lang", "text", draw(4, 1).alias("part"), draw(shards, 2).alias("shard"), F.xxhash64("id", F.lit(3)).alias("place"))
-    coded = rows.mapInPandas(encode, "label double, lang string, part int, shard int, place long, words binary")
-    coded = written(coded.repartition(shards, "shard").sortWithinPartitions("shard", "place", "words", "label"), "toxic-rows")
+    both = texts.unionByName(named, allowMissingColumns=True).select("*", draw(4, 1).alias("part"), draw(shards, 2).alias("shard"), F.xxhash64("id", F.lit(3)).alias("place"))
+    of_id = Window.partitionBy("shard", "place", "id")
+    rows = both.repartitionById(shards, F.col("shard")).withColumn("label", F.max("label").over(of_id)).filter("label is not null and text is not null")
+    coded = rows.select("label", "lang", "text", "part", "shard", "place").mapInPandas(encode, "label double, lang string, part int, shard int, place long, words binary")
+    coded = written(coded.sortWithinPartitions("shard", "place", "words", "label"), "toxic-rows")
     train, rest = coded.filter("part <> 3").select("shard", "label", "words"), coded.filter("part = 3").select("lang", "label", "words")
     sizes = coded.agg(F.count("*").alias("n"), F.sum("label").alias("hits"), F.count_if(F.col("part") != 3).alias("train"), F.sum(F.when(F.col("part") != 3, F.col("label"))).alias("train_hits")).first()
     if not sizes["train"] or not 0 < sizes["hits"] < sizes["n"]:
         return Model(s, [[(np.zeros((1 << s.bucket_bits, s.filters), np.float32),) * 2] * w for w in s.widths], [np.zeros(s.filters, np.float32)] * len(s.widths), np.zeros(2 * len(s.widths) * s.filters + 1, np.float32), middle=2.0)
-    state = start(*counted(train, s), min(max(sizes["train_hits"] / sizes["train"], 1e-3), 1 - 1e-3), s)
+    state = start(*counted(train, s), min(max(sizes["train_hits"] / sizes["train"], 1e-3), 1 - 1e-3), sizes["train"], s)
     for i in range(s.epochs):
         state = epoch(train, state, s, s.rate / (1 + i))
     filt, bias = state.dense[: len(s.widths)], state.dense[len(s.widths) : -1]

@@ -229,3 +229,31 @@ def test_texts_as_ids(spark):
     pages = df.select(df.doc_id.alias("page_id"), df.doc_id.alias("url"), df.text.alias("html"))
     back = warc_segments.read_archives(spark, warc_segments.write_archives(pages), id_type="string").collect()
     assert {r["page_id"] for r in back} == {None, "a", "b", "c"}
+
+
+def test_toxicity_starts_from_counts_of_many_rows():
+    """With thousands of rows small deviations of common words are significant; a start from them must not drown the words that tell and kill every filter."""
+    import random
+
+    import numpy as np
+
+    rng, s = random.Random(5), toxicity.Settings(shard_rows=1000)
+    size, rows = 1 << s.bucket_bits, []
+    for i in range(12_000):
+        toxic = i % 9 == 0
+        words = [f"w{min(rng.randrange(400), rng.randrange(400)) if toxic and rng.random() < 0.3 else rng.randrange(400)}" for _ in range(60)]
+        rows.append((toxicity.buckets_of([" ".join(words + ["zork", "blag"] * toxic)], s.bucket_bits)[0], float(toxic)))
+    seen, hits = np.zeros((2, size)), np.zeros((2, size))
+    for both, y in rows:
+        for h in (0, 1):
+            seen[h, np.unique(both[:, h])] += 1
+            hits[h, np.unique(both[:, h])] += y
+    state = toxicity.start(seen, hits, 1 / 9, len(rows), s)
+    of = lambda part: (np.concatenate([b for b, _ in part]), np.array([len(b) for b, _ in part]))
+    for i in range(0, 1000, s.batch):
+        toxicity.step(state, *of(rows[i : i + s.batch]), np.array([y for _, y in rows[i : i + s.batch]]), s, s.rate)
+    filt, bias, w = state.dense[: len(s.widths)], state.dense[len(s.widths) : -1], rows[-900:]
+    tables = [[tuple((e @ f[k]).astype(np.float32) for e in state.emb) for k in range(len(f))] for f in filt]
+    z = toxicity.features(toxicity.Model(s, tables, bias, state.dense[-1]), *of(w)) @ state.dense[-1][:-1]
+    y = np.array([y for _, y in w])
+    assert z[y == 1].min() > z[y == 0].max()
