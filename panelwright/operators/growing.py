@@ -70,13 +70,11 @@ class Tree:
         return ends
 
     def n_leaves(self, ends: np.ndarray) -> int:
-        seen, out = [0], 0
-        while seen:
-            i = seen.pop()
-            if ends[i]:
-                out += 1
-            else:
-                seen += [self.left[i], self.left[i] + 1]
+        at, out = np.zeros(1, np.int64), 0
+        while len(at):
+            out += int(ends[at].sum())
+            below = self.left[at[~ends[at]]]
+            at = np.concatenate([below, below + 1])
         return out
 
 
@@ -90,25 +88,25 @@ def gains(n: np.ndarray, s: np.ndarray, least_leaf: float, penalty: float = 0.0)
     return saved
 
 
-def level_wise(x: np.ndarray, n: np.ndarray, s: np.ndarray, bins: int, depth: int | None, least_leaf: float, picks: int, seed: int) -> Tree:
+def level_wise(x: np.ndarray, n: np.ndarray, s: np.ndarray, bins: int, depth: int | None, least_leaf: float, picks: int, seed: int, squares: float | None = None) -> Tree:
     """The greedy tree for squared error, a level at a time.
 
     Each node looks at `picks` of the features, by a hash of the seed and its path, and at
     the others only if none of those can be cut. Ties go to the first feature, then the first cut.
+    The least gain is a part of `squares`, by default of the points' s**2 / n.
     """
     k = x.shape[1]
+    flat = x + np.arange(k) * bins
     feature, cut, left, level = [np.array([-1])], [np.array([-1])], [np.array([-1])], [np.array([0])]
     weight, total = [np.array([n.sum()])], [np.array([s.sum()])]
     with np.errstate(over="ignore"):
         path = scrambled(np.array([seed], np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     order, at, first, size = np.arange(len(n)), np.zeros(len(n), np.int64), 0, 1
-    least = LEAST_GAIN * max(float(np.sum(s**2 / np.maximum(n, 1e-300))), 1e-300)
+    least = LEAST_GAIN * max(float(np.sum(s**2 / np.maximum(n, 1e-300))) if squares is None else squares, 1e-300)
     d = 0
     while size and (depth is None or d < depth):
-        most = np.empty((size, k, bins))
-        for f in range(k):
-            place = at * bins + x[order, f]
-            most[:, f] = gains(np.bincount(place, n[order], size * bins).reshape(size, bins), np.bincount(place, s[order], size * bins).reshape(size, bins), least_leaf)
+        place = (at[:, None] * (k * bins) + flat[order]).ravel()  # all features of a level at once
+        most = gains(*(np.bincount(place, np.repeat(v[order], k), size * k * bins).reshape(size, k, bins) for v in (n, s)), least_leaf)
         best_cut = most.argmax(axis=2)
         best = np.take_along_axis(most, best_cut[:, :, None], 2)[:, :, 0]
         if picks < k:

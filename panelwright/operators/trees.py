@@ -58,32 +58,42 @@ def drawn(seed: int, tree: int, rate: float, n: np.ndarray) -> np.ndarray:
 
 
 def fitted(kind: str, settings: Sequence[Mapping[str, object]], x: np.ndarray, n: np.ndarray, s: np.ndarray, others: np.ndarray, bins: int, seed: int, n_trees: int) -> list[tuple[np.ndarray, np.ndarray, int, int]]:
-    """For each of some settings of one structure: predictions for the points and the others, depth and leaves (of all trees; 0 for boosting)."""
+    """For each of some settings of one structure: predictions for the points and the others, depth and leaves (of all trees; 0 for boosting).
+
+    Trees for squared error need no more than sums by x, so points of one x, whatever their period and target, are added up
+    before a tree grows: its cost has the bound of the number of x, and only the draws of bags are made point by point.
+    """
     first = settings[0]
+    mean = s / n
+    if kind != "boosting":
+        _, heads, which = np.unique(x @ bins ** np.arange(x.shape[1]), return_index=True, return_inverse=True)
+        at = x[heads]
+        added = lambda v: np.bincount(which, v, len(at))
     picks = max(1, int(first.get("features", 1.0) * x.shape[1]))
     if kind == "tree":
-        tree = G.level_wise(x, n, s, bins, max(c["depth"] for c in settings), first["leaf"], picks, seed)
+        tree = G.level_wise(at, added(n), added(s), bins, max(c["depth"] for c in settings), first["leaf"], picks, seed, float(np.sum(mean * s)))
         out = []
         for c in settings:
             ends = tree.pruned(tree.leaves_at(c["depth"]), c["alpha"]) if c["alpha"] else tree.leaves_at(c["depth"])
-            mine = tree.reached(x, ends)
-            out.append((tree.value[mine], tree.value[tree.reached(others, ends)], int(tree.level[mine].max()), tree.n_leaves(ends)))
+            mine = tree.reached(at, ends)
+            out.append((tree.value[mine][which], tree.value[tree.reached(others, ends)], int(tree.level[mine].max()), tree.n_leaves(ends)))
         return out
     if kind == "forest":
-        total = [[np.zeros(len(x)), np.zeros(len(others)), 0, 0] for _ in settings]
+        total = [[np.zeros(len(at)), np.zeros(len(others)), 0, 0] for _ in settings]
         for t in range(n_trees):
             w = drawn(seed, t, first["rate"], n)
-            here = np.flatnonzero(w)
-            if not len(here):
-                here, w = np.arange(len(n)), n
-            tree = G.level_wise(x[here], w[here], s[here] / n[here] * w[here], bins, None if any(c["depth"] is None for c in settings) else max(c["depth"] for c in settings), first["leaf"], picks, seed + t)
+            if not w.any():
+                w = n
+            bag, sums_of_bag = added(w), added(mean * w)
+            here = np.flatnonzero(bag)
+            tree = G.level_wise(at[here], bag[here], sums_of_bag[here], bins, None if any(c["depth"] is None for c in settings) else max(c["depth"] for c in settings), first["leaf"], picks, seed + t, float(np.sum(mean * mean * w)))
             for c, sums in zip(settings, total, strict=True):
                 ends = tree.leaves_at(c["depth"])
-                mine = tree.reached(x, ends)
+                mine = tree.reached(at, ends)
                 sums[0] += tree.value[mine] / n_trees
                 sums[1] += tree.value[tree.reached(others, ends)] / n_trees
                 sums[2], sums[3] = max(sums[2], int(tree.level[mine].max())), sums[3] + tree.n_leaves(ends)
-        return [tuple(t) for t in total]
+        return [(t[0][which], *t[1:]) for t in total]
     stops = sorted({c["rounds"] for c in settings})
     done = dict(zip(stops, G.boosted(x, n, s, others, bins, first["step"], first["leaves"], first["leaf"], first["loss"], stops), strict=True))
     return [(*done[c["rounds"]], 0, 0) for c in settings]
@@ -101,7 +111,8 @@ def fits(sums: DataFrame, asked: DataFrame, by: str, period: str, k: int, kind:
     """by and FIT: for every fold and structure a row a cell x that is asked about (asked has by, fold, x), with each setting's prediction, and one with x null that describes the fits.
 
     With `chosen` (by, fold, setting) only those settings are fitted: the structure is then the setting's place in the grid.
-    A task holds the cells of one group, whose number has a bound.
+    A group's cells, whose number has a bound, are fitted by one task. Partitions are numbered, as AQE would join
+    many small groups in a task for their bytes, while their work is in the trees.
     """
     shared = structures(kind, grid) if chosen is None else [[i] for i in range(len(grid))]
     bins, shape = C.bins_of(k), f"`{by}` {sums.schema[by].dataType.simpleString()}"
@@ -131,6 +142,8 @@ def fits(sums: DataFrame, asked: DataFrame, by: str, period: str, k: int, kind:
         columns = [pa.array([key[0]] * len(rows), key[0].type), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))]
         return pa.table(columns, [by, *(c.split()[0] for c in FIT.split(", "))])
 
+    parts = 2 * len(shared) * asked.select(by).distinct().count()
+    left, right = (t.repartition(parts, by, "structure") for t in (left, right))
     return left.groupBy(by, "structure").cogroup(right.groupBy(by, "structure")).applyInArrow(fit, f"{shape}, {FIT}")
 
 

@@ -262,3 +262,23 @@ def test_final_models(panel):
         assert root.n == len(frame) and root.value == pytest.approx(frame.actual.mean())
         below = own[own.node == root.below].iloc[0]
         assert root.feature == "a" and below.n == (frame.a <= root.threshold).sum()
+
+
+@pytest.mark.parametrize("kind", ["tree", "forest"])
+def test_trees_grow_from_sums_by_cell(monkeypatch, kind):
+    """However many periods and targets a cell has, a tree sees it once, and says the same as from all points."""
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 3, (4000, 2))
+    n = rng.integers(1, 9, 4000).astype(float)
+    s = n * (x[:, 0] + rng.normal(size=4000))
+    seen, grow = [], growing.level_wise
+    monkeypatch.setattr(trees.G, "level_wise", lambda x, *rest: seen.append(len(x)) or grow(x, *rest))
+    setting = {"depth": 4, "leaf": 5, "features": 1.0, "alpha": 0.0, "rate": 0.75}
+    mine, others, depth, leaves = trees.fitted(kind, [setting], x, n, s, x, 3, 3, 5)[0]
+    assert max(seen) <= 9 and len(mine) == 4000 and np.allclose(mine, others)
+    bags = [n] if kind == "tree" else [trees.drawn(3, t, 0.75, n) for t in range(5)]
+    want = 0.0
+    for t, w in enumerate(bags):
+        tree = grow(x[w > 0], w[w > 0], (s / n * w)[w > 0], 3, 4, 5, 2, 3 + t)
+        want = want + tree.value[tree.reached(x, tree.leaves_at(4))] / len(bags)
+    assert np.allclose(mine, want)
