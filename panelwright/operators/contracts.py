@@ -185,11 +185,12 @@ def key_findings(df: DataFrame, key: str, segment: str) -> DataFrame:
     return counts.unpivot([], ["missing_key", "duplicate_key", "segment_mismatch"], "check_name", "affected")
 
 
-def assembled(base: DataFrame, sources: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+def assembled(base: DataFrame, sources: Mapping[str, DataFrame], keys: Sequence[str], parts: int | None = None) -> DataFrame:
     """base with the columns of every source, one row a key each, and n_<source>, 1 where the source has the key.
 
     All tables meet in one exchange, as a tagged union that is collapsed by key, however many
-    they are. A key that base or a source has twice fails the job.
+    they are. A key that base or a source has twice fails the job. With parts the exchange has so
+    many partitions, and rows are sorted behind it only.
     """
     tables = {"base": base, **sources}
     columns = {name: [c for c in t.columns if c not in keys] for name, t in tables.items()}
@@ -200,6 +201,7 @@ def assembled(base: DataFrame, sources: Mapping[str, DataFrame], keys: Sequence[
     for i, (name, t) in enumerate(tables.items()):
         one = t.select(*keys, F.lit(i).alias("__of"), *(F.col(c) if c in columns[name] else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()))
         long = one if long is None else long.unionByName(one)
+    long = long.repartition(parts, *keys) if parts else long
     counts = [F.count_if(F.col("__of") == i).alias(f"n_{name}") for i, name in enumerate(tables)]
     met = long.groupBy(*keys).agg(*counts, *(F.max(c).alias(c) for c in kinds)).filter("n_base > 0")
     twice = F.greatest(*(F.col(f"n_{name}") for name in tables)) > 1

@@ -46,9 +46,9 @@ def weighted_history(value: str, entity: str, period: str, weights: Sequence[flo
 
 def targets(
     stats: DataFrame, entity: str, period: str, segment: str, sub: str, occurrence: str, group: str,
-    weights: Mapping[str, float], sums: Sequence[str],
+    weights: Mapping[str, float], sums: Sequence[str], *more: Column,
 ) -> DataFrame:
-    """Entity-period rows: n occurrences, sums (missing counts 0), last group and segment, total and per-occurrence score.
+    """Entity-period rows: n occurrences, sums (missing counts 0), last group and segment, total and per-occurrence score, and more aggregates.
 
     A row of zeros still counts as an occurrence. One exchange on (entity, period).
     """
@@ -62,6 +62,7 @@ def targets(
             last_known(segment, F.struct(sub, occurrence)).alias(segment),
             last_known(group, F.struct(sub, occurrence)).alias(group),
             known_sum("__score").alias("total_score"),
+            *more,
         )
         .withColumn("target", F.col("total_score") / F.col("n_occ"))
     )

@@ -47,8 +47,15 @@ def parts_of(spark: SparkSession, n: int, least: int = 20_000) -> int:
 
 
 def stats(spark: SparkSession, d: str) -> DataFrame:
-    """Stat rows: one an order with lines, dealt by entity, so that panels and lags need no further exchange."""
-    lines = scan(spark, d, "lineitem").groupBy("l_orderkey").agg(
+    """Stat rows: one an order with lines, dealt by entity, so that panels and lags need no further exchange.
+
+    Lines meet in as many partitions as the session has, combined before the exchange; where these would hold more than
+    TASK_ROWS orders each, lines are dealt anew, so that a task's memory doesn't grow with the tables.
+    """
+    parts, raw = parts_of(spark, scan(spark, d, "orders").count()), scan(spark, d, "lineitem")
+    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        raw = raw.repartition(parts, "l_orderkey")
+    lines = raw.groupBy("l_orderkey").agg(
         F.sum(F.col("l_quantity").cast("long")).alias("qty"),
         F.sum(F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long")).alias("price"),
         F.sum(F.floor(F.col("l_extendedprice") * F.col("l_discount")).cast("long")).alias("disc"),
@@ -59,7 +66,7 @@ def stats(spark: SparkSession, d: str) -> DataFrame:
         F.col("o_orderstatus").alias("status"), F.substring("o_orderpriority", 1, 1).cast("int").alias("prio"), F.to_date("o_orderdate").alias("day"),
     )
     customers = scan(spark, d, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("grp"))
-    dealt = orders.join(lines, orders.occ == lines.l_orderkey).drop("l_orderkey").repartition(parts_of(spark, orders.count()), "entity")
+    dealt = orders.join(lines, orders.occ == lines.l_orderkey).drop("l_orderkey").repartition(parts, "entity")
     return dealt.join(customers, "entity")
 
 

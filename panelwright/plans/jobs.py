@@ -9,7 +9,7 @@ from ..functions import ranks as R
 from ..operators import asof, contracts, peers
 from ..operators import panel as P
 from ..operators.places import Rank, with_ranks
-from .base import PANEL, PREDICTIONS, STATS, WEIGHTS, Query, held, panel, predictions, registered, scan, scratch, stats
+from .base import PANEL, PREDICTIONS, STATS, SUMS, WEIGHTS, Query, held, panel, parts_of, predictions, registered, scan, scratch, stats
 from .panels import LAG
 
 QUERIES: dict[str, Query] = {}
@@ -138,24 +138,36 @@ six AS (SELECT b.entity, b.period, b.segment, opp_qty, opp_occ, coalesce(deep_sh
 GROUPS = {"opportunity": ["opp_qty", "opp_occ"], "group": ["grp_qty"], "participation": ["early_rate"], "tracking": ["mean_price", "old_disc"], "routes": ["routes_run", "old_disc"]}
 
 
+def yearly(spark, d):
+    """The panel with what the six sources need of its stat rows, in one pass over them, written; grp_mixed where an entity has several groups in a period."""
+    share = lambda c: F.sum(F.when(c, F.col("qty"))) / F.sum("qty")
+    one = F.min("grp").eqNullSafe(F.max("grp")) & F.count("grp").isin(F.lit(0), F.count("*"))
+    more = (
+        share(F.col("n_lines") >= 5).alias("deep_share"), share(F.col("prio") == 1).alias("urgent_share"), F.try_divide(F.count_if((F.col("prio") > 1) & (F.col("sub") <= 6)), F.count_if(F.col("prio") > 1)).alias("early_rate"),
+        F.avg(F.when(F.col("n_lines") >= 4, F.col("price"))).alias("mean_price"), F.min("grp").alias("stat_grp"), (~one).alias("grp_mixed"),
+    )
+    p = P.targets(stats(spark, d), "entity", "period", "segment", "sub", "occ", "grp", WEIGHTS, SUMS, *more)
+    return held(p.withColumn("prev_grp", P.exact_lag("grp", "entity", "period", 1)), "yearly")
+
+
 def six_sources(spark, d):
     """Each row of the panel with six sources: five by entity and period in one exchange, two of them only for the group of the period before, and one by group and period."""
-    s, p = stats(spark, d), panel(spark, d)
+    p = yearly(spark, d)
     later = lambda k: (F.col("period") + k).alias("period")
-    share = lambda c: F.sum(F.when(c, F.col("qty"))) / F.sum("qty")
-    base = p.select("entity", "period", "segment", "grp", P.exact_lag("grp", "entity", "period", 1).alias("prev_grp"))
+    base, past = p.select("entity", "period", "segment", "grp", "prev_grp"), p.filter("period IS NOT NULL")
     # An entity's sources by group have one group a period: customers stay in their nation.
-    deep = s.groupBy("entity", "period", "grp").agg(share(F.col("n_lines") >= 5).alias("deep_share"), share(F.col("prio") == 1).alias("urgent_share")).select("entity", later(1), F.col("grp").alias("deep_grp"), "deep_share", "urgent_share")
-    part = s.filter("prio > 1").groupBy("entity", "period", "grp").agg((F.count_if(F.col("sub") <= 6) / F.count("*")).alias("early_rate")).select("entity", later(1), F.col("grp").alias("part_grp"), "early_rate")
     sources = {
-        "opportunity": p.select("entity", later(1), F.col("qty").alias("opp_qty"), F.col("n_occ").alias("opp_occ")), "deep": deep, "part": part,
-        "track": s.filter("n_lines >= 4").groupBy("entity", "period").agg(F.avg("price").alias("mean_price")).select("entity", later(1), "mean_price"),
-        "ext": p.filter("entity % 3 > 0").select("entity", later(2), F.col("disc").alias("old_disc")),
+        "opportunity": past.select("entity", later(1), F.col("qty").alias("opp_qty"), F.col("n_occ").alias("opp_occ")),
+        "deep": past.select("entity", later(1), F.col("stat_grp").alias("deep_grp"), F.col("grp_mixed").alias("deep_mixed"), "deep_share", "urgent_share"),
+        "part": past.filter("early_rate IS NOT NULL").select("entity", later(1), F.col("stat_grp").alias("part_grp"), "early_rate"),
+        "track": past.filter("mean_price IS NOT NULL").select("entity", later(1), "mean_price"),
+        "ext": past.filter("entity % 3 > 0").select("entity", later(2), F.col("disc").alias("old_disc")),
     }
-    met = contracts.assembled(base, sources, ["entity", "period"])
-    grps = p.groupBy("grp", "period").agg(F.sum("qty").alias("grp_qty")).select("grp", later(1), "grp_qty")
+    met = contracts.assembled(base, sources, ["entity", "period"], parts_of(spark, p.count() * (1 + len(sources))))
+    grps = held(p.groupBy("grp", "period").agg(F.sum("qty").alias("grp_qty")).select("grp", later(1), "grp_qty"), "groups")  # its size is known where it is joined
     both = contracts.checked_join(met, grps, ["grp", "period"])
-    of = lambda c, g: F.when(F.col(g) == F.col("prev_grp"), F.col(c))
+    several = F.raise_error(F.lit("an entity has several groups in a period"))
+    of = lambda c, g: F.when(F.col("deep_mixed"), several.cast("double")).when(F.col(g) == F.col("prev_grp"), F.col(c))
     known = lambda c, name: F.col(c).isNotNull().cast("int").alias(name)
     out = both.select("entity", "period", "segment", "opp_qty", "opp_occ", *(F.coalesce(of(c, "deep_grp"), F.lit(0.0)).alias(c) for c in ("deep_share", "urgent_share")), "grp_qty", of("early_rate", "part_grp").alias("early_rate"), "mean_price", "old_disc")
     return out.select("*", known("early_rate", "part_known"), known("mean_price", "track_known"), known("old_disc", "ext_known"))
