@@ -15,33 +15,51 @@ from ..sources.scratch import held
 
 #: Bits of an alpha that a pass finds.
 STEP_BITS = 6
+#: Rows whose powers a task holds at once, so that they stay in a core's cache.
+BLOCK = 512
+
+
+def powers(batch: pd.DataFrame, by: str, period: str, rank: str, target: str, betas: np.ndarray) -> Iterator[tuple]:
+    """Group, period, target (a column) and rank ** -beta (a column a beta) of a batch's rows, in blocks of one group and period; equal ranks share their powers."""
+    for (group, when), at in batch.groupby([by, period]).indices.items():
+        r, y = batch[rank].to_numpy(float)[at], batch[target].to_numpy(float)[at] + 0.0  # both zeros are one
+        ranks, which = np.unique(r, return_inverse=True)
+        each = ranks[:, None] ** -betas
+        for i in range(0, len(at), BLOCK):
+            yield group, when, y[i : i + BLOCK, None], each[which[i : i + BLOCK]]
+
+
+def folds_of(state: Mapping[tuple, np.ndarray]) -> dict:
+    """(fold, value) by group."""
+    out: dict = {}
+    for (g, fold), x in state.items():
+        out.setdefault(g, []).append((fold, x))
+    return out
 
 
 def grid_sums(rows: DataFrame, by: str, period: str, rank: str, target: str, state: Mapping[tuple, np.ndarray], shift: int, betas: np.ndarray) -> DataFrame:
-    """by, fold, place (of beta) and w: the weights of the rows before the fold whose ratio lies in each part of (fold, beta)'s bracket; the last two are those below and all.
+    """by, fold, place (of beta) and w: the weights of the rows before the fold whose ratio lies in each part of (fold, beta)'s bracket.
 
-    state has the brackets' lower ends, as bits, by (group, fold). Every task adds up its own rows.
+    state has the brackets' lower ends, as bits, by (group, fold). Every task adds up its own rows; rows outside of a bracket are only compared.
     """
-    parts = 1 << STEP_BITS
+    parts, lows = 1 << STEP_BITS, folds_of({k: low >> shift for k, low in state.items()})
+    start = np.arange(len(betas)) * parts
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            for group, part in batch.groupby(by):
-                r, y, when = part[rank].to_numpy(float), part[target].to_numpy(float), part[period].to_numpy()
-                w = r[:, None] ** -betas
-                bits = (y[:, None] / w).view(np.int64)
-                for (g, fold), low in state.items():
-                    if g == group and (past := when < fold).any():
-                        at = (bits[past] >> shift) - (low >> shift)
-                        at = np.where(at < 0, parts, np.where(at < parts, at, parts + 1)) + np.arange(len(betas)) * (parts + 2)
-                        sums = np.bincount(at.ravel(), w[past].ravel(), len(betas) * (parts + 2)).reshape(len(betas), -1)
-                        sums[:, parts + 1] = w[past].sum(axis=0)
-                        found[g, fold] = found.get((g, fold), 0.0) + sums
-        yield pd.DataFrame([(g, f, i, w.tolist()) for (g, f), sums in found.items() for i, w in enumerate(sums)], columns=[by, "fold", "place", "w"])
+            for group, when, y, w in powers(batch, by, period, rank, target, betas):
+                bits = (y / w).view(np.int64) >> shift
+                for fold, low in lows.get(group, ()):
+                    if when < fold:
+                        at = bits - low
+                        inside = np.flatnonzero(at.view(np.uint64) < parts)  # those below are large there
+                        sums = np.bincount(at.ravel()[inside] + start[inside % len(betas)], w.ravel()[inside], len(betas) * parts)
+                        found[group, fold] = found.get((group, fold), 0.0) + sums
+        yield pd.DataFrame([(g, f, i, w.tolist()) for (g, f), sums in found.items() for i, w in enumerate(sums.reshape(len(betas), -1))], columns=[by, "fold", "place", "w"])
 
     each = rows.select(by, period, rank, target).mapInPandas(run, f"`{by}` {rows.schema[by].dataType.simpleString()}, fold long, place int, w array<double>")
-    return each.groupBy(by, "fold", "place").agg(F.array(*(F.sum(F.get("w", F.lit(i))) for i in range(parts + 2))).alias("w"))
+    return each.groupBy(by, "fold", "place").agg(F.array(*(F.sum(F.get("w", F.lit(i))) for i in range(parts))).alias("w"))
 
 
 def power_calibration(rows: DataFrame, by: str, period: str, rank: str, target: str, folds: DataFrame, least: int = 20) -> DataFrame:
@@ -53,34 +71,40 @@ def power_calibration(rows: DataFrame, by: str, period: str, rank: str, target:
 
     The medians of all folds and exponents are found together, STEP_BITS bits of the ratio a
     pass: tasks add up the weights in each part of every bracket, and the part that holds the
-    median is the next bracket. No row is repeated, sorted or exchanged; a row a fold and
-    exponent comes to the driver.
+    median is the next bracket. No row is repeated or sorted; a row a fold and exponent comes to
+    the driver. Rows are written once, in as many files as keep every core busy: they are small,
+    but each costs a power and a comparison an exponent and fold.
     """
-    betas, parts = np.array([0.05 + i * ((1.50 - 0.05) / 145) for i in range(146)]), 1 << STEP_BITS
-    ok = held(rows.filter((F.col(rank) > 0) & (F.col(target) >= 0)).select(by, period, F.col(rank).cast("double").alias(rank), F.col(target).cast("double").alias(target)), "usable")
+    betas = np.array([0.05 + i * ((1.50 - 0.05) / 145) for i in range(146)])
+    usable = rows.filter((F.col(rank) > 0) & (F.col(target) >= 0)).select(by, period, F.col(rank).cast("double").alias(rank), F.col(target).cast("double").alias(target))
+    ok = held(usable.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism), "usable")
     sizes = ok.groupBy(by, period).agg(F.count("*").alias("n"))
     counted = folds.select(by, "fold").join(sizes, by).filter(F.col(period) < F.col("fold")).groupBy(by, "fold").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).collect()  # a row a fold
     n = {(r[by], r["fold"]): r["n"] for r in counted}
     low = {k: np.zeros(len(betas), np.int64) for k in n}
+    below, total = {k: np.zeros(len(betas)) for k in n}, {}
     shift = 63
     while shift > 0 and n:
         shift = max(0, shift - STEP_BITS)
         for r in grid_sums(ok, by, period, rank, target, low, shift, betas).collect():
             k, i, w = (r[by], r["fold"]), r["place"], np.array(r["w"])
-            run = w[parts] + np.cumsum(w[:parts])
-            part = min(int(np.searchsorted(run * 2, w[parts + 1])), parts - 1)
+            run = below[k][i] + np.cumsum(w)
+            half = total.setdefault((*k, i), run[-1]) / 2  # the first bracket has all rows
+            part = min(int(np.searchsorted(run, half)), int(np.flatnonzero(w).max(initial=0)))
+            below[k][i] += w[:part].sum()
             low[k][i] += part << shift
     alphas = {k: v.view(float) for k, v in low.items()}
+    of_group = folds_of(alphas)
 
     def errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            for group, part in batch.groupby(by):
-                w, y, when = part[rank].to_numpy(float)[:, None] ** -betas, part[target].to_numpy(float)[:, None], part[period].to_numpy()
-                for (g, fold), alpha in alphas.items():
-                    if g == group:
-                        past = when < fold
-                        found[g, fold] = found.get((g, fold), 0.0) + np.abs(alpha * w[past] - y[past]).sum(axis=0)
+            for group, when, y, w in powers(batch, by, period, rank, target, betas):
+                for fold, alpha in of_group.get(group, ()):
+                    if when < fold:
+                        left = alpha * w
+                        left -= y
+                        found[group, fold] = found.get((group, fold), 0.0) + np.abs(left, out=left).sum(axis=0)
         yield pd.DataFrame([(*k, v.tolist()) for k, v in found.items()], columns=[by, "fold", "e"])
 
     kind = rows.schema[by].dataType.simpleString()

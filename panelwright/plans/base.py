@@ -95,15 +95,15 @@ PANEL = f"""{STATS}, panel AS (
 )"""
 
 
-def predictions(spark: SparkSession, d: str) -> DataFrame:
-    """Three predictions of each target: a (last period), b (mean of three), m (mean of the segment before). The panel is made once and written."""
+def predictions(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Three predictions of each target: a (last period), b (mean of three), m (mean of the segment before), and more columns of the panel, which is made once and written."""
     from ..operators.folds import mean_baseline
 
     rows = panel(spark, d).select(
         "entity", "period", "segment", "grp", "n_occ", F.col("target").alias("actual"),
         P.exact_lag("target", "entity", "period", 1).alias("a"),
         P.recent_mean("target", "entity", "period", 3).alias("b"),
-        P.prior_count("entity", "period").alias("n_prior"),
+        P.prior_count("entity", "period").alias("n_prior"), *more,
     )
     rows = held(rows, "lagged")
     m = mean_baseline(rows, "period", "segment", "actual").withColumnRenamed("baseline", "m")
