@@ -17,6 +17,8 @@ from ..sources.scratch import held
 STEP_BITS = 6
 #: Rows whose powers a task holds at once, so that they stay in a core's cache.
 BLOCK = 512
+#: Rows of a file at most, about: what a task sorts doesn't grow with the table.
+FILE_ROWS = 250_000
 
 
 def powers(batch: pd.DataFrame, by: str, period: str, rank: str, target: str, betas: np.ndarray) -> Iterator[tuple]:
@@ -71,13 +73,14 @@ def power_calibration(rows: DataFrame, by: str, period: str, rank: str, target:
 
     The medians of all folds and exponents are found together, STEP_BITS bits of the ratio a
     pass: tasks add up the weights in each part of every bracket, and the part that holds the
-    median is the next bracket. No row is repeated or sorted; a row a fold and exponent comes to
-    the driver. Rows are written once, in as many files as keep every core busy: they are small,
-    but each costs a power and a comparison an exponent and fold.
+    median is the next bracket. No row is repeated; a row a fold and exponent comes to the driver.
+    Rows are written once, in as many files as keep every core busy, and sorted in these, so that
+    a batch has few groups and ranks; ranges that end within equal ranks split a hot one.
     """
     betas = np.array([0.05 + i * ((1.50 - 0.05) / 145) for i in range(146)])
     usable = rows.filter((F.col(rank) > 0) & (F.col(target) >= 0)).select(by, period, F.col(rank).cast("double").alias(rank), F.col(target).cast("double").alias(target))
-    ok = held(usable.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism), "usable")
+    files = max(4 * rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // FILE_ROWS))
+    ok = held(usable.repartitionByRange(files, by, period, rank, target).sortWithinPartitions(by, period, rank), "usable")
     sizes = ok.groupBy(by, period).agg(F.count("*").alias("n"))
     counted = folds.select(by, "fold").join(sizes, by).filter(F.col(period) < F.col("fold")).groupBy(by, "fold").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).collect()  # a row a fold
     n = {(r[by], r["fold"]): r["n"] for r in counted}
