@@ -161,7 +161,7 @@ def by_setting(fits_: DataFrame, keys: Sequence[str], kind: str, grid: Sequence[
     return joined.select(*keys, F.array(*(F.get("__flat", F.lit(order.index(i))) for i in range(len(grid)))).alias(column))
 
 
-def prepared(rows: DataFrame, by: str, period: str, features: Sequence[str], target: str, base: str | None, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def prepared(rows: DataFrame, by: str, period: str, features: Sequence[str], target: str, base: str | None = None, least: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
     """folds; rows with fold (their period) and x; and their cells. The target is what the base leaves."""
     rows = held(rows.withColumn("__goal", F.col(target).cast("double") - (F.col(base) if base else F.lit(0.0))), "targets")
     folds = held(expanding_folds(rows, period, by, least), "folds")
@@ -169,16 +169,17 @@ def prepared(rows: DataFrame, by: str, period: str, features: Sequence[str], tar
     return folds, placed.drop("__goal", "target_edges"), held(C.cells(placed, [by], period, "__goal"), "cells")
 
 
-def nested(rows: DataFrame, by: str, period: str, features: Sequence[str], target: str, kind: str, grid: Sequence[Mapping[str, object]] | None = None, base: str | None = None, cap: float = 0.75, least: int = 50, n_trees: int = TUNING_TREES, final_trees: int = FINAL_TREES) -> tuple[DataFrame, DataFrame]:
+def nested(rows: DataFrame, by: str, period: str, features: Sequence[str], target: str, kind: str, grid: Sequence[Mapping[str, object]] | None = None, base: str | None = None, cap: float = 0.75, least: int = 50, n_trees: int = TUNING_TREES, final_trees: int = FINAL_TREES, ready: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """The setting of every outer fold, chosen by its inner folds' mean errors, and its predictions for the fold's rows.
 
     First: by, fold, setting, label, inner_mae, mae, n, train_mae (on cell means), depth, leaves
     and n_distinct predictions. Second: the rows with fold, x and predicted. With `base`, a
     prediction that knows nothing later, the models fit what it leaves and correct it by
     `cap` at most either way. Forests are compared with n_trees, the chosen ones have final_trees.
+    `ready` is what `prepared` gives for the same rows, base and least, where several kinds share it.
     """
     grid, keys, k = grid or GRIDS[kind], [by, "fold"], len(features)
-    folds, placed, sums = prepared(rows, by, period, features, target, base, least)
+    folds, placed, sums = ready or prepared(rows, by, period, features, target, base, least)
     valid = placed.join(folds.select(*keys), keys)
     asked = held(valid.select(*keys, "x").distinct(), "asked")
     said = held(fits(sums, asked, by, period, k, kind, grid, n_trees), "fits")
