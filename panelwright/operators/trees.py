@@ -16,7 +16,7 @@ from itertools import product
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -104,7 +104,7 @@ def unpacked(x: np.ndarray, k: int, bins: int) -> np.ndarray:
     return np.stack([x // bins**i % bins for i in range(k)], axis=1)
 
 
-FIT = "fold bigint, structure int, x bigint, predicted array<double>, train_mae array<double>, depth array<int>, leaves array<int>"
+FIT = "fold bigint, structure int, x bigint, predicted array<double>, depth array<int>, leaves array<int>"
 
 
 def fits(sums: DataFrame, asked: DataFrame, by: str, period: str, k: int, kind: str, grid: Sequence[Mapping[str, object]], n_trees: int, chosen: DataFrame | None = None) -> DataFrame:
@@ -134,11 +134,9 @@ def fits(sums: DataFrame, asked: DataFrame, by: str, period: str, k: int, kind:
         for fold in np.unique(folds).tolist() if len(t) else ():
             train, there = when < fold, np.unique(cells[folds == fold])
             done = fitted(kind, settings, x[train], n[train], s[train], unpacked(there, k, bins), bins, seed, n_trees)
-            mean = s[train] / n[train]
-            errors = [float((n[train] * np.abs(mean - d[0])).sum() / n[train].sum()) for d in done]
-            rows.append((fold, structure, None, None, errors, [d[2] for d in done], [d[3] for d in done]))
-            rows += [(fold, structure, c, p, None, None, None) for c, p in zip(there.tolist(), np.stack([d[1] for d in done], axis=1).tolist(), strict=True)]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            rows.append((fold, structure, None, None, [d[2] for d in done], [d[3] for d in done]))
+            rows += [(fold, structure, c, p, None, None) for c, p in zip(there.tolist(), np.stack([d[1] for d in done], axis=1).tolist(), strict=True)]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
         columns = [pa.array([key[0]] * len(rows), key[0].type), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))]
         return pa.table(columns, [by, *(c.split()[0] for c in FIT.split(", "))])
 
@@ -161,6 +159,18 @@ def by_setting(fits_: DataFrame, keys: Sequence[str], kind: str, grid: Sequence[
     return joined.select(*keys, F.array(*(F.get("__flat", F.lit(order.index(i))) for i in range(len(grid)))).alias(column))
 
 
+def training_errors(placed: DataFrame, said: DataFrame, by: str, target: str, predicted: Column) -> DataFrame:
+    """by, fold and train_mae: the error of said (by, fold, x, predicted) on the rows before each fold, by the expression that is given.
+
+    A row meets its cell's predictions of all folds at once; what it says of later folds is summed before any exchange,
+    in decimals, so that the sum is the same in any order of rows.
+    """
+    later = said.groupBy(by, "x").agg(F.collect_list(F.struct(F.col("fold").alias("__later"), "predicted")).alias("__said"))
+    each = placed.join(later, [by, "x"]).select("*", F.inline(F.filter("__said", lambda e: e["__later"] > F.col("fold"))))
+    error = F.abs(F.col(target) - predicted).cast("decimal(38,18)")
+    return each.groupBy(by, F.col("__later").alias("fold")).agg(F.try_divide(F.sum(error).cast("double"), F.count(error)).alias("train_mae"))
+
+
 def prepared(rows: DataFrame, by: str, period: str, features: Sequence[str], target: str, base: str | None = None, least: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
     """folds; rows with fold (their period) and x; and their cells. The target is what the base leaves."""
     rows = held(rows.withColumn("__goal", F.col(target).cast("double") - (F.col(base) if base else F.lit(0.0))), "targets")
@@ -172,8 +182,8 @@ def prepared(rows: DataFrame, by: str, period: str, features: Sequence[str], tar
 def nested(rows: DataFrame, by: str, period: str, features: Sequence[str], target: str, kind: str, grid: Sequence[Mapping[str, object]] | None = None, base: str | None = None, cap: float = 0.75, least: int = 50, n_trees: int = TUNING_TREES, final_trees: int = FINAL_TREES, ready: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """The setting of every outer fold, chosen by its inner folds' mean errors, and its predictions for the fold's rows.
 
-    First: by, fold, setting, label, inner_mae, mae, n, train_mae (on cell means), depth, leaves
-    and n_distinct predictions. Second: the rows with fold, x and predicted. With `base`, a
+    First: by, fold, setting, label, inner_mae, mae, n, train_mae (of all rows before the fold), depth,
+    leaves and n_distinct predictions. Second: the rows with fold, x and predicted. With `base`, a
     prediction that knows nothing later, the models fit what it leaves and correct it by
     `cap` at most either way. Forests are compared with n_trees, the chosen ones have final_trees.
     `ready` is what `prepared` gives for the same rows, base and least, where several kinds share it.
@@ -189,16 +199,11 @@ def nested(rows: DataFrame, by: str, period: str, features: Sequence[str], targe
     scored = valid.join(p, [*keys, "x"]).groupBy(*keys).agg(F.count("*").alias("n"), F.array(*(error(i) for i in range(len(grid)))).alias("maes"))
     scores = held(scored.select(*keys, "n", F.posexplode("maes").alias("setting", "mae")).join(F.broadcast(settings_table(rows, kind, grid)), "setting"), "scores")  # a row a setting
     best = held(chosen_inside(scores, inner_periods(folds, by), [by], ["setting", "label", "simple"], [F.col("simple")]).select(*keys, "setting", "label", "inner_mae"), "chosen")
-    if kind == "forest":
-        said = held(fits(sums, asked, by, period, k, kind, grid, final_trees, best), "final-fits").withColumn("setting", F.col("structure"))
-        of = lambda c: F.get(c, F.lit(0)).alias(c)
-        p, facts = said.filter("x is not null").select(*keys, "setting", "x", of("predicted")), said.filter("x is null").select(*keys, "setting", *map(of, ("train_mae", "depth", "leaves")))
-    else:
-        of = lambda c: F.get(c, F.col("setting")).alias(c)
-        p, facts = p.join(best.select(*keys, "setting"), keys).select(*keys, "setting", "x", of("predicted")), best.select(*keys, "setting")
-        for c in ("train_mae", "depth", "leaves"):
-            facts = facts.join(by_setting(said.filter("x is null"), keys, kind, grid, c), keys)
-        facts = facts.select(*keys, "setting", *map(of, ("train_mae", "depth", "leaves")))
+    before = sums.join(best.select(*keys), by).filter(F.col(period) < F.col("fold")).select(*keys, "x").distinct()
+    said = held(fits(sums, asked.union(before).distinct(), by, period, k, kind, grid, final_trees, best), "final-fits")
+    of = lambda c: F.get(c, F.lit(0)).alias(c)
+    p = said.filter("x is not null").select(*keys, F.col("structure").alias("setting"), "x", of("predicted"))
+    facts = training_errors(placed, p, by, target, full(F.col("predicted"))).join(said.filter("x is null").select(*keys, F.col("structure").alias("setting"), *map(of, ("depth", "leaves"))), keys)
     predicted = held(valid.join(p, [*keys, "x"]).withColumn("predicted", full(F.col("predicted"))), "predicted")
     done = predicted.groupBy(*keys, "setting").agg(F.count("*").alias("n"), F.avg(F.abs(F.col(target) - F.col("predicted"))).alias("mae"), F.count_distinct("predicted").alias("n_distinct"))
     return best.join(done, [*keys, "setting"]).join(facts, [*keys, "setting"]), predicted
